@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .common import table
 from .decontaminate import contamination
+from .fingerprint import fingerprint_edited
+from .htmltext import extract_main_text
 from .packing import pack
 from .secretscan import labelled_samples, scan_secrets
 from .sharding import shard_by_bytes
@@ -28,11 +30,19 @@ def op3_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op4_lempel_ziv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edited(table(spark, sf_dir, "documents"))
+
+
 def op5_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_tag_path_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_decreasing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
 
