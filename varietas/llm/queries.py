@@ -12,6 +12,7 @@ from .common import table
 from .decontaminate import contamination
 from .fingerprint import fingerprint_edited
 from .htmltext import extract_main_text
+from .neardup import near_duplicate_classes
 from .packing import pack
 from .secretscan import labelled_samples, scan_secrets
 from .sharding import shard_by_bytes
@@ -26,6 +27,10 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=1024, end_id=2)
 
 
+def op2_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op3_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECES)
 
