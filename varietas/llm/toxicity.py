@@ -24,7 +24,7 @@ from .wordhash import Words, words_of
 #: Words in a window, and the step from one to the next.
 WINDOW, STEP = 32, 16
 #: Most labelled rows of each class that are read to train (those whose ids hash lowest).
-TRAINING_ROWS = 2_500
+TRAINING_ROWS = 1_500
 #: Sizes: known words and 4-grams, vector lengths, states per direction.
 WORDS_KEPT, GRAMS_KEPT, WORD_DIM, GRAM_DIM, STATES = 6_000, 6_000, 6, 6, 10
 ROUNDS, BATCH, RATE = 6, 256, 0.01
@@ -133,23 +133,22 @@ class ToxicityNet:
     def gates(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
         return {way: vectors @ self.p[f"w{way}"] + self.p[f"c{way}"] for way in ("f", "b")}
 
-    def logits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document and logit of every window, and first words of the windows."""
-        x = self.inputs(words)
-        doc, begin, size = windows_of(words.first)
-        at = np.concatenate([x.at, np.full(WINDOW, len(x.word))])
-        gates, out = self.gates(self.vectors(x)), np.empty(len(doc), dtype=np.float32)
-        for i in range(0, len(doc), 4096):
+    def logits(self, x: Inputs, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Logits of the windows of ``size`` words from word ``begin``, a bounded number at a time."""
+        at = np.concatenate([x.at, np.full(WINDOW, len(x.word), dtype=x.at.dtype)])
+        gates, out = self.gates(self.vectors(x)), np.empty(len(begin), dtype=np.float32)
+        for i in range(0, len(begin), 4096):
             place = begin[i : i + 4096, None] + np.arange(WINDOW)
             out[i : i + 4096] = self.forward(gates, at[place], size[i : i + 4096])
-        return doc, out, begin
+        return out
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """The largest logit of each text's windows; -inf without words."""
         out = np.full(len(texts), -np.inf)
         for i, j in slices(texts, 1 << 20):
-            doc, logit, _ = self.logits(words_of(texts[i:j]))
-            np.maximum.at(out[i:j], doc, logit)
+            words = words_of(texts[i:j])
+            doc, begin, size = windows_of(words.first)
+            np.maximum.at(out[i:j], doc, self.logits(self.inputs(words), begin, size))
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -200,33 +199,52 @@ class ToxicityNet:
 
 
 def _log_odds(keys: list[np.ndarray], labels: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that tell the classes apart best, sorted, with their smoothed document log-odds."""
-    found = np.concatenate([np.unique(k) for k in keys]) if keys else np.array([], dtype=np.uint64)
-    label = np.repeat(labels, [len(np.unique(k)) for k in keys]) if keys else labels
-    values, inverse = np.unique(found, return_inverse=True)
+    """Keys that tell the classes apart best, sorted, with their smoothed document log-odds; keys are distinct in each text."""
+    values, inverse = np.unique(np.concatenate([*keys, np.array([], dtype=np.uint64)]), return_inverse=True)
+    label = np.repeat(labels, [len(k) for k in keys])
     yes = np.bincount(inverse, weights=label, minlength=len(values))
     no = np.bincount(inverse, weights=1 - label, minlength=len(values))
     n_yes, n_no = max(labels.sum(), 1), max((1 - labels).sum(), 1)
     odds = np.log((yes + 1) / (n_yes + 2)) - np.log((no + 1) / (n_no + 2)) - np.log((n_no + 2) / (n_yes + 2))
-    ahead = np.argsort(-(np.abs(odds) * np.sqrt(yes + no)), kind="stable")[:most]
-    ahead = np.sort(ahead)
+    ahead = np.sort(np.argsort(-(np.abs(odds) * np.sqrt(yes + no)), kind="stable")[:most])
     return values[ahead], np.clip(odds[ahead], -4, 4).astype(np.float32)
 
 
+def _read_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, their 4-grams' codes and where these begin, each place's distinct word, and first places of texts."""
+    hashes, counts, known, codes, sizes = [], [], [], [], []
+    for i, j in slices(texts, 1 << 19):
+        words = words_of(texts[i:j])
+        values, chosen = np.unique(words.hashes, return_index=True)
+        code, first = grams_of(words, chosen)
+        hashes.append(words.hashes)
+        counts.append(np.diff(words.first))
+        known.append(values)
+        codes.append(code)
+        sizes.append(np.diff(first))
+    all_, size = np.concatenate([*known, np.array([], np.uint64)]), np.concatenate([*sizes, np.array([], np.int64)])
+    code = np.concatenate([*codes, np.array([], np.uint64)])
+    distinct, chosen = np.unique(all_, return_index=True)
+    begin = (np.cumsum(size) - size)[chosen]
+    first = np.concatenate([[0], np.cumsum(size[chosen])])
+    grams = code[np.repeat(begin - first[:-1], size[chosen]) + np.arange(first[-1])]
+    at = np.searchsorted(distinct, np.concatenate([*hashes, np.array([], np.uint64)])).astype(np.int32)
+    return distinct, grams, first, at, np.concatenate([[0], np.cumsum(np.concatenate([*counts, np.array([], np.int64)]))]).astype(np.int64)
+
+
 def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = 11) -> ToxicityNet:
     """The network trained on labelled texts; both classes may be of any size, or missing."""
     y, rng = np.asarray(labels, dtype=np.float64), np.random.default_rng(seed)
-    words = words_of(texts)
-    code, first = grams_of(words, np.arange(len(words.hashes)))
-    own = [words.hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-    own_grams = [np.unique(code[first[a] : first[b]]) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-    net = ToxicityNet(*_log_odds(own, y, WORDS_KEPT), *_log_odds(own_grams, y, GRAMS_KEPT), seed=seed)
-    x = net.inputs(words)
-    doc, begin, size = windows_of(words.first)
+    distinct, grams, gram_first, at, first = _read_all(texts)
+    own = [np.unique(at[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    own_grams = [np.unique(np.concatenate([grams[gram_first[w] : gram_first[w + 1]] for w in o])) if len(o) else grams[:0] for o in own]
+    net = ToxicityNet(*_log_odds([distinct[o] for o in own], y, WORDS_KEPT), *_log_odds(own_grams, y, GRAMS_KEPT), seed=seed)
+    x = Inputs(_number(net.words, distinct), _number(net.grams, grams), gram_first, at)
+    doc, begin, size = windows_of(first)
     if not len(doc) or not 0 < y.sum() < len(y):
         net.p["o"][:] = 0
         return net
-    at = np.concatenate([x.at, np.full(WINDOW, len(x.word))])
+    at = np.concatenate([x.at, np.full(WINDOW, len(x.word), dtype=np.int32)])
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     odds = np.concatenate([[0], net.p["word"][1:, 0]])[x.word] + np.maximum.reduceat(np.concatenate([[0], net.p["gram"][1:, 0]])[x.gram], x.gram_first[:-1])
@@ -255,7 +273,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        _, logit, _ = net.logits(words)
+        logit = net.logits(x, begin, size)
     net.threshold = _best_threshold(np.array([logit[doc == d].max() for d in np.unique(doc)]), y[np.unique(doc)])
     return net
 
