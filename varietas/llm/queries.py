@@ -16,6 +16,7 @@ from .neardup import near_duplicate_classes
 from .packing import pack
 from .secretscan import labelled_samples, scan_secrets
 from .sharding import shard_by_bytes
+from .substrings import remove_repeats
 from .tokencount import token_counts
 from .toxicity import fit, score
 
@@ -52,6 +53,10 @@ def op7_best_fit_decreasing_shards(spark: SparkSession, sf_dir: str) -> DataFram
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op9_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scan_secrets(docs, labelled_samples(docs)).drop("redacted")
