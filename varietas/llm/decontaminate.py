@@ -194,3 +194,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(
         run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, longest long"
     )
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of the benchmark, with all their columns."""
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, block_bytes)]
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only = TestWindows(shared[0].value, width) if len(shared) == 1 else None
+        for texts in batches:
+            hit = np.zeros(len(texts), dtype=bool)
+            for block in shared:
+                windows = only or TestWindows(block.value, width)
+                hit |= np.array([len(h) > 0 for _, h, _, _ in scan(texts.tolist(), windows)], dtype=bool)
+            yield pd.Series(~hit)
+
+    return docs.where(clean(text_or_empty()))
