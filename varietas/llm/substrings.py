@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, stored, text_or_empty
 from .wordhash import BASE, _upto, mix
 
 #: Threshold and anchor length in bytes, and digit length of the inner passes.
@@ -38,7 +38,7 @@ MANY_IN_TASK, MANY = 64, 256
 #: Text bytes that are hashed at once, and within which a task settles repeats.
 CHUNK, SETTLE = 1 << 20, 32 << 20
 #: Bytes of a table that is broadcast at most; above, it is joined by a shuffle.
-MOST_BROADCAST = 32 << 20
+MOST_BROADCAST = 64 << 20
 
 _SALT = np.uint64(0x9FB21C651E98DF25)
 #: Kinds of rows: runs of windows, known repeats, rows filed singly, and signs that a digit has such.
@@ -140,7 +140,7 @@ def _place(low: np.ndarray, high: np.ndarray, anchor: np.ndarray, kind: np.ndarr
 
 
 def _first_pass(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each run, filed by its digit; repeats within the task are known at once.
+    """A row for each run, filed by its digit; repeats within the task are known at once, their high in ``digit``.
 
     Where many blocks stand under one digit, they are filed by block as well, and one witness stays
     under the digit to tell other tasks' runs.
@@ -160,16 +160,28 @@ def _first_pass(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _earlier_in_group((digit, block), (uid, low))
         values, inverse = np.unique(digit, return_inverse=True)
         hot = (np.bincount(inverse, weights=~known, minlength=len(values)) >= MANY_IN_TASK)[inverse] & ~known
-        spread = np.where(known, mix(block ^ mix(uid.astype(np.uint64) ^ low.astype(np.uint64) * _SALT)), mix(block ^ digit))
-        witness, zero = np.unique(digit[hot]), np.zeros(len(np.unique(digit[hot])), dtype=np.int64)
+        n_uid, n_low, n_high = _joined_runs(uid[known], low[known], high[known])
+        digit, block, uid, low, high, anchor, hot = (x[~known] for x in (digit, block, uid, low, high, anchor, hot))
+        witness = np.unique(digit[hot])
+        zero, none = np.zeros(len(witness), dtype=np.uint64), np.zeros(len(n_uid), dtype=np.uint64)
         columns = {
-            "key": np.concatenate([np.where(known | hot, spread, digit), witness]),
-            "block": np.concatenate([block, zero.view(np.uint64)]),
-            "digit": np.concatenate([np.where(hot, digit, np.uint64(0)), zero.view(np.uint64)]),
-            "uid": np.concatenate([uid, zero]),
-            "place": np.concatenate([_place(low, high, anchor, np.where(known, _KNOWN, np.where(hot, _HOT, _RUN))), zero + _WITNESS]),
+            "key": np.concatenate([np.where(hot, mix(block ^ digit), digit), witness, n_uid.view(np.uint64)]),
+            "block": np.concatenate([block, zero, none]),
+            "digit": np.concatenate([np.where(hot, digit, np.uint64(0)), zero, n_high.view(np.uint64)]),
+            "uid": np.concatenate([uid, zero.view(np.int64), n_uid]),
+            "place": np.concatenate([_place(low, high, anchor, np.where(hot, _HOT, _RUN)), zero.view(np.int64) + _WITNESS, n_low << 16 | _KNOWN]),
         }
-        yield pd.DataFrame({c: v.astype(np.int64) if c in ("uid", "place") else v.view(np.int64) for c, v in columns.items()})
+        yield pd.DataFrame({c: v.view(np.int64) for c, v in columns.items()})
+
+
+def _joined_runs(uid: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows (uid, low, high), those that follow each other made one."""
+    order = np.lexsort((low, uid))
+    uid, low, high = (x[order].astype(np.int64) for x in (uid, low, high))
+    new = np.ones(len(uid), dtype=bool)
+    new[1:] = (uid[1:] != uid[:-1]) | (low[1:] > high[:-1] + 1)
+    first = np.flatnonzero(new)
+    return uid[first], low[first], high[np.concatenate([first[1:], [len(uid)]])[: len(first)] - 1]
 
 
 SORTED = "key long, block long, uid long, low int, high int, anchor int, kind int, bytes binary"
@@ -200,12 +212,8 @@ def _second_pass(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key, digit, uid, start = (np.concatenate(x) for x in zip(*single, strict=True))
             known = _earlier_in_group((key, digit.view(np.uint64)), (uid, start))
             first = {"key": key[~known].view(np.int64), "block": digit[~known], "uid": uid[~known], "low": start[~known], "high": start[~known], "kind": _HOT}
-            u, w = uid[known], start[known]
-            order = np.lexsort((w, u))
-            u, w = u[order], w[order]
-            new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] > w[:-1] + 1)]))[: len(u)]
-            last = np.concatenate([new[1:], [len(u)]])[: len(new)] - 1
-            again = {"key": u[new], "block": w[new], "uid": u[new], "low": w[new], "high": w[last], "kind": _KNOWN}
+            u, lo, hi = _joined_runs(uid[known], start[known], start[known])
+            again = {"key": u, "block": lo, "uid": u, "low": lo, "high": hi, "kind": _KNOWN}
             for rows in (first, again):
                 out = pd.DataFrame(rows).assign(anchor=0, bytes=None)[columns]
                 yield out.astype({"key": np.int64, "block": np.int64, "uid": np.int64, "low": np.int32, "high": np.int32, "anchor": np.int32, "kind": np.int32})
@@ -249,13 +257,20 @@ def _groups(keys: tuple[np.ndarray, ...]) -> np.ndarray:
 
 
 def _sort_runs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Marks (uid, low, high) of the rows' windows that have an earlier equal; rows come by digit."""
+    """Marks (uid, low, high) of windows that have an earlier equal; rows come by key, block and place."""
 
     def marks(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = pdf["low"].to_numpy().astype(np.int64)
-        row, window = radix_repeats(pdf["key"].to_numpy(), pdf["uid"].to_numpy(), low, pdf["anchor"].to_numpy().astype(np.int64), pdf["bytes"].tolist())
-        start = (low[row] + window).astype(np.int32)
-        return pd.DataFrame({"uid": pdf["uid"].to_numpy()[row], "low": start, "high": start})
+        kind, uid, low = (pdf[c].to_numpy() for c in ("kind", "uid", "low"))
+        out = [pdf[["uid", "low", "high"]][kind == _KNOWN]]
+        single = pdf[kind == _HOT]
+        out.append(single[["uid", "low", "high"]][single.duplicated(["key", "block"]).to_numpy()])
+        runs = kind == _RUN
+        if runs.any():
+            uid, low = uid[runs], low[runs].astype(np.int64)
+            row, window = radix_repeats(pdf["key"].to_numpy()[runs], uid, low, pdf["anchor"].to_numpy()[runs].astype(np.int64), pdf["bytes"][runs].tolist())
+            u, a, b = _joined_runs(uid[row], low[row] + window, low[row] + window)
+            out.append(pd.DataFrame({"uid": u, "low": a.astype(np.int32), "high": b.astype(np.int32)}))
+        return pd.concat(out, ignore_index=True)
 
     held: list[pd.DataFrame] = []
     for pdf in batches:
@@ -324,24 +339,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     are not read.
     """
     texts = _numbered(docs)
-    state = cut(_filed(texts.select("uid", "text").mapInPandas(_first_pass, ROWS)))
-    to_sort = state.where("not mark").groupBy("uid").agg(*(F.collect_list(c).alias(f"{c}s") for c in ("place", "digit", "hot")))
-    n_open = state.where("not mark").count()
-    second = _beside(texts.select("uid", "text"), to_sort, n_open * 40, "inner").select("uid", "text", "places", "digits", "hots")
-    second = cut(second.mapInPandas(_second_pass, SORTED))
-
-    window = ["uid", "low", "high"]
-    in_order = Window.partitionBy("key", "block").orderBy("uid", "low")
-    single = second.where(F.col("kind") == _HOT).withColumn("nth", F.row_number().over(in_order)).where("nth > 1")
-    runs = second.where(F.col("kind") == _RUN).repartition("key").sortWithinPartitions("key")
+    state = stored(_filed(texts.select("uid", "text").mapInPandas(_first_pass, ROWS)), "runs")
+    open_ = state.where("not mark")
+    to_sort = open_.groupBy("uid").agg(*(F.collect_list(c).alias(f"{c}s") for c in ("place", "digit", "hot")))
+    second = _beside(texts.select("uid", "text"), to_sort, open_.count() * 24, "inner").select("uid", "text", "places", "digits", "hots")
+    by_digit = second.mapInPandas(_second_pass, SORTED).repartition("key").sortWithinPartitions("key", "block", "uid", "low")
+
     low = F.shiftright("place", 16).cast("int")
-    marks = (
-        state.where("mark")
-        .select("uid", low.alias("low"), (low + F.shiftright("place", 9).bitwiseAND(127)).cast("int").alias("high"))
-        .union(second.where(F.col("kind") == _KNOWN).select(window))
-        .union(single.select(window))
-        .union(runs.mapInPandas(_sort_runs, "uid long, low int, high int"))
-    )
+    high = F.when(F.col("place").bitwiseAND(3) == _KNOWN, F.col("digit")).otherwise(low + F.shiftright("place", 9).bitwiseAND(127)).cast("int")
+    marks = state.where("mark").select("uid", low.alias("low"), high.alias("high")).union(by_digit.mapInPandas(_sort_runs, "uid long, low int, high int"))
     spans = cut(marks.groupBy("uid").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")).mapInPandas(_merged, "uid long, spans binary"))
     size = spans.agg(F.coalesce(F.sum(F.octet_length("spans") + 40), F.lit(0))).first()[0]
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -362,6 +368,6 @@ def _filed(rows: DataFrame) -> DataFrame:
     )
     mark = (kind == _KNOWN) | (F.col("nth") > 1)
     open_ = (F.col("least") != F.col("most")) | (kind == _HOT)
-    digit = F.when(kind == _HOT, F.col("digit")).otherwise(F.col("key"))
+    digit = F.when(kind == _RUN, F.col("key")).otherwise(F.col("digit"))
     hot = (F.col("hottest") >= _HOT) | (F.col("n") > MANY)
     return filed.where(mark | open_).select("uid", "place", digit.alias("digit"), mark.alias("mark"), hot.alias("hot"))
