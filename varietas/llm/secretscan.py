@@ -31,6 +31,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Nats per character, and in all, by which the random model must be ahead.
 MARGIN_PER_CHAR, MARGIN = 0.5, 12.0
+#: Weight, in characters, of the single-character frequencies in those of pairs.
+BACK_OFF = 20.0
 #: Most rows whose texts are read to train the models.
 TRAINING_ROWS = 2_000
 
@@ -50,17 +52,23 @@ def base_spans(text: str) -> list[Span]:
 
 
 class MarkovPair:
-    """Log-likelihood ratios of character pairs, random against ordinary, add-one smoothed."""
+    """Log-likelihood ratios of character pairs, random against ordinary.
+
+    Pairs are smoothed towards the frequencies of single characters, and these towards even ones, so
+    a character that ordinary strings lack speaks for randomness.
+    """
 
     def __init__(self, samples: Iterable[tuple[str, int]]):
         self.code = np.full(128, len(ALPHABET), dtype=np.int64)
         self.code[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
         k = len(ALPHABET) + 1
-        counts = np.ones((2, k, k))
+        pairs = np.zeros((2, k, k))
         for text, label in samples:
             c = self._codes(text)
-            np.add.at(counts[int(label)], (c[:-1], c[1:]), 1)
-        logs = np.log(counts / counts.sum(axis=2, keepdims=True))
+            np.add.at(pairs[int(label)], (c[:-1], c[1:]), 1)
+        single = pairs.sum(axis=1) + 1
+        single /= single.sum(axis=1, keepdims=True)
+        logs = np.log((pairs + BACK_OFF * single[:, None, :]) / (pairs.sum(axis=2, keepdims=True) + BACK_OFF))
         self.ratio = logs[1] - logs[0]
 
     def _codes(self, text: str) -> np.ndarray:
