@@ -42,3 +42,12 @@ def enough_observations(values: DataFrame, min_obs: int = 10, subjects: bool = F
     known = values.where("value is not null")
     size = known.groupBy("gene").agg(F.count("*").alias("n"), F.count_distinct("group").alias("g"), *([F.count_distinct("subject").alias("s")] if subjects else []))
     return known.join(size.where((F.col("n") >= min_obs) & (F.col("g") >= 2) & ((F.col("s") >= 2) if subjects else F.lit(True))).select("gene"), "gene", "left_semi")
+
+
+def choose_genes(counts: DataFrame, top: int, more: int, seed: int = 123) -> DataFrame:
+    """(gene) of the ``top`` genes of the largest totals and of ``more`` others, drawn by md5('seed:gene')."""
+    totals = counts.groupBy("gene").agg(F.sum("count").alias("total"))
+    largest = totals.orderBy(F.desc("total"), "gene").limit(top).select("gene")
+    others = totals.join(F.broadcast(largest), "gene", "left_anti")
+    drawn = others.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "gene").cast("binary")), "gene").limit(more)
+    return largest.union(drawn.select("gene"))

@@ -172,6 +172,14 @@ def filtered_experiment(spark, sf_dir):
     return x.assay("counts").agg(F.count("*").alias("cells"), F.count_distinct("feature").alias("features")).crossJoin(mapping.agg(F.count_distinct("gene").alias("genes")))
 
 
+_TOTALS = "tot AS (SELECT gene, sum(cnt) AS total FROM retail GROUP BY gene), big AS (SELECT gene FROM tot ORDER BY total DESC, gene LIMIT 5)"
+
+
+@query(with_(fixtures.SQL["retail"], _TOTALS) + "(SELECT gene FROM big) UNION ALL (SELECT gene FROM tot WHERE gene NOT IN (SELECT gene FROM big) ORDER BY md5('123:' || gene), gene LIMIT 7)")
+def chosen_genes(spark, sf_dir):
+    return filters.choose_genes(fixtures.retail(spark, sf_dir), 5, 7)
+
+
 _MAP = "m AS (SELECT p_partkey AS k, min(p_brand) AS gene FROM part WHERE p_size <= 25 GROUP BY 1)"
 
 
