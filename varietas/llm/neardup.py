@@ -11,8 +11,8 @@ generated, so a signature costs little more than one hash per shingle.
 Signatures are cut into bands of rows; documents that share a band are candidates, and the overlap of
 their multisets is then counted in full. In a bucket of candidates pairs are not all formed: pivots,
 the members with the most candidates, are compared with all others first, links make components, and
-of what is left only pairs in different components that the distances to the pivots allow to be near
-are compared (1 - likeness is a metric).
+of what is left only pairs in different components are compared that the distances to the pivots
+(1 - likeness is a metric), the shingles that each has alone and their profiles allow to be near.
 """
 
 from __future__ import annotations
@@ -32,8 +32,12 @@ from .wordhash import Words, mix, words_of
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands and rows: two documents at the threshold share no band with a probability of 2e-5.
 BANDS, ROWS = 28, 5
-#: Rounds of pivots, and most ids that are broadcast to find their texts (8 bytes each).
-PIVOTS, MOST_BROADCAST = 2, 1_000_000
+#: Pivots of a bucket, and most ids (8 bytes each) that are broadcast to find or keep their texts.
+PIVOTS, MOST_BROADCAST = 1, 1_000_000
+#: Hash classes by which the intersection of two multisets is bounded before they are compared.
+PROFILE = 256
+#: What bounds give way for rounding, so that pairs at the threshold itself are compared.
+SLACK = 1e-6
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 _LEVEL = np.uint64(0xA0761D6478BD642F)
@@ -203,7 +207,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD)
         labelled = cut(_labelled(members, tested, threshold).join(pivots, "bucket"))
         taken = F.col("doc") != F.col(f"pivot{round_}")
         labelled = labelled.where(taken) if round_ < PIVOTS - 1 else labelled
-    rest = _allowed_pairs(labelled, tested, threshold)
+    rest = _allowed_pairs(labelled, tested, sets, threshold)
     more = _compare(rest.join(tested, ["a", "b"], "left_anti"), sets)
     return tested.union(more).where(F.col("likeness") >= threshold).select("a", "b")
 
@@ -214,19 +218,50 @@ def _labelled(members: DataFrame, tested: DataFrame, threshold: float) -> DataFr
     return members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
-def _allowed_pairs(labelled: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a bucket in different components that no pivot's distances rule out."""
+def _profiles(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, n, own, profile) for each of ``docs`` (doc): its occurrences, how many of them no other one
+    has, and how many fall in each of PROFILE hash classes."""
+
+    def spread(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            arrays = [np.frombuffer(x, np.int64) for x in pdf["shingles"]]
+            yield pd.DataFrame({"shingle": np.concatenate([*arrays, np.array([], np.int64)]), "doc": np.repeat(pdf["doc"].to_numpy(), [len(x) for x in arrays])})
+
+    def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            arrays = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+            profiles = [np.bincount((a % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE).astype(np.int32) for a in arrays]
+            yield pd.DataFrame({"doc": pdf["doc"], "n": [len(a) for a in arrays], "profile": profiles})
+
+    chosen = sets.join(docs, "doc", "left_semi")
+    single = chosen.mapInPandas(spread, "shingle long, doc long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).where("n = 1")
+    own = single.groupBy("doc").agg(F.count("*").alias("own"))
+    counted = chosen.mapInPandas(count, "doc long, n long, profile array<int>")
+    return counted.join(own, "doc", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+
+
+def _allowed_pairs(labelled: DataFrame, tested: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a bucket in different components that may still be near.
+
+    Ruled out are pairs whose distances to a pivot differ too much; pairs that have too many shingles
+    of their own, as what no other open document has is in no intersection, but in the union; and
+    pairs whose profiles have too little in common, which bounds the intersection from above.
+    """
+    least = threshold - SLACK
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rows = labelled.join(open_, "bucket")
+    rows = cut(labelled.join(open_, "bucket"))
     both = tested.select("a", "b", "likeness").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness"))
     for k in range(PIVOTS):
         far = both.select(F.col("a").alias("doc"), F.col("b").alias(f"pivot{k}"), (1 - F.col("likeness")).alias(f"far{k}"))
         rows = rows.join(far, ["doc", f"pivot{k}"], "left")
-    rows = cut(rows.select("bucket", "doc", "component", *(f"far{k}" for k in range(PIVOTS))))
+    rows = rows.join(_profiles(sets, rows.select("doc").distinct()), "doc").withColumn("shared", F.col("n") - F.col("own"))
+    rows = cut(rows.where((F.col("shared") >= least * F.col("n"))).select("bucket", "doc", "component", "n", "own", "shared", "profile", *(f"far{k}" for k in range(PIVOTS))))
     x, y = rows.alias("x"), rows.alias("y")
-    near = F.lit(True)
+    near = F.least("x.shared", "y.shared") >= least * (F.greatest("x.shared", "y.shared") + F.col("x.own") + F.col("y.own"))
     for k in range(PIVOTS):
-        near = near & F.coalesce(F.abs(F.col(f"x.far{k}") - F.col(f"y.far{k}")) <= 1 - threshold + 1e-9, F.lit(True))
+        near = near & F.coalesce(F.abs(F.col(f"x.far{k}") - F.col(f"y.far{k}")) <= 1 - least, F.lit(True))
+    common = F.aggregate(F.zip_with("x.profile", "y.profile", lambda a, b: F.least(a, b)), F.lit(0), lambda t, c: t + c)
+    near = near & (common * (1 + least) >= least * (F.col("x.n") + F.col("y.n")))
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")) & near)
     return pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
