@@ -304,8 +304,9 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """
     classes = cut(near_duplicate_classes(docs, threshold))
     kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    if classes.where("doc_id = class_id").count() > kept.count():
+    n = kept.count()
+    out = docs.join(F.broadcast(kept) if n <= MOST_BROADCAST else kept, "doc_id", "left_semi")
+    if classes.where("doc_id = class_id").count() > n:
         out = out.dropDuplicates(["doc_id"])
     if classes.where("class_id is null").isEmpty():
         return out
