@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,6 +37,9 @@ BACK_OFF = 20.0
 #: Most rows whose texts are read to train the models.
 TRAINING_ROWS = 2_000
 
+#: The manners in which words make an identifier.
+JOINED = ("_".join, "-".join, "/".join, lambda w: "".join(x.capitalize() for x in w), lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: f"{'_'.join(w)}_{len(w[0])}")
+
 Span = tuple[int, int, int]
 
 
@@ -94,21 +98,22 @@ def random_strings(n: int = 600, seed: int = 7) -> list[str]:
 def labelled_samples(docs: DataFrame, rows: int = TRAINING_ROWS) -> list[tuple[str, int]]:
     """(string, label) for training: 1 for random strings and values that the patterns find, 0 for words.
 
-    Words come from the texts of at most ``rows`` rows (those whose ids hash lowest), as they stand
-    and joined in the manners of identifiers.
+    Words come from the whole texts of at most ``rows`` rows (those whose ids hash lowest), each distinct
+    word once, as it stands and, by threes, joined in the manners of identifiers.
     """
-    texts = docs.select("doc_id", text_or_empty().alias("text")).orderBy(F.xxhash64("doc_id"), "text").limit(rows)
-    found = texts.select(F.substring("text", 1, 1 << 14).alias("text")).toLocalIterator()
-    secret, plain = random_strings(), []
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi").select("text").toLocalIterator()
+    secret, words = random_strings(), set()
     for (text,) in found:
-        spans = base_spans(text)
+        spans, at = base_spans(text), 0
         secret += [text[a:b] for a, k, b in spans if k > 0]
-        words = re.findall(r"[A-Za-z]+", "".join(text[i:j] for i, j in zip([0, *(b for _, _, b in spans)], [*(a for a, _, _ in spans), len(text)], strict=True)))
-        plain += words[:400]
-        threes = [words[i : i + 3] for i in range(0, min(len(words), 90) - 2, 3)]
-        plain += [f(w) for i, w in enumerate(threes) for f in (("_".join, "-".join, lambda w: "".join(x.capitalize() for x in w), "/".join)[i % 4],)]
-        plain += [f"{w[0]}_{i}" for i, w in enumerate(threes)]
-    return [(s, 1) for s in secret] + [(s, 0) for s in plain]
+        for a, _, b in [*spans, (len(text), 0, len(text))]:
+            words.update(re.findall(r"[A-Za-z]+", text[at:a]))
+            at = max(at, b)
+    plain = sorted(words)
+    mixed = sorted(plain, key=lambda w: zlib.crc32(w.encode()))
+    joined = [JOINED[i % len(JOINED)](mixed[i : i + 3]) for i in range(0, len(mixed) - 2, 3)]
+    return [(s, 1) for s in secret] + [(s, 0) for s in plain + joined]
 
 
 def added_spans(text: str, base: list[Span], models: MarkovPair) -> list[Span]:
