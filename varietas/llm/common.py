@@ -10,8 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Most rows in a batch for a Python worker. Texts are long: ten thousand of them, Spark's default, are
+#: held several times over while they pass through.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's Python workers take batches of at most BATCH_ROWS rows, which bounds their memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table ``name`` of ``sf_dir``, read by Spark so that any file system works."""
+    """Table ``name`` of ``sf_dir``, read by Spark so that any file system works, for Python in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
