@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varietas.llm.common import stored, table
+from varietas.llm.common import small_batches, stored, table
 from varietas.llm.decontaminate import keep_uncontaminated
 from varietas.llm.neardup import keep_one_of_each
 from varietas.llm.packing import pack
@@ -22,6 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, that of the smallest id."""
+    small_batches(spark)
     return keep_one_of_each(docs, threshold=0.8)
 
 
@@ -32,11 +33,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are masked and n_chars follows."""
+    small_batches(spark)
     return redact_documents(docs, labelled_samples(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All tokens in sequences of at most 1024: one row per piece of a document."""
+    small_batches(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
