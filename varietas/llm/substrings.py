@@ -36,7 +36,7 @@ DEPTH, ANCHOR, DIGIT = 100, 16, 8
 #: Blocks under one digit, within a task and in all, from which on its windows are filed singly.
 MANY_IN_TASK, MANY = 64, 256
 #: Text bytes that are hashed at once, and within which a task settles repeats.
-CHUNK, SETTLE = 1 << 20, 32 << 20
+CHUNK, SETTLE = 1 << 20, 16 << 20
 #: Bytes of a table that is broadcast at most; above, it is joined by a shuffle.
 MOST_BROADCAST = 64 << 20
 
@@ -195,11 +195,12 @@ def _second_pass(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for group in _settled(batches):
         plain, single = [], []
         for pdf in group:
-            runs = dict(zip(pdf["uid"].tolist(), zip(pdf["places"], pdf["digits"], pdf["hots"], strict=True), strict=True))
+            runs = dict(zip(pdf["uid"].tolist(), pdf["places"], strict=True))
             for uids, chunk in _chunks(pdf["uid"].tolist(), pdf["text"].tolist()):
                 for uid, begin in zip(uids.tolist(), chunk.first.tolist(), strict=False):
-                    place, digit, hot = (np.asarray(x) for x in runs[uid])
-                    hot, low, more, anchor = hot.astype(bool), place >> 16, place >> 9 & 127, place >> 2 & 127
+                    place = np.asarray(runs[uid])
+                    hot, low, more, anchor = place & 3 == _HOT, place >> 16, place >> 9 & 127, place >> 2 & 127
+                    digit = chunk.hash(begin + low + anchor, begin + low + anchor + ANCHOR).view(np.int64)
                     for k, a, n, p in zip(digit[~hot].tolist(), low[~hot].tolist(), more[~hot].tolist(), anchor[~hot].tolist(), strict=True):
                         plain.append((k, k, uid, a, a + n, p, _RUN, chunk.data[begin + a : begin + a + n + DEPTH].tobytes()))
                     count = more[hot] + 1
@@ -341,12 +342,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = _numbered(docs)
     state = stored(_filed(texts.select("uid", "text").mapInPandas(_first_pass, ROWS)), "runs")
     open_ = state.where("not mark")
-    to_sort = open_.groupBy("uid").agg(*(F.collect_list(c).alias(f"{c}s") for c in ("place", "digit", "hot")))
-    second = _beside(texts.select("uid", "text"), to_sort, open_.count() * 24, "inner").select("uid", "text", "places", "digits", "hots")
+    to_sort = open_.groupBy("uid").agg(F.collect_list("place").alias("places"))
+    second = _beside(texts.select("uid", "text"), to_sort, open_.count() * 12, "inner").select("uid", "text", "places")
     by_digit = second.mapInPandas(_second_pass, SORTED).repartition("key").sortWithinPartitions("key", "block", "uid", "low")
 
     low = F.shiftright("place", 16).cast("int")
-    high = F.when(F.col("place").bitwiseAND(3) == _KNOWN, F.col("digit")).otherwise(low + F.shiftright("place", 9).bitwiseAND(127)).cast("int")
+    high = F.coalesce("high", low + F.shiftright("place", 9).bitwiseAND(127)).cast("int")
     marks = state.where("mark").select("uid", low.alias("low"), high.alias("high")).union(by_digit.mapInPandas(_sort_runs, "uid long, low int, high int"))
     spans = cut(marks.groupBy("uid").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")).mapInPandas(_merged, "uid long, spans binary"))
     size = spans.agg(F.coalesce(F.sum(F.octet_length("spans") + 40), F.lit(0))).first()[0]
@@ -356,7 +357,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def _filed(rows: DataFrame) -> DataFrame:
-    """(uid, place, digit, mark, hot) of runs that repeat a block (marks) and of those to be sorted."""
+    """(uid, place, high, mark) of runs that repeat a block (marks) and of those to be sorted.
+
+    The kind in ``place`` tells whether a run is sorted with others of its digit or window by window;
+    ``high`` is the last window of joined runs.
+    """
     by_block = Window.partitionBy("key", "block", "digit").orderBy("uid", "place")
     by_key = Window.partitionBy("key")
     kind = F.col("place").bitwiseAND(3)
@@ -368,6 +373,6 @@ def _filed(rows: DataFrame) -> DataFrame:
     )
     mark = (kind == _KNOWN) | (F.col("nth") > 1)
     open_ = (F.col("least") != F.col("most")) | (kind == _HOT)
-    digit = F.when(kind == _RUN, F.col("key")).otherwise(F.col("digit"))
     hot = (F.col("hottest") >= _HOT) | (F.col("n") > MANY)
-    return filed.where(mark | open_).select("uid", "place", digit.alias("digit"), mark.alias("mark"), hot.alias("hot"))
+    place = F.when(mark, F.col("place")).otherwise(F.col("place") - kind + F.when(hot, _HOT).otherwise(_RUN))
+    return filed.where(mark | open_).select("uid", place.alias("place"), F.when(kind == _KNOWN, F.col("digit")).alias("high"), mark.alias("mark"))
