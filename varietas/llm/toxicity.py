@@ -27,7 +27,9 @@ WINDOW, STEP = 32, 16
 TRAINING_ROWS = 1_500
 #: Sizes: known words and 4-grams, vector lengths, states per direction.
 WORDS_KEPT, GRAMS_KEPT, WORD_DIM, GRAM_DIM, STATES = 6_000, 6_000, 6, 6, 10
-ROUNDS, BATCH, RATE = 6, 256, 0.01
+ROUNDS, RATE = 6, 0.01
+#: Windows in a batch at least and at most; in between, a round has so many batches.
+BATCH_LEAST, BATCH_MOST, BATCHES = 32, 256, 40
 
 
 @dataclass
@@ -256,8 +258,9 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
         clean = rng.choice(np.flatnonzero(y[doc] == 0), min(int((y[doc] == 0).sum()), 2 * len(worst)), replace=False)
         chosen = np.concatenate([worst, worst[y[doc[worst]] == 1], clean])
         rng.shuffle(chosen)
-        for i in range(0, len(chosen), BATCH):
-            w = chosen[i : i + BATCH]
+        batch = min(max(len(chosen) // BATCHES, BATCH_LEAST), BATCH_MOST)
+        for i in range(0, len(chosen), batch):
+            w = chosen[i : i + batch]
             used, index = np.unique(at[begin[w, None] + np.arange(WINDOW)], return_inverse=True)
             index = index.reshape(-1, WINDOW)
             pad = used == len(x.word)
