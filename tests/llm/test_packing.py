@@ -6,7 +6,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from varietas.llm.packing import cut_lengths, pack, pack_lengths, sum_of_squares
+from varietas.llm.packing import cut_lengths, load_encoder, pack, pack_lengths, sum_of_squares
+from varietas.llm.packing import encode as encode_text
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -61,6 +62,11 @@ def test_special_strings_are_plain_text(spark, encode):
     assert pack(df, FILE).first()["length"] == len(encode("a <|endoftext|> b")) > 4
 
 
+def test_long_white_space(encode):
+    for text in (" " * 1_500_000, "a  b" + " " * 1_200_000 + "b c", "x\n" + "\n\t \u3000" * 300_000 + "\n" + " " * 1_200_000 + "<|endoftext|>"):
+        assert encode_text(load_encoder(FILE), text).tolist() == encode(text)[:-1]
+
+
 def test_rule_against_its_definition():
     """Every placement has the least sum of squares among the open gaps and a new sequence."""
     rng = np.random.default_rng(2)

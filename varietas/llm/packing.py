@@ -11,6 +11,7 @@ leaves open is far below one sequence in a hundred.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -25,6 +26,9 @@ from .common import cut, parts_for, text_or_empty
 #: Pieces that one task packs; below the rows of a group the loss of packing in groups would show.
 PIECES_PER_GROUP = 50_000
 
+#: White space as the vocabulary's pattern has it, in runs that its search for a run's end may not get through.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
 #: Rounds in which a group takes unfilled sequences apart and packs their pieces again.
 REPACK_ROUNDS = 6
 
@@ -48,6 +52,24 @@ def load_encoder(tokenizer_json: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(encoder, text: str) -> np.ndarray:
+    """Ids of ``text``, whatever its length.
+
+    In a run of about a million white space characters the pattern's search gives up. All of such a run
+    but its last character, or all at the end of the text, is one piece for the merges, and nothing before
+    it depends on it, so the text can be divided there.
+    """
+    try:
+        return encoder.encode_to_numpy(text, disallowed_special=())
+    except ValueError:
+        ids, at = [], 0
+        for m in LONG_SPACE.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            ids += [encoder.encode_to_numpy(text[at : m.start()], disallowed_special=()), encoder._encode_single_piece(text[m.start() : end])]
+            at = end
+        return np.concatenate([*ids, encoder.encode_to_numpy(text[at:], disallowed_special=())]).astype(np.uint32)
+
+
 def cut_lengths(n: int, capacity: int) -> list[int]:
     """Lengths of the pieces of ``n`` tokens: full ones, and the remainder, if any, in front."""
     return ([n % capacity] if n % capacity else []) + [capacity] * (n // capacity)
@@ -62,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end_id: i
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = encoder.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes() + end
+                ids = encode(encoder, text).astype("<u4").tobytes() + end
                 start = 0
                 for i, n in enumerate(cut_lengths(len(ids) // 4, capacity)):
                     rows.append((doc, i, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
