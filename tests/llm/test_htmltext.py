@@ -33,6 +33,31 @@ def test_content_without_semantic_elements():
     assert lines == [*(f"Paragraph {i}, of the story, goes on for a while. It does." for i in range(6)), "End."]
 
 
+STORY = "<p>The story begins here, and it goes on for a while. It does.</p><p>It ends, at last, in this line.</p>"
+
+
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div class='content with-comments'", "div id='page' class='no-banner'", "section class='post share-enabled'", "div class='sidebar-right'", "div id='comments-wrapper'"])
+@pytest.mark.parametrize("inner", [f"<article>{STORY}</article>", f"<h1>Title</h1><div>{STORY}</div>"])
+def test_marks_on_what_holds_the_article_are_none(wrapper, inner):
+    page = f"<html><body><div class='menu'><a>Home</a></div><{wrapper}>{inner}<div class='sidebar'><p>Else, in short.</p></div></{wrapper.split()[0]}></body></html>"
+    text = main_text(page)
+    assert "begins here" in text and "at last" in text and "Home" not in text and "Else" not in text
+
+
+@pytest.mark.parametrize("title", ["<div class='post-header'><h1>Title</h1></div>", "<h1 class='entry-header'>Title</h1>"])
+def test_titles_stay(title):
+    assert main_text(f"<body><div>{title}{STORY}</div><div class='site-header'><h1>Site</h1></div></body>").startswith("Title\nThe story")
+
+
+def test_long_comments_and_other_articles_stay_out():
+    said = "<article class='comment-body'><p>What a nice story, I liked it, thank you very much.</p></article>" * 4
+    teasers = "<div class='related'><article><p>Another story, of some length, to read.</p></article></div>"
+    text = main_text(f"<body><div><h1>Title</h1><div>{STORY}</div></div><div id='comments'>{said}</div></body>")
+    assert "begins here" in text and "nice" not in text
+    text = main_text(f"<body>{teasers}<div class='sidebar-left'><article>{STORY}</article>{teasers}<div id='comments'>{said}</div></div></body>")
+    assert "begins here" in text and "nice" not in text and "Another" not in text
+
+
 @pytest.mark.parametrize(
     "page, want",
     [("", ""), ("plain  text\n here", "plain text here"), ("<p>a<p>b", "a\nb"), ("<article><p>a<script>if(a<b){}</script>b</p><!-- x", "ab"), ("<script>x", ""), ("<p title='a>b'>c</p>", "c"), ("<p>a &lt;b&gt; &#233;&nbsp;c</p>", "a <b> é c"), ("<<<>>>", "<<<>>>"), ("<p></p>", "")],

@@ -5,7 +5,8 @@ summed per path and divided by the path's number of text nodes, smoothed along t
 one score, and paths whose score exceeds a share of the page's spread are content. The smallest
 element that holds most of the content's text closes the selection: whatever else stands in it, such
 as a heading or a short paragraph, is content too. What a page marks as menu, header, footer,
-sidebar, notice, advert, form, script, style or reader comment is left out before all this.
+sidebar, notice, advert, form, script, style or reader comment is left out before all this; words in
+class or id are no mark on what holds the article itself.
 """
 
 from __future__ import annotations
@@ -38,11 +39,21 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments respond reply replies discussion disqus form search widget toolbar pagination pager tags toc skip".split()
 )
+#: Of these, the words for readers' comments, which may be longer than the article, and for headings' places.
+REMARKS = frozenset("comment comments respond reply replies discussion disqus".split())
+HEADER_MARKS = frozenset(("header", "masthead", "banner"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Words before a mark, after it, and before a header, with which a name tells of a layout or of the article.
+LAYOUT_BEFORE = frozenset("has with no not non without".split())
+LAYOUT_AFTER = frozenset("enabled disabled open closed free layout".split())
+ARTICLE_WORDS = frozenset("article content entry post story".split())
 CONTAINERS = frozenset(("article", "main"))
 PUNCTUATION = re.compile(r"[,.;:!?…。、，！？；：]")
 
 #: Share of the scores' standard deviation that a path must exceed, and of the content's text that the closing element holds.
 SPREAD, HELD = 0.5, 0.8
+#: Share of the page's text, comments aside, above which a marked element is the page itself, and the same for one of comments.
+MOST, NEARLY_ALL = 0.5, 0.9
 #: Weights of smoothing along the page.
 KERNEL = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
 
@@ -66,15 +77,61 @@ def _left_out(tag: str, attributes: str, inside: list[tuple]) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", *CONTAINERS):
-            if any(w in MARKS for w in re.split(r"[^a-z]+", value)):
-                return True
     return False
 
 
+def _marks(tag: str, attributes: str, inside: list[tuple]) -> set[str]:
+    """The words in class and id that mark an element as something else than the article."""
+    found: set[str] = set()
+    if tag in ("html", "body", *CONTAINERS):
+        return found
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() not in ("class", "id"):
+            continue
+        for token in next((v for v in values if v), "").lower().split():
+            words = [w for w in re.split(r"[^a-z]+", token) if w]
+            for i, word in enumerate(words):
+                if word not in MARKS or LAYOUT_BEFORE.intersection(words[:i]) or LAYOUT_AFTER.intersection(words[i + 1 :]):
+                    continue
+                if word in HEADER_MARKS and (tag in HEADINGS or ARTICLE_WORDS.intersection(words[:i]) or any(t in CONTAINERS for t, *_ in inside)):
+                    continue
+                found.add(word)
+    return found
+
+
+def _unmarked(nodes: list[Node], marked: dict[int, bool]) -> list[Node]:
+    """``nodes`` without those in ``marked`` elements (number: of comments), save elements that hold the article.
+
+    An element holds it if it has the only article or main elements, or most of the text that isn't in
+    comments; one of comments only if it has the page's h1 or main element, or nearly all text.
+    """
+    inside: dict[int, int] = {}
+    holds: dict[int, set[str]] = {}
+    full = []
+    for n in nodes:
+        if n.text.isspace():
+            continue
+        tags, own = n.path.split("/"), [(k, e) for k, e in enumerate(n.chain) if e in marked]
+        full.append((n, len(n.text.strip()), [e for _, e in own], CONTAINERS.isdisjoint(tags)))
+        for k, e in own:
+            inside[e] = inside.get(e, 0) + full[-1][1]
+            holds.setdefault(e, set()).update(tags[k + 1 :])
+    total = sum(length for _, length, _, _ in full)
+    out = {e for e in marked if e in inside and not (marked[e] and (not holds[e].isdisjoint(("h1", "main")) or inside[e] > NEARLY_ALL * total))}
+    remarks = {e for e in out if marked[e]}
+    spoken = [(length, own, bare) for _, length, own, bare in full if remarks.isdisjoint(own)]
+    total = sum(length for length, _, _ in spoken)
+    for e in sorted(out - remarks, key=lambda e: (-inside[e], e)):
+        first = not holds[e].isdisjoint(CONTAINERS) and all(bare or not out.isdisjoint(own) for _, own, bare in spoken)
+        if first or sum(length for length, own, _ in spoken if e in own) > MOST * total:
+            out.discard(e)
+    return [n for n in nodes if out.isdisjoint(n.chain)]
+
+
 def text_nodes(page: str) -> list[Node]:
     """Text nodes of what a page doesn't mark as something else, in page order, references decoded."""
     nodes: list[Node] = []
+    marked: dict[int, bool] = {}
     stack: list[tuple[str, int, bool]] = []
     number = block = at = 0
     skip_to = None
@@ -110,10 +167,12 @@ def text_nodes(page: str) -> list[Node]:
             continue
         number += 1
         out = bool(stack and stack[-1][2]) or _left_out(tag, m[3], stack)
+        if not out and (marks := _marks(tag, m[3], stack)):
+            marked[number] = marks <= REMARKS
         stack.append((tag, number, out))
     if at < len(page) and not (stack and stack[-1][2]):
         _add(nodes, stack, block, page[at:])
-    return nodes
+    return _unmarked(nodes, marked) if marked else nodes
 
 
 def _end_paragraph(stack: list[tuple]) -> None:
