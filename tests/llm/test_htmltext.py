@@ -44,6 +44,17 @@ def test_marks_on_what_holds_the_article_are_none(wrapper, inner):
     assert "begins here" in text and "at last" in text and "Home" not in text and "Else" not in text
 
 
+def test_no_block_of_text_closes_the_selection():
+    long, short = "A long sentence, of the story. " * 29, "A short one, which is the end. " * 3
+    lines = [long.strip(), short.strip()]
+    assert main_text(f"<div><h1>Title</h1><p>{long}</p><p>{short}</p></div>").split("\n") == ["Title", *lines]
+    assert main_text(f"<h1>Title</h1><p>{long}</p><p>{short}</p>").split("\n") == ["Title", *lines]
+    menu = "<ul><li><a>Home</a></li><li><a>News</a></li></ul>"
+    assert main_text(f"<body>{menu}<div><h1>Title</h1><p>{long}</p></div><div><h2>Part</h2><p>{short}</p></div></body>").split("\n") == ["Title", lines[0], "Part", lines[1]]
+    assert main_text(f"<body>{menu}<div><h1>Title</h1><div>{long}</div><div>{short}</div></div></body>").split("\n") == ["Title", *lines]
+    assert main_text(f"<body>{menu}<table><tr><td>Links</td><td><h1>Title</h1><p>{long}</p><p>{short}</p></td></tr></table></body>").split("\n") == ["Title", *lines]
+
+
 @pytest.mark.parametrize("title", ["<div class='post-header'><h1>Title</h1></div>", "<h1 class='entry-header'>Title</h1>"])
 def test_titles_stay(title):
     assert main_text(f"<body><div>{title}{STORY}</div><div class='site-header'><h1>Site</h1></div></body>").startswith("Title\nThe story")
@@ -54,6 +65,7 @@ def test_long_comments_and_other_articles_stay_out():
     teasers = "<div class='related'><article><p>Another story, of some length, to read.</p></article></div>"
     text = main_text(f"<body><div><h1>Title</h1><div>{STORY}</div></div><div id='comments'>{said}</div></body>")
     assert "begins here" in text and "nice" not in text
+    assert main_text(f"<body><div class='ad'>{STORY}</div><article><h1>Title</h1><p>Short.</p></article></body>") == "Title\nShort."
     text = main_text(f"<body>{teasers}<div class='sidebar-left'><article>{STORY}</article>{teasers}<div id='comments'>{said}</div></div></body>")
     assert "begins here" in text and "nice" not in text and "Another" not in text
 

@@ -3,8 +3,9 @@
 Every piece of text on a page hangs on a path of tags from the root. Text length and punctuation are
 summed per path and divided by the path's number of text nodes, smoothed along the page, fused into
 one score, and paths whose score exceeds a share of the page's spread are content. The smallest
-element that holds most of the content's text closes the selection: whatever else stands in it, such
-as a heading or a short paragraph, is content too. What a page marks as menu, header, footer,
+element above paragraphs that holds most of the content's text closes the selection: whatever else
+stands in it, such as a heading or a short paragraph, is content too, and so are the other texts on
+content paths and the elements beside it that consist of these. What a page marks as menu, header, footer,
 sidebar, notice, advert, form, script, style or reader comment is left out before all this; words in
 class or id are no mark on what holds the article itself.
 """
@@ -50,9 +51,12 @@ ARTICLE_WORDS = frozenset("article content entry post story".split())
 CONTAINERS = frozenset(("article", "main"))
 PUNCTUATION = re.compile(r"[,.;:!?…。、，！？；：]")
 
+#: Blocks of text, in which no selection ends.
+LEAVES = frozenset("p li dt dd pre blockquote h1 h2 h3 h4 h5 h6 caption figcaption address legend summary".split())
 #: Share of the scores' standard deviation that a path must exceed, and of the content's text that the closing element holds.
 SPREAD, HELD = 0.5, 0.8
-#: Share of the page's text, comments aside, above which a marked element is the page itself, and the same for one of comments.
+#: Share of the page's text, comments aside, above which a marked element is the page itself, and the same for one of comments or
+#: one whose whole name is a mark.
 MOST, NEARLY_ALL = 0.5, 0.9
 #: Weights of smoothing along the page.
 KERNEL = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
@@ -80,9 +84,9 @@ def _left_out(tag: str, attributes: str, inside: list[tuple]) -> bool:
     return False
 
 
-def _marks(tag: str, attributes: str, inside: list[tuple]) -> set[str]:
-    """The words in class and id that mark an element as something else than the article."""
-    found: set[str] = set()
+def _marks(tag: str, attributes: str, inside: list[tuple]) -> dict[str, bool]:
+    """The words in class and id that mark an element as something else than the article, and if they are a whole name."""
+    found: dict[str, bool] = {}
     if tag in ("html", "body", *CONTAINERS):
         return found
     for name, *values in ATTRIBUTE.findall(attributes):
@@ -95,15 +99,16 @@ def _marks(tag: str, attributes: str, inside: list[tuple]) -> set[str]:
                     continue
                 if word in HEADER_MARKS and (tag in HEADINGS or ARTICLE_WORDS.intersection(words[:i]) or any(t in CONTAINERS for t, *_ in inside)):
                     continue
-                found.add(word)
+                found[word] = found.get(word, False) or token == word
     return found
 
 
-def _unmarked(nodes: list[Node], marked: dict[int, bool]) -> list[Node]:
-    """``nodes`` without those in ``marked`` elements (number: of comments), save elements that hold the article.
+def _unmarked(nodes: list[Node], marked: dict[int, tuple[bool, bool]]) -> list[Node]:
+    """``nodes`` without those in ``marked`` elements (number: of comments, by a whole name), save elements that hold the article.
 
-    An element holds it if it has the only article or main elements, or most of the text that isn't in
-    comments; one of comments only if it has the page's h1 or main element, or nearly all text.
+    An element holds it if it has the only article or main elements, or, on a page without such elsewhere,
+    most of the text that isn't in comments; one of comments only if it has the page's h1 or main element, or
+    nearly all text.
     """
     inside: dict[int, int] = {}
     holds: dict[int, set[str]] = {}
@@ -117,21 +122,33 @@ def _unmarked(nodes: list[Node], marked: dict[int, bool]) -> list[Node]:
             inside[e] = inside.get(e, 0) + full[-1][1]
             holds.setdefault(e, set()).update(tags[k + 1 :])
     total = sum(length for _, length, _, _ in full)
-    out = {e for e in marked if e in inside and not (marked[e] and (not holds[e].isdisjoint(("h1", "main")) or inside[e] > NEARLY_ALL * total))}
-    remarks = {e for e in out if marked[e]}
-    spoken = [(length, own, bare) for _, length, own, bare in full if remarks.isdisjoint(own)]
-    total = sum(length for length, _, _ in spoken)
-    for e in sorted(out - remarks, key=lambda e: (-inside[e], e)):
-        first = not holds[e].isdisjoint(CONTAINERS) and all(bare or not out.isdisjoint(own) for _, own, bare in spoken)
-        if first or sum(length for length, own, _ in spoken if e in own) > MOST * total:
+    free = any(not (bare or own) for _, _, own, bare in full)
+    out = set(inside)
+    for e in inside:
+        if marked[e][0] and (not holds[e].isdisjoint(("h1", "main")) or not free and inside[e] > NEARLY_ALL * total):
             out.discard(e)
+    remarks = {e for e in out if marked[e][0]}
+    spoken: dict[int, int] = {}
+    total = 0
+    for _, length, own, _ in full:
+        if remarks.isdisjoint(own):
+            total += length
+            for e in own:
+                spoken[e] = spoken.get(e, 0) + length
+    articles = [own for _, _, own, bare in full if not bare and remarks.isdisjoint(own)]
+    own_share = {e: NEARLY_ALL if marked[e][1] else MOST for e in out - remarks}
+    held = [e for e in own_share if not holds[e].isdisjoint(CONTAINERS) or spoken.get(e, 0) > own_share[e] * total]
+    for e in sorted(held, key=lambda e: (-inside[e], e)):
+        if any(out.isdisjoint(own) for own in articles):
+            break
+        out.discard(e)
     return [n for n in nodes if out.isdisjoint(n.chain)]
 
 
 def text_nodes(page: str) -> list[Node]:
     """Text nodes of what a page doesn't mark as something else, in page order, references decoded."""
     nodes: list[Node] = []
-    marked: dict[int, bool] = {}
+    marked: dict[int, tuple[bool, bool]] = {}
     stack: list[tuple[str, int, bool]] = []
     number = block = at = 0
     skip_to = None
@@ -168,7 +185,7 @@ def text_nodes(page: str) -> list[Node]:
         number += 1
         out = bool(stack and stack[-1][2]) or _left_out(tag, m[3], stack)
         if not out and (marks := _marks(tag, m[3], stack)):
-            marked[number] = marks <= REMARKS
+            marked[number] = marks.keys() <= REMARKS, any(marks.values())
         stack.append((tag, number, out))
     if at < len(page) and not (stack and stack[-1][2]):
         _add(nodes, stack, block, page[at:])
@@ -199,7 +216,7 @@ def _add(nodes: list[Node], stack: list[tuple], block: int, raw: str) -> None:
 
 
 def content_nodes(nodes: list[Node]) -> list[Node]:
-    """Nodes on content paths, and all others in the smallest element that holds most of their text."""
+    """Nodes on content paths, and all others in the smallest element, above blocks of text, that holds most of theirs."""
     full = [n for n in nodes if not n.text.isspace()]
     if not full:
         return []
@@ -222,16 +239,44 @@ def content_nodes(nodes: list[Node]) -> list[Node]:
     holders = [e for e, n in within.items() if n >= HELD * total]
     if not holders:
         return nodes
-    deepest = max(holders)
-    around = _container(full, chosen, deepest)
-    return [n for n in nodes if around in n.chain]
+    around, inside = _closing(full, chosen, max(holders))
+    if around is None:
+        return nodes
+    if inside:
+        return [n for n in nodes if around in n.chain]
+    kept = {around, *_beside(full, chosen, length, around)}
+    paths_kept = {full[i].path for i in chosen}
+    return [n for n in nodes if not kept.isdisjoint(n.chain) or n.path in paths_kept]
+
+
+def _closing(full: list[Node], chosen: list[int], deepest: int) -> tuple[int | None, bool]:
+    """The innermost article or main element around ``deepest``, and True, or else the innermost one that is no block of text, if any."""
+    holder = next(full[i] for i in chosen if deepest in full[i].chain)
+    tags = holder.path.split("/")
+    around = [(e, t) for e, t in zip(holder.chain, tags, strict=True) if e <= deepest]
+    if inner := [e for e, t in around if t in CONTAINERS]:
+        return inner[-1], True
+    for k in range(len(around) - 1, -1, -1):
+        e, tag = around[k]
+        if tag in LEAVES or any(t in LEAVES for _, t in around[:k]):
+            continue
+        if any(e in n.chain and not BLOCK.isdisjoint(n.path.split("/")[k + 1 :]) for n in full):
+            return e, False
+    return None, False
 
 
-def _container(full: list[Node], chosen: list[int], deepest: int) -> int:
-    """The innermost article or main element around ``deepest``, or else ``deepest``."""
-    inside = next(full[i] for i in chosen if deepest in full[i].chain)
-    around = [e for e, t in zip(inside.chain, inside.path.split("/"), strict=True) if t in CONTAINERS and e <= deepest]
-    return around[-1] if around else deepest
+def _beside(full: list[Node], chosen: list[int], length: np.ndarray, around: int) -> set[int]:
+    """The largest elements outside ``around`` whose text is chosen, by the same share as for ``around``."""
+    holder = next(n for n in full if around in n.chain)
+    above = set(holder.chain)
+    good = set(chosen)
+    sums: dict[int, list[float]] = {}
+    for i, n in enumerate(full):
+        if around not in n.chain and (branch := next((e for e in n.chain if e not in above), None)) is not None:
+            own = sums.setdefault(branch, [0.0, 0.0])
+            own[0] += length[i]
+            own[1] += length[i] * (i in good)
+    return {e for e, (all_, own) in sums.items() if own >= HELD * all_}
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
