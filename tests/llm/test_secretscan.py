@@ -69,6 +69,21 @@ def test_candidates_beside_patterns_add_nothing(samples):
     assert redact("ab cd", []) == "ab cd" and redact("abcdef", [(1, 0, 3), (2, 2, 5)]) == "a[SECRET]f"
 
 
+@pytest.mark.parametrize("place", ["{}", "https/example/some/path/to/files/{}", "SOME_LONG_NAME_OF_THIS={}", "words-joined-by-lines-here_{}", "{}/" + KEY])
+def test_keys_among_words_are_found(samples, place):
+    models, rng = MarkovPair(samples), random.Random(3)
+    found = 0
+    for n in range(16, 26):
+        for _ in range(10):
+            key = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n))
+            text = place.format(key)
+            at = text.index(key)
+            found += any(a <= at and at + n <= b for a, _, b in added_spans(text, base_spans(text), models))
+    assert found >= 85
+    ordinary = ["/".join(words(rng, 8)) for _ in range(200)] + ["-".join(words(rng, 8)) for _ in range(200)]
+    assert sum(bool(added_spans(t, [], models)) for t in ordinary) <= 4
+
+
 def test_redaction_keeps_rows_and_columns(spark, odd, empty, samples):
     df = spark.createDataFrame([(1, TEXTS[0], 9, "z"), (2, None, None, None)], "doc_id long, text string, n_chars long, lang string")
     out = redact_documents(df, samples)

@@ -1,9 +1,11 @@
 """Secret scanning: fixed patterns, and character Markov models that add what looks random.
 
 Two first-order models over characters, one of random strings and one of ordinary identifiers, are
-trained from labelled strings. A candidate is a run of key characters that holds a letter; it counts
-as a secret if its log-likelihood under the random model exceeds that under the ordinary one by a
-margin. The patterns' own spans always stay, and a candidate that meets one of them adds nothing.
+trained from labelled strings. In every run of key characters outside the patterns' spans, the stretches
+where the random model leads most are found; one that holds a letter counts as a secret if the random
+model's log-likelihood there exceeds the ordinary one's by a margin, which alone sets its least length;
+a pair counts once in it, however often it is repeated.
+It is reported up to the next character that is no letter or digit. The patterns' own spans always stay.
 """
 
 from __future__ import annotations
@@ -27,18 +29,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
-#: What may be a secret without a pattern, and the characters that the models tell apart.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: The characters of what may be a secret without a pattern, which the models tell apart.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Nats per character, and in all, by which the random model must be ahead.
 MARGIN_PER_CHAR, MARGIN = 0.5, 12.0
+#: Most nats that one pair may speak for randomness in a stretch, so that no few rare pairs pass the margin.
+PAIR_MOST = 2.0
 #: Weight, in characters, of the single-character frequencies in those of pairs.
 BACK_OFF = 20.0
 #: Most rows whose texts are read to train the models.
 TRAINING_ROWS = 2_000
 
 #: The manners in which words make an identifier.
-JOINED = ("_".join, "-".join, "/".join, lambda w: "".join(x.capitalize() for x in w), lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: f"{'_'.join(w)}_{len(w[0])}")
+JOINED = ("_".join, lambda w: "_".join(w).upper(), lambda w: " ".join(w).upper(), "-".join, "/".join, lambda w: "".join(x.capitalize() for x in w), lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: f"{'_'.join(w)}_{len(w[0])}")
 
 Span = tuple[int, int, int]
 
@@ -116,15 +119,54 @@ def labelled_samples(docs: DataFrame, rows: int = TRAINING_ROWS) -> list[tuple[s
     return [(s, 1) for s in secret] + [(s, 0) for s in plain + joined]
 
 
-def added_spans(text: str, base: list[Span], models: MarkovPair) -> list[Span]:
-    """Candidates that the models take for secrets and that meet no span of ``base``."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(s < b and a < e for s, _, e in base):
+def stretches(gains: list[float]) -> list[tuple[int, int]]:
+    """All maximal stretches [i, j) of positive sum of ``gains``, none of which a longer one betters (Ruzzo and Tompa)."""
+    found: list[tuple[int, int, float, float]] = []
+    sum_ = 0.0
+    for k, gain in enumerate(gains):
+        before, sum_ = sum_, sum_ + gain
+        if gain <= 0:
             continue
-        if not m[0].isdigit() and any(c.isalpha() for c in m[0]) and models.is_secret(m[0]):
-            out.append((a, 3, b))
+        i, left, right = k, before, sum_
+        while True:
+            at = len(found) - 1
+            while at >= 0 and found[at][2] >= left:
+                at -= 1
+            if at < 0 or found[at][3] >= right:
+                break
+            i, left = found[at][0], found[at][2]
+            del found[at:]
+        found.append((i, k + 1, left, right))
+    return [(i, j) for i, j, _, _ in found]
+
+
+def added_spans(text: str, base: list[Span], models: MarkovPair) -> list[Span]:
+    """Stretches outside the spans of ``base`` that the models take for secrets."""
+    codes = models._codes(text)
+    for s, _, e in base:
+        codes[s:e] = len(ALPHABET)
+    inside = codes < len(ALPHABET)
+    pairs = inside[:-1] & inside[1:]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], pairs, [False]]).astype(np.int8)))
+    if not len(edges):
+        return []
+    ratio = np.where(pairs, np.minimum(models.ratio, PAIR_MOST)[codes[:-1], codes[1:]], 0.0)
+    begins, ends = edges[::2], edges[1::2]
+    reach = np.add.reduceat(np.maximum(ratio, 0.0), begins)
+    out: list[Span] = []
+    for a, b in zip(begins[reach > MARGIN].tolist(), ends[reach > MARGIN].tolist(), strict=True):
+        for i, j in stretches((ratio[a:b] - MARGIN_PER_CHAR).tolist()):
+            _, once = np.unique(codes[a + i : a + j] * len(models.ratio) + codes[a + i + 1 : a + j + 1], return_index=True)
+            if ratio[a + i : a + j][once].sum() <= MARGIN or not any(c.isalpha() for c in text[a + i : a + j + 1]):
+                continue
+            i, j = a + i, a + j + 1
+            while i > a and text[i - 1].isalnum():
+                i -= 1
+            while j < b + 1 and text[j].isalnum():
+                j += 1
+            if out and i <= out[-1][2] and out[-1][2] > a:
+                i = out.pop()[0]
+            out.append((i, 3, j))
     return out
 
 
