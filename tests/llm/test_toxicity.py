@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from varietas.llm import toxicity as tox
@@ -76,11 +77,35 @@ def test_gradients_against_differences(net):
 
 
 def test_windows_overlap_and_cover():
-    doc, begin, size = tox.windows_of(np.array([0, 0, 5, 105]))
-    assert list(doc) == [1] + [2] * 6 and size[0] == 5 and size.max() == tox.WINDOW
+    first = np.array([0, 0, 5, 105])
+    doc, begin, size = tox.windows_of(first)
+    assert list(doc) == [1] + [2] * (100 - tox.WINDOW + 1) and size[0] == 5 and size.max() == tox.WINDOW
+    doc, begin, size = tox.windows_of(first, tox.STEP)
     assert set(range(5, 105)) == {i for b, s in zip(begin[1:], size[1:]) for i in range(b, b + s)}
 
 
+def test_every_window_is_scored_as_by_itself(net):
+    text = " ".join(words(random.Random(8), 120) + BAD + words(random.Random(9), 60))
+    words_ = tox.words_of([text])
+    x = net.inputs(words_)
+    _, begin, size = tox.windows_of(words_.first)
+    at = np.concatenate([x.at, np.full(tox.WINDOW, len(x.word))])
+    plain = [net.forward(net.gates(net.vectors(x)), at[b : b + tox.WINDOW][None], np.array([s]))[0] for b, s in zip(begin, size)]
+    assert net.logits(x, begin, size) == pytest.approx(np.array(plain), abs=1e-5)
+
+
+@pytest.mark.parametrize("sf, recall", [("sf0.01", 0.6), ("sf0.1", 0.85)])
+def test_held_out_rows_of_the_driver_tables(sf, recall):
+    """sf0.01 has 6 held-out toxic rows, of which 4 are found."""
+    docs = pd.read_parquet(f"/root/testdata/{sf}/documents.parquet", columns=["doc_id", "text"])
+    rows = pd.read_parquet(f"/root/testdata/{sf}/labels.parquet", columns=["doc_id", "toxic"]).merge(docs, on="doc_id")
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in rows["doc_id"]])
+    own, other = rows[~held], rows[held]
+    net = tox.train(own["text"].tolist(), own["toxic"].tolist())
+    found, toxic = net.scores(other["text"].tolist()) >= 0.5, other["toxic"].to_numpy() == 1
+    assert (found & toxic).sum() >= recall * toxic.sum() and (found & toxic).sum() >= 0.9 * found.sum()
+
+
 def test_query_columns_and_held_out_rows(spark, odd, empty):
     texts, toxic = labelled(90, 5)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -1,15 +1,21 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Words of a text form windows that overlap by half. A word's input is its own vector beside the
-element-wise largest of the vectors of its character 4-grams; gated recurrent units read a window in
+Every stretch of WINDOW words of a text is a window. A word's input is its own vector beside the
+element-wise largest of the vectors of its character n-grams; gated recurrent units read a window in
 both directions; attention pools their states into one logit. A document scores as its worst window.
+Windows that hold no known word or n-gram differ by their length only, so one of each length is read.
+
 The network is trained on a bounded sample of labelled documents, by gradient descent through time:
 of a toxic document the window that the network finds worst counts as toxic, of a clean one every
-window is clean. Vectors start from the log-odds of their word or 4-gram, so a few rounds suffice.
+window is clean. Known are the words and n-grams whose share of toxic texts can't be chance among as
+many candidates, so the vocabulary is as large as the sample allows. Vectors start from the log-odds
+of their word or n-gram. A part of the sample is set aside: the round whose scores part it best, and
+the cut, are chosen there.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -21,15 +27,24 @@ from pyspark.sql import functions as F
 from .common import slices, text_or_empty
 from .wordhash import Words, words_of
 
-#: Words in a window, and the step from one to the next.
-WINDOW, STEP = 32, 16
-#: Most labelled rows of each class that are read to train (those whose ids hash lowest).
-TRAINING_ROWS = 1_500
-#: Sizes: known words and 4-grams, vector lengths, states per direction.
+#: Words in a window, and the step from one to the next in training; scores take every window.
+WINDOW, STEP = 24, 8
+#: Most labelled rows of each class that are read to train (those whose ids hash lowest), most bytes of one of
+#: their texts, a longer one isn't trained on, and of all of them.
+TRAINING_ROWS, TEXT_BYTES, TRAINING_BYTES = 1_500, 1 << 20, 32 << 20
+#: Of so many training rows one is set aside to choose the round and the cut.
+SET_ASIDE = 5
+#: Lengths, below 8, of the n-grams of bytes that stand for a word: stems, and stems at their place in the word.
+GRAMS = (4, 7)
+#: Most known words and n-grams, vector lengths, states per direction.
 WORDS_KEPT, GRAMS_KEPT, WORD_DIM, GRAM_DIM, STATES = 6_000, 6_000, 6, 6, 10
-ROUNDS, RATE = 6, 0.01
+ROUNDS, RATE = 6, 0.02
+#: Share of the logarithm of the number of candidates that a known key must gain in likelihood.
+SURE = 0.4
 #: Windows in a batch at least and at most; in between, a round has so many batches.
 BATCH_LEAST, BATCH_MOST, BATCHES = 32, 256, 40
+#: Text characters that are read at once.
+READ = 1 << 18
 
 
 @dataclass
@@ -43,17 +58,22 @@ class Inputs:
 
 
 def grams_of(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the 4-grams of the chosen words, marked at both ends, and where each word's begin."""
+    """Codes of the byte n-grams of the chosen words, marked at both ends, and where each word's begin."""
     start, length = words.start[chosen], (words.end - words.start)[chosen]
-    count = np.maximum(length - 1, 1)
-    first = np.concatenate([[0], np.cumsum(count)])
-    offset = np.arange(first[-1]) - np.repeat(first[:-1], count) - 1
-    code = np.zeros(first[-1], dtype=np.uint64)
-    begin, size = np.repeat(start, count), np.repeat(length, count)
-    for k in range(4):
-        inside = (offset + k >= 0) & (offset + k < size)
-        byte = np.where(inside, words.data[np.minimum(begin + np.maximum(offset + k, 0), len(words.data) - 1)], 1)
-        code = code << np.uint64(8) | byte.astype(np.uint64)
+    counts = [np.maximum(length + 3 - n, 1) for n in GRAMS]
+    first = np.concatenate([[0], np.cumsum(np.sum(counts, axis=0))])
+    code = np.empty(first[-1], dtype=np.uint64)
+    before = first[:-1]
+    for n, count in zip(GRAMS, counts, strict=True):
+        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        place, begin, size = np.repeat(before, count) + offset, np.repeat(start, count), np.repeat(length, count)
+        own = np.full(len(offset), n, dtype=np.uint64)
+        for k in range(-1, n - 1):
+            at = offset + k
+            byte = np.where((at >= 0) & (at < size), words.data[np.minimum(begin + np.maximum(at, 0), len(words.data) - 1)], 1)
+            own = own << np.uint64(8) | byte.astype(np.uint64)
+        code[place] = own
+        before = before + count
     return code, first
 
 
@@ -65,13 +85,13 @@ def _number(vocabulary: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == wanted, at + 1, 0)
 
 
-def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first word and number of words of every window; documents without words have none."""
+def windows_of(first: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first word and number of words of every window, or of every step-th; documents without words have none."""
     n = np.diff(first)
-    count = np.where(n > 0, np.maximum(-(-(n - WINDOW) // STEP), 0) + 1, 0)
+    count = np.where(n > 0, np.maximum(-(-(n - WINDOW) // step), 0) + 1, 0)
     doc = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    begin = first[:-1][doc] + k * STEP
+    begin = first[:-1][doc] + k * step
     return doc, begin, np.minimum(first[1:][doc] - begin, WINDOW)
 
 
@@ -84,7 +104,7 @@ class ToxicityNet:
 
     def __init__(self, words: np.ndarray, word_odds: np.ndarray, grams: np.ndarray, gram_odds: np.ndarray, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.words, self.grams, self.threshold = words, grams, 0.0
+        self.words, self.grams, self.threshold, self.trainable = words, grams, 0.0, None
         d, h = WORD_DIM + GRAM_DIM, STATES
         normal = lambda *shape, scale=0.3: rng.normal(0, scale, shape).astype(np.float32)
         self.p = {"word": normal(len(words) + 1, WORD_DIM, scale=0.05), "gram": normal(len(grams) + 1, GRAM_DIM, scale=0.05)}
@@ -136,18 +156,31 @@ class ToxicityNet:
         return {way: vectors @ self.p[f"w{way}"] + self.p[f"c{way}"] for way in ("f", "b")}
 
     def logits(self, x: Inputs, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Logits of the windows of ``size`` words from word ``begin``, a bounded number at a time."""
+        """Logits of the windows of ``size`` words from word ``begin``, a bounded number at a time.
+
+        A window without known words and n-grams has the logit of any other of its size.
+        """
         at = np.concatenate([x.at, np.full(WINDOW, len(x.word), dtype=x.at.dtype)])
         gates, out = self.gates(self.vectors(x)), np.empty(len(begin), dtype=np.float32)
-        for i in range(0, len(begin), 4096):
-            place = begin[i : i + 4096, None] + np.arange(WINDOW)
-            out[i : i + 4096] = self.forward(gates, at[place], size[i : i + 4096])
+        known = x.word > 0
+        if len(known):
+            known |= np.maximum.reduceat(x.gram, x.gram_first[:-1]) > 0
+        upto = np.concatenate([[0], np.cumsum(known[x.at])])
+        own = upto[begin + size] > upto[begin]
+        for n in np.unique(size[~own]):
+            alike = ~own & (size == n)
+            some = np.flatnonzero(alike)[:1]
+            out[alike] = self.forward(gates, at[begin[some, None] + np.arange(WINDOW)], size[some])
+        rest = np.flatnonzero(own)
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            out[some] = self.forward(gates, at[begin[some, None] + np.arange(WINDOW)], size[some])
         return out
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """The largest logit of each text's windows; -inf without words."""
         out = np.full(len(texts), -np.inf)
-        for i, j in slices(texts, 1 << 20):
+        for i, j in slices(texts, READ):
             words = words_of(texts[i:j])
             doc, begin, size = windows_of(words.first)
             np.maximum.at(out[i:j], doc, self.logits(self.inputs(words), begin, size))
@@ -201,21 +234,29 @@ class ToxicityNet:
 
 
 def _log_odds(keys: list[np.ndarray], labels: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that tell the classes apart best, sorted, with their smoothed document log-odds; keys are distinct in each text."""
+    """Keys that tell the classes apart, sorted, with their smoothed document log-odds; keys are distinct in each text.
+
+    A key is known if the likelihood ratio of its own share of toxic texts against the sample's exceeds
+    the number of candidates; of more than ``most`` the surest stay.
+    """
     values, inverse = np.unique(np.concatenate([*keys, np.array([], dtype=np.uint64)]), return_inverse=True)
     label = np.repeat(labels, [len(k) for k in keys])
     yes = np.bincount(inverse, weights=label, minlength=len(values))
     no = np.bincount(inverse, weights=1 - label, minlength=len(values))
     n_yes, n_no = max(labels.sum(), 1), max((1 - labels).sum(), 1)
+    share, all_ = n_yes / (n_yes + n_no), yes + no
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(yes > 0, yes * np.log(yes / (all_ * share)), 0) + np.where(no > 0, no * np.log(no / (all_ * (1 - share))), 0)
     odds = np.log((yes + 1) / (n_yes + 2)) - np.log((no + 1) / (n_no + 2)) - np.log((n_no + 2) / (n_yes + 2))
-    ahead = np.sort(np.argsort(-(np.abs(odds) * np.sqrt(yes + no)), kind="stable")[:most])
+    sure = np.flatnonzero(gain > SURE * np.log(max(len(values), 1)))
+    ahead = np.sort(sure[np.argsort(-gain[sure], kind="stable")[:most]])
     return values[ahead], np.clip(odds[ahead], -4, 4).astype(np.float32)
 
 
 def _read_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words, their 4-grams' codes and where these begin, each place's distinct word, and first places of texts."""
+    """Distinct words, their n-grams' codes and where these begin, each place's distinct word, and first places of texts."""
     hashes, counts, known, codes, sizes = [], [], [], [], []
-    for i, j in slices(texts, 1 << 19):
+    for i, j in slices(texts, READ):
         words = words_of(texts[i:j])
         values, chosen = np.unique(words.hashes, return_index=True)
         code, first = grams_of(words, chosen)
@@ -235,20 +276,51 @@ def _read_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = 11) -> ToxicityNet:
-    """The network trained on labelled texts; both classes may be of any size, or missing."""
-    y, rng = np.asarray(labels, dtype=np.float64), np.random.default_rng(seed)
+    """The network trained on labelled texts; both classes may be of any size, or missing.
+
+    Every SET_ASIDE-th text of each class is set aside to choose the round and the cut, if some are left to train on.
+    """
+    y = np.asarray(labels, dtype=np.float64)
+    aside = np.zeros(len(y), dtype=bool)
+    for k in (0, 1):
+        own = np.flatnonzero(y == k)
+        aside[own[SET_ASIDE - 1 :: SET_ASIDE]] = True
+    part = lambda on: ([t for t, o in zip(texts, on, strict=True) if o], y[on])
+    own, chosen = part(~aside), part(aside if len(np.unique(y[aside])) == 2 else ~aside)
+    net, best = _start(*own, seed), (-1.0, 0.0)
+    if not 0 < own[1].sum() < len(own[1]) or not net.trainable:
+        net.p["o"][:] = 0
+        return net
+    distinct, grams, gram_first, at, first = _read_all(chosen[0])
+    x, (doc, begin, size) = Inputs(_number(net.words, distinct), _number(net.grams, grams), gram_first, at), windows_of(first)
+    for _ in _rounds(net, *own, rounds, seed):
+        worst = np.full(len(chosen[0]), -np.inf)
+        np.maximum.at(worst, doc, net.logits(x, begin, size))
+        quality, cut = _best_cut(worst, chosen[1])
+        if quality >= best[0]:
+            best, net.threshold, kept = (quality, cut), cut, {k: v.copy() for k, v in net.p.items()}
+    net.p = kept
+    return net
+
+
+def _start(texts: list[str], y: np.ndarray, seed: int) -> ToxicityNet:
+    """The network before the first round; ``trainable`` holds what the rounds need, if there are windows."""
     distinct, grams, gram_first, at, first = _read_all(texts)
     own = [np.unique(at[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
     own_grams = [np.unique(np.concatenate([grams[gram_first[w] : gram_first[w + 1]] for w in o])) if len(o) else grams[:0] for o in own]
     net = ToxicityNet(*_log_odds([distinct[o] for o in own], y, WORDS_KEPT), *_log_odds(own_grams, y, GRAMS_KEPT), seed=seed)
     x = Inputs(_number(net.words, distinct), _number(net.grams, grams), gram_first, at)
-    doc, begin, size = windows_of(first)
-    if not len(doc) or not 0 < y.sum() < len(y):
-        net.p["o"][:] = 0
-        return net
+    net.trainable = (x, *windows_of(first, STEP)) if len(at) else None
+    return net
+
+
+def _rounds(net: ToxicityNet, texts: list[str], y: np.ndarray, rounds: int, seed: int) -> Iterator[None]:
+    """Trains ``net`` in place; comes back after each round."""
+    x, doc, begin, size = net.trainable
+    net.trainable = None
+    rng, step = np.random.default_rng(seed), 0
     at = np.concatenate([x.at, np.full(WINDOW, len(x.word), dtype=np.int32)])
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
     odds = np.concatenate([[0], net.p["word"][1:, 0]])[x.word] + np.maximum.reduceat(np.concatenate([[0], net.p["gram"][1:, 0]])[x.gram], x.gram_first[:-1])
     padded = np.concatenate([odds, [0]])[at]
     logit = np.array([padded[b : b + s].max() for b, s in zip(begin, size, strict=True)])
@@ -263,8 +335,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
             w = chosen[i : i + batch]
             used, index = np.unique(at[begin[w, None] + np.arange(WINDOW)], return_inverse=True)
             index = index.reshape(-1, WINDOW)
-            pad = used == len(x.word)
-            used = used[~pad]
+            used = used[used < len(x.word)]
             count = np.diff(x.gram_first)[used]
             part_first = np.concatenate([[0], np.cumsum(count)])
             places = np.repeat(x.gram_first[used] - part_first[:-1], count) + np.arange(part_first[-1])
@@ -277,19 +348,20 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
                 v += 0.01 * (g * g - v)
                 net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         logit = net.logits(x, begin, size)
-    net.threshold = _best_threshold(np.array([logit[doc == d].max() for d in np.unique(doc)]), y[np.unique(doc)])
-    return net
+        yield
 
 
-def _best_threshold(worst: np.ndarray, y: np.ndarray) -> float:
-    """Midway in the widest gap among the cuts with the fewest errors, each class weighing the same."""
+def _best_cut(worst: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The largest F1 of a cut, and the middle of the widest gap among the cuts that reach it."""
+    worst = np.maximum(worst, -1e6)
     order = np.argsort(worst, kind="stable")
     v, label = worst[order], y[order]
-    wrong = np.concatenate([[0], np.cumsum(label)]) / label.sum() + ((1 - label).sum() - np.concatenate([[0], np.cumsum(1 - label)])) / (1 - label).sum()
+    caught = np.concatenate([[0], np.cumsum(label[::-1])])[::-1]
+    f1 = 2 * caught / (np.arange(len(v), -1, -1) + label.sum())
     edges = np.concatenate([[v[0] - 2], v, [v[-1] + 2]])
-    gaps = np.where(wrong <= wrong.min() + 1e-9, edges[1:] - edges[:-1], -1)
+    gaps = np.where(f1 >= f1.max() - 1e-9, edges[1:] - edges[:-1], -1)
     k = int(gaps.argmax())
-    return float((edges[k] + edges[k + 1]) / 2)
+    return float(f1.max()), float((edges[k] + edges[k + 1]) / 2)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -300,14 +372,31 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> ToxicityNet:
     """Train on at most ``rows`` labelled documents of each class, none of them held out.
 
-    Ids are chosen from the narrow tables first, so only the chosen texts travel.
+    Ids are chosen from the narrow table first, so only the chosen texts travel, to one task, which trains
+    within TRAINING_BYTES of text and returns the network; the driver sees no text.
+
+    Defined cases: labels other than 0 and 1 and null ids are left out, of several labels of an id the
+    larger counts, of several texts of an id the first in order; null texts count as empty; texts above
+    TEXT_BYTES aren't trained on; without both classes the network tells nothing; other columns are not read.
     """
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (1, 0)]
     chosen = docs.sparkSession.createDataFrame([tuple(r) for part in ids for r in part.collect()], known.schema)
-    sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    got = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in got], [r["toxic"] for r in got])
+    texts = docs.select("doc_id", text_or_empty().alias("text")).where(F.octet_length("text") <= TEXT_BYTES)
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+
+    def learn(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got, size = [], 0
+        for pdf in batches:
+            for text, label in zip(pdf["text"], pdf["toxic"], strict=True):
+                size += len(text.encode("utf-8", "surrogatepass"))
+                if size <= TRAINING_BYTES:
+                    got.append((text, label))
+        yield pd.DataFrame({"net": [pickle.dumps(train([t for t, _ in got], [k for _, k in got]))]})
+
+    in_order = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
+    found = in_order.mapInPandas(learn, "net binary").first()
+    return train([], []) if found is None else pickle.loads(found[0])
 
 
 def score(docs: DataFrame, net: ToxicityNet) -> DataFrame:
@@ -330,7 +419,11 @@ def score(docs: DataFrame, net: ToxicityNet) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, net: ToxicityNet) -> DataFrame:
-    """The rows of ``docs`` that the network doesn't reject, with all their columns."""
+    """The rows of ``docs`` that the network doesn't reject, with all their columns.
+
+    Defined cases: null and empty texts and texts without words score 0 and stay, as they are; null and
+    repeated ids are rows like others; an empty table gives no rows; other columns pass through.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def clean(texts: pd.Series) -> pd.Series:
