@@ -1,11 +1,11 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varietas.llm.sharding import best_fit_decreasing, pack_fixed_capacity, shard_by_bytes, tightest_capacity
+from varietas.llm.sharding import Remainders, best_fit_decreasing, pack_fixed_capacity, shard_by_bytes, tightest_capacity
 
 
 def plain_best_fit(sizes, capacity):
@@ -22,13 +22,43 @@ def plain_best_fit(sizes, capacity):
     return placed
 
 
+def loads_of(runs, shards):
+    loads = [0] * shards
+    for size, shard, n in runs:
+        loads[shard] += size * n
+    return loads
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_best_fit_against_its_definition(seed):
     sizes = np.random.default_rng(seed).integers(1, 60, 200).tolist()
-    assert best_fit_decreasing(sizes, 100) == plain_best_fit(sizes, 100)
-    capacity, placed = tightest_capacity(sizes, 40)
-    loads = np.bincount(placed, weights=sizes, minlength=40)
-    assert max(placed) < 40 and loads.max() <= capacity <= 1.05 * sum(sizes) / 40
+    runs, used = best_fit_decreasing(list(Counter(sizes).items()), 100)
+    placed = plain_best_fit(sizes, 100)
+    assert used == max(placed) + 1
+    assert Counter({(s, b): n for s, b, n in runs}) == Counter(zip(sizes, placed))
+    runs = tightest_capacity(list(Counter(sizes).items()), 40)
+    assert sorted(s for s, _, n in runs for _ in range(n)) == sorted(sizes) and max(loads_of(runs, 40)) <= 1.05 * sum(sizes) / 40
+
+
+def test_balanced_tree():
+    rng, tree, plain = np.random.default_rng(3), Remainders(), []
+    for i in range(3000):
+        if plain and rng.random() < 0.45:
+            least = int(rng.integers(0, 1000))
+            assert tree.take(least) == (found := min((k for k in plain if k[0] >= least), default=None))
+            plain = [k for k in plain if k != found]
+        else:
+            plain.append((int(rng.integers(0, 1000)) if i % 3 else i, i))
+            tree.add(plain[-1])
+    assert tree.root[3] <= 1.45 * np.log2(len(plain) + 2)
+
+
+def test_every_group_of_many_goes_through_the_method(spark):
+    """100,000 groups in few classes, one of which holds most: shards are as even as one by one."""
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lpad(F.col("id").cast("string"), 6, "0"), F.repeat(F.lit("x"), F.when(F.col("id") % 10 < 8, 4).otherwise((F.col("id") % 977).cast("int")))).alias("text"))
+    found = shard_by_bytes(rows, 40, rows_per_task=5_000).groupBy("shard").agg(F.sum("size").alias("n"), F.max("shard_bytes").alias("told"), F.count("*").alias("rows"), F.max("slot").alias("slot")).collect()
+    assert len(found) == 40 and all(r["n"] == r["told"] and r["slot"] == r["rows"] - 1 for r in found)
+    assert max(r["n"] for r in found) - min(r["n"] for r in found) <= 40
 
 
 def check(rows, corpus, shards):
@@ -45,7 +75,7 @@ def check(rows, corpus, shards):
     return loads
 
 
-@pytest.mark.parametrize("options", [{}, {"max_large": 8, "bundles": 16}, {"rows_per_task": 2}])
+@pytest.mark.parametrize("options", [{}, {"rows_per_task": 2}])
 def test_shards(documents, corpus, options):
     check(shard_by_bytes(documents, 5, **options).collect(), corpus, 5)
 

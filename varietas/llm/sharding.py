@@ -1,81 +1,151 @@
 """Best-fit-decreasing sharding of indivisible groups.
 
 Groups of rows that must stay together are sorted by size, and each enters the open shard with the
-tightest remaining capacity that still holds it, found in an ordered tree of remainders. The
-placement itself runs over a bounded list: every group larger than a fixed fraction of the whole is
-an item of its own, and the many small groups are first gathered into hash bundles, which are as
-indivisible as the groups inside them. So the list placed on the driver has at most
-``max_large + bundles`` entries for any amount of input, while rows are only ever touched by Spark.
+tightest remaining capacity that still holds it, found in a balanced tree of remainders. Groups of one
+size are alike, so they are placed as one class: the tightest shard takes them until the next one
+doesn't fit, then the next tightest does, which is what placing them one by one gives. The driver
+holds one number and one count per distinct size, which are at most the root of twice the bytes of
+all groups, and usually the number of lengths that texts have; rows and groups are only touched by Spark,
+which numbers the groups of a class and looks up the shard of each number.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, parts_for, text_or_empty
 
+#: A group of more than one in so many rows is joined by a broadcast: of them there are fewer than this.
+LARGE = 1 << 14
+
+
+class Remainders:
+    """A balanced tree of (remainder, shard): an AVL tree, of which an entry and the tightest fit cost log n steps."""
+
+    def __init__(self):
+        self.root: list | None = None
+
+    def add(self, key: tuple[int, int]) -> None:
+        self.root = _added(self.root, key)
+
+    def take(self, least: int) -> tuple[int, int] | None:
+        """Takes out the smallest (remainder, shard) of at least ``least``; None if there is none."""
+        node, found = self.root, None
+        while node:
+            if node[0][0] >= least:
+                node, found = node[1], node[0]
+            else:
+                node = node[2]
+        if found:
+            self.root = _without(self.root, found)
+        return found
+
+
+def _height(node: list | None) -> int:
+    return node[3] if node else 0
+
+
+def _turned(node: list, side: int) -> list:
+    """``node`` with its child on the other side lifted over it."""
+    other = 3 - side
+    top = node[other]
+    node[other], top[side] = top[side], node
+    for x in (node, top):
+        x[3] = 1 + max(_height(x[1]), _height(x[2]))
+    return top
+
+
+def _balanced(node: list) -> list:
+    node[3] = 1 + max(_height(node[1]), _height(node[2]))
+    lean = _height(node[1]) - _height(node[2])
+    if abs(lean) < 2:
+        return node
+    heavy = 1 if lean > 0 else 2
+    if _height(node[heavy][heavy]) < _height(node[heavy][3 - heavy]):
+        node[heavy] = _turned(node[heavy], heavy)
+    return _turned(node, 3 - heavy)
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """Bin of each item: largest first, into the tightest bin that holds it, else a new bin.
 
-    Ties between equal sizes go by position, ties between equal remainders by the older bin. An
-    item above ``capacity`` gets a bin of its own, which nothing else enters.
+def _added(node: list | None, key: tuple[int, int]) -> list:
+    if not node:
+        return [key, None, None, 1]
+    side = 1 if key < node[0] else 2
+    node[side] = _added(node[side], key)
+    return _balanced(node)
+
+
+def _without(node: list, key: tuple[int, int]) -> list | None:
+    if key != node[0]:
+        side = 1 if key < node[0] else 2
+        node[side] = _without(node[side], key)
+        return _balanced(node)
+    if not (node[1] and node[2]):
+        return node[1] or node[2]
+    low = node[2]
+    while low[1]:
+        low = low[1]
+    node[0], node[2] = low[0], _without(node[2], low[0])
+    return _balanced(node)
+
+
+Run = tuple[int, int, int]
+
+
+def best_fit_decreasing(classes: list[tuple[int, int]], capacity: int) -> tuple[list[Run], int]:
+    """Runs (size, shard, number) that place each class (size, number), and how many shards they take.
+
+    Largest first, into the tightest shard that holds it, else a new one; of equal remainders the older
+    shard. What is larger than ``capacity`` gets a shard of its own, which nothing else enters.
     """
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    placed, tree, used = [0] * len(sizes), [], 0
-    for i in order:
-        at = bisect_left(tree, (sizes[i], -1))
-        if at < len(tree):
-            left, bin_ = tree.pop(at)
-        else:
-            left, bin_, used = max(capacity, sizes[i]), used, used + 1
-        placed[i] = bin_
-        insort(tree, (left - sizes[i], bin_))
-    return placed
+    tree, runs, used = Remainders(), [], 0
+    for size, number in sorted(classes, reverse=True):
+        while number:
+            left, shard = tree.take(size) or (max(capacity, size), used)
+            used = max(used, shard + 1)
+            fit = min(number, left // size)
+            runs.append((size, shard, fit))
+            number -= fit
+            tree.add((left - fit * size, shard))
+    return runs, used
 
 
-def tightest_capacity(sizes: list[int], shards: int) -> tuple[int, list[int]]:
-    """The least capacity found at which best-fit-decreasing needs at most ``shards`` bins.
+def tightest_capacity(classes: list[tuple[int, int]], shards: int) -> list[Run]:
+    """The runs at the least capacity found at which best-fit-decreasing needs at most ``shards`` shards.
 
     Bisection between the mean load and a capacity that always suffices: with a capacity of mean
-    plus largest item, any bin beyond the last would mean that all others are above the mean.
+    plus largest item, any shard beyond the last would mean that all others are above the mean.
     """
-    total, largest = sum(sizes), max(sizes, default=0)
+    total, largest = sum(s * n for s, n in classes), max((s for s, _ in classes), default=0)
     low = max(largest, -(-total // shards), 1)
     high = max(low, -(-total // shards) + largest)
-    best = best_fit_decreasing(sizes, high)
+    best = best_fit_decreasing(classes, high)[0]
     while low < high:
         middle = (low + high) // 2
-        placed = best_fit_decreasing(sizes, middle)
-        if max(placed, default=0) < shards:
-            high, best = middle, placed
+        runs, used = best_fit_decreasing(classes, middle)
+        if used <= shards:
+            high, best = middle, runs
         else:
             low = middle + 1
-    return high, best
+    return best
 
 
-def pack_fixed_capacity(docs: DataFrame, capacity: int, bundles: int = 1 << 14, max_large: int = 1 << 14) -> DataFrame:
-    """Packing of the distinct texts into as few shards of ``capacity`` bytes as best-fit-decreasing needs.
+def pack_fixed_capacity(docs: DataFrame, capacity: int, rows_per_task: int = 20_000) -> DataFrame:
+    """Packing of the distinct texts of ``docs`` into as few shards of ``capacity`` bytes as best-fit-decreasing needs.
 
-    Returns (key, bytes, shard) for each distinct text; key is the SHA-256 of the text. Bundles keep
-    well below the capacity as long as ``capacity`` exceeds total / bundles by far.
+    Returns (key, bytes, shard) for each distinct text; key is the SHA-256 of the text. Defined cases as
+    in ``shard_by_bytes``; a group above ``capacity`` has a shard of its own.
     """
     _, groups = _grouped(docs)
-    large, items = _items(groups, bundles, max_large)
-    placed = best_fit_decreasing([n for _, _, n in items], capacity)
-    return _with_shard(groups, large, _lookup(docs, items, placed), bundles).select("key", "bytes", "shard")
+    return _placed(groups, best_fit_decreasing(_classes(groups), capacity)[0], rows_per_task).select("key", "bytes", "shard")
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 40, bundles: int = 1 << 14, max_large: int = 1 << 14, rows_per_task: int = 20_000) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 40, rows_per_task: int = 20_000) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) in one of ``shards`` shards of nearly equal bytes.
 
     Rows with equal texts share a shard. A row's size is its UTF-8 bytes plus 16. Returns doc_id,
     size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in each shard), grown_shard (null)
-    and shard_bytes. ``max_large`` bounds the groups placed singly, ``bundles`` the hash bundles of
-    all smaller groups.
+    and shard_bytes. ``rows_per_task`` is how many rows a task numbers.
 
     Defined cases: a null text counts as empty, and so equals an empty one; null and repeated
     doc_ids are rows like others (slots of ties go in an unspecified order); an empty table gives no
@@ -83,36 +153,27 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, bundles: int = 1 << 14, ma
     total / shards makes its shard larger than the rest, since it may not be divided.
     """
     rows, groups = _grouped(docs)
-    large, items = _items(groups, bundles, max_large)
-    sizes = [n for _, _, n in items]
-    _, placed = tightest_capacity(sizes, shards)
+    runs = tightest_capacity(_classes(groups), shards)
     loads = [0] * shards
-    for n, s in zip(sizes, placed, strict=True):
-        loads[s] += n
-    put = cut(_with_shard(rows, large, _lookup(docs, items, placed), bundles))
+    for size, shard, n in runs:
+        loads[shard] += size * n
+    put = cut(_of_groups(rows, cut(_placed(groups, runs, rows_per_task))))
     pieces = parts_for(put.count(), rows_per_task * shards)
-    put = put.withColumn("piece", F.pmod(F.xxhash64(F.col("doc_id"), F.col("size")), F.lit(pieces)))
-    before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = put.groupBy("shard", "piece").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    within = Window.partitionBy("shard", "piece").orderBy("doc_id")
-    return (
-        put.withColumn("at", F.row_number().over(within) - 1)
-        .join(starts.select("shard", "piece", "first"), ["shard", "piece"])
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            F.lit("bytes").alias("law"),
-            F.col("shard").cast("int").alias("shard"),
-            (F.col("first") + F.col("at")).cast("long").alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"),
-            F.element_at(F.lit(loads).cast("array<long>"), F.col("shard").cast("int") + 1).alias("shard_bytes"),
-        )
+    numbered, starts = _numbered(put.withColumn("piece", F.pmod(F.xxhash64(F.col("doc_id"), F.col("size")), F.lit(pieces))), "shard", "doc_id")
+    return numbered.join(starts.select("shard", "piece", "first"), ["shard", "piece"]).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        (F.col("first") + F.col("at")).cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        F.element_at(F.lit(loads).cast("array<long>"), F.col("shard").cast("int") + 1).alias("shard_bytes"),
     )
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The narrow rows (doc_id, size, text_crc32, key) and their groups (key, bytes)."""
+    """The narrow rows (doc_id, size, text_crc32, key) and their groups (key, bytes, n)."""
     text = text_or_empty()
     rows = cut(
         docs.select(
@@ -122,38 +183,44 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.unhex(F.sha2(text, 256)).alias("key"),
         )
     )
-    return rows, rows.groupBy("key").agg(F.sum("size").alias("bytes"))
+    return rows, cut(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
 
 
-def _items(groups: DataFrame, bundles: int, max_large: int) -> tuple[DataFrame, list[tuple[bytes | None, int | None, int]]]:
-    """The groups above total / max_large, fewer than max_large of them, and all items to place."""
-    groups = cut(groups)
-    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    large = groups.where(F.col("bytes") * max_large > total)
-    small = groups.where(F.col("bytes") * max_large <= total).groupBy(_bundle(bundles).alias("bundle")).agg(F.sum("bytes").alias("bytes"))
-    items = [(bytes(r["key"]), None, r["bytes"]) for r in large.collect()] + [(None, r["bundle"], r["bytes"]) for r in small.collect()]
-    return large, sorted(items, key=lambda x: (x[0] or b"", x[1] or 0))
+def _classes(groups: DataFrame) -> list[tuple[int, int]]:
+    """(bytes, number) of each distinct size of a group."""
+    return [(r[0], r[1]) for r in groups.groupBy("bytes").agg(F.count("*").alias("number")).toLocalIterator()]
 
 
-def _bundle(bundles: int):
-    return F.pmod(F.xxhash64("key"), F.lit(bundles))
+def _numbered(rows: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (key, piece, ...) with ``at``, their place in (key, piece), and (key, piece, n, first), where each begins in its key."""
+    before = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(key, "piece").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return rows.withColumn("at", F.row_number().over(Window.partitionBy(key, "piece").orderBy(order)) - 1), starts
 
 
-def _lookup(docs: DataFrame, items: list, placed: list[int]) -> tuple[DataFrame, DataFrame]:
-    """Where the large groups and the bundles go, as two tables of bounded size."""
-    spark = docs.sparkSession
-    singles = [(bytearray(k), s) for (k, b, _), s in zip(items, placed, strict=True) if k is not None]
-    bundled = [(b, s) for (k, b, _), s in zip(items, placed, strict=True) if k is None]
-    return spark.createDataFrame(singles, "key binary, large_shard int"), spark.createDataFrame(bundled, "bundle long, bundle_shard int")
+def _placed(groups: DataFrame, runs: list[Run], rows_per_task: int) -> DataFrame:
+    """``groups`` with their shard: the first groups of a class, in any fixed order, go as its first run says, and so on.
 
-
-def _with_shard(rows: DataFrame, large: DataFrame, lookup: tuple[DataFrame, DataFrame], bundles: int) -> DataFrame:
-    """``rows`` with their shard; both lookups are bounded by max_large and bundles, so broadcast."""
-    singles, bundled = lookup
-    return (
-        rows.withColumn("bundle", _bundle(bundles))
-        .join(F.broadcast(singles), "key", "left")
-        .join(F.broadcast(bundled), "bundle", "left")
-        .withColumn("shard", F.coalesce("large_shard", "bundle_shard"))
-        .drop("bundle", "large_shard", "bundle_shard")
-    )
+    A class may hold most groups, so its groups are numbered in pieces, and a piece has the runs that meet it.
+    """
+    spark, ends, taken = groups.sparkSession, [], {}
+    for size, shard, n in runs:
+        begin = taken.get(size, 0)
+        taken[size] = begin + n
+        ends.append((size, taken[size], begin, shard))
+    told = spark.createDataFrame(ends, "bytes long, end long, begin long, shard int").groupBy("bytes").agg(F.sort_array(F.collect_list(F.struct("end", "begin", "shard"))).alias("runs"))
+    pieces = parts_for(groups.count(), rows_per_task)
+    numbered, starts = _numbered(groups.withColumn("piece", F.pmod(F.xxhash64("key"), F.lit(pieces))), "bytes", "key")
+    own = F.filter("runs", lambda r: (r["end"] > F.col("first")) & (r["begin"] < F.col("first") + F.col("n")))
+    met = starts.join(told, "bytes").select("bytes", "piece", "first", own.alias("runs"))
+    nth = F.col("first") + F.col("at")
+    shard = F.filter("runs", lambda r: r["end"] > nth)[0]["shard"]
+    return numbered.join(met, ["bytes", "piece"]).select("key", "bytes", "n", shard.alias("shard"))
+
+
+def _of_groups(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """``rows`` with the shard of their group; the few large groups, whose rows would meet in a task, are broadcast."""
+    total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = F.broadcast(placed.where(F.col("n") * LARGE > total).select("key", "shard"))
+    rest = placed.where(F.col("n") * LARGE <= total).select("key", "shard")
+    return rows.join(large, "key").unionByName(rows.join(large, "key", "left_anti").join(rest, "key"))
