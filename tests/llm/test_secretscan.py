@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import re
@@ -97,3 +98,21 @@ def test_redaction_keeps_rows_and_columns(spark, odd, empty, samples):
 def test_training_sample_is_labelled(documents):
     labels = [k for _, k in labelled_samples(documents, rows=20)]
     assert labels.count(0) > 100 and labels.count(1) >= 600
+
+
+def test_planted_keys_in_the_driver_table(spark):
+    """Keys without a pattern, of kinds the models aren't trained on: base64 of random bytes, and dashed groups."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    models, rng = MarkovPair(labelled_samples(docs, rows=300)), random.Random(6)
+    found, planted, false = 0, 0, 0
+    for i, (text,) in enumerate(docs.select("text").collect()):
+        text = text or ""
+        false += bool(added_spans(text, base_spans(text), models))
+        if i % 5 == 0:
+            raw = base64.b64encode(rng.randbytes(rng.choice([16, 20, 24, 32]))).decode()
+            key = raw if i % 2 else "-".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(8)) for _ in range(3))
+            at = text.find(" ") + 1
+            text = f"{text[:at]}{key} {text[at:]}"
+            spans = [(a, b) for a, k, b in added_spans(text, base_spans(text), models) if a < at + len(key) and b > at]
+            planted, found = planted + 1, found + (sum(min(b, at + len(key)) - max(a, at) for a, b in spans) >= 0.5 * len(key))
+    assert found >= 0.88 * planted and false <= 10

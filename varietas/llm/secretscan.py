@@ -92,10 +92,11 @@ class MarkovPair:
 
 
 def random_strings(n: int = 600, seed: int = 7) -> list[str]:
-    """Random strings of 20 to 64 characters over the alphabets that keys are written in."""
+    """Random strings of 20 to 64 characters over the alphabets that keys are written in, every seventh in dashed groups."""
     rng = np.random.default_rng(seed)
     alphabets = [ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], "0123456789abcdef", ALPHABET[:26] + ALPHABET[52:62]]
-    return ["".join(rng.choice(list(alphabets[i % len(alphabets)]), rng.integers(20, 65))) for i in range(n)]
+    found = ["".join(rng.choice(list(alphabets[i % len(alphabets)]), rng.integers(20, 65))) for i in range(n)]
+    return ["-".join(re.findall(f".{{1,{4 + i % 5}}}", s)) if i % 7 == 6 else s for i, s in enumerate(found)]
 
 
 def labelled_samples(docs: DataFrame, rows: int = TRAINING_ROWS) -> list[tuple[str, int]]:
@@ -103,6 +104,10 @@ def labelled_samples(docs: DataFrame, rows: int = TRAINING_ROWS) -> list[tuple[s
 
     Words come from the whole texts of at most ``rows`` rows (those whose ids hash lowest), each distinct
     word once, as it stands and, by threes, joined in the manners of identifiers.
+
+    Defined cases: null and empty texts give no words, repeated rows no more than one; a null id is an id
+    like others in the choice of rows, but its texts aren't read; an empty table leaves the random strings
+    alone; other columns are not read.
     """
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
     found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi").select("text").toLocalIterator()
@@ -196,8 +201,10 @@ def scan_secrets(docs: DataFrame, samples: list[tuple[str, int]]) -> DataFrame:
     read.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(MarkovPair(samples))
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = MarkovPair(samples)
+        models = shared.value
         for pdf in batches:
             base = [base_spans(t) for t in pdf["text"]]
             full = [sorted(b + added_spans(t, b, models)) for t, b in zip(pdf["text"], base, strict=True)]
@@ -221,14 +228,16 @@ def scan_secrets(docs: DataFrame, samples: list[tuple[str, int]]) -> DataFrame:
 def redact_documents(docs: DataFrame, samples: list[tuple[str, int]]) -> DataFrame:
     """``docs`` with the secrets in text masked and n_chars, if there, brought up to date.
 
-    Rows, their number and all other columns stay as they are; a null text stays null.
+    Defined cases: rows, their number and all other columns stay as they are; a null text stays null, an
+    empty one empty; repeated rows are masked alike; an empty table gives no rows.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(MarkovPair(samples))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = MarkovPair(samples)
-        for pdf in batches:
-            yield pd.DataFrame({"_text": [None if t is None else redact(t, sorted((b := base_spans(t)) + added_spans(t, b, models))) for t in pdf["text"]]})
+    @F.pandas_udf("string")
+    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        models = shared.value
+        for texts in batches:
+            yield pd.Series([None if t is None else redact(t, sorted((b := base_spans(t)) + added_spans(t, b, models))) for t in texts], dtype=object)
 
-    masked = F.pandas_udf(lambda s: pd.concat([p["_text"] for p in run([pd.DataFrame({"text": s})])]), "string")
-    out = docs.withColumn("text", masked("text"))
+    out = docs.withColumn("text", masked(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
