@@ -2,8 +2,8 @@
 
 Documents are tokenised and cut into pieces of at most ``capacity`` tokens. A piece of full length
 is a sequence by itself. Each other piece, the longest first, goes to the place among the open
-sequences where the squared counts of open sequences per residual gap sum to the least, a new
-sequence counting as one more place; unfilled sequences are then taken apart and packed again by the
+sequences that hold it where the squared counts of open sequences per residual gap sum to the least; only
+where none holds it is a sequence opened. Unfilled sequences are then taken apart and packed again by the
 same rule. The packing runs in groups of a fixed number of pieces side by side; what one group
 leaves open is far below one sequence in a hundred.
 """
@@ -30,44 +30,47 @@ PIECES_PER_GROUP = 50_000
 LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 #: Rounds in which a group takes unfilled sequences apart and packs their pieces again.
-REPACK_ROUNDS = 6
+REPACK_ROUNDS = 4
 
 
 @lru_cache(maxsize=1)
 def load_encoder(tokenizer_json: str):
     """A fast encoder with the vocabulary of a byte-level BPE file of the ``tokenizers`` library.
 
-    Ids in such a file follow the order of its merges, so they serve as ranks. Special tokens are
-    left out: their strings in a text are ordinary text.
+    Ids in such a file follow the order of its merges, so they serve as ranks. As in that library, the
+    string of a special token in a text is that token.
     """
     import tiktoken
     from public_tokenizers import PATTERN
 
     with open(tokenizer_json, encoding="utf-8") as f:
         model = json.load(f)
-    special = {t["content"] for t in model.get("added_tokens", ())}
+    special = {t["content"]: t["id"] for t in model.get("added_tokens", ())}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     ranks = {bytes(shown[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def encode(encoder, text: str) -> np.ndarray:
     """Ids of ``text``, whatever its length.
 
     In a run of about a million white space characters the pattern's search gives up. All of such a run
-    but its last character, or all at the end of the text, is one piece for the merges, and nothing before
-    it depends on it, so the text can be divided there.
+    but its last character, or all of it at the end of the text or before a special token, is one piece for
+    the merges, and nothing before it depends on it, so the text can be divided there.
     """
     try:
-        return encoder.encode_to_numpy(text, disallowed_special=())
+        return encoder.encode_to_numpy(text, allowed_special="all")
     except ValueError:
-        ids, at = [], 0
-        for m in LONG_SPACE.finditer(text):
-            end = m.end() if m.end() == len(text) else m.end() - 1
-            ids += [encoder.encode_to_numpy(text[at : m.start()], disallowed_special=()), encoder._encode_single_piece(text[m.start() : end])]
-            at = end
-        return np.concatenate([*ids, encoder.encode_to_numpy(text[at:], disallowed_special=())]).astype(np.uint32)
+        ids, special = [], "|".join(map(re.escape, sorted(encoder.special_tokens_set))) or "(?!)"
+        for part in re.split(f"({special})", text):
+            at = 0
+            for m in LONG_SPACE.finditer(part):
+                end = m.end() if m.end() == len(part) else m.end() - 1
+                ids += [encoder.encode_to_numpy(part[at : m.start()], disallowed_special=()), encoder._encode_single_piece(part[m.start() : end])]
+                at = end
+            ids.append(encoder.encode_to_numpy(part[at:], allowed_special="all"))
+        return np.concatenate(ids).astype(np.uint32)
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -100,9 +103,8 @@ def sum_of_squares(lengths: list[int], capacity: int, filled: list[list[int]] |
 
     open_[g] counts open sequences of residual gap g. An item of length n that enters gap g changes
     the sum of squares by 2 * (open_[g - n] - open_[g]) + 2, where a closed sequence (gap 0) counts
-    nothing; a new sequence is an entry into gap ``capacity``, which holds no count. Of equally good
-    gaps the smallest is taken, and of its sequences the last opened. ``filled`` are sequences that
-    exist already.
+    nothing. A new sequence is opened where no gap holds the item. Of equally good gaps the smallest is
+    taken, and of its sequences the last opened. ``filled`` are sequences that exist already.
     """
     sequences = [list(s) for s in filled or ()]
     open_ = np.zeros(capacity + 1, dtype=np.int64)
@@ -115,9 +117,9 @@ def sum_of_squares(lengths: list[int], capacity: int, filled: list[list[int]] |
         n = lengths[i]
         change = 2 * (open_[: capacity + 1 - n] - open_[n:]) + 2
         change[0] -= 1
-        change[-1] -= 1
-        change[:-1][open_[n:-1] == 0] = np.iinfo(np.int64).max
-        gap = n + int(change.argmin())
+        change[open_[n:] == 0] = np.iinfo(np.int64).max
+        at_best = int(change.argmin())
+        gap = n + at_best if open_[n + at_best] else capacity
         if gap == capacity:
             at = len(sequences)
             sequences.append([])
@@ -164,7 +166,8 @@ def pack(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end_id: int
     full = all_.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rest = all_.where(F.col("length") < capacity)
     groups = parts_for(rest.count(), per_group)
-    part = F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(groups)).cast("int")
+    nth = F.monotonically_increasing_id()  # of checkpointed rows, so it stays; equal rows differ in it
+    part = F.pmod(F.xxhash64(nth), F.lit(groups)).cast("int")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = list(batches)
