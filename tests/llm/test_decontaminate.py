@@ -52,7 +52,28 @@ def test_longest_match():
     item = " ".join(f"w{i}" for i in range(30))
     windows = Windows([(1, item)], 10)
     texts = ["x " + " ".join(f"w{i}" for i in range(4, 22)) + " y", item + " " + item, "w1 w2"]
-    assert [longest for _, _, _, longest in scan(texts, windows)] == [18, 30, 0]
+    assert [longest for _, _, _, longest in scan(texts, windows)] == [(18, 1, "1", 4), (30, 0, "1", 0), None]
+
+
+@pytest.mark.parametrize("block", [16 << 20, 60])
+def test_places_of_the_longest_match(spark, documents, corpus, items, block):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts, own = {i: split(t) for i, t in corpus}, {}
+    for item, t in items:
+        own.setdefault("" if item is None else str(item), []).append(split(t))
+    found = contamination(documents, bench, 10, block).where("contaminated").collect()
+    for r in found:
+        here = texts[r["doc_id"]][r["longest_at"] : r["longest_at"] + r["longest"]]
+        assert any(w[r["longest_item_at"] : r["longest_item_at"] + r["longest"]] == here for w in own[r["longest_item"]])
+    assert found and {r["doc_id"]: (r["longest"], r["longest_at"]) for r in found} == {r["doc_id"]: (r["longest"], r["longest_at"]) for r in contamination(documents, bench, 10).where("contaminated").collect()}
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    long = "x y " * 400_000 + "a b c d e f g h i j " + "z " * 10
+    docs = spark.createDataFrame([(1, long, "k"), (1, long, "k"), (None, None, None), (2, "", "")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(5, "a b c d e f g h i j")], "item_id long, text string")
+    assert sorted((r["n_words"], r["n_hit"]) for r in contamination(docs, bench).collect()) == [(0, 0), (0, 0), (800_020, 10), (800_020, 10)]
+    assert keep_uncontaminated(docs, bench).count() == 2
 
 
 def test_odd_tables(spark, odd, empty):

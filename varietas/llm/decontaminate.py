@@ -5,7 +5,9 @@ depth of a window, into a suffix array, and finds every suffix of the benchmark
 in it. A suffix whose words don't stay in the benchmark's vocabulary for as long as its shortest
 window can't match, so it is left out of the array; on other text the array is short. An interval
 of the array gives the verbatim places of a window; neighbouring places on one diagonal chain into
-longest matches. The benchmark goes to the tasks in blocks of bounded size.
+longest matches. The benchmark goes to the tasks in blocks of bounded size, one pass over the documents
+for each: its windows are sorted once, on the driver, and broadcast, and the hits of a pass are written.
+Words are compared by 64-bit hashes.
 
 Documents aren't shuffled, and no row meets another one: a passage that many documents share costs
 each of them its own matches only.
@@ -14,18 +16,19 @@ each of them its own matches only.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import slices, stored, text_or_empty
 from .wordhash import Words, words_of
 
 #: Bytes of benchmark text that one pass over the documents takes along.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 class TestWindows:
@@ -40,21 +43,33 @@ class TestWindows:
         words = words_of([t for _, t in items])
         self.width, self.vocabulary = width, np.unique(words.hashes)
         numbers = self.numbers(words.hashes)
-        keys: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}
-        for i in range(len(items)):
-            own = numbers[words.first[i] : words.first[i + 1]]
-            n = min(width, len(own))
-            for at in range(len(own) - n + 1 if n else 0):
-                key = own[at : at + n].astype(">u4").tobytes()
-                keys.setdefault(key, (n, []))[1].append((i, at))
-        self.ids = [item for item, _ in items]
-        self.keys = sorted(keys)
-        self.lengths = np.array([keys[k][0] for k in self.keys], dtype=np.int64)
-        self.places = [keys[k][1] for k in self.keys]
+        size = np.diff(words.first)
+        own = np.minimum(size, width)
+        count = np.where(size > 0, size - own + 1, 0)
+        item = np.repeat(np.arange(len(items)), count)
+        at = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        padded = np.concatenate([numbers, np.zeros(width, dtype=np.uint32)])
+        grid = padded[(words.first[:-1][item] + at)[:, None] + np.arange(width)].astype(">u4")
+        beyond = np.arange(width) >= own[item][:, None]
+        grid[beyond] = 0
+        self.low, first, which = np.unique(np.ascontiguousarray(grid).view(f"S{4 * width}").ravel(), return_index=True, return_inverse=True)
+        grid[beyond] = 0xFFFFFFFF
+        self.high = np.ascontiguousarray(grid[first]).view(f"S{4 * width}").ravel()
+        self.lengths = own[item][first]
         self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
-        pad = 4 * width
-        self.low = np.array([k.ljust(pad, b"\x00") for k in self.keys], dtype=f"S{pad}")
-        self.high = np.array([k.ljust(pad, b"\xff") for k in self.keys], dtype=f"S{pad}")
+        order = np.argsort(which, kind="stable")
+        self.item, self.at = item[order].astype(np.int32), at[order].astype(np.int32)
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(self.low)))]).astype(np.int64)
+        self.ids = ["" if i is None else str(i) for i, _ in items]
+
+    def places(self, window: int) -> list[tuple[int, int]]:
+        """Where a window stands: the numbers of items, and its first word in each."""
+        a, b = self.begin[window], self.begin[window + 1]
+        return list(zip(self.item[a:b].tolist(), self.at[a:b].tolist(), strict=True))
+
+    def name(self, item: int) -> str:
+        """The id of an item as text, empty if it has none."""
+        return self.ids[item]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
@@ -87,7 +102,7 @@ def suffix_array(numbers: np.ndarray, first: np.ndarray, width: int, shortest: i
 
 def matches(words: Words, windows: TestWindows) -> tuple[np.ndarray, np.ndarray]:
     """(place in the shard, window) of every verbatim occurrence, ordered by place."""
-    if not windows.keys:
+    if not len(windows.low):
         return np.array([], dtype=np.int64), np.array([], dtype=np.int64)
     places, keys = suffix_array(windows.numbers(words.hashes), words.first, windows.width, windows.shortest)
     if not len(places):
@@ -100,40 +115,44 @@ def matches(words: Words, windows: TestWindows) -> tuple[np.ndarray, np.ndarray]
     return at[order], which[order]
 
 
-def _of_document(at: np.ndarray, which: np.ndarray, begin: int, windows: TestWindows) -> tuple[np.ndarray, set[int], int]:
-    """Hit words of one document (relative), the items found, and its longest verbatim match in words."""
+#: A longest match: words, first word in the document, item id and first word there.
+Match = tuple[int, int, str, int]
+
+
+def _of_document(at: np.ndarray, which: np.ndarray, begin: int, windows: TestWindows) -> tuple[np.ndarray, set[int], Match | None]:
+    """Hit words of one document (relative), the items found, and its longest verbatim match, of equal ones the first."""
     lengths = windows.lengths[which]
-    items = {i for w in set(which.tolist()) for i, _ in windows.places[w]}
+    items = {i for w in set(which.tolist()) for i, _ in windows.places(w)}
     hit = np.unique(np.concatenate([np.arange(a, a + n) for a, n in zip(at - begin, lengths, strict=True)]))
-    reach: dict[tuple[int, int], int] = {}
-    longest = 0
+    reach: dict[tuple[int, int], tuple[int, int]] = {}
+    longest: Match | None = None
     for a, w, n in zip((at - begin).tolist(), which.tolist(), lengths.tolist(), strict=True):
-        for place in windows.places[w]:
-            item, p = place
+        for item, p in windows.places(w):
             begun = reach.pop((item, a - p), None)
             begun = a if begun is None or begun[1] < a - 1 else begun[0]
             reach[item, a - p] = (begun, a)
-            longest = max(longest, a + n - begun)
+            longest = _longer(longest, (a + n - begun, begun, windows.name(item), begun - (a - p)))
     return hit, items, longest
 
 
-Overlap = tuple[int, np.ndarray, set[str], int]
+def _longer(a: Match | None, b: Match | None) -> Match | None:
+    return min((m for m in (a, b) if m), key=lambda m: (-m[0], *m[1:]), default=None)
+
+
+#: Of a text: words, hit words, ids of the items found, longest match.
+Overlap = tuple[int, np.ndarray, set[str], Match | None]
 
 
 def scan(texts: list[str], windows: TestWindows) -> Iterator[Overlap]:
-    """(words, hit words, ids of the items found, longest match) of each text."""
+    """The overlap of each text with the windows."""
     for i, j in slices(texts, 1 << 20):
         words = words_of(texts[i:j])
         at, which = matches(words, windows)
         for d in range(j - i):
             begin, end = words.first[d], words.first[d + 1]
             lo, hi = np.searchsorted(at, (begin, end))
-            hit, items, longest = _of_document(at[lo:hi], which[lo:hi], begin, windows) if lo < hi else (at[:0], set(), 0)
-            yield int(end - begin), hit, {"" if windows.ids[k] is None else str(windows.ids[k]) for k in items}, longest
-
-
-def _merged(a: Overlap, b: Overlap) -> Overlap:
-    return a[0], np.union1d(a[1], b[1]), a[2] | b[2], max(a[3], b[3])
+            hit, items, longest = _of_document(at[lo:hi], which[lo:hi], begin, windows) if lo < hi else (at[:0], set(), None)
+            yield int(end - begin), hit, {windows.name(k) for k in items}, longest
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str]]]:
@@ -152,62 +171,105 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> It
         yield block
 
 
+FOUND = "n_words long, hit array<int>, item_ids array<string>, longest struct<n: int, at: int, item: string, item_at: int>"
+
+
+def _overlaps(texts: pd.Series, windows: TestWindows) -> pd.DataFrame:
+    """The columns FOUND of a batch of texts."""
+    rows = [(n, hit.astype(np.int32), sorted(ids), dict(zip(("n", "at", "item", "item_at"), longest, strict=True)) if longest else None) for n, hit, ids, longest in scan(texts.tolist(), windows)]
+    return pd.DataFrame(rows, columns=["n_words", "hit", "item_ids", "longest"])
+
+
+def _pass(rows: DataFrame, block: list[tuple[object, str]], width: int, keep: Callable[[pd.DataFrame], pd.Series], columns: list[str], schema: str) -> DataFrame:
+    """``rows`` (columns, text) with FOUND of one block of the benchmark, those that ``keep`` says."""
+    shared = rows.sparkSession.sparkContext.broadcast(TestWindows(block, width))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = pd.concat([pdf[columns], _overlaps(pdf["text"], shared.value)], axis=1)
+            yield found[keep(found)]
+
+    return rows.select(*columns, "text").mapInPandas(run, f"{schema}, {FOUND}")
+
+
+def _hits(rows: DataFrame, blocks: Iterable[list[tuple[object, str]]], width: int, columns: list[str], schema: str) -> DataFrame:
+    """FOUND of the rows that any block hits, by ``columns``, which tell texts apart; a pass is written before the next begins."""
+    passes = [stored(_pass(rows, b, width, lambda found: found["item_ids"].str.len() > 0, columns, schema), "hits") for b in blocks]
+    merged = reduce(DataFrame.unionByName, passes).groupBy(*columns)
+    best = F.min(F.when(F.col("longest").isNotNull(), F.struct((-F.col("longest.n")).alias("less"), "longest.at", "longest.item", "longest.item_at")))
+    out = merged.agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best.alias("b"))
+    return out.select(*columns, "hit", "item_ids", F.struct((-F.col("b.less")).alias("n"), "b.at", "b.item", "b.item_at").alias("longest"))
+
+
+#: What stands for equal texts where the benchmark takes several passes.
+TEXT_KEY = "text_key binary"
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Verbatim overlap of each document (doc_id, text) with the benchmark (item_id, text).
 
     Returns doc_id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256
-    (of the item ids, sorted as strings and comma-joined), contaminated, item_ids and longest (words
-    of the longest verbatim match). A benchmark above ``block_bytes`` is
-    taken block after block for each batch of documents, and the hits are merged by row.
+    (of the item ids, sorted as strings and comma-joined), contaminated, item_ids, longest (words
+    of the longest verbatim match), longest_at (its first word in the document), longest_item and
+    longest_item_at (the item, and its first word there). A benchmark above ``block_bytes`` takes one pass
+    over the documents for each block; the hits are merged by the texts' SHA-256.
 
     Defined cases: null and empty texts have no words; an empty benchmark hits nothing; a null
     item_id counts as the empty string, repeated item_ids as one item; null and repeated doc_ids are
-    rows like others; other columns are not read.
+    rows like others; of equally long matches the first in the document, then in the items' order as
+    strings, is told; other columns are not read.
     """
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, block_bytes)]
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        only = TestWindows(shared[0].value, width) if len(shared) == 1 else None
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            if only:
-                rows = list(scan(texts, only))
-            else:
-                rows = list(scan(texts, TestWindows([], width)))
-                for block in shared:
-                    rows = [_merged(a, b) for a, b in zip(rows, scan(texts, TestWindows(block.value, width)), strict=True)]
-            rows = [(n, len(hit), sorted(ids), longest) for n, hit, ids, longest in rows]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "n_words": [r[0] for r in rows],
-                    "n_hit": [r[1] for r in rows],
-                    "n_items": [len(r[2]) for r in rows],
-                    "items_sha256": [hashlib.sha256(",".join(r[2]).encode()).hexdigest() for r in rows],
-                    "contaminated": [r[1] > 0 for r in rows],
-                    "item_ids": [r[2] for r in rows],
-                    "longest": [r[3] for r in rows],
-                }
-            )
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(
-        run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, longest long"
+    blocks = benchmark_blocks(benchmark, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    if second is None:
+        found = _pass(rows, first, width, lambda found: pd.Series(True, found.index), ["doc_id"], f"doc_id {kind}")
+    else:
+        rows = rows.withColumn("text_key", F.unhex(F.sha2("text", 256)))
+        hits = _hits(rows, _again(first, second, blocks), width, ["text_key"], TEXT_KEY)
+        counted = _pass(rows, [], width, lambda found: pd.Series(True, found.index), ["doc_id", "text_key"], f"doc_id {kind}, {TEXT_KEY}")
+        found = counted.select("doc_id", "text_key", "n_words").join(hits, "text_key", "left")
+    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
+    n_hit = F.coalesce(F.size("hit"), F.lit(0)).cast("long")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.greatest(n_hit, F.lit(0)).alias("n_hit"),
+        F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+        ids.alias("item_ids"),
+        F.coalesce(F.col("longest.n").cast("long"), F.lit(0)).alias("longest"),
+        F.col("longest.at").alias("longest_at"),
+        F.col("longest.item").alias("longest_item"),
+        F.col("longest.item_at").alias("longest_item_at"),
     )
 
 
+def _again(first: list, second: list, rest: Iterator[list]) -> Iterator[list]:
+    yield first
+    yield second
+    yield from rest
+
+
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` whose text holds no window of the benchmark, with all their columns."""
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, block_bytes)]
+    """The rows of ``docs`` whose text holds no window of the benchmark, with all their columns.
+
+    Defined cases as in ``contamination``: null and empty texts stay, repeated rows stay or go together,
+    an empty benchmark keeps all, an empty table gives no rows.
+    """
+    blocks = benchmark_blocks(benchmark, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is not None:
+        keyed = docs.select(text_or_empty().alias("text")).withColumn("text_key", F.unhex(F.sha2("text", 256)))
+        hit = _hits(keyed, _again(first, second, blocks), width, ["text_key"], TEXT_KEY).select(F.col("text_key").alias("_text_key"))
+        return docs.withColumn("_text_key", F.unhex(F.sha2(text_or_empty(), 256))).join(hit, "_text_key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    shared = docs.sparkSession.sparkContext.broadcast(TestWindows(first, width))
 
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        only = TestWindows(shared[0].value, width) if len(shared) == 1 else None
         for texts in batches:
-            hit = np.zeros(len(texts), dtype=bool)
-            for block in shared:
-                windows = only or TestWindows(block.value, width)
-                hit |= np.array([len(h) > 0 for _, h, _, _ in scan(texts.tolist(), windows)], dtype=bool)
-            yield pd.Series(~hit)
+            yield pd.Series([len(hit) == 0 for _, hit, _, _ in scan(texts.tolist(), shared.value)], dtype=bool)
 
     return docs.where(clean(text_or_empty()))
