@@ -1,18 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
-Every piece of text on a page hangs on a path of tags from the root. Text length and punctuation are
-summed per path and divided by the path's number of text nodes, smoothed along the page, fused into
-one score, and paths whose score exceeds a share of the page's spread are content. The smallest
-element above paragraphs that holds most of the content's text closes the selection: whatever else
-stands in it, such as a heading or a short paragraph, is content too, and so are the other texts on
-content paths and the elements beside it that consist of these. What a page marks as menu, header, footer,
-sidebar, notice, advert, form, script, style or reader comment is left out before all this; words in
-class or id are no mark on what holds the article itself.
+Every block of text on a page hangs on a path of tags from the root. Text length and punctuation are
+summed per path and divided by the path's number of blocks; both ratios are smoothed along the page
+among blocks that stand near each other in the tree, and fused with the path's share of the page's text into one
+score. Paths whose score exceeds a share of the page's spread are content, and their blocks are chosen.
+A block on another path goes with its siblings, or with those of what holds it, where most of their
+text is chosen: a heading, a short line, a list.
+
+What a page marks as menu, header, footer, sidebar, notice, advert, form or reader comment is input of
+the ratios: such text counts nothing in them, link text little, and text outside the article or main
+element of a page that has one a tenth. Words in class or id are no mark on what holds the article itself.
+Scripts, styles, markup and hidden elements are no text.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -51,37 +55,54 @@ ARTICLE_WORDS = frozenset("article content entry post story".split())
 CONTAINERS = frozenset(("article", "main"))
 PUNCTUATION = re.compile(r"[,.;:!?…。、，！？；：]")
 
-#: Blocks of text, in which no selection ends.
-LEAVES = frozenset("p li dt dd pre blockquote h1 h2 h3 h4 h5 h6 caption figcaption address legend summary".split())
-#: Share of the scores' standard deviation that a path must exceed, and of the content's text that the closing element holds.
-SPREAD, HELD = 0.5, 0.8
+#: Share of the scores' standard deviation that a path must exceed, and of the siblings' text with which a block goes.
+SPREAD, HELD = 0.5, 0.5
+#: Weights of link text, and of text outside the article.
+LINK, OUTSIDE = 0.1, 0.1
+#: How much blocks smooth each other whose parents are the same, one inside the other, or apart.
+NEARNESS = (1.0, 0.5, 0.1)
 #: Share of the page's text, comments aside, above which a marked element is the page itself, and the same for one of comments or
 #: one whose whole name is a mark.
 MOST, NEARLY_ALL = 0.5, 0.9
 #: Weights of smoothing along the page.
-KERNEL = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
+KERNEL = np.exp(-np.arange(3) ** 2 / 2.0)
 
 
 @dataclass
 class Node:
-    """A piece of text: its elements from the root (numbers), its tag path, and its block."""
+    """A piece of text: its elements from the root (numbers), its tag path, its block, and if it is marked as no content."""
 
     chain: tuple[int, ...]
     path: str
     block: int
     text: str
+    weak: bool
 
 
-def _left_out(tag: str, attributes: str, inside: list[tuple]) -> bool:
-    if tag in LEFT_OUT and not (tag == "header" and any(t in CONTAINERS for t, *_ in inside)):
-        return True
+@dataclass
+class Block:
+    """A run of text between the borders of blocks: number, path and elements down to the block, weight of its text, punctuation."""
+
+    number: int
+    path: str
+    chain: tuple[int, ...]
+    size: float
+    weight: float
+    marks: float
+
+
+SHOWN, WEAK, HIDDEN = 0, 1, 2
+
+
+def _standing(tag: str, attributes: str, inside: list[tuple]) -> int:
+    """If an element is shown, marked by its tag or role as no content, or hidden."""
+    weak = tag in LEFT_OUT and not (tag == "header" and any(t in CONTAINERS for t, *_ in inside))
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return HIDDEN
+        weak = weak or name == "role" and value in ROLES
+    return WEAK if weak else SHOWN
 
 
 def _marks(tag: str, attributes: str, inside: list[tuple]) -> dict[str, bool]:
@@ -103,8 +124,8 @@ def _marks(tag: str, attributes: str, inside: list[tuple]) -> dict[str, bool]:
     return found
 
 
-def _unmarked(nodes: list[Node], marked: dict[int, tuple[bool, bool]]) -> list[Node]:
-    """``nodes`` without those in ``marked`` elements (number: of comments, by a whole name), save elements that hold the article.
+def _not_content(nodes: list[Node], marked: dict[int, tuple[bool, bool]]) -> set[int]:
+    """The ``marked`` elements (number: of comments, by a whole name) save those that hold the article.
 
     An element holds it if it has the only article or main elements, or, on a page without such elsewhere,
     most of the text that isn't in comments; one of comments only if it has the page's h1 or main element, or
@@ -114,7 +135,7 @@ def _unmarked(nodes: list[Node], marked: dict[int, tuple[bool, bool]]) -> list[N
     holds: dict[int, set[str]] = {}
     full = []
     for n in nodes:
-        if n.text.isspace():
+        if n.weak or n.text.isspace():
             continue
         tags, own = n.path.split("/"), [(k, e) for k, e in enumerate(n.chain) if e in marked]
         full.append((n, len(n.text.strip()), [e for _, e in own], CONTAINERS.isdisjoint(tags)))
@@ -142,20 +163,20 @@ def _unmarked(nodes: list[Node], marked: dict[int, tuple[bool, bool]]) -> list[N
         if any(out.isdisjoint(own) for own in articles):
             break
         out.discard(e)
-    return [n for n in nodes if out.isdisjoint(n.chain)]
+    return out
 
 
 def text_nodes(page: str) -> list[Node]:
-    """Text nodes of what a page doesn't mark as something else, in page order, references decoded."""
+    """Text nodes of a page in page order, references decoded."""
     nodes: list[Node] = []
     marked: dict[int, tuple[bool, bool]] = {}
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int, int]] = []
     number = block = at = 0
     skip_to = None
     for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if m.start() > at and not (stack and stack[-1][2]):
+        if m.start() > at and not (stack and stack[-1][2] == HIDDEN):
             _add(nodes, stack, block, page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
@@ -179,17 +200,20 @@ def text_nodes(page: str) -> list[Node]:
         for other in SELF_CLOSING.get(tag, ()):
             _end_sibling(stack, other, tag)
         if tag in VOID:
-            if tag == "br" and not (stack and stack[-1][2]):
+            if tag == "br" and not (stack and stack[-1][2] == HIDDEN):
                 _add(nodes, stack, block, " ")
             continue
         number += 1
-        out = bool(stack and stack[-1][2]) or _left_out(tag, m[3], stack)
-        if not out and (marks := _marks(tag, m[3], stack)):
+        out = max(stack[-1][2] if stack else SHOWN, _standing(tag, m[3], stack))
+        if out == SHOWN and (marks := _marks(tag, m[3], stack)):
             marked[number] = marks.keys() <= REMARKS, any(marks.values())
         stack.append((tag, number, out))
-    if at < len(page) and not (stack and stack[-1][2]):
+    if at < len(page) and not (stack and stack[-1][2] == HIDDEN):
         _add(nodes, stack, block, page[at:])
-    return _unmarked(nodes, marked) if marked else nodes
+    for out in [_not_content(nodes, marked)] if marked else []:
+        for n in nodes:
+            n.weak = n.weak or not out.isdisjoint(n.chain)
+    return nodes
 
 
 def _end_paragraph(stack: list[tuple]) -> None:
@@ -212,83 +236,98 @@ def _end_sibling(stack: list[tuple], other: str, tag: str) -> None:
 
 
 def _add(nodes: list[Node], stack: list[tuple], block: int, raw: str) -> None:
-    nodes.append(Node(tuple(n for _, n, _ in stack), "/".join(t for t, *_ in stack), block, entities.unescape(raw)))
+    nodes.append(Node(tuple(n for _, n, _ in stack), "/".join(t for t, *_ in stack), block, entities.unescape(raw), bool(stack) and stack[-1][2] == WEAK))
 
 
-def content_nodes(nodes: list[Node]) -> list[Node]:
-    """Nodes on content paths, and all others in the smallest element, above blocks of text, that holds most of theirs."""
-    full = [n for n in nodes if not n.text.isspace()]
-    if not full:
-        return []
-    paths: dict[str, list[int]] = {}
-    for i, n in enumerate(full):
-        paths.setdefault(n.path, []).append(i)
-    length = np.array([len(n.text.strip()) for n in full], dtype=float)
-    marks = np.array([len(PUNCTUATION.findall(n.text)) for n in full], dtype=float)
-    text_ratio, mark_ratio = np.empty(len(full)), np.empty(len(full))
-    for own in paths.values():
-        text_ratio[own], mark_ratio[own] = length[own].sum() / len(own), marks[own].sum() / len(own)
-    score = _smooth(text_ratio) * (1 + _smooth(mark_ratio))
-    per_path = {p: score[own].mean() for p, own in paths.items()}
-    cut = SPREAD * float(np.std(list(per_path.values())))
-    chosen = [i for p, own in paths.items() if per_path[p] >= cut for i in own] or list(range(len(full)))
-    total, within = sum(length[i] for i in chosen), {}
-    for i in chosen:
-        for e in full[i].chain:
-            within[e] = within.get(e, 0) + length[i]
-    holders = [e for e, n in within.items() if n >= HELD * total]
-    if not holders:
-        return nodes
-    around, inside = _closing(full, chosen, max(holders))
-    if around is None:
-        return nodes
-    if inside:
-        return [n for n in nodes if around in n.chain]
-    kept = {around, *_beside(full, chosen, length, around)}
-    paths_kept = {full[i].path for i in chosen}
-    return [n for n in nodes if not kept.isdisjoint(n.chain) or n.path in paths_kept]
-
-
-def _closing(full: list[Node], chosen: list[int], deepest: int) -> tuple[int | None, bool]:
-    """The innermost article or main element around ``deepest``, and True, or else the innermost one that is no block of text, if any."""
-    holder = next(full[i] for i in chosen if deepest in full[i].chain)
-    tags = holder.path.split("/")
-    around = [(e, t) for e, t in zip(holder.chain, tags, strict=True) if e <= deepest]
-    if inner := [e for e, t in around if t in CONTAINERS]:
-        return inner[-1], True
-    for k in range(len(around) - 1, -1, -1):
-        e, tag = around[k]
-        if tag in LEAVES or any(t in LEAVES for _, t in around[:k]):
+def blocks_of(nodes: list[Node]) -> list[Block]:
+    """The blocks that hold text. Marked text weighs nothing, link text little."""
+    out: list[Block] = []
+    inside = any(not (n.weak or n.text.isspace()) and not CONTAINERS.isdisjoint(n.path.split("/")) for n in nodes)
+    for n in nodes:
+        tags = n.path.split("/") if n.path else []
+        own = [(e, t) for e, t in zip(n.chain, tags, strict=True) if t in BLOCK]
+        size = float(len("".join(n.text.split())))
+        weight = 0.0 if n.weak else (LINK if "a" in tags else 1.0) * (OUTSIDE if inside and CONTAINERS.isdisjoint(tags) else 1.0)
+        if not size:
             continue
-        if any(e in n.chain and not BLOCK.isdisjoint(n.path.split("/")[k + 1 :]) for n in full):
-            return e, False
-    return None, False
+        if not out or out[-1].number != n.block:
+            out.append(Block(n.block, "/".join(t for _, t in own) + ("!" if n.weak else ""), tuple(e for e, _ in own), 0.0, 0.0, 0.0))
+        block = out[-1]
+        block.size, block.weight = block.size + size, block.weight + weight * size
+        block.marks += weight * len(PUNCTUATION.findall(n.text))
+    return out
 
 
-def _beside(full: list[Node], chosen: list[int], length: np.ndarray, around: int) -> set[int]:
-    """The largest elements outside ``around`` whose text is chosen, by the same share as for ``around``."""
-    holder = next(n for n in full if around in n.chain)
-    above = set(holder.chain)
-    good = set(chosen)
+def path_scores(blocks: list[Block]) -> dict[str, float]:
+    """The fused score of each tag path."""
+    paths: dict[str, list[int]] = {}
+    for i, b in enumerate(blocks):
+        paths.setdefault(b.path, []).append(i)
+    text, marks = np.empty(len(blocks)), np.empty(len(blocks))
+    for own in paths.values():
+        text[own], marks[own] = sum(blocks[i].weight for i in own) / len(own), sum(blocks[i].marks for i in own) / len(own)
+    nearness = _nearness(blocks)
+    score = _smooth(text, nearness) * (1 + _smooth(marks, nearness))
+    score[[b.weight == 0 for b in blocks]] = 0
+    total = sum(b.weight for b in blocks) or 1.0
+    return {p: float(score[own].mean()) * math.sqrt(sum(blocks[i].weight for i in own) / total) for p, own in paths.items()}
+
+
+def content_blocks(blocks: list[Block]) -> set[int]:
+    """Numbers of the blocks on content paths, and of those that go with their siblings."""
+    score = path_scores(blocks)
+    cut = SPREAD * float(np.std(list(score.values()))) if score else 0.0
+    chosen = {b.number for b in blocks if score[b.path] > 0 and score[b.path] >= cut}
     sums: dict[int, list[float]] = {}
-    for i, n in enumerate(full):
-        if around not in n.chain and (branch := next((e for e in n.chain if e not in above), None)) is not None:
-            own = sums.setdefault(branch, [0.0, 0.0])
-            own[0] += length[i]
-            own[1] += length[i] * (i in good)
-    return {e for e, (all_, own) in sums.items() if own >= HELD * all_}
-
-
-def _smooth(values: np.ndarray) -> np.ndarray:
-    weight = np.convolve(np.ones(len(values)), KERNEL)[2:-2]
-    return np.convolve(values, KERNEL)[2:-2] / weight
+    for b in blocks:
+        if b.weight:
+            own = sums.setdefault(_parent(b), [0.0, 0.0])
+            own[0] += b.size
+            own[1] += b.size * (b.number in chosen)
+    with_ = {e for e, (all_, own) in sums.items() if own >= HELD * all_ > 0}
+    for b in blocks:
+        above = b.chain[1:-1] if b.path.startswith("body") else b.chain[2:-1]
+        if b.weight and (_parent(b) in with_ or not with_.isdisjoint(above)):
+            chosen.add(b.number)
+    return chosen
+
+
+def _parent(b: Block) -> int:
+    return b.chain[-2] if len(b.chain) > 1 else 0
+
+
+def _nearness(blocks: list[Block]) -> np.ndarray:
+    """For each block and the two after it, how near they are in the tree."""
+    out = np.zeros((len(blocks), 3))
+    out[:, 0] = 1.0
+    for k in (1, 2):
+        for i, (a, b) in enumerate(zip(blocks, blocks[k:], strict=False)):
+            own, other = _parent(a), _parent(b)
+            nested = own in b.chain[2:] or other in a.chain[2:]
+            out[i, k] = NEARNESS[0] if own == other and len(a.chain) > 1 else NEARNESS[1] if nested else NEARNESS[2]
+    return out
+
+
+def _smooth(values: np.ndarray, nearness: np.ndarray) -> np.ndarray:
+    """Gaussian means of two neighbours on either side, by nearness."""
+    total, weight = values * KERNEL[0], np.full(len(values), KERNEL[0])
+    for k in range(1, min(3, len(values))):
+        w = KERNEL[k] * nearness[:-k, k]
+        total[k:] += w * values[:-k]
+        weight[k:] += w
+        total[:-k] += w * values[k:]
+        weight[:-k] += w
+    return total / weight
 
 
 def main_text(page: str) -> str:
     """The content's blocks, white space in each made single blanks, joined by line ends."""
+    nodes = text_nodes(page)
+    chosen = content_blocks(blocks_of(nodes))
     blocks: dict[int, list[str]] = {}
-    for n in content_nodes(text_nodes(page)):
-        blocks.setdefault(n.block, []).append(n.text)
+    for n in nodes:
+        if n.block in chosen:
+            blocks.setdefault(n.block, []).append(n.text)
     lines = (" ".join("".join(b).split()) for _, b in sorted(blocks.items()))
     return "\n".join(line for line in lines if line)
 
