@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import sample_size_gate
@@ -12,6 +12,7 @@ from .foldchange import check_groups, fold_change
 from .padjust import METHODS, adjust
 from .permute import paired_labels, permutation_p, shuffled_labels
 from .ranktests import wilcoxon
+from .settled import settled
 
 TESTS = ("wilcoxon", "shuffle")
 
@@ -26,16 +27,15 @@ def test_differential(values: DataFrame, samples: DataFrame, control: str | None
         raise ValueError("method must be 'wilcoxon' or 'shuffle'")
     if seed is not None and (isinstance(seed, bool) or not isinstance(seed, (int, float))):
         raise ValueError("seed must be a number")
-    rows = values.join(F.broadcast(samples.select("sample", "group", "ord")), "sample")
+    samples = settled(samples)
+    rows = values.join(samples.select("sample", "group", "ord"), "sample")
     if method == "wilcoxon":
         names = [r[0] for r in samples.select("group").distinct().orderBy("group").limit(3).collect()]
         if len(names) != 2:
             raise ValueError("exactly two groups are needed")
         if paired:
-            from pyspark.sql import Window
-
             nth = samples.select("sample", F.row_number().over(Window.partitionBy("group").orderBy("ord")).alias("pair"))
-            rows = rows.join(F.broadcast(nth), "sample")
+            rows = rows.join(nth, "sample")
         p = wilcoxon(rows, *names, paired=paired, exact=exact)
     else:
         case, control = check_groups(samples, control)
@@ -49,8 +49,9 @@ def calculate_difference(values: DataFrame, samples: DataFrame, control: str | N
 
     Columns: genes, <case>_<method>, <control>_<method>, <method>_difference, log2_fold_change,
     raw_p_values, adjusted_p_values, and part (1: tested, 2: too few values, with fold changes only).
-    Pseudocounts are those of a part. Few samples give warnings.
+    Pseudocounts are those of a part. Few samples give warnings. ``values`` is computed once.
     """
+    samples = settled(samples)
     case, control = check_groups(samples, control)
     if method not in ("mean", "median"):
         raise ValueError("method must be 'mean' or 'median'")
@@ -62,9 +63,9 @@ def calculate_difference(values: DataFrame, samples: DataFrame, control: str | N
     total = sizes[case] + sizes[control]
     if test == "wilcoxon" and (min(sizes[case], sizes[control]) < 3 or total < 8):
         warnings.warn("low sample size for a rank test", stacklevel=2)
-    if test == "shuffle" and total <= 10:
+    if test == "shuffle" and total < 10:
         warnings.warn("low sample size for label shuffling" if total <= 5 else "few samples: label shuffling gives coarse p-values", stacklevel=2)
-    rows = sample_size_gate(values.join(F.broadcast(samples.select("sample", "group")), "sample"), (case, control), test)
+    rows = settled(sample_size_gate(values.join(samples.select("sample", "group"), "sample"), (case, control), test))
     enough, few = rows.where("tested").drop("tested"), rows.where("not tested").drop("tested")
     p = test_differential(enough.drop("group"), samples, control, test, method, paired, exact, randomizations, pcorr, seed, "swap")
     tested = fold_change(enough, case, control, method, pseudocount).join(p, "gene").withColumn("part", F.lit(1))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,42 +66,52 @@ def diversity(counts: DataFrame, q: Sequence[float] | float = 2.0, norm: bool =
     All orders come from one aggregation per gene and sample. The number of parts is that of the
     gene's transcripts in ``tx2gene`` (gene, tx), or by default in ``counts``, zeros included. With
     ``complete`` a gene stays only if its value is known for every sample (of ``samples``, by default
-    of ``counts``) and order; without, cells with empty totals or missing counts are NULL.
+    of ``counts``) and order; without, cells with empty totals or missing counts are NULL. ``what`` both
+    gives (gene, sample, q, entropy, hill), complete in both.
     """
     orders = check_orders(q)
-    if what not in ("S", "D"):
-        raise ValueError("what must be 'S' or 'D'")
+    if what not in ("S", "D", "both"):
+        raise ValueError("what must be 'S', 'D' or 'both'")
     rows = counts.select("gene", "tx", "sample", missing_to_null(F.col("count")).alias("count"))
     parts = (rows if tx2gene is None else tx2gene).groupBy("gene").agg(F.count_distinct("tx").alias("n"))
+    cells_of = {"S": {"value": True}, "D": {"value": False}, "both": {"entropy": True, "hill": False}}[what]
     cell = Window.partitionBy("gene", "sample")
     shares = rows.withColumns({"total": F.sum("count").over(cell), "gaps": F.sum(F.col("count").isNull().cast("int")).over(cell)})
     p = F.when((F.col("total") > 0) & (F.col("gaps") == 0), F.col("count") / F.col("total"))
     shares = shares.withColumn("p", p)
-    out = None
+    out = in_samples = None
     for i in range(0, len(orders), ORDERS_AT_ONCE):
         some = orders[i : i + ORDERS_AT_ONCE]
         sums = shares.groupBy("gene", "sample").agg(F.max("p").alias("known"), *(_power_sum(F.col("p"), x).alias(f"s{k}") for k, x in enumerate(some)))
+        in_samples = sums.select("sample").distinct() if in_samples is None else in_samples
         sums = sums.join(parts, "gene")
-        value = lambda k, x: entropy_of(F.col(f"s{k}"), F.col("n"), x, norm, log_base) if what == "S" else hill_of(F.col(f"s{k}"), x)
-        cells = F.array(*(F.struct(F.lit(x).alias("q"), missing_to_null(F.when(F.col("known").isNotNull(), value(k, x))).alias("value")) for k, x in enumerate(some)))
-        part = sums.select("gene", "sample", F.explode(cells).alias("cell")).select("gene", "sample", "cell.q", "cell.value")
+        value = lambda k, x, entropy: entropy_of(F.col(f"s{k}"), F.col("n"), x, norm, log_base) if entropy else hill_of(F.col(f"s{k}"), x)
+        known = lambda k, x, entropy: missing_to_null(F.when(F.col("known").isNotNull(), value(k, x, entropy)))
+        cells = F.array(*(F.struct(F.lit(x).alias("q"), *(known(k, x, entropy).alias(c) for c, entropy in cells_of.items())) for k, x in enumerate(some)))
+        part = sums.select("gene", "sample", F.explode(cells).alias("cell")).select("gene", "sample", "cell.q", *(f"cell.{c}" for c in cells_of))
         out = part if out is None else out.unionByName(part)
-    return complete_genes(out, (samples or counts).select("sample").distinct(), len(orders)) if complete else out
+    return complete_genes(out, in_samples if samples is None else samples.select("sample").distinct(), len(orders), tuple(cells_of)) if complete else out
 
 
-def complete_genes(values: DataFrame, samples: DataFrame, orders: int) -> DataFrame:
-    """Rows of the genes whose value is known in all cells, of which there are samples times orders."""
+def complete_genes(values: DataFrame, samples: DataFrame, orders: int, measures: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Rows of the genes whose values are known in all cells, of which there are samples times orders."""
     size = samples.agg((F.count("*") * orders).alias("cells"))
-    known = F.count("value").over(Window.partitionBy("gene"))
+    all_known = F.count_if(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in measures)))
+    known = all_known.over(Window.partitionBy("gene"))
     return values.withColumn("known", known).join(F.broadcast(size), F.col("known") == F.col("cells")).select(values.columns)
 
 
 def tsallis(x: Column, q: Sequence[float] | float = 2.0, norm: bool = True, what: str = "S", log_base: float = math.e) -> Column:
     """Entropy or Hill numbers of an array of counts, as a map from order to value, or one value.
 
-    NULL where the total is not positive or a count is missing beside positive ones.
+    NULL where the total is not positive or a count is missing beside positive ones. ``what`` both gives a
+    struct of both, S and D.
     """
     orders = check_orders(q)
+    if what == "both":
+        return F.struct(*(tsallis(x, q, norm, w, log_base).alias(w) for w in ("S", "D")))
+    if what not in ("S", "D"):
+        raise ValueError("what must be 'S', 'D' or 'both'")
     total = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.coalesce(missing_to_null(v), F.lit(0.0)))
     whole = (total > 0) & ~F.exists(x, lambda v: missing_to_null(v).isNull())
     n = F.size(x)

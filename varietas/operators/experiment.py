@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -30,12 +31,14 @@ class Experiment:
     metadata: Mapping[str, object] = field(default_factory=dict)
 
     def assay(self, which: str | int | None = None) -> DataFrame:
-        """By name, by number from 1, or the first."""
+        """By name, by number from 1, or the first; an unknown name gives the first one and a warning."""
         names = list(self.assays)
         if isinstance(which, int):
             if not 1 <= which <= len(names):
                 raise ValueError("assay number out of range")
             return self.assays[names[which - 1]]
+        if which is not None and which not in self.assays:
+            warnings.warn(f"no assay {which}: {names[0]} is taken", stacklevel=3)
         return self.assays[which if which in self.assays else names[0]]
 
     def with_metadata(self, **more: object) -> Experiment:
@@ -56,17 +59,20 @@ def to_wide(long: DataFrame, row: str, column: str, value: str, columns: Sequenc
 
 
 def resolve_tx2gene(table: DataFrame, tx_column: str = "Transcript", gene_column: str = "Gen") -> DataFrame:
-    """(tx, gene, ord) from the named columns, else the first two; the first row of a transcript wins."""
+    """(tx, gene, ord) from the named columns, else the first two; the first row of a transcript wins.
+
+    Rows are in the order of ``ord``, if there, else in that of their genes, which is the same in every run.
+    """
     tx = tx_column if tx_column in table.columns else table.columns[0]
     gene = gene_column if gene_column in table.columns else table.columns[min(1, len(table.columns) - 1)]
-    rows = table.select(F.col(f"`{tx}`").cast("string").alias("tx"), F.col(f"`{gene}`").cast("string").alias("gene"), F.monotonically_increasing_id().alias("ord"))
+    rows = table.select(F.col(f"`{tx}`").cast("string").alias("tx"), F.col(f"`{gene}`").cast("string").alias("gene"), (F.col("ord") if "ord" in table.columns else F.lit(0)).alias("ord"))
     return first_of_each(rows, "tx")
 
 
 def first_of_each(rows: DataFrame, key: str, order: str = "ord") -> DataFrame:
     """The row of the smallest ``order`` for each key."""
     rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("r")).select(key, *(f"r.{c}" for c in rest))
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(F.col(order), *(c for c in rest if c != order))).alias("r")).select(key, *(f"r.{c}" for c in rest))
 
 
 def build_experiment(tx2gene: DataFrame, readcounts: DataFrame, assay_name: str = "counts") -> Experiment:
@@ -99,12 +105,15 @@ def map_transcripts(readcounts: DataFrame, tx2gene: DataFrame, tx_column: str =
 
 
 def counts_of(x: Experiment, given: DataFrame | None = None) -> DataFrame:
-    """Read counts: given ones, else the metadata's, else the first assay known to hold counts, else the first."""
+    """Read counts: given ones, else the metadata's, else the first assay known to hold counts, else the first, with a warning."""
     if given is not None:
         return given
     if "readcounts" in x.metadata:
         return x.metadata["readcounts"]
-    return next((x.assays[n] for n in COUNT_ASSAYS if n in x.assays), next(iter(x.assays.values())))
+    known = next((x.assays[n] for n in COUNT_ASSAYS if n in x.assays), None)
+    if known is None:
+        warnings.warn("no assay is known to hold read counts: the first one is taken", stacklevel=2)
+    return next(iter(x.assays.values())) if known is None else known
 
 
 def mapping_of(x: Experiment, counts: DataFrame) -> DataFrame:
@@ -131,13 +140,18 @@ def from_assays(assays: Mapping[str, DataFrame], tpm: bool = False) -> DataFrame
     return assays["counts"]
 
 
-def calculate_diversity(x: Experiment | DataFrame, genes: DataFrame | None = None, q: Sequence[float] | float = 2.0, norm: bool = True, what: str = "S", tpm: bool = False, assay: str | int | None = None) -> Experiment:
+def calculate_diversity(x: Experiment | DataFrame | Mapping[str, DataFrame], genes: DataFrame | None = None, q: Sequence[float] | float = 2.0, norm: bool = True, what: str = "S", tpm: bool = False, assay: str | int | None = None) -> Experiment:
     """The diversity of every gene, sample and order as an experiment with one assay, diversity or hill.
 
     ``x`` is an experiment, whose read counts in the metadata go before its assays, or long counts
-    (feature, sample, value), which need ``genes`` (tx, gene, ord). Columns are samples, or
-    ``sample_q=...`` for several orders.
+    (feature, sample, value), which need ``genes`` (tx, gene, ord), or the parts of an imported
+    quantification, of which ``tpm`` takes the abundance. Columns are samples, or ``sample_q=...`` for
+    several orders.
     """
+    if what not in ("S", "D"):
+        raise ValueError("what must be 'S' or 'D'")
+    if isinstance(x, Mapping):
+        x = from_assays(x, tpm)
     if isinstance(x, Experiment):
         if isinstance(assay, int):
             x.assay(assay)

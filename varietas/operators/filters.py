@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .experiment import Experiment
+from .settled import settled
 
 
 def expressed(counts: DataFrame, min_count: float = 5, min_samples: int = 5, feature: str = "tx", value: str = "count", samples: DataFrame | None = None) -> DataFrame:
@@ -16,8 +19,16 @@ def expressed(counts: DataFrame, min_count: float = 5, min_samples: int = 5, fea
 
 
 def filter_experiment(x: Experiment, min_count: float = 5, min_samples: int = 5, assay: str | int = "counts") -> Experiment:
-    """The experiment with the expressed features only, in every assay, the row data, read counts and mapping."""
-    kept = expressed(x.assay(assay), min_count, min_samples, "feature", "value")
+    """The experiment with the expressed features only, in every assay, the row data, read counts and mapping.
+
+    The kept features are computed once; none is a warning, counts that are no numbers an error.
+    """
+    counts = x.assay(assay)
+    if dict(counts.dtypes)["value"] in ("string", "boolean"):
+        raise ValueError("counts must be numeric")
+    kept = settled(expressed(counts, min_count, min_samples, "feature", "value"))
+    if kept.isEmpty():
+        warnings.warn("no feature is expressed enough", stacklevel=2)
     semi = lambda df, column: df.join(kept.withColumnRenamed("feature", column), column, "left_semi")
     meta = dict(x.metadata, filtered=True)
     for name, column in (("readcounts", "feature"), ("tx2gene", "tx")):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from varietas.functions.numerics import missing_to_null
 
+from .settled import settled
+
 
 def summary(value: Column, method: str) -> Column:
     if method not in ("mean", "median"):
@@ -38,14 +40,15 @@ def apply_pseudocount(pairs: DataFrame, pseudocount: float = 0, within: tuple[st
     """``pairs`` (..., case, control) with summaries of 0 or less replaced by the pseudocount.
 
     0, less, or no number: half the smallest positive summary of the table (of each ``within``), or
-    1e-6. The minimum is one row that joins the plan; nothing is collected.
+    1e-6. The summaries are computed once; the minimum is one row that joins the plan.
     """
     if isinstance(pseudocount, (int, float)) and not isinstance(pseudocount, bool) and pseudocount > 0:
         rows = pairs.withColumn("pseudo", F.lit(float(pseudocount)))
     else:
+        pairs = settled(pairs)
         positive = lambda c: F.min(F.when(F.col(c) > 0, F.col(c)))
         low = pairs.groupBy(*within).agg(F.coalesce(F.least(positive("case"), positive("control")) / 2, F.lit(1e-6)).alias("pseudo"))
-        rows = pairs.join(F.broadcast(low), list(within)) if within else pairs.crossJoin(F.broadcast(low))
+        rows = pairs.join(low, list(within)) if within else pairs.crossJoin(F.broadcast(low))
     lift = lambda c: F.when(F.col(c) <= 0, F.col("pseudo")).otherwise(F.col(c))
     return rows.withColumns({"case": lift("case"), "control": lift("control")}).drop("pseudo")
 

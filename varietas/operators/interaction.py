@@ -17,6 +17,7 @@ from varietas.functions.numerics import chi2_1_sf, f_sf, t_sf2, t_two_sided
 
 from .filters import enough_observations
 from .padjust import adjust
+from .settled import settled
 
 METHODS = ("linear", "lmm", "gam", "fpca")
 #: Below this ratio of standard deviations a mixed fit counts as singular.
@@ -293,10 +294,11 @@ def curve_interaction(values: DataFrame, min_obs: int = 10) -> DataFrame:
     return rows.groupBy("gene").applyInPandas(run, "gene string, p_interaction double")
 
 
-def calculate_interaction(values: DataFrame, method: str = "linear", min_obs: int = 10, pvalue: str = "satterthwaite", subject: str | None = None, pcorr: str = "BH") -> DataFrame:
-    """The interaction table of (gene, sample, group, q, value), with adj_p_interaction.
+def calculate_interaction(values: DataFrame, method: str = "linear", min_obs: int = 10, pvalue: str = "satterthwaite", subject: str | None = None, pcorr: str = "BH", paired: bool = False) -> DataFrame:
+    """The interaction table of (gene, sample, group, q, value), with adj_p_interaction, by adjusted and raw p.
 
-    ``subject`` names the column of mixed fits' subjects; by default each sample is one.
+    ``subject`` names the column of mixed fits' subjects; by default it is ``sample_base``, if ``values``
+    has it, which ``paired`` needs, else each sample is one.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
@@ -306,13 +308,17 @@ def calculate_interaction(values: DataFrame, method: str = "linear", min_obs: in
         raise ValueError("groups are needed")
     if subject is not None and subject not in values.columns:
         raise ValueError(f"no column {subject}")
+    if paired and subject is None and "sample_base" not in values.columns:
+        raise ValueError("paired samples need a column sample_base or a subject column")
+    subject = subject or ("sample_base" if "sample_base" in values.columns else "sample")
+    values = settled(values)
     if method == "linear":
         fits = linear_interaction(values, min_obs).select("gene", "p_interaction")
     elif method == "lmm":
-        fits = mixed_interaction(values.withColumn("subject", F.col(subject or "sample")), min_obs, pvalue)
+        fits = mixed_interaction(values.withColumn("subject", F.col(subject)), min_obs, pvalue)
     else:
         fits = (additive_interaction if method == "gam" else curve_interaction)(values, min_obs)
-    return adjust(fits, pcorr, "p_interaction", "adj_p_interaction")
+    return adjust(fits, pcorr, "p_interaction", "adj_p_interaction").orderBy(F.asc_nulls_last("adj_p_interaction"), F.asc_nulls_last("p_interaction"), "gene")
 
 
 def fit_summary(fits: DataFrame) -> DataFrame:

@@ -22,9 +22,9 @@ def _names(df: DataFrame, column: str) -> list[str]:
 
 
 def sample_groups(coldata: DataFrame, sample_column: str = "Sample", condition_column: str = "Condition") -> DataFrame:
-    """(sample, sample_type, sample_base, ord) from a metadata table, its first row of each sample."""
-    rows = coldata.select(F.col(sample_column).alias("sample"), F.col(condition_column).alias("sample_type"), (F.col("ord") if "ord" in coldata.columns else F.monotonically_increasing_id()).alias("ord"))
-    first = rows.groupBy("sample").agg(F.min_by("sample_type", "ord").alias("sample_type"), F.min("ord").alias("ord"))
+    """(sample, sample_type, sample_base, ord) from a metadata table, its first row of each sample by ``ord``, if there."""
+    rows = coldata.select(F.col(sample_column).alias("sample"), F.col(condition_column).alias("sample_type"), (F.col("ord") if "ord" in coldata.columns else F.lit(0)).alias("ord"))
+    first = rows.groupBy("sample").agg(F.min_by("sample_type", F.struct("ord", "sample_type")).alias("sample_type"), F.min("ord").alias("ord"))
     return first.withColumn("sample_base", sample_base(F.col("sample")))
 
 
@@ -49,14 +49,14 @@ def map_metadata(columns: DataFrame, coldata: DataFrame | None, sample_column: s
         raise ValueError(f"bases without all conditions: {', '.join(bad)}")
     if bad := _names(columns.join(groups, "sample", "left_anti"), "sample"):
         raise ValueError(f"samples without metadata: {', '.join(bad)}")
-    mapped = columns.drop("ord").join(F.broadcast(groups), "sample")
+    mapped = columns.drop("ord").join(groups, "sample")
     if paired:
         first = Window.partitionBy("sample_base")
         order = [F.min("ord").over(first).alias("base_ord"), "sample_type", "ord"]
         mapped = mapped.select("*", order[0])
-        by = Window.orderBy("base_ord", "sample_type", "ord", "q")
+        by = Window.orderBy("base_ord", "sample_type", "ord", "sample", "q")
     else:
-        by = Window.orderBy("ord", "q")
+        by = Window.orderBy("ord", "sample", "q")
     return mapped.withColumn("col_ord", F.row_number().over(by)).select("sample", "q", "sample_type", "sample_base", "col_ord")
 
 
@@ -66,7 +66,7 @@ def with_groups(values: DataFrame, groups: DataFrame | None, strict: bool = True
         return values.withColumn("group", F.lit("Group"))
     if strict and (bad := _names(values.select("sample").distinct().join(groups, "sample", "left_anti"), "sample")):
         raise ValueError(f"samples without a group: {', '.join(bad)}")
-    return values.join(F.broadcast(groups.select("sample", F.col("sample_type").alias("group"))), "sample", "left")
+    return values.join(groups.select("sample", F.col("sample_type").alias("group")), "sample", "left")
 
 
 def long_values(values: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -104,7 +104,7 @@ def samples_in_order(coldata: DataFrame, samples: DataFrame, column: str) -> Dat
     table = coldata.select(F.col(key).alias("sample"), F.col(column).alias("group"))
     if bad := _names(samples.join(table, "sample", "left_anti"), "sample"):
         raise ValueError(f"samples without metadata: {', '.join(bad)}")
-    return samples.join(F.broadcast(table), "sample")
+    return samples.join(table, "sample")
 
 
 def pair_number(order: Column) -> Column:

@@ -1,78 +1,137 @@
-"""Corrections of p-values for many tests. Inputs have one row per gene."""
-
-from __future__ import annotations
+"""Corrections of p-values for many tests, without a window over all of them.
 
+Equal p-values are adjusted alike, so the distinct ones with their counts are sorted into ranges; ranks
+and running extremes of a range are windows inside it, and what lies before or after it comes from one
+row per range. Families (``within``) have windows of their own.
+"""
 
+from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settled import settled
+
+#: The names of the corrections.
 METHODS = ("holm", "hochberg", "hommel", "bonferroni", "BH", "BY", "fdr", "none")
+#: Terms of a harmonic number that are summed; the rest comes from its expansion.
+HARMONIC_TERMS = 64
 
 
 def adjust(rows: DataFrame, method: str = "BH", p: str = "raw_p_values", out: str = "adjusted_p_values", within: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with the adjusted p-values in ``out``; missing ones stay missing and don't count.
 
-    The windows run over gene-level rows, one per test.
+    Hommel's correction brings the distinct p-values of a family, two numbers each, to one task.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
     if method == "none":
         return rows.withColumn(out, F.col(p))
-    by = Window.partitionBy(*within)
-    known = F.col(p).isNotNull()
-    n = F.count(F.col(p)).over(by)
+    rows = settled(rows)
+    known = rows.where(F.col(p).isNotNull())
     if method == "bonferroni":
-        return rows.withColumn(out, F.when(known, F.least(F.lit(1.0), n * F.col(p))))
+        n = known.groupBy(*within).agg(F.count("*").alias("_n"))
+        whole = rows.join(n, list(within), "left") if within else rows.crossJoin(F.broadcast(n))
+        return whole.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("_n") * F.col(p)))).drop("_n")
+    distinct = known.groupBy(*within, F.col(p).alias("_p")).agg(F.count("*").alias("_m"))
     if method == "hommel":
-        return _hommel(rows, p, out, within)
-    up = by.orderBy(F.col(p).asc_nulls_last())
-    rank = F.row_number().over(up)
+        found = _hommel(distinct, out, within)
+    else:
+        found = (_in_families if within else _in_ranges)(distinct, method).select(*within, "_p", F.least(F.lit(1.0), "_best").alias(out))
+    joined = rows.withColumn("_p", F.col(p)).join(found, [*within, "_p"], "left")
+    return joined.select(*rows.columns, out)
+
+
+def _step(method: str, n: Column, last: Column, m: Column) -> tuple[Column, bool]:
+    """The factor of a distinct p of rank ``last`` at most, ``m`` times there, of n; and if the extreme runs upwards."""
     if method == "holm":
-        step, order, fold = (n - rank + 1) * F.col(p), up, F.max
+        return n - (last - m), True
+    if method == "hochberg":
+        return n - last + 1, False
+    if method == "BY":
+        return _harmonic(n) * n / last, False
+    return n / last, False
+
+
+def _harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n."""
+    few = F.least(n, F.lit(HARMONIC_TERMS))
+    tail = lambda x: F.ln(x) + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+    head = F.aggregate(F.sequence(F.lit(1), F.greatest(few, F.lit(1)).cast("int")), F.lit(0.0), lambda s, k: s + 1 / k)
+    return head + tail(F.greatest(n, F.lit(1)).cast("double")) - tail(F.greatest(few, F.lit(1)).cast("double"))
+
+
+def _in_families(distinct: DataFrame, method: str) -> DataFrame:
+    """``distinct`` (family, _p, _m) with ``_best``: the extreme of the steps on the side that the method looks at."""
+    by = Window.partitionBy(*(c for c in distinct.columns if c not in ("_p", "_m")))
+    up = by.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    factor, upwards = _step(method, F.col("_n"), F.col("_last"), F.col("_m"))
+    stepped = distinct.withColumns({"_n": F.sum("_m").over(by), "_last": F.sum("_m").over(up)}).withColumn("_step", factor * F.col("_p"))
+    best = F.max("_step").over(up) if upwards else F.min("_step").over(by.orderBy("_p").rowsBetween(0, Window.unboundedFollowing))
+    return stepped.withColumn("_best", best)
+
+
+def _in_ranges(distinct: DataFrame, method: str) -> DataFrame:
+    """As ``_in_families`` for a single family, by ranges of p: two tables of one row per range carry ranks and extremes over."""
+    ranges = settled(distinct.repartitionByRange("_p").withColumn("_range", F.spark_partition_id()))
+    by = Window.partitionBy("_range")
+    up = by.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    over_ranges = Window.orderBy("_range")
+    before, after = over_ranges.rowsBetween(Window.unboundedPreceding, -1), over_ranges.rowsBetween(1, Window.unboundedFollowing)
+    sizes = ranges.groupBy("_range").agg(F.sum("_m").alias("_size"))
+    sizes = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"), F.sum("_size").over(Window.partitionBy()).alias("_n"))
+    factor, upwards = _step(method, F.col("_n"), F.col("_last"), F.col("_m"))
+    placed = ranges.withColumn("_last", F.sum("_m").over(up)).join(F.broadcast(sizes), "_range").withColumn("_last", F.col("_last") + F.col("_first"))
+    stepped = settled(placed.withColumn("_step", factor * F.col("_p")))
+    if upwards:
+        own, others = F.max("_step").over(up), F.max("_far").over(before)
     else:
-        order, fold = by.orderBy(F.col(p).desc_nulls_last(), F.col("_rank").desc()), F.min
-        weight = n - rank + 1 if method == "hochberg" else n / rank
-        if method == "BY":
-            weight = weight * F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, k: s + 1 / k)
-        step = weight * F.col(p)
-    staged = rows.withColumns({"_rank": rank, "_step": F.when(known, step)})
-    run = order if method != "holm" else by.orderBy(F.col(p).asc_nulls_last(), F.col("_rank"))
-    best = fold("_step").over(run.rowsBetween(Window.unboundedPreceding, 0))
-    return staged.withColumn(out, F.when(known, F.least(F.lit(1.0), best))).drop("_rank", "_step")
+        own, others = F.min("_step").over(by.orderBy("_p").rowsBetween(0, Window.unboundedFollowing)), F.min("_far").over(after)
+    far = stepped.groupBy("_range").agg((F.max if upwards else F.min)("_step").alias("_far")).select("_range", others.alias("_far"))
+    pick = F.greatest if upwards else F.least
+    return stepped.withColumn("_own", own).join(F.broadcast(far), "_range").withColumn("_best", pick("_own", "_far"))
 
 
 def hommel(p: np.ndarray) -> np.ndarray:
-    """Hommel's adjusted p-values of known p-values."""
+    """Hommel's adjusted p-values of known p-values, by closed testing with Simes tests.
+
+    Of the sets of m hypotheses the one of the m largest p-values is the last that its Simes test
+    rejects, at a level c(m), the least of m p(n - m + j) / j: m times the least slope from (n - m, 0) to
+    the points (k, p(k)) beyond, so a tangent to their lower hull. At level a at most h(a) hypotheses can
+    all be true, the largest m with c(m) > a, and one is rejected if h(a) p <= a.
+    """
     n = len(p)
-    if n < 2:
-        return np.minimum(p, 1.0)
     order = np.argsort(p, kind="stable")
-    s, i = p[order], np.arange(1, n + 1)
-    q = best = np.full(n, np.min(n * s / i))
-    for m in range(n - 1, 1, -1):
-        low, high = np.arange(n - m + 1), np.arange(n - m + 1, n)
-        q1 = np.min(m * s[high] / np.arange(2, m + 1))
-        q = q.copy()
-        q[low] = np.minimum(m * s[low], q1)
-        q[high] = q[n - m]
-        best = np.maximum(best, q)
+    s = np.concatenate([[0.0], np.asarray(p, dtype=float)[order]])
+    level, hull = np.zeros(n + 2), []
+    for a in range(n - 1, -1, -1):
+        k = a + 1
+        while len(hull) >= 2 and (s[hull[-1]] - s[k]) * (hull[-2] - k) >= (s[hull[-2]] - s[k]) * (hull[-1] - k):
+            hull.pop()
+        hull.append(k)
+        low, high = 0, len(hull) - 1
+        while low < high:
+            mid = (low + high) // 2
+            if s[hull[mid]] * (hull[mid + 1] - a) <= s[hull[mid + 1]] * (hull[mid] - a):
+                high = mid
+            else:
+                low = mid + 1
+        level[n - a] = (n - a) * s[hull[low]] / (hull[low] - a)
+    level = np.maximum.accumulate(level[::-1])[::-1]
+    sizes = np.arange(1, n + 1)
+    most = np.searchsorted(-level[1 : n + 1] / sizes, -s[1:], side="left")
     out = np.empty(n)
-    out[order] = np.minimum(np.maximum(best, s), 1.0)
+    out[order] = np.minimum(np.maximum(level[most + 1], most * s[1:]), 1.0)
     return out
 
 
-def _hommel(rows: DataFrame, p: str, out: str, within: tuple[str, ...]) -> DataFrame:
-    """Hommel needs all p-values of a family at once: the distinct ones and their counts would not do, so the
-    family's (row, p) pairs, two numbers per gene, meet in one task."""
-    keyed = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_family", F.xxhash64(*(within or (F.lit(0),))))
+def _hommel(distinct: DataFrame, out: str, within: tuple[str, ...]) -> DataFrame:
+    schema = ", ".join(f"{c} {t}" for c, t in distinct.dtypes if c != "_m") + f", {out} double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(**{out: hommel(pdf["_p"].to_numpy())})[["_id", out]]
-
-    found = keyed.where(F.col(p).isNotNull()).select("_id", "_family", F.col(p).alias("_p")).groupBy("_family").applyInPandas(run, f"_id long, {out} double")
-    return keyed.join(found, "_id", "left").drop("_id", "_family")
-
+        values, count = pdf["_p"].to_numpy(), pdf["_m"].to_numpy()
+        return pdf.drop(columns=["_m", "_all"]).assign(**{out: hommel(np.repeat(values, count))[np.cumsum(count) - count]})
 
+    return distinct.withColumn("_all", F.lit(0)).groupBy(*(within or ["_all"])).applyInPandas(run, schema)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from varietas.functions.numerics import format_label
 
 from .foldchange import fold_change
+from .settled import settled
 
 #: Names of fold-change and adjusted-p columns, in the order they are looked for, and the level of significance.
 FOLD_COLUMNS = ("log2_fold_change", "logFC", "fold", "estimate_interaction", "fold_change")
@@ -27,10 +28,25 @@ def q_curve(values: DataFrame) -> DataFrame:
     return _spread(values, ["group", "q"])
 
 
-def gene_profile(values: DataFrame, genes: Sequence[str] | DataFrame) -> DataFrame:
-    """The q curve of each gene of a list, or of a frame (gene)."""
-    rows = values.join(F.broadcast(genes), "gene", "left_semi") if isinstance(genes, DataFrame) else values.where(F.col("gene").isin(*genes))
-    return _spread(rows, ["gene", "group", "q"])
+def gene_profile(values: DataFrame, genes: Sequence[str] | DataFrame | None = None, table: DataFrame | None = None, n_top: int = 10, show_samples: bool = False) -> DataFrame:
+    """The q curve of each gene of a list, of a frame (gene), or of the ``n_top`` first genes of an interaction ``table``.
+
+    ``show_samples`` adds the samples' own lines: rows with ``sample`` and ``value``, and no spread. A
+    listed gene without values is an error.
+    """
+    if genes is None:
+        if table is None:
+            raise ValueError("genes or an interaction table are needed")
+        genes = top_genes(table, n_top, "adj_p_interaction", "p_interaction", "gene")
+    if isinstance(genes, DataFrame):
+        rows = values.join(genes.select("gene"), "gene", "left_semi")
+    else:
+        rows = values.where(F.col("gene").isin(*genes))
+        found = {r[0] for r in rows.select("gene").distinct().collect()}
+        if missing := [g for g in genes if g not in found]:
+            raise ValueError(f"genes without values: {', '.join(missing)}")
+    spread = _spread(rows, ["gene", "group", "q"])
+    return spread.unionByName(rows.select("gene", "group", "q", "sample", "value"), allowMissingColumns=True) if show_samples else spread
 
 
 def _spread(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,6 +60,11 @@ def mean_by_group(values: DataFrame) -> DataFrame:
     return values.groupBy("group", "gene").agg(F.avg("value").alias("mean"))
 
 
+def mean_density(values: DataFrame, points: int = 64) -> DataFrame:
+    """(group, x, density): the shape of a mean violin, the density of the genes' means in each group."""
+    return density(mean_by_group(values).withColumnRenamed("mean", "value"), ["group"], points)
+
+
 def box_statistics(values: DataFrame) -> DataFrame:
     """(q, group, n, lower, median, upper): the boxes in violins of several orders."""
     q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -117,13 +138,18 @@ def gene_counts(counts: DataFrame) -> DataFrame:
 
 def ma_expression(table: DataFrame, counts: DataFrame, groups: DataFrame, case: str, control: str, fc_method: str = "median", pseudocount: float = 0) -> DataFrame:
     """The MA frame of a difference table with the fold changes of gene expression."""
-    rows = gene_counts(counts).join(F.broadcast(groups.select("sample", "group")), "sample").withColumnRenamed("count", "value")
+    rows = gene_counts(counts).join(groups.select("sample", "group"), "sample").withColumnRenamed("count", "value")
     fold = fold_change(rows, case, control, fc_method, pseudocount).select(F.col("gene").alias("genes"), "log2_fold_change")
-    return ma_frame(table, fold)
+    return ma_frame(table, fold).orderBy("genes")
 
 
 def volcano_frame(table: DataFrame, x: str | None = None, padj: str = "adjusted_p_values", label_thresh: float = 0.1, padj_thresh: float = 0.05) -> DataFrame:
-    """(genes, x, padj, y, significant): x is the first ``*_difference``, else the first numeric column that is no p."""
+    """(genes, x, padj, y, significant): x is the first ``*_difference``, else the first numeric column that is no p.
+
+    A table without ``padj``, and one without any finite x, is an error.
+    """
+    if padj not in table.columns:
+        raise ValueError(f"no column {padj}")
     numeric = [c for c, t in table.dtypes if t in ("double", "float", "int", "bigint")]
     x = x or next((c for c in table.columns if c.endswith("_difference")), None) or next((c for c in numeric if "p_value" not in c and "padj" not in c and c != padj), None)
     if x is None:
@@ -131,7 +157,10 @@ def volcano_frame(table: DataFrame, x: str | None = None, padj: str = "adjusted_
     p = F.coalesce(F.col(padj), F.lit(1.0))
     p = F.when(p <= 0, F.lit(sys.float_info.min)).otherwise(p)
     value = F.col(f"`{x}`").cast("double")
+    table = settled(table)
     rows = table.select(F.col("genes"), value.alias("x"), p.alias("padj")).where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf")))
+    if rows.isEmpty():
+        raise ValueError("no valid points")
     return rows.withColumns({"y": -F.log10("padj"), "significant": (F.abs("x") >= label_thresh) & (F.col("padj") < padj_thresh)})
 
 
@@ -145,7 +174,7 @@ def top_genes(table: DataFrame, n: int, p: str = "adjusted_p_values", then: str
 def first_transcripts(mapping: DataFrame, genes: DataFrame, n: int) -> DataFrame:
     """(gene, tx, place) of the first n transcripts of each gene in the order of the mapping (tx, gene, ord)."""
     place = F.row_number().over(Window.partitionBy("gene").orderBy("ord"))
-    return mapping.join(F.broadcast(genes), "gene", "left_semi").withColumn("place", place).where(F.col("place") <= n).select("gene", "tx", "place")
+    return mapping.join(genes, "gene", "left_semi").withColumn("place", place).where(F.col("place") <= n).select("gene", "tx", "place")
 
 
 def transcript_summary(counts: DataFrame, chosen: DataFrame, groups: DataFrame, metric: str = "median", pseudocount: float = 1e-6) -> DataFrame:
@@ -155,7 +184,7 @@ def transcript_summary(counts: DataFrame, chosen: DataFrame, groups: DataFrame,
     of = {"median": F.median(value), "mean": F.avg(value), "variance": F.var_samp(value), "iqr": quartiles[1] - quartiles[0]}
     if metric not in of:
         raise ValueError("metric must be median, mean, variance or iqr")
-    rows = counts.select("tx", "sample", "count").join(F.broadcast(chosen.select("gene", "tx")), "tx").join(F.broadcast(groups.select("sample", "group")), "sample")
+    rows = counts.select("tx", "sample", "count").join(chosen.select("gene", "tx"), "tx").join(groups.select("sample", "group"), "sample")
     out = rows.groupBy("gene", "tx", "group").agg(of[metric].alias("expression"))
     return out.withColumn("log2expr", F.log2(F.col("expression") + pseudocount))
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from varietas.functions.numerics import missing_to_null, normal_two_sided
 
+from .settled import settled
+
 
 def _ranks(rows: DataFrame, value: str) -> DataFrame:
     """Known rows with the average rank of ``value`` in the gene and the size of its tie."""
@@ -106,6 +108,7 @@ def wilcoxon(values: DataFrame, first: str, second: str, paired: bool = False, e
     A test that can't be made as asked (a gene without variation or values, ties or zero differences
     in an exact test) has p = 1. Every gene of ``values`` has a row.
     """
+    values = settled(values)
     if paired:
         x, y = (F.max(F.when(F.col("group") == g, F.col("value"))) for g in (first, second))
         sizes = values.groupBy("gene").agg(F.count_if(F.col("group") == first).alias("a"), F.count_if(F.col("group") == second).alias("b"))

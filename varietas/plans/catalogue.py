@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +9,11 @@ from pyspark.sql import functions as F
 
 from varietas.functions.numerics import format_label
 from varietas.operators import difference, diversity, experiment, filters, foldchange, interaction, metadata, padjust, permute, plotdata, ranktests
+from varietas.operators.settled import settled
 from varietas.sources import tables
 
 from . import fixtures, sql
-from .sql import adjusted, fold_change, grouped, normal_p, r, rank_sums, t_p, values, with_
+from .sql import adjusted, exact_p, fold_change, grouped, hommel, normal_p, r, rank_sums, t_p, values, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,9 +56,10 @@ CELLS = f"SELECT gene, sample, q, {r('value')} FROM vals"
 
 def _grouped(counts: DataFrame, q=2.0, **options) -> tuple[DataFrame, DataFrame]:
     """Values (gene, sample, q, value, group), rounded so that ties agree in both engines, and the samples."""
-    samples = fixtures.samples_of(counts)
-    rows = diversity.diversity(counts, q, **options).withColumn("value", F.round("value", 9))
-    return rows.join(F.broadcast(samples.select("sample", "group")), "sample"), samples
+    counts = settled(counts)
+    samples = settled(fixtures.samples_of(counts))
+    rows = diversity.diversity(counts, q, samples=samples, **options).withColumn("value", F.round("value", 9))
+    return rows.join(samples.select("sample", "group"), "sample"), samples
 
 
 # Diversity ------------------------------------------------------------------------------------
@@ -362,14 +363,19 @@ def wilcoxon_paired_p(spark, sf_dir):
     return ranktests.wilcoxon(rows, "N", "T", paired=True).select("gene", rounded("raw_p_values", "p"))
 
 
-@query()
+_RANKED = "ranked AS (SELECT gene, n1 + n2 AS n, n1 AS k, round(u + n1 * (n1 + 1) / 2) AS s, tie_sum = 0 AND n1 > 0 AND n2 > 0 AS fair FROM rs)"
+_SIGNED = "ranked AS (SELECT gene, coalesce(n, 0) AS n, 0 AS k, round(coalesce(vv, 0)) AS s, coalesce(n, 0) > 0 AND coalesce(tie_sum, 0) = 0 AND zeros = 0 AS fair FROM (SELECT gene, count(*) FILTER (d = 0) AS zeros FROM pairs GROUP BY gene) LEFT JOIN ps USING (gene))"
+
+
+@query(with_(*values((2.0,), "retail"), *grouped("retail"), *rank_sums("even", "odd"), _RANKED, *exact_p("rank sum", "ranked")) + f"SELECT gene, {r('p')} FROM ex")
 def wilcoxon_exact_p(spark, sf_dir):
-    return ranktests.wilcoxon(_grouped(fixtures.retail(spark, sf_dir))[0], "even", "odd", exact=True)
+    return ranktests.wilcoxon(_grouped(fixtures.retail(spark, sf_dir))[0], "even", "odd", exact=True).select("gene", rounded("raw_p_values", "p"))
 
 
-@query()
+@query(with_(*values((2.0,), "event_pairs"), *grouped("event_pairs"), *_PAIRED, _SIGNED, *exact_p("signed", "ranked")) + f"SELECT gene, {r('p')} FROM ex")
 def signed_rank_exact_p(spark, sf_dir):
-    return ranktests.wilcoxon(_with_pairs(_grouped(fixtures.event_pairs(spark, sf_dir))[0]), "N", "T", paired=True, exact=True)
+    rows = _with_pairs(_grouped(fixtures.event_pairs(spark, sf_dir))[0])
+    return ranktests.wilcoxon(rows, "N", "T", paired=True, exact=True).select("gene", rounded("raw_p_values", "p"))
 
 
 _P = [_VECTORS, *rank_sums("a", "b"), f"ps AS (SELECT gene, {normal_p('z')} AS p FROM rs)"]
@@ -385,7 +391,7 @@ def _adjusted(method: str) -> Query:
 
 for _method in ("BH", "BY", "holm", "hochberg", "bonferroni"):
     query(with_(*_P, *adjusted(_method, "ps")) + f"SELECT gene, {r('p')}, {r('a')} FROM adj", f"padjust_{_method.lower()}")(_adjusted(_method))
-query(None, "padjust_hommel")(_adjusted("hommel"))
+query(with_(*_P, *hommel("ps")) + f"SELECT gene, {r('p')}, {r('a')} FROM adj", "padjust_hommel")(_adjusted("hommel"))
 
 
 # Permutation tests ------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ ROUND = 6
 
 
 def with_(*ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
 
 
 def values(q: Sequence[float], of: str, norm: bool = True, what: str = "S", base: float | None = None, complete: bool = True, out: str = "vals") -> list[str]:
@@ -101,6 +101,33 @@ def adjusted(method: str, source: str, p: str = "p", out: str = "adj") -> list[s
     return [ranked, f"{out} AS (SELECT *, CASE WHEN {p} IS NOT NULL THEN least(1.0, {step}) END AS a FROM o_{out})"]
 
 
+def hommel(source: str, p: str = "p", out: str = "adj") -> list[str]:
+    """CTE ``out``: ``source`` with column a, by closed testing with Simes tests: e is the level at which a set of m is rejected."""
+    return [
+        f"hs AS (SELECT {p} AS p, row_number() OVER (ORDER BY {p}) AS i, count(*) OVER () AS n FROM {source} WHERE {p} IS NOT NULL)",
+        "hc AS (SELECT m, min(m * p / (i - (n - m))) AS c FROM hs JOIN (SELECT i AS m FROM hs) ON i > n - m GROUP BY m)",
+        "he AS (SELECT m, max(c) OVER (ORDER BY m DESC ROWS UNBOUNDED PRECEDING) AS e FROM hc)",
+        f"hm AS (SELECT p, coalesce(max(m), 0) AS most FROM (SELECT DISTINCT {p} AS p FROM {source} WHERE {p} IS NOT NULL) LEFT JOIN he ON e > m * p GROUP BY p)",
+        f"{out} AS (SELECT s.*, CASE WHEN s.{p} IS NOT NULL THEN least(1.0, greatest(coalesce(e, 0), most * s.{p})) END AS a FROM {source} s LEFT JOIN hm ON hm.p = s.{p} LEFT JOIN he ON m = most + 1)",
+    ]
+
+
+def exact_p(kind: str, source: str, out: str = "ex") -> list[str]:
+    """CTEs, recursive ones among them, that end in ``out`` (gene, p): twice the smaller tail of all placings of ranks.
+
+    ``source`` has gene, n (ranks), k (how many of them are summed, or, signed, any number), s (their sum), fair.
+    """
+    signed = kind == "signed"
+    match = "w.r = x.n" if signed else "w.r = x.n AND w.k = x.k"
+    return [
+        f"""ways(r, k, s, c) AS (SELECT 0, 0, 0, CAST(1 AS DOUBLE) UNION ALL
+    SELECT w.r + 1, {0 if signed else 'w.k + take'}, w.s + take * (w.r + 1), sum(w.c) FROM ways w, (VALUES (0), (1)) t(take)
+    WHERE w.r < (SELECT max(n) FROM {source}) GROUP BY ALL)""",
+        f"tails AS (SELECT gene, sum(c) AS every, sum(c) FILTER (w.s <= x.s) AS low, sum(c) FILTER (w.s >= x.s) AS high FROM {source} x JOIN ways w ON {match} WHERE fair GROUP BY gene)",
+        f"{out} AS (SELECT x.gene, coalesce(least(1.0, 2 * least(low, high) / every), 1.0) AS p FROM {source} x LEFT JOIN tails USING (gene))",
+    ]
+
+
 def r(x: str, name: str | None = None) -> str:
     """``x`` rounded and without a negative zero, under its name."""
     return f"round({x}, {ROUND}) + 0.0 AS {name or x}"

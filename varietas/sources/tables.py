@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varietas.operators.experiment import resolve_tx2gene
+from varietas.operators.settled import shared_folder
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -19,7 +19,7 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tx2gene(spark: SparkSession, source: str | DataFrame, strict: bool = False) -> DataFrame:
     """(tx, gene, ord) from a path or a table; ``strict`` asks for the columns Transcript and Gen."""
-    table = read_tsv(spark, source) if isinstance(source, str) else source
+    table = read_tsv(spark, source).withColumn("ord", F.monotonically_increasing_id()) if isinstance(source, str) else source
     if not isinstance(table, DataFrame):
         raise TypeError("a path or a table is needed")
     if strict and not {"Transcript", "Gen"} <= set(table.columns):
@@ -57,6 +57,5 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a local one only where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the cluster's shared checkpoint folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
