@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Every stretch of WINDOW words of a text is a window. A word's input is its own vector beside the
+Words of a text form windows that overlap by three quarters. A word's input is its own vector beside the
 element-wise largest of the vectors of its character n-grams; gated recurrent units read a window in
 both directions; attention pools their states into one logit. A document scores as its worst window.
 Windows that hold no known word or n-gram differ by their length only, so one of each length is read.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import slices, text_or_empty
 from .wordhash import Words, words_of
 
-#: Words in a window, and the step from one to the next in training; scores take every window.
-WINDOW, STEP = 24, 8
+#: Words in a window, and the step from one to the next.
+WINDOW, STEP = 32, 8
 #: Most labelled rows of each class that are read to train (those whose ids hash lowest), most bytes of one of
 #: their texts, a longer one isn't trained on, and of all of them.
 TRAINING_ROWS, TEXT_BYTES, TRAINING_BYTES = 1_500, 1 << 20, 32 << 20
@@ -38,7 +38,7 @@ SET_ASIDE = 5
 GRAMS = (4, 7)
 #: Most known words and n-grams, vector lengths, states per direction.
 WORDS_KEPT, GRAMS_KEPT, WORD_DIM, GRAM_DIM, STATES = 6_000, 6_000, 6, 6, 10
-ROUNDS, RATE = 6, 0.02
+ROUNDS, RATE = 12, 0.01
 #: Share of the logarithm of the number of candidates that a known key must gain in likelihood.
 SURE = 0.4
 #: Windows in a batch at least and at most; in between, a round has so many batches.
@@ -85,13 +85,13 @@ def _number(vocabulary: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == wanted, at + 1, 0)
 
 
-def windows_of(first: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first word and number of words of every window, or of every step-th; documents without words have none."""
+def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first word and number of words of every window; documents without words have none."""
     n = np.diff(first)
-    count = np.where(n > 0, np.maximum(-(-(n - WINDOW) // step), 0) + 1, 0)
+    count = np.where(n > 0, np.maximum(-(-(n - WINDOW) // STEP), 0) + 1, 0)
     doc = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    begin = first[:-1][doc] + k * step
+    begin = first[:-1][doc] + k * STEP
     return doc, begin, np.minimum(first[1:][doc] - begin, WINDOW)
 
 
@@ -310,7 +310,7 @@ def _start(texts: list[str], y: np.ndarray, seed: int) -> ToxicityNet:
     own_grams = [np.unique(np.concatenate([grams[gram_first[w] : gram_first[w + 1]] for w in o])) if len(o) else grams[:0] for o in own]
     net = ToxicityNet(*_log_odds([distinct[o] for o in own], y, WORDS_KEPT), *_log_odds(own_grams, y, GRAMS_KEPT), seed=seed)
     x = Inputs(_number(net.words, distinct), _number(net.grams, grams), gram_first, at)
-    net.trainable = (x, *windows_of(first, STEP)) if len(at) else None
+    net.trainable = (x, *windows_of(first)) if len(at) else None
     return net
 
 
