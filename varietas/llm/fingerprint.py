@@ -23,6 +23,8 @@ from .common import text_or_empty
 SIZE, DIGITS = 128, 8
 #: Text bytes that one task fingerprints at least, where the cluster's partitions are fewer.
 BYTES_PER_TASK = 8 << 20
+#: Most ranges of ids, and how many bounds one step of the search for a row's range looks at.
+MOST_RANGES, BOUNDS_AT_ONCE = 1 << 16, 1 << 8
 #: What stands for a null id in the order of ids: below every other.
 LOWEST = -(1 << 63)
 
@@ -116,18 +118,17 @@ def fingerprint_edited(docs: DataFrame, size: int = SIZE, bytes_per_task: int =
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Defined cases: a null text counts as empty, and an empty text has an empty fingerprint, which is
-    like an empty one only; rows with equal ids follow each other by text; null ids come last; a
+    like an empty one only; rows with equal ids follow each other by text, in one task; null ids
+    come last; ids that are no whole numbers fail; a
     table of one row has itself as next; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("place"))
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    wanted = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // bytes_per_task)))
+    wanted = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // bytes_per_task), MOST_RANGES))
     bounds = _bounds(rows, wanted)
     count = len(bounds)
-    shares = F.lit(bounds).cast("array<long>")
-    range_ = F.size(F.filter(shares, lambda b: b < F.col("place")))
-    dealt = _dealt(rows, shares, range_, count)
+    dealt = _dealt(rows, bounds)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, _Document] = {}
@@ -162,9 +163,19 @@ def _bounds(rows: DataFrame, wanted: int) -> list[int]:
     return sorted({*(found["p"] or ()), *([] if found["top"] is None else [found["top"]])}) or [LOWEST]
 
 
-def _dealt(rows: DataFrame, bounds: Column, own: Column, count: int) -> DataFrame:
+def _below(bounds: list[int], place: Column) -> Column:
+    """How many of the ascending bounds are below ``place``: looked up among every BOUNDS_AT_ONCE-th, then among those that follow."""
+    below = lambda some: F.size(F.filter(some, lambda b: b < place))
+    coarse = bounds[BOUNDS_AT_ONCE - 1 :: BOUNDS_AT_ONCE]
+    before = below(F.lit(coarse).cast("array<long>")) * BOUNDS_AT_ONCE if coarse else F.lit(0)
+    return before + below(F.slice(F.lit(bounds).cast("array<long>"), before + 1, F.lit(BOUNDS_AT_ONCE)))
+
+
+def _dealt(rows: DataFrame, bounds: list[int]) -> DataFrame:
     """Rows with the range they go to; a range's first rows once more, ahead of their own range."""
-    there = rows.select("doc_id", "text", "place", own.alias("own"), F.array_contains(bounds, F.col("place")).alias("opens"))
+    count = len(bounds)
+    own = rows.select("doc_id", "text", "place", _below(bounds, F.col("place")).alias("own"))
+    there = own.withColumn("opens", F.coalesce(F.get(F.lit(bounds).cast("array<long>"), F.col("own")) == F.col("place"), F.lit(False)))
     home = F.struct(F.col("own").alias("to"), F.lit(False).alias("ahead"))
     also = F.struct(F.pmod(F.col("own") + 1, F.lit(count)).alias("to"), F.lit(True).alias("ahead"))
     return there.select("doc_id", "text", "place", F.explode(F.when(F.col("opens"), F.array(home, also)).otherwise(F.array(home))).alias("go")).select("doc_id", "text", "place", "go.to", "go.ahead")
