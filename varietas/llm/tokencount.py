@@ -39,6 +39,7 @@ class UnigramCounter:
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.chunks = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         if any(BLANK in p.lstrip(BLANK) for p, _ in pieces):
@@ -46,24 +47,31 @@ class UnigramCounter:
         self.known: dict[str, int] = {}
 
     def of_chunk(self, chunk: str) -> int:
-        """Tokens of the best segmentation of ``chunk`` by dynamic programming."""
-        n = len(chunk)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(chunk):
-            ends[end].append(match)
-        best, count = [0.0] + [0.0] * n, [0] * (n + 1)
-        for end, found in enumerate(ends):
-            ways = sorted(found, reverse=True)
-            if chunk[end] not in self.single:
+        """Tokens of the best segmentation of ``chunk`` by dynamic programming, while the automaton reads it.
+
+        Only the states that the longest piece may reach back to are held, in a ring.
+        """
+        size = min(len(chunk), self.longest) + 1
+        best, count = [0.0] * size, [0] * size
+        matches = self.automaton.iter(chunk)
+        at, match = next(matches, (-1, None))
+        for end, char in enumerate(chunk):
+            ways = []
+            while at == end:
+                ways.append(match)
+                at, match = next(matches, (-1, None))
+            if len(ways) > 1:
+                ways.sort(reverse=True)
+            if char not in self.single:
                 ways.append((1, None))
             top = None
             for length, score in ways:
-                begin = end + 1 - length
+                begin = (end + 1 - length) % size
                 sum_ = best[begin] + (self.unknown if score is None else score)
                 if top is None or sum_ > top:
-                    top, tokens = sum_, count[begin] + (len(chunk[end].encode("utf-8", "surrogatepass")) if score is None else 1)
-            best[end + 1], count[end + 1] = top, tokens
-        return count[n]
+                    top, tokens = sum_, count[begin] + (len(char.encode("utf-8", "surrogatepass")) if score is None else 1)
+            best[(end + 1) % size], count[(end + 1) % size] = top, tokens
+        return count[len(chunk) % size]
 
     def __call__(self, text: str) -> int:
         """Tokens of ``text``, a blank put in front as the tokenizer does; 0 for an empty text."""
