@@ -15,6 +15,10 @@ suffixes.
    texts share) is split: its windows are filed by a hash of all their 100 bytes instead.
 3. The windows that have an earlier equal are merged to byte spans by document and cut out.
 
+Equal blocks of a digit are told by 64 bits of a hash that is another one than the digit's, so with two
+blocks of one digit in 2**64 as the odds of a mistake; windows filed singly by two such hashes of all
+their bytes. The passes inside a digit compare bytes.
+
 Each task first settles repeats among its own rows, so a string sends one row per task at most.
 """
 
@@ -41,6 +45,8 @@ CHUNK, SETTLE = 1 << 20, 16 << 20
 MOST_BROADCAST = 64 << 20
 
 _SALT = np.uint64(0x9FB21C651E98DF25)
+#: What the second hash takes for each byte.
+_OTHER = mix(np.arange(1, 257, dtype=np.uint64) * _SALT)
 #: Kinds of rows: runs of windows, known repeats, rows filed singly, and signs that a digit has such.
 _RUN, _KNOWN, _HOT, _WITNESS = 0, 1, 2, 3
 
@@ -54,6 +60,12 @@ class Chunk:
         self.up, down = _upto(len(self.data) + 1)
         self.sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * down[: len(self.data)], out=self.sums[1:])
+        self.others = np.zeros(len(self.data) + 1, dtype=np.uint64)
+        np.cumsum(_OTHER[self.data] * down[: len(self.data)], out=self.others[1:])
+
+    def other(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A second hash of each stretch, which takes bytes by random numbers instead of their values."""
+        return mix((self.others[end] - self.others[begin]) * self.up[begin] + (end - begin).astype(np.uint64) * _SALT)
 
     def hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each stretch of bytes, by content and length."""
@@ -151,23 +163,23 @@ def _first_pass(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for uids, chunk in _chunks(pdf["uid"].tolist(), pdf["text"].tolist()):
                 doc, low, high, anchor = chunk.runs()
                 digit = chunk.hash(anchor, anchor + ANCHOR)
-                block = mix(chunk.hash(low, high + DEPTH) ^ mix((anchor - low).astype(np.uint64) + _SALT))
+                block = mix(chunk.other(low, high + DEPTH) ^ mix((anchor - low).astype(np.uint64) + _SALT))
                 begin = chunk.first[doc]
-                found.append((digit, block, uids[doc], low - begin, high - begin, anchor - begin))
+                found.append((digit, block, uids[doc], low - begin, high - begin, anchor - begin, chunk.hash(low, high + DEPTH)))
         if not found:
             continue
-        digit, block, uid, low, high, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+        digit, block, uid, low, high, anchor, whole = (np.concatenate(x) for x in zip(*found, strict=True))
         known = _earlier_in_group((digit, block), (uid, low))
         values, inverse = np.unique(digit, return_inverse=True)
         hot = (np.bincount(inverse, weights=~known, minlength=len(values)) >= MANY_IN_TASK)[inverse] & ~known
         n_uid, n_low, n_high = _joined_runs(uid[known], low[known], high[known])
-        digit, block, uid, low, high, anchor, hot = (x[~known] for x in (digit, block, uid, low, high, anchor, hot))
+        digit, block, uid, low, high, anchor, whole, hot = (x[~known] for x in (digit, block, uid, low, high, anchor, whole, hot))
         witness = np.unique(digit[hot])
         zero, none = np.zeros(len(witness), dtype=np.uint64), np.zeros(len(n_uid), dtype=np.uint64)
         columns = {
             "key": np.concatenate([np.where(hot, mix(block ^ digit), digit), witness, n_uid.view(np.uint64)]),
             "block": np.concatenate([block, zero, none]),
-            "digit": np.concatenate([np.where(hot, digit, np.uint64(0)), zero, n_high.view(np.uint64)]),
+            "digit": np.concatenate([np.where(hot, whole, np.uint64(0)), zero, n_high.view(np.uint64)]),
             "uid": np.concatenate([uid, zero.view(np.int64), n_uid]),
             "place": np.concatenate([_place(low, high, anchor, np.where(hot, _HOT, _RUN)), zero.view(np.int64) + _WITNESS, n_low << 16 | _KNOWN]),
         }
@@ -205,14 +217,14 @@ def _second_pass(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         plain.append((k, k, uid, a, a + n, p, _RUN, chunk.data[begin + a : begin + a + n + DEPTH].tobytes()))
                     count = more[hot] + 1
                     start = np.repeat(low[hot], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    single.append((chunk.hash(begin + start, begin + start + DEPTH), np.repeat(digit[hot], count), np.full(len(start), uid), start))
+                    single.append((chunk.hash(begin + start, begin + start + DEPTH), chunk.other(begin + start, begin + start + DEPTH).view(np.int64), np.full(len(start), uid), start))
         columns = SORTED.replace(",", "").split()[::2]
         if plain:
             yield pd.DataFrame(plain, columns=columns).astype({"low": np.int32, "high": np.int32, "anchor": np.int32, "kind": np.int32})
         if single:
-            key, digit, uid, start = (np.concatenate(x) for x in zip(*single, strict=True))
-            known = _earlier_in_group((key, digit.view(np.uint64)), (uid, start))
-            first = {"key": key[~known].view(np.int64), "block": digit[~known], "uid": uid[~known], "low": start[~known], "high": start[~known], "kind": _HOT}
+            key, other, uid, start = (np.concatenate(x) for x in zip(*single, strict=True))
+            known = _earlier_in_group((key, other.view(np.uint64)), (uid, start))
+            first = {"key": key[~known].view(np.int64), "block": other[~known], "uid": uid[~known], "low": start[~known], "high": start[~known], "kind": _HOT}
             u, lo, hi = _joined_runs(uid[known], start[known], start[known])
             again = {"key": u, "block": lo, "uid": u, "low": lo, "high": hi, "kind": _KNOWN}
             for rows in (first, again):
