@@ -13,7 +13,11 @@ def components(links: DataFrame) -> DataFrame:
 
     Large stars join every larger neighbour to a node's smallest one, small stars every smaller
     neighbour; both keep the components, and repeating them ends in one star per component. Minima
-    are pre-aggregated before each shuffle; the lineage is cut in every round.
+    are pre-aggregated before each shuffle, so a hub sends one row per task; in the joins with them its
+    links, two numbers each, are a key that Spark's skew join splits. The lineage is cut in every round.
+
+    Defined cases: links of a node to itself and links with a null end are left out, repeated links count
+    once; without links there are no rows.
     """
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = cut(edges)

@@ -34,6 +34,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 5
 #: Pivots of a bucket, and most ids (8 bytes each) that are broadcast to find or keep their texts.
 PIVOTS, MOST_BROADCAST = 1, 1_000_000
+#: Candidates of a pivot, and open members of a bucket, from which on they are dealt over more tasks.
+DEGREE_PER_PART, ROWS_PER_TILE = 1 << 14, 1 << 10
 #: Hash classes by which the intersection of two multisets is bounded before they are compared.
 PROFILE = 256
 #: What bounds give way for rounding, so that pairs at the threshold itself are compared.
@@ -170,15 +172,21 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, likeness) of every pair (a, b), its multisets compared in full."""
+    """(a, b, likeness) of every pair (hub, doc, parts), its multisets compared in full.
+
+    A hub is in many pairs: these are dealt over ``parts`` parts, to each of which its multiset goes.
+    """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             likes = [overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "likeness": likes})
 
-    left, right = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long, likeness double"))
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    hubs = pairs.select("hub", "parts").distinct().join(sets.select(F.col("doc").alias("hub"), F.col("shingles").alias("x")), "hub")
+    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "x")
+    both = dealt.join(sets.select("doc", F.col("shingles").alias("y")), "doc").join(hubs, ["hub", "part"])
+    return cut(both.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"), "x", "y").mapInPandas(run, "a long, b long, likeness double"))
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -199,16 +207,17 @@ def near_links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD)
     for round_ in range(PIVOTS):
         ahead = F.struct("degree", (-F.col("doc")).alias("minus"))
         spread = labelled.groupBy("bucket").agg(F.max(ahead).alias("top"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        chosen = cut(spread.select("bucket", (-F.col("top.minus")).alias("pivot")))
-        pairs = labelled.join(chosen, "bucket").where("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-        tested = cut(tested.union(_compare(pairs.join(tested, ["a", "b"], "left_anti"), sets)))
-        own = chosen.withColumnRenamed("pivot", f"pivot{round_}")
+        chosen = cut(spread.select("bucket", (-F.col("top.minus")).alias("pivot"), F.ceil(F.col("top.degree") / DEGREE_PER_PART).alias("parts")))
+        pairs = labelled.join(chosen, "bucket").where("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"), "pivot", "doc", "parts")
+        pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("pivot", "doc", "parts")).alias("p")).join(tested, ["a", "b"], "left_anti")
+        tested = cut(tested.union(_compare(pairs.select(F.col("p.pivot").alias("hub"), "p.doc", "p.parts"), sets)))
+        own = chosen.select("bucket", F.col("pivot").alias(f"pivot{round_}"))
         pivots = own if pivots is None else pivots.join(own, "bucket")
         labelled = cut(_labelled(members, tested, threshold).join(pivots, "bucket"))
         taken = F.col("doc") != F.col(f"pivot{round_}")
         labelled = labelled.where(taken) if round_ < PIVOTS - 1 else labelled
     rest = _allowed_pairs(labelled, tested, sets, threshold)
-    more = _compare(rest.join(tested, ["a", "b"], "left_anti"), sets)
+    more = _compare(rest.join(tested, ["a", "b"], "left_anti").select(F.col("a").alias("hub"), F.col("b").alias("doc"), F.lit(1).cast("long").alias("parts")), sets)
     return tested.union(more).where(F.col("likeness") >= threshold).select("a", "b")
 
 
@@ -245,24 +254,27 @@ def _allowed_pairs(labelled: DataFrame, tested: DataFrame, sets: DataFrame, thre
 
     Ruled out are pairs whose distances to a pivot differ too much; pairs that have too many shingles
     of their own, as what no other open document has is in no intersection, but in the union; and
-    pairs whose profiles have too little in common, which bounds the intersection from above.
+    pairs whose profiles have too little in common, which bounds the intersection from above. A bucket of
+    many open members is dealt over tiles: every member meets the members of each tile.
     """
     least = threshold - SLACK
-    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    tiles = F.ceil(F.count("*") / ROWS_PER_TILE)
+    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), tiles.alias("tiles")).where("low <> high").select("bucket", "tiles")
     rows = cut(labelled.join(open_, "bucket"))
     both = tested.select("a", "b", "likeness").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness"))
     for k in range(PIVOTS):
         far = both.select(F.col("a").alias("doc"), F.col("b").alias(f"pivot{k}"), (1 - F.col("likeness")).alias(f"far{k}"))
         rows = rows.join(far, ["doc", f"pivot{k}"], "left")
     rows = rows.join(_profiles(sets, rows.select("doc").distinct()), "doc").withColumn("shared", F.col("n") - F.col("own"))
-    rows = cut(rows.where((F.col("shared") >= least * F.col("n"))).select("bucket", "doc", "component", "n", "own", "shared", "profile", *(f"far{k}" for k in range(PIVOTS))))
-    x, y = rows.alias("x"), rows.alias("y")
+    rows = cut(rows.where((F.col("shared") >= least * F.col("n"))).select("bucket", "tiles", "doc", "component", "n", "own", "shared", "profile", *(f"far{k}" for k in range(PIVOTS))))
+    x = rows.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).alias("x")
+    y = rows.withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles"))).alias("y")
     near = F.least("x.shared", "y.shared") >= least * (F.greatest("x.shared", "y.shared") + F.col("x.own") + F.col("y.own"))
     for k in range(PIVOTS):
         near = near & F.coalesce(F.abs(F.col(f"x.far{k}") - F.col(f"y.far{k}")) <= 1 - least, F.lit(True))
     common = F.aggregate(F.zip_with("x.profile", "y.profile", lambda a, b: F.least(a, b)), F.lit(0), lambda t, c: t + c)
     near = near & (common * (1 + least) >= least * (F.col("x.n") + F.col("y.n")))
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")) & near)
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")) & near)
     return pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
 
