@@ -1,4 +1,11 @@
-"""A training corpus from ``documents``: five stages, each on all that the one before kept."""
+"""A training corpus from ``documents``: five stages, each on all that the one before kept.
+
+Defined cases, of every stage: an empty table gives no rows; null and empty texts are no toxic,
+contaminated or secret ones and stay, as the near duplicates of each other that they are: one of them with
+an id; repeated rows are exact duplicates, of which one stays; rows without an id stay if no document with
+an id has their text, one for each; texts are taken whole at any length; other columns pass through all
+stages but the last. Each stage's operator says more.
+"""
 
 from __future__ import annotations
 

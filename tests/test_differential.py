@@ -1,5 +1,6 @@
 import itertools
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -253,3 +254,101 @@ def test_plot_frames(spark):
     with pytest.raises(ValueError):
         plotdata.transcript_summary(None, None, None, "mode")
     assert '"mark": "area"' in plotdata.chart("area", "x", "density", "group")
+
+
+def test_satterthwaite_against_explicit_covariances():
+    """The p-value from the full covariance matrix of the observations, derivatives by differences."""
+    rng = np.random.default_rng(4)
+    q, subject = np.tile(np.linspace(0.2, 2, 7), 8), np.repeat(np.arange(8), 7)
+    group = (subject % 2).astype(float)
+    y = 0.3 * q + 0.2 * group + 0.25 * q * group + rng.normal(0, 0.4, 8)[subject] + rng.normal(0, 0.3, 56)
+    x = np.column_stack([np.ones(56), q, group, q * group])
+    same = (subject[:, None] == subject[None, :]).astype(float)
+
+    def parts(v):
+        covariance = np.linalg.inv(v[0] * same + v[1] * np.eye(56))
+        spread = np.linalg.inv(x.T @ covariance @ x)
+        beta = spread @ x.T @ covariance @ y
+        left = y - x @ beta
+        _, size = np.linalg.slogdet(v[0] * same + v[1] * np.eye(56))
+        return beta[3], spread[3, 3], size + left @ covariance @ left
+
+    fit = interaction.RandomIntercept(x, y, subject)
+    at = np.array([fit.theta**2 * fit.sigma2, fit.sigma2])
+    step = np.diag(1e-4 * at)
+    gradient = np.array([(parts(at + e)[1] - parts(at - e)[1]) / (2 * e.sum()) for e in step])
+    hessian = np.array([[(parts(at + d + e)[2] - parts(at + d - e)[2] - parts(at - d + e)[2] + parts(at - d - e)[2]) / (4 * d.sum() * e.sum()) for e in step] for d in step])
+    beta, variance, _ = parts(at)
+    df = 2 * variance**2 / (gradient @ (2 * np.linalg.inv(hessian)) @ gradient)
+    assert max(abs(parts(at + e)[2] - parts(at - e)[2]) / (2 * e.sum()) for e in step) < 1e-2
+    assert fit.satterthwaite(3) == pytest.approx(numerics.t_sf2(beta / np.sqrt(variance), df), rel=1e-3)
+
+
+def test_curves_against_the_covariance_by_hand():
+    rng = np.random.default_rng(5)
+    rows = [("g", "AB"[s % 2], f"s{s:02}", q, float(np.sin(q) * (1 + 0.3 * (s % 2)) + rng.normal(0, 0.1))) for s in range(14) for q in (0.5, 1.0, 1.5, 2.0)]
+    pdf = pd.DataFrame(rows, columns=["gene", "group", "sample", "q", "value"])
+    curves = np.array([[r[4] for r in rows if r[2] == f"s{s:02}"] for s in range(14)])
+    centred = curves - curves.mean(axis=0)
+    _, vectors = np.linalg.eigh(centred.T @ centred)
+    score = centred @ vectors[:, -1]
+    a, b = score[::2], score[1::2]
+    va, vb = a.var(ddof=1) / 7, b.var(ddof=1) / 7
+    t, df = (a.mean() - b.mean()) / np.sqrt(va + vb), (va + vb) ** 2 / (va**2 / 6 + vb**2 / 6)
+    assert interaction.fit_curves(pdf, 10) == pytest.approx(numerics.t_sf2(t, df), rel=1e-8)
+
+
+def test_interaction_table_is_ordered_and_checked(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"g{g}", f"s{s}", "AB"[s % 2], q, float(q * (1 + 0.02 * g * (s % 2)) + rng.normal(0, 0.05))) for g in range(6) for s in range(8) for q in (0.5, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "gene string, sample string, group string, q double, value double")
+    found = [(r["adj_p_interaction"], r["p_interaction"]) for r in interaction.calculate_interaction(df).collect()]
+    assert len(found) == 6 and found == sorted(found)
+    with pytest.raises(ValueError):
+        interaction.calculate_interaction(df, "lmm", paired=True)
+    with pytest.raises(ValueError):
+        interaction.calculate_interaction(df, "lmm", subject="nobody")
+    based = df.withColumn("sample_base", F.col("sample"))
+    assert interaction.calculate_interaction(based, "lmm", paired=True).count() == 6
+
+
+def test_corrections_over_ranges_families_and_ties(spark):
+    rng = np.random.default_rng(7)
+    p = np.round(rng.random(400), 2)
+    df = spark.createDataFrame([(str(i), float(x), i % 2) for i, x in enumerate(p)], "gene string, raw_p_values double, half int").repartition(5)
+    for method in ("BH", "BY", "holm", "hochberg"):
+        got = {r["gene"]: r["adjusted_p_values"] for r in padjust.adjust(df, method).collect()}
+        assert [got[str(i)] for i in range(400)] == pytest.approx(list(reference_adjust(p, method)))
+        halves = {r["gene"]: r["adjusted_p_values"] for r in padjust.adjust(df, method, within=("half",)).collect()}
+        assert [halves[str(i)] for i in range(0, 400, 2)] == pytest.approx(list(reference_adjust(p[::2], method)))
+    small = rng.random(9)
+    simes = lambda s: min(len(s) * x / (k + 1) for k, x in enumerate(sorted(s)))
+    want = [max(simes([small[j] for j in c]) for k in range(1, 10) for c in itertools.combinations(range(9), k) if i in c) for i in range(9)]
+    assert list(padjust.hommel(small)) == pytest.approx(np.minimum(want, 1))
+
+
+def test_too_many_patterns_are_refused(spark):
+    _, samples = values(spark, {"g": [1] * 44}, ["A", "B"] * 22)
+    with pytest.raises(ValueError):
+        permute.paired_labels(samples, 0, "signflip")
+
+
+def test_plot_frames_check_their_input(spark):
+    rows = [(g, f"S{s}", "AB"[s % 2], q, 0.1 * s * q * (1 + (g == "b"))) for g in ("a", "b") for s in range(4) for q in (1.0, 2.0)]
+    df = spark.createDataFrame(rows, "gene string, sample string, group string, q double, value double")
+    with pytest.raises(ValueError):
+        plotdata.gene_profile(df, ["a", "nobody"])
+    table = spark.createDataFrame([("b", 0.01, 0.01), ("a", 0.2, 0.2), ("c", None, None)], "gene string, p_interaction double, adj_p_interaction double")
+    assert {r["gene"] for r in plotdata.gene_profile(df, table=table, n_top=1).collect()} == {"b"}
+    lines = plotdata.gene_profile(df, ["a"], show_samples=True)
+    assert lines.where("sample is not null").count() == 8 and lines.where("median is not null").count() == 4
+    volcano = spark.createDataFrame([("a", None, 0.5)], "genes string, mean_difference double, adjusted_p_values double")
+    for bad in (volcano, volcano.drop("adjusted_p_values")):
+        with pytest.raises(ValueError):
+            plotdata.volcano_frame(bad)
+    assert plotdata.mean_density(df).select("group").distinct().count() == 2
+    many = spark.createDataFrame([(g, f"S{s}", 0.1 * s) for g in "ab" for s in range(10)], "gene string, sample string, value double")
+    samples = spark.createDataFrame([(f"S{s}", "HP"[s % 2], s) for s in range(10)], "sample string, group string, ord int")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        difference.calculate_difference(many, samples, "H", test="shuffle", randomizations=3)

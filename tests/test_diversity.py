@@ -125,3 +125,33 @@ def test_transcripts_by_position_or_name(spark):
     assert experiment.map_transcripts(some, ids).first()["feature"] == "y"
     with pytest.raises(ValueError):
         experiment.map_transcripts(some.withColumn("feature", F.lit("z")), ids)
+
+
+def test_both_measures_at_once(spark):
+    df = gene(spark, (3, 2, 1))
+    both = {r["q"]: (r["entropy"], r["hill"]) for r in diversity.diversity(df, [1.0, 2.0], what="both").collect()}
+    s, d = one(diversity.diversity(df, [1.0, 2.0])), one(diversity.diversity(df, [1.0, 2.0], what="D"))
+    assert both == {q: (pytest.approx(s[q]), pytest.approx(d[q])) for q in (1.0, 2.0)}
+    r = spark.createDataFrame([([3.0, 2.0, 1.0],)], "x array<double>").select(diversity.tsallis(F.col("x"), 2.0, what="both").alias("b")).first()["b"]
+    assert (r["S"], r["D"]) == (pytest.approx(s[2.0]), pytest.approx(d[2.0]))
+
+
+def test_warnings_of_assays_and_filters(spark):
+    long = spark.createDataFrame([("t1", "a", 1.0), ("t2", "a", 1.0)], "feature string, sample string, value double")
+    x = experiment.Experiment({"other": long})
+    with pytest.warns(UserWarning):
+        assert x.assay("misspelt") is long
+    with pytest.warns(UserWarning):
+        assert experiment.counts_of(x) is long
+    with pytest.warns(UserWarning):
+        assert filters.filter_experiment(x, 5, 1, "other").assay("other").count() == 0
+    with pytest.raises(ValueError):
+        filters.filter_experiment(experiment.Experiment({"counts": long.withColumn("value", F.lit("x"))}))
+    parts = {"counts": long, "abundance": long.withColumn("value", F.col("value") * 2), "length": long, "countsFromAbundance": long}
+    genes = spark.createDataFrame([("t1", "g", 0), ("t2", "g", 1)], "tx string, gene string, ord int")
+    assert experiment.calculate_diversity(parts, genes, tpm=True).assay().first()["value"] == pytest.approx(1.0)
+
+
+def test_the_first_transcript_in_order_wins(spark):
+    table = spark.createDataFrame([("t", "late", 2), ("t", "early", 1), ("u", "g", 3)], "Transcript string, Gen string, ord int").repartition(3)
+    assert {(r["tx"], r["gene"]) for r in experiment.resolve_tx2gene(table).collect()} == {("t", "early"), ("u", "g")}

@@ -107,6 +107,12 @@ def tsallis_of_arrays(spark, sf_dir):
     return arrays.select("gene", "sample", rounded(s["q=0.5"], "s_half"), rounded(s["q=2"], "s_two"))
 
 
+@query(with_(*values((1.0, 2.0), "retail", out="ent"), *values((1.0, 2.0), "retail", what="D", out="hil")[1:]) + f"SELECT gene, sample, q, {r('e.value', 'entropy')}, {r('h.value', 'hill')} FROM ent e JOIN hil h USING (gene, sample, q)")
+def both_measures(spark, sf_dir):
+    found = diversity.diversity(fixtures.retail(spark, sf_dir), (1.0, 2.0), what="both")
+    return found.select("gene", "sample", "q", rounded("entropy"), rounded("hill"))
+
+
 @query(with_(*values((2.0,), "event_pairs")) + CELLS)
 def diversity_finite_filter(spark, sf_dir):
     return _cells(diversity.diversity(fixtures.event_pairs(spark, sf_dir), 2.0))
@@ -522,12 +528,12 @@ def box_stats_multq(spark, sf_dir):
     return found.select("q", F.col("group").alias("grp"), "n", rounded("lower"), rounded("median"), rounded("upper"))
 
 
-def _density(keys: str) -> list[str]:
+def _density(keys: str, of: str = "v") -> list[str]:
     on = " AND ".join(f"s.{k.strip()} = v.{k.strip()}" for k in keys.split(","))
     return [
-        f"st AS (SELECT {keys}, count(value) AS n, stddev_samp(value) AS sd, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34 AS ir, min(value) AS lo, max(value) AS hi FROM v GROUP BY {keys})",
+        f"st AS (SELECT {keys}, count(value) AS n, stddev_samp(value) AS sd, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34 AS ir, min(value) AS lo, max(value) AS hi FROM {of} v GROUP BY {keys})",
         "sg AS (SELECT *, 0.9 * CASE WHEN ir > 0 THEN least(sd, ir) ELSE sd END * pow(n, -0.2) AS h, unnest(range(0, 64)) AS i FROM st WHERE sd > 0)",
-        f"de AS (SELECT {', '.join('s.' + k.strip() for k in keys.split(','))}, s.i, max(lo + (hi - lo) * s.i / 63) AS x, sum(exp(-pow((lo + (hi - lo) * s.i / 63 - value) / h, 2) / 2) / sqrt(2 * pi()) / h) / max(n) AS density FROM sg s JOIN v ON {on} GROUP BY {', '.join('s.' + k.strip() for k in keys.split(','))}, s.i)",
+        f"de AS (SELECT {', '.join('s.' + k.strip() for k in keys.split(','))}, s.i, max(lo + (hi - lo) * s.i / 63) AS x, sum(exp(-pow((lo + (hi - lo) * s.i / 63 - value) / h, 2) / 2) / sqrt(2 * pi()) / h) / max(n) AS density FROM sg s JOIN {of} v ON {on} GROUP BY {', '.join('s.' + k.strip() for k in keys.split(','))}, s.i)",
     ]
 
 
@@ -535,6 +541,15 @@ def _density_sql(q: tuple[float, ...], keys: str) -> str:
     return with_(*values(q, "retail"), *grouped("retail"), *_density(keys)) + f"SELECT {keys}, {r('x')}, {r('density')} FROM de"
 
 
+_MEANS = "vm AS (SELECT grp, gene, avg(value) AS value FROM v GROUP BY grp, gene)"
+
+
+@query(with_(*values((2.0,), "retail"), *grouped("retail"), _MEANS, *_density("grp", "vm")) + f"SELECT grp, {r('x')}, {r('density')} FROM de")
+def mean_violin_density(spark, sf_dir):
+    found = plotdata.mean_density(_grouped(fixtures.retail(spark, sf_dir))[0])
+    return found.select(F.col("group").alias("grp"), rounded("x"), rounded("density"))
+
+
 @query(_density_sql((2.0,), "grp, sample"))
 def diversity_density(spark, sf_dir):
     found = plotdata.density(_grouped(fixtures.retail(spark, sf_dir))[0], ["group", "sample"])
