@@ -1,3 +1,6 @@
+import random
+import tracemalloc
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer, models
@@ -41,3 +44,17 @@ def test_pieces_across_blanks_are_counted_whole():
 def test_odd_tables(odd, empty):
     assert sorted(r["n_tokens"] for r in token_counts(odd, FILE).collect())[:3] == [0, 0, 0]
     assert token_counts(empty, FILE).count() == 0
+
+
+def test_long_texts_without_blanks(exact):
+    """The states held don't grow with the text, and the count is the tokenizer's."""
+    rng = random.Random(4)
+    count = UnigramCounter(read_pieces(FILE))
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(20_000))
+    assert count(text) == exact(text)
+    long = text * 20
+    tracemalloc.start()
+    count(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(long)
