@@ -35,7 +35,7 @@ BANDS, ROWS = 28, 5
 #: Pivots of a bucket, and most ids (8 bytes each) that are broadcast to find or keep their texts.
 PIVOTS, MOST_BROADCAST = 1, 1_000_000
 #: Candidates of a pivot, and open members of a bucket, from which on they are dealt over more tasks.
-DEGREE_PER_PART, ROWS_PER_TILE = 1 << 14, 1 << 10
+DEGREE_PER_PART, ROWS_PER_TILE = 1 << 14, 1 << 15
 #: Hash classes by which the intersection of two multisets is bounded before they are compared.
 PROFILE = 256
 #: What bounds give way for rounding, so that pairs at the threshold itself are compared.
