@@ -79,7 +79,7 @@ def test_gradients_against_differences(net):
 def test_windows_overlap_and_cover():
     doc, begin, size = tox.windows_of(np.array([0, 0, 5, 105]))
     assert list(doc) == [1] + [2] * (-(-(100 - tox.WINDOW) // tox.STEP) + 1) and size[0] == 5 and size.max() == tox.WINDOW
-    assert set(range(5, 105)) == {i for b, s in zip(begin[1:], size[1:]) for i in range(b, b + s)} and all(np.diff(begin[1:]) <= tox.WINDOW / 4)
+    assert set(range(5, 105)) == {i for b, s in zip(begin[1:], size[1:]) for i in range(b, b + s)} and all(np.diff(begin[1:]) <= tox.WINDOW / 8)
 
 
 def test_every_window_is_scored_as_by_itself(net):

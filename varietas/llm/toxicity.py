@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Words of a text form windows that overlap by three quarters. A word's input is its own vector beside the
+Words of a text form windows that overlap by seven eighths. A word's input is its own vector beside the
 element-wise largest of the vectors of its character n-grams; gated recurrent units read a window in
 both directions; attention pools their states into one logit. A document scores as its worst window.
 Windows that hold no known word or n-gram differ by their length only, so one of each length is read.
@@ -28,7 +28,7 @@ from .common import slices, text_or_empty
 from .wordhash import Words, words_of
 
 #: Words in a window, and the step from one to the next.
-WINDOW, STEP = 32, 8
+WINDOW, STEP = 32, 4
 #: Most labelled rows of each class that are read to train (those whose ids hash lowest), most bytes of one of
 #: their texts, a longer one isn't trained on, and of all of them.
 TRAINING_ROWS, TEXT_BYTES, TRAINING_BYTES = 1_500, 1 << 20, 32 << 20
@@ -43,8 +43,8 @@ ROUNDS, RATE = 12, 0.01
 SURE = 0.4
 #: Windows in a batch at least and at most; in between, a round has so many batches.
 BATCH_LEAST, BATCH_MOST, BATCHES = 32, 256, 40
-#: Text characters that are read at once.
-READ = 1 << 18
+#: Text characters that are read, and windows that are scored, at once.
+READ, WINDOWS_AT_ONCE = 1 << 19, 1 << 10
 
 
 @dataclass
@@ -95,6 +95,14 @@ def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, begin, np.minimum(first[1:][doc] - begin, WINDOW)
 
 
+def _chosen(x: Inputs, words: np.ndarray) -> Inputs:
+    """The inputs of some of the distinct words."""
+    count = np.diff(x.gram_first)[words]
+    first = np.concatenate([[0], np.cumsum(count)])
+    places = np.repeat(x.gram_first[words] - first[:-1], count) + np.arange(first[-1])
+    return Inputs(x.word[words], x.gram[places], first, x.at)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -131,6 +139,7 @@ class ToxicityNet:
         """Logits of windows. gates: each word's input share of the gates by direction; index (windows, WINDOW)."""
         n, h = len(index), STATES
         there = np.arange(WINDOW) < sizes[:, None]
+        full = there.all(axis=0)
         states = np.empty((n, WINDOW, 2 * h), dtype=np.float32)
         for way, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
             s, u = np.zeros((n, h), dtype=np.float32), self.p[f"u{way}"]
@@ -139,7 +148,9 @@ class ToxicityNet:
                 rz = _sigmoid(g[:, : 2 * h] + r_s[:, : 2 * h])
                 r, z = rz[:, :h], rz[:, h:]
                 c = np.tanh(g[:, 2 * h :] + r * r_s[:, 2 * h :])
-                new = np.where(there[:, t, None], c + z * (s - c), s)
+                new = c + z * (s - c)
+                if not full[t]:
+                    new = np.where(there[:, t, None], new, s)
                 if keep is not None:
                     keep[way, t] = (s, r, z, c, r_s[:, 2 * h :])
                 s = new
@@ -158,22 +169,22 @@ class ToxicityNet:
     def logits(self, x: Inputs, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Logits of the windows of ``size`` words from word ``begin``, a bounded number at a time.
 
-        A window without known words and n-grams has the logit of any other of its size.
+        Words without known parts have the zero vector, and a window of such words the logit of any other of its size.
         """
-        at = np.concatenate([x.at, np.full(WINDOW, len(x.word), dtype=x.at.dtype)])
-        gates, out = self.gates(self.vectors(x)), np.empty(len(begin), dtype=np.float32)
         known = x.word > 0
         if len(known):
             known |= np.maximum.reduceat(x.gram, x.gram_first[:-1]) > 0
+        gates, out = self.gates(self.vectors(_chosen(x, np.flatnonzero(known)))), np.empty(len(begin), dtype=np.float32)
         upto = np.concatenate([[0], np.cumsum(known[x.at])])
+        at = np.concatenate([np.where(known, np.cumsum(known) - 1, known.sum())[x.at], np.full(WINDOW, known.sum())])
         own = upto[begin + size] > upto[begin]
         for n in np.unique(size[~own]):
             alike = ~own & (size == n)
             some = np.flatnonzero(alike)[:1]
             out[alike] = self.forward(gates, at[begin[some, None] + np.arange(WINDOW)], size[some])
         rest = np.flatnonzero(own)
-        for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
+        for i in range(0, len(rest), WINDOWS_AT_ONCE):
+            some = rest[i : i + WINDOWS_AT_ONCE]
             out[some] = self.forward(gates, at[begin[some, None] + np.arange(WINDOW)], size[some])
         return out
 
@@ -335,11 +346,7 @@ def _rounds(net: ToxicityNet, texts: list[str], y: np.ndarray, rounds: int, seed
             w = chosen[i : i + batch]
             used, index = np.unique(at[begin[w, None] + np.arange(WINDOW)], return_inverse=True)
             index = index.reshape(-1, WINDOW)
-            used = used[used < len(x.word)]
-            count = np.diff(x.gram_first)[used]
-            part_first = np.concatenate([[0], np.cumsum(count)])
-            places = np.repeat(x.gram_first[used] - part_first[:-1], count) + np.arange(part_first[-1])
-            grad = net.gradients(Inputs(x.word[used], x.gram[places], part_first, index), index, size[w], y[doc[w]])
+            grad = net.gradients(_chosen(x, used[used < len(x.word)]), index, size[w], y[doc[w]])
             step += 1
             rate = RATE * (0.5 if round_ >= rounds - 2 else 1)
             for k, g in grad.items():
