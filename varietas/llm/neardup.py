@@ -322,5 +322,6 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         out = out.dropDuplicates(["doc_id"])
     if classes.where("class_id is null").isEmpty():
         return out
-    known = docs.where("doc_id is not null").select("text").distinct()
-    return out.unionByName(docs.where("doc_id is null").join(known, "text", "left_anti").dropDuplicates(["text"]))
+    known = docs.where("doc_id is not null").select(text_or_empty().alias("_words")).distinct()
+    lone = docs.where("doc_id is null").withColumn("_words", text_or_empty()).join(known, "_words", "left_anti").dropDuplicates(["_words"])
+    return out.unionByName(lone.select(*(F.col(f"`{c}`") for c in docs.columns)))
