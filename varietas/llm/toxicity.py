@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import slices, text_or_empty
 from .wordhash import Words, words_of
 
-#: Words in a window, and the step from one to the next.
-WINDOW, STEP = 32, 4
+#: Words in a window, and the step from one to the next, in scoring and in training.
+WINDOW, STEP, TRAINING_STEP = 32, 4, 12
 #: Most labelled rows of each class that are read to train (those whose ids hash lowest), most bytes of one of
 #: their texts, a longer one isn't trained on, and of all of them.
 TRAINING_ROWS, TEXT_BYTES, TRAINING_BYTES = 1_500, 1 << 20, 32 << 20
@@ -85,13 +85,13 @@ def _number(vocabulary: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == wanted, at + 1, 0)
 
 
-def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(first: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, first word and number of words of every window; documents without words have none."""
     n = np.diff(first)
-    count = np.where(n > 0, np.maximum(-(-(n - WINDOW) // STEP), 0) + 1, 0)
+    count = np.where(n > 0, np.maximum(-(-(n - WINDOW) // step), 0) + 1, 0)
     doc = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    begin = first[:-1][doc] + k * STEP
+    begin = first[:-1][doc] + k * step
     return doc, begin, np.minimum(first[1:][doc] - begin, WINDOW)
 
 
@@ -321,7 +321,7 @@ def _start(texts: list[str], y: np.ndarray, seed: int) -> ToxicityNet:
     own_grams = [np.unique(np.concatenate([grams[gram_first[w] : gram_first[w + 1]] for w in o])) if len(o) else grams[:0] for o in own]
     net = ToxicityNet(*_log_odds([distinct[o] for o in own], y, WORDS_KEPT), *_log_odds(own_grams, y, GRAMS_KEPT), seed=seed)
     x = Inputs(_number(net.words, distinct), _number(net.grams, grams), gram_first, at)
-    net.trainable = (x, *windows_of(first)) if len(at) else None
+    net.trainable = (x, *windows_of(first, TRAINING_STEP)) if len(at) else None
     return net
 
 
