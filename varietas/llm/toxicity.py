@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Words of a text form windows that overlap by seven eighths. A word's input is its own vector beside the
+Words of a text form windows that overlap by three quarters. A word's input is its own vector beside the
 element-wise largest of the vectors of its character n-grams; gated recurrent units read a window in
 both directions; attention pools their states into one logit. A document scores as its worst window.
 Windows that hold no known word or n-gram differ by their length only, so one of each length is read.
@@ -28,7 +28,7 @@ from .common import slices, text_or_empty
 from .wordhash import Words, words_of
 
 #: Words in a window, and the step from one to the next, in scoring and in training.
-WINDOW, STEP, TRAINING_STEP = 32, 4, 12
+WINDOW, STEP, TRAINING_STEP = 32, 8, 12
 #: Most labelled rows of each class that are read to train (those whose ids hash lowest), most bytes of one of
 #: their texts, a longer one isn't trained on, and of all of them.
 TRAINING_ROWS, TEXT_BYTES, TRAINING_BYTES = 1_500, 1 << 20, 32 << 20
