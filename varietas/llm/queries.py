@@ -12,10 +12,13 @@ from .common import table
 from .decontaminate import contamination
 from .fingerprint import fingerprint_edited
 from .htmltext import extract_main_text
+from .manifest import manifest
+from .mixing import mix
 from .neardup import near_duplicate_classes
 from .packing import pack
 from .secretscan import labelled_samples, scan_secrets
 from .sharding import shard_by_bytes
+from .spelling import spelling_variants
 from .substrings import remove_repeats
 from .tokencount import token_counts
 from .toxicity import fit, score
@@ -67,9 +70,21 @@ def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_anagram_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents")).drop("lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_suffix_array_decontamination": sql.DECONTAMINATION}
+    return {"op10_suffix_array_decontamination": sql.DECONTAMINATION, "op11_anagram_spelling_variants": sql.SPELLING, "op13_merkle_manifest": sql.MANIFEST}
