@@ -60,7 +60,18 @@ def normal_sf(z: float) -> float:
 
 def chi2_1_sf(x: float) -> float:
     """Upper tail of chi-square with one degree of freedom."""
-    return math.erfc(math.sqrt(max(x, 0.0) / 2))
+    return chi2_sf(x, 1)
+
+
+def chi2_sf(x: float, df: int) -> float:
+    """Upper tail of chi-square for a whole number of degrees of freedom, by the finite series of its halves."""
+    h = max(x, 0.0) / 2
+    if df % 2:
+        total, first = math.erfc(math.sqrt(h)), 0.5
+    else:
+        total, first = 0.0, 0.0
+    terms = [first + i for i in range(df // 2)]
+    return total + sum(math.exp(-h + k * math.log(h) - math.lgamma(k + 1)) if h else float(k == 0) for k in terms)
 
 
 def beta_inc(a: float, b: float, x: float) -> float:

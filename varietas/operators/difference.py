@@ -7,12 +7,13 @@ import warnings
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .filters import sample_size_gate
-from .foldchange import check_groups, fold_change
+from .filters import gate
+from .foldchange import check_groups, checked_groups, fold_change_columns, lift_summaries
 from .padjust import METHODS, adjust
 from .permute import paired_labels, permutation_p, shuffled_labels
-from .ranktests import wilcoxon
-from .settled import settled
+from .profiles import profiles, rank_sum, summary_of, values_of
+from .ranktests import rank_sum_p, wilcoxon
+from .settled import settled, view
 
 TESTS = ("wilcoxon", "shuffle")
 
@@ -44,33 +45,57 @@ def test_differential(values: DataFrame, samples: DataFrame, control: str | None
     return adjust(p, pcorr)
 
 
+def _gene_table(rows: DataFrame, case: str, control: str, method: str, test: str, ranks: bool, exact: bool) -> DataFrame:
+    """(gene, tested, case, control, and with ``ranks`` raw_p_values) of (gene, group, value)."""
+    cells = F.col("cells")
+    read = profiles(rows, case, control).select(
+        "gene",
+        gate(F.size(F.filter(cells, lambda c: c["one"])), F.size(F.filter(cells, lambda c: ~c["one"])), test).alias("tested"),
+        summary_of(values_of(cells, True), method).alias("case"),
+        summary_of(values_of(cells, False), method).alias("control"),
+        *([rank_sum(cells).alias("r")] if ranks else []),
+    )
+    return read.select("gene", "tested", "case", "control", rank_sum_p(F.col("r"), exact).alias("raw_p_values")) if ranks else read
+
+
 def calculate_difference(values: DataFrame, samples: DataFrame, control: str | None, method: str = "mean", test: str = "wilcoxon", randomizations: int = 100, pcorr: str = "BH", paired: bool = False, exact: bool = False, pseudocount: float = 0, seed: int = 123) -> DataFrame:
     """The difference table of (gene, sample, value) between the two groups of ``samples`` (sample, group, ord).
 
     Columns: genes, <case>_<method>, <control>_<method>, <method>_difference, log2_fold_change,
     raw_p_values, adjusted_p_values, and part (1: tested, 2: too few values, with fold changes only).
-    Pseudocounts are those of a part. Few samples give warnings. ``values`` is computed once.
+    Pseudocounts are those of a part. Few samples give warnings. ``values`` is computed once: a gene is one
+    row with its values as an array, and gate, summaries and rank test are read from that.
     """
-    samples = settled(samples)
-    case, control = check_groups(samples, control)
     if method not in ("mean", "median"):
         raise ValueError("method must be 'mean' or 'median'")
     if test not in TESTS:
         raise ValueError("test must be 'wilcoxon' or 'shuffle'")
     if pcorr not in METHODS:
         raise ValueError("unknown correction")
-    sizes = {r["group"]: r["count"] for r in samples.groupBy("group").count().collect()}
+    samples = settled(samples)
+    # A third group is enough to tell that there are too many.
+    sizes = {r["group"]: r["count"] for r in samples.where("group is not null").groupBy("group").count().orderBy("group").limit(3).collect()}
+    case, control = checked_groups(list(sizes), control)
     total = sizes[case] + sizes[control]
     if test == "wilcoxon" and (min(sizes[case], sizes[control]) < 3 or total < 8):
         warnings.warn("low sample size for a rank test", stacklevel=2)
     if test == "shuffle" and total < 10:
         warnings.warn("low sample size for label shuffling" if total <= 5 else "few samples: label shuffling gives coarse p-values", stacklevel=2)
-    rows = settled(sample_size_gate(values.join(samples.select("sample", "group"), "sample"), (case, control), test))
-    enough, few = rows.where("tested").drop("tested"), rows.where("not tested").drop("tested")
-    p = test_differential(enough.drop("group"), samples, control, test, method, paired, exact, randomizations, pcorr, seed, "swap")
-    tested = fold_change(enough, case, control, method, pseudocount).join(p, "gene").withColumn("part", F.lit(1))
-    small = fold_change(few, case, control, method, pseudocount).withColumns({"raw_p_values": F.lit(None).cast("double"), "adjusted_p_values": F.lit(None).cast("double"), "part": F.lit(2)})
-    out = tested.unionByName(small)
+    by_array = test == "wilcoxon" and not paired
+    rows = values.join(F.broadcast(samples.select("sample", "group")), "sample")
+    rows = rows if by_array else settled(rows)
+    table = settled(_gene_table(rows, case, control, method, test, by_array, exact))
+    enough, few = view(table.where("tested")), table.where("not tested")
+    if by_array:
+        tested = adjust(enough, pcorr)
+    else:
+        own = rows.join(enough.select("gene"), "gene", "left_semi").drop("group")
+        tested = enough.join(test_differential(own, samples, control, test, method, paired, exact, randomizations, pcorr, seed, "swap"), "gene")
+    none = F.lit(None).cast("double")
+    both = ((tested, 1), (few.withColumns({"raw_p_values": none, "adjusted_p_values": none}), 2))
+    pairs = [fold_change_columns(lift_summaries(part, table.where(F.col("tested") == (i == 1)), pseudocount)).withColumn("part", F.lit(i)) for part, i in both]
+    columns = ("gene", "case", "control", "difference", "log2_fold_change", "raw_p_values", "adjusted_p_values", "part")
+    out = pairs[0].select(*columns).union(pairs[1].select(*columns))
     return out.select(
         F.col("gene").alias("genes"),
         F.col("case").alias(f"{case}_{method}"),

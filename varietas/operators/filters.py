@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .experiment import Experiment
@@ -44,8 +44,12 @@ def sample_size_gate(values: DataFrame, groups: tuple[str, str], test: str) -> D
     """
     w = Window.partitionBy("gene")
     n = [F.count(F.when(F.col("group") == g, F.col("value"))).over(w) for g in groups]
-    enough = (n[0] >= 3) & (n[1] >= 3) & (n[0] + n[1] >= 8) if test == "wilcoxon" else n[0] + n[1] >= 5
-    return values.withColumn("tested", enough)
+    return values.withColumn("tested", gate(*n, test))
+
+
+def gate(first: Column, second: Column, test: str) -> Column:
+    """Whether so many known values of two groups are enough for a test."""
+    return (first >= 3) & (second >= 3) & (first + second >= 8) if test == "wilcoxon" else first + second >= 5
 
 
 def enough_observations(values: DataFrame, min_obs: int = 10, subjects: bool = False) -> DataFrame:

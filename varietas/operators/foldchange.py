@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,11 @@ def summary(value: Column, method: str) -> Column:
 
 def check_groups(samples: DataFrame, control: str | None) -> tuple[str, str]:
     """(case, control) of a sample table (sample, group) with two groups."""
-    names = [r[0] for r in samples.where("group is not null").select("group").distinct().orderBy("group").limit(3).collect()]
+    return checked_groups([r[0] for r in samples.where("group is not null").select("group").distinct().orderBy("group").limit(3).collect()], control)
+
+
+def checked_groups(names: Sequence[str], control: str | None) -> tuple[str, str]:
+    """(case, control) of the names of all groups."""
     if len(names) > 2:
         raise ValueError("more than two groups")
     if len(names) < 2:
@@ -42,12 +48,21 @@ def apply_pseudocount(pairs: DataFrame, pseudocount: float = 0, within: tuple[st
     0, less, or no number: half the smallest positive summary of the table (of each ``within``), or
     1e-6. The summaries are computed once; the minimum is one row that joins the plan.
     """
-    if isinstance(pseudocount, (int, float)) and not isinstance(pseudocount, bool) and pseudocount > 0:
+    pairs = pairs if _given(pseudocount) else settled(pairs)
+    return lift_summaries(pairs, pairs, pseudocount, within)
+
+
+def _given(pseudocount: float) -> bool:
+    return isinstance(pseudocount, (int, float)) and not isinstance(pseudocount, bool) and pseudocount > 0
+
+
+def lift_summaries(pairs: DataFrame, of: DataFrame, pseudocount: float = 0, within: tuple[str, ...] = ()) -> DataFrame:
+    """``pairs`` with summaries of 0 or less replaced by the pseudocount of the table ``of``, as ``apply_pseudocount`` has it."""
+    if _given(pseudocount):
         rows = pairs.withColumn("pseudo", F.lit(float(pseudocount)))
     else:
-        pairs = settled(pairs)
         positive = lambda c: F.min(F.when(F.col(c) > 0, F.col(c)))
-        low = pairs.groupBy(*within).agg(F.coalesce(F.least(positive("case"), positive("control")) / 2, F.lit(1e-6)).alias("pseudo"))
+        low = of.groupBy(*within).agg(F.coalesce(F.least(positive("case"), positive("control")) / 2, F.lit(1e-6)).alias("pseudo"))
         rows = pairs.join(low, list(within)) if within else pairs.crossJoin(F.broadcast(low))
     lift = lambda c: F.when(F.col(c) <= 0, F.col("pseudo")).otherwise(F.col(c))
     return rows.withColumns({"case": lift("case"), "control": lift("control")}).drop("pseudo")

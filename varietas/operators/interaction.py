@@ -1,7 +1,8 @@
 """Does the diversity-by-order curve of a gene differ in shape between groups? Four kinds of fits.
 
-linear is one aggregation per (gene, group) and closed forms. The others are iterative and run per
-gene in ``applyInPandas``; a gene's group has as many rows as there are samples times orders.
+linear is one aggregation per (gene, group) and closed forms; mixed models (``mixed``) are fitted to sums that
+Spark makes, many genes at a time. The others are iterative and run per gene in ``applyInPandas``; a gene's
+group has as many rows as there are samples times orders.
 """
 
 from __future__ import annotations
@@ -13,15 +14,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varietas.functions.numerics import chi2_1_sf, f_sf, t_sf2, t_two_sided
+from varietas.functions.numerics import f_sf, t_sf2, t_two_sided
 
 from .filters import enough_observations
+from .mixed import RandomIntercept, fit_mixed, mixed_interaction
 from .padjust import adjust
 from .settled import settled
 
+__all__ = ["METHODS", "RandomIntercept", "additive_interaction", "calculate_interaction", "curve_interaction", "fit_additive", "fit_curves", "fit_mixed", "fit_summary", "linear_interaction", "mixed_interaction"]
+
 METHODS = ("linear", "lmm", "gam", "fpca")
-#: Below this ratio of standard deviations a mixed fit counts as singular.
-SINGULAR = 1e-4
 
 
 def linear_interaction(values: DataFrame, min_obs: int = 10) -> DataFrame:
@@ -42,138 +44,6 @@ def linear_interaction(values: DataFrame, min_obs: int = 10) -> DataFrame:
     return whole.where((F.col("df") > 0) & (a["sxx"] > 0) & (b["sxx"] > 0)).select("gene", t.alias("t"), F.col("df").cast("int").alias("df")).withColumn("p_interaction", t_two_sided(F.col("t"), F.col("df"))).where("t is not null")
 
 
-def _full_rank(x: np.ndarray) -> np.ndarray:
-    """The columns that add to the rank, taken from the left."""
-    kept: list[int] = []
-    basis = np.empty((len(x), 0))
-    for j in range(x.shape[1]):
-        left = x[:, j] - basis @ (basis.T @ x[:, j])
-        left = left - basis @ (basis.T @ left)
-        size = np.linalg.norm(left)
-        if size > 1e-7 * max(np.linalg.norm(x[:, j]), 1e-300):
-            kept.append(j)
-            basis = np.column_stack([basis, left / size])
-    return np.array(kept, dtype=int)
-
-
-def _rss(x: np.ndarray, y: np.ndarray) -> tuple[float, int]:
-    x = x[:, _full_rank(x)]
-    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-    return float(((y - x @ beta) ** 2).sum()), x.shape[1]
-
-
-def _design(pdf: pd.DataFrame, interaction: bool) -> np.ndarray:
-    q = pdf["q"].to_numpy(float)
-    levels = sorted(pdf["group"].unique())[1:]
-    dummies = [(pdf["group"] == g).to_numpy(float) for g in levels]
-    return np.column_stack([np.ones(len(q)), q, *dummies, *([d * q for d in dummies] if interaction else [])])
-
-
-class RandomIntercept:
-    """value ~ X + (1 | subject) by maximum likelihood, profiled to the ratio theta of standard deviations."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, subject: np.ndarray):
-        self.x, self.y = x, y
-        _, self.at = np.unique(subject, return_inverse=True)
-        self.size = np.bincount(self.at).astype(float)
-        self.theta = self._best()
-        self.beta, self.sigma2, self.loglik, self.xtx = self._at(self.theta)
-
-    def _means(self, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, weights=v) / self.size
-
-    def _at(self, theta: float) -> tuple[np.ndarray, float, float, np.ndarray]:
-        shrink = 1 - 1 / np.sqrt(1 + self.size * theta * theta)
-        centre = lambda v: v - (shrink * self._means(v))[self.at]
-        xs, ys = np.column_stack([centre(c) for c in self.x.T]), centre(self.y)
-        xtx = xs.T @ xs
-        beta = np.linalg.lstsq(xtx, xs.T @ ys, rcond=None)[0]
-        n = len(ys)
-        sigma2 = max(float(((ys - xs @ beta) ** 2).sum()) / n, 1e-300)
-        loglik = -0.5 * (n * math.log(2 * math.pi * sigma2) + n + float(np.log1p(self.size * theta * theta).sum()))
-        return beta, sigma2, loglik, xtx
-
-    def _best(self) -> float:
-        grid = np.concatenate([[0.0], np.geomspace(1e-3, 1e3, 49)])
-        k = int(np.argmax([self._at(t)[2] for t in grid]))
-        low, high = grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
-        ratio = (math.sqrt(5) - 1) / 2
-        a, b = high - ratio * (high - low), low + ratio * (high - low)
-        fa, fb = self._at(a)[2], self._at(b)[2]
-        for _ in range(80):
-            if fa < fb:
-                low, a, fa = a, b, fb
-                b = low + ratio * (high - low)
-                fb = self._at(b)[2]
-            else:
-                high, b, fb = b, a, fa
-                a = high - ratio * (high - low)
-                fa = self._at(a)[2]
-        theta = (low + high) / 2
-        return 0.0 if self._at(0.0)[2] >= self._at(theta)[2] else theta
-
-    def deviance(self, theta: float, sigma: float) -> float:
-        beta, _, _, _ = self._at(theta)
-        shrink = 1 - 1 / np.sqrt(1 + self.size * theta * theta)
-        centre = lambda v: v - (shrink * self._means(v))[self.at]
-        rss = float((centre(self.y - self.x @ beta) ** 2).sum())
-        return len(self.y) * math.log(2 * math.pi * sigma**2) + float(np.log1p(self.size * theta * theta).sum()) + rss / sigma**2
-
-    def variance(self, j: int, theta: float, sigma: float) -> float:
-        return sigma**2 * float(np.linalg.pinv(self._at(theta)[3])[j, j])
-
-    def satterthwaite(self, j: int) -> float:
-        """Two-sided p of coefficient j with Satterthwaite's degrees of freedom, by numeric derivatives."""
-        at = np.array([self.theta, math.sqrt(self.sigma2)])
-        step = 1e-4 * np.maximum(np.abs(at), 1e-2)
-        f, v = lambda p: self.deviance(*p), lambda p: self.variance(j, *p)
-        e = np.diag(step)
-        gradient = np.array([(v(at + e[i]) - v(at - e[i])) / (2 * step[i]) for i in range(2)])
-        hessian = np.array([[(f(at + e[i] + e[k]) - f(at + e[i] - e[k]) - f(at - e[i] + e[k]) + f(at - e[i] - e[k])) / (4 * step[i] * step[k]) for k in range(2)] for i in range(2)])
-        spread = float(gradient @ (2 * np.linalg.pinv(hessian)) @ gradient)
-        value = v(at)
-        df = 2 * value * value / spread if spread > 0 else float(len(self.y))
-        return t_sf2(float(self.beta[j]) / math.sqrt(value), df)
-
-
-def fit_mixed(pdf: pd.DataFrame) -> tuple[float | None, float | None, str, bool]:
-    """(p of the likelihood ratio, Satterthwaite p, how it was fitted, singular) for one gene.
-
-    A singular mixed fit gives way to least squares, with subjects as fixed effects if that leaves
-    degrees of freedom, else without them.
-    """
-    y, subject = pdf["value"].to_numpy(float), pdf["subject"].to_numpy()
-    with_, without = _design(pdf, True), _design(pdf, False)
-    groups = pdf["group"].nunique()
-    full = RandomIntercept(with_, y, subject)
-    if full.theta >= SINGULAR:
-        null = RandomIntercept(without, y, subject)
-        lrt = chi2_1_sf(2 * (full.loglik - null.loglik)) if groups == 2 else None
-        return lrt, full.satterthwaite(1 + groups), "lmer", False
-    dummies = np.column_stack([(subject == s).astype(float) for s in np.unique(subject)[1:]]) if len(np.unique(subject)) > 1 else np.empty((len(y), 0))
-    for extra, name in ((dummies, "lm_subject"), (dummies[:, :0], "lm_nosubject")):
-        (rss1, k1), (rss0, k0) = _rss(np.column_stack([with_, extra]), y), _rss(np.column_stack([without, extra]), y)
-        if k1 > k0 and len(y) > k1 and rss1 > 0:
-            p = f_sf((rss0 - rss1) / (k1 - k0) / (rss1 / (len(y) - k1)), k1 - k0, len(y) - k1)
-            return p, p, name, True
-    return None, None, "fallback", True
-
-
-def mixed_interaction(values: DataFrame, min_obs: int = 10, pvalue: str = "satterthwaite") -> DataFrame:
-    """(gene, p_interaction, p_lrt, p_satterthwaite, fit_method, singular) of (gene, group, subject, q, value)."""
-    if pvalue not in ("satterthwaite", "lrt", "both"):
-        raise ValueError("pvalue must be 'satterthwaite', 'lrt' or 'both'")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lrt, satterthwaite, how, singular = fit_mixed(pdf)
-        first, second = (lrt, None) if pvalue == "lrt" else (satterthwaite, lrt if pvalue == "both" else None)
-        return pd.DataFrame([(pdf["gene"].iloc[0], first if first is not None else second, lrt, satterthwaite, how, singular)], columns=["gene", "p_interaction", "p_lrt", "p_satterthwaite", "fit_method", "singular"])
-
-    schema = "gene string, p_interaction double, p_lrt double, p_satterthwaite double, fit_method string, singular boolean"
-    rows = enough_observations(values, min_obs, subjects=True).select("gene", "group", "subject", "q", "value")
-    return rows.groupBy("gene").applyInPandas(run, schema)
-
-
 def _spline_basis(q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Cubic regression spline basis of size k with knots at quantiles of the distinct orders, and its penalty."""
     u = np.unique(q)
@@ -240,6 +110,10 @@ def fit_additive(pdf: pd.DataFrame) -> float | None:
     return f_sf(max(rss0 - rss1, 0.0) / (edf1 - edf0) / (rss1 / (len(y) - edf1)), edf1 - edf0, len(y) - edf1)
 
 
+def _type_of_genes(values: DataFrame) -> str:
+    return values.schema["gene"].dataType.simpleString()
+
+
 def additive_interaction(values: DataFrame, min_obs: int = 10) -> DataFrame:
     """(gene, p_interaction) by penalised cubic regression splines of (gene, group, q, value)."""
 
@@ -247,7 +121,7 @@ def additive_interaction(values: DataFrame, min_obs: int = 10) -> DataFrame:
         p = fit_additive(pdf)
         return pd.DataFrame({"gene": [] if p is None else [pdf["gene"].iloc[0]], "p_interaction": [] if p is None else [p]})
 
-    return enough_observations(values, min_obs).select("gene", "group", "q", "value").groupBy("gene").applyInPandas(run, "gene string, p_interaction double")
+    return enough_observations(values, min_obs).select("gene", "group", "q", "value").groupBy("gene").applyInPandas(run, f"gene {_type_of_genes(values)}, p_interaction double")
 
 
 def curve_matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
@@ -291,7 +165,7 @@ def curve_interaction(values: DataFrame, min_obs: int = 10) -> DataFrame:
         return pd.DataFrame({"gene": [] if p is None else [pdf["gene"].iloc[0]], "p_interaction": [] if p is None else [p]})
 
     rows = enough_observations(values, min_obs).select("gene", "group", "sample", "q", "value")
-    return rows.groupBy("gene").applyInPandas(run, "gene string, p_interaction double")
+    return rows.groupBy("gene").applyInPandas(run, f"gene {_type_of_genes(values)}, p_interaction double")
 
 
 def calculate_interaction(values: DataFrame, method: str = "linear", min_obs: int = 10, pvalue: str = "satterthwaite", subject: str | None = None, pcorr: str = "BH", paired: bool = False) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Equal p-values are adjusted alike, so the distinct ones with their counts are sorted into ranges; ranks
 and running extremes of a range are windows inside it, and what lies before or after it comes from one
-row per range. Families (``within``) have windows of their own.
+row per range. Families (``within``) have windows of their own, and so has a single family of at most
+``FEW`` rows, which is counted first.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .settled import settled
 METHODS = ("holm", "hochberg", "hommel", "bonferroni", "BH", "BY", "fdr", "none")
 #: Terms of a harmonic number that are summed; the rest comes from its expansion.
 HARMONIC_TERMS = 64
+#: Most rows of a family whose distinct p-values, two numbers each, are one window.
+FEW = 100_000
 
 
 def adjust(rows: DataFrame, method: str = "BH", p: str = "raw_p_values", out: str = "adjusted_p_values", within: tuple[str, ...] = ()) -> DataFrame:
@@ -39,7 +42,7 @@ def adjust(rows: DataFrame, method: str = "BH", p: str = "raw_p_values", out: st
     if method == "hommel":
         found = _hommel(distinct, out, within)
     else:
-        found = (_in_families if within else _in_ranges)(distinct, method).select(*within, "_p", F.least(F.lit(1.0), "_best").alias(out))
+        found = (_in_families if within or rows.count() <= FEW else _in_ranges)(distinct, method).select(*within, "_p", F.least(F.lit(1.0), "_best").alias(out))
     joined = rows.withColumn("_p", F.col(p)).join(found, [*within, "_p"], "left")
     return joined.select(*rows.columns, out)
 

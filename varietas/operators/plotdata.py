@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 import sys
 from collections.abc import Sequence
 
@@ -13,19 +12,26 @@ from pyspark.sql import functions as F
 from varietas.functions.numerics import format_label
 
 from .foldchange import fold_change
+from .quantiles import density, quantiles, ranged
 from .settled import settled
 
 #: Names of fold-change and adjusted-p columns, in the order they are looked for, and the level of significance.
 FOLD_COLUMNS = ("log2_fold_change", "logFC", "fold", "estimate_interaction", "fold_change")
 P_COLUMNS = ("adjusted_p_values", "adj_p_value", "adj_p", "padj", "p.adjust")
 SIGNIFICANT = 0.05
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def q_curve(values: DataFrame) -> DataFrame:
-    """(group, q, median, iqr, low, high): the median with a ribbon of half the inter-quartile range either way."""
-    if values.isEmpty():
+    """(group, q, median, iqr, low, high): the median with a ribbon of half the inter-quartile range either way.
+
+    A group has as many values as there are genes times samples, so it is never in one task.
+    """
+    keys = ["group", "q"]
+    ranges = ranged(values, keys)
+    if ranges.isEmpty():
         raise ValueError("no values")
-    return _spread(values, ["group", "q"])
+    return _with_ribbon(quantiles(ranges, keys, QUARTILES), keys)
 
 
 def gene_profile(values: DataFrame, genes: Sequence[str] | DataFrame | None = None, table: DataFrame | None = None, n_top: int = 10, show_samples: bool = False) -> DataFrame:
@@ -45,13 +51,14 @@ def gene_profile(values: DataFrame, genes: Sequence[str] | DataFrame | None = No
         found = {r[0] for r in rows.select("gene").distinct().collect()}
         if missing := [g for g in genes if g not in found]:
             raise ValueError(f"genes without values: {', '.join(missing)}")
-    spread = _spread(rows, ["gene", "group", "q"])
+    # A gene's values of one order are as many as samples.
+    keys = ["gene", "group", "q"]
+    spread = _with_ribbon(rows.groupBy(*keys).agg(F.percentile("value", F.array(*(F.lit(x) for x in QUARTILES))).alias("p")), keys)
     return spread.unionByName(rows.select("gene", "group", "q", "sample", "value"), allowMissingColumns=True) if show_samples else spread
 
 
-def _spread(values: DataFrame, keys: list[str]) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = values.groupBy(*keys).agg(q.alias("p")).select(*keys, F.col("p")[1].alias("median"), (F.col("p")[2] - F.col("p")[0]).alias("iqr"))
+def _with_ribbon(quartiles: DataFrame, keys: list[str]) -> DataFrame:
+    out = quartiles.select(*keys, F.col("p")[1].alias("median"), (F.col("p")[2] - F.col("p")[0]).alias("iqr"))
     return out.withColumns({"low": F.col("median") - F.col("iqr") / 2, "high": F.col("median") + F.col("iqr") / 2})
 
 
@@ -66,30 +73,11 @@ def mean_density(values: DataFrame, points: int = 64) -> DataFrame:
 
 
 def box_statistics(values: DataFrame) -> DataFrame:
-    """(q, group, n, lower, median, upper): the boxes in violins of several orders."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = values.groupBy("q", "group").agg(F.count("value").alias("n"), q.alias("p"))
+    """(q, group, n, lower, median, upper): the boxes in violins of several orders, of groups with known values."""
+    out = quantiles(ranged(values, ["q", "group"]), ["q", "group"], QUARTILES)
     return out.select("q", "group", "n", F.col("p")[0].alias("lower"), F.col("p")[1].alias("median"), F.col("p")[2].alias("upper"))
 
 
-def density(values: DataFrame, keys: Sequence[str], points: int = 64) -> DataFrame:
-    """(keys, x, density): Gaussian kernel density on an even grid between the extremes of each group.
-
-    The bandwidth is 0.9 * min(sd, IQR / 1.34) * n ** -0.2, with sd alone if the IQR is 0. A group of
-    one value, or of equal ones, has no density.
-    """
-    spread = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    stats = values.groupBy(*keys).agg(F.count("value").alias("n"), F.stddev_samp("value").alias("sd"), spread.alias("p"), F.min("value").alias("low"), F.max("value").alias("high"))
-    robust = (F.col("p")[1] - F.col("p")[0]) / 1.34
-    width = 0.9 * F.when(robust > 0, F.least("sd", robust)).otherwise(F.col("sd")) * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    stats = stats.where("sd > 0").select(*keys, "n", "low", "high", width.alias("h"), grid.alias("i"))
-    stats = stats.withColumn("x", F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / (points - 1))
-    at = stats.join(values.select(*keys, "value"), list(keys))
-    kernel = F.exp(-F.pow((F.col("x") - F.col("value")) / F.col("h"), F.lit(2)) / 2) / math.sqrt(2 * math.pi)
-    return at.groupBy(*keys, "i", "x").agg((F.sum(kernel / F.col("h")) / F.first("n")).alias("density")).drop("i")
-
-
 def first_column(columns: Sequence[str], wanted: Sequence[str]) -> str | None:
     return next((c for c in wanted if c in columns), None)
 

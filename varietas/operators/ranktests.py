@@ -6,50 +6,32 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varietas.functions.numerics import missing_to_null, normal_two_sided
 
+from .profiles import marked_cells, profiles, rank_sum, signed_rank
 from .settled import settled
 
 
-def _ranks(rows: DataFrame, value: str) -> DataFrame:
-    """Known rows with the average rank of ``value`` in the gene and the size of its tie."""
-    by = Window.partitionBy("gene")
-    ties = F.count("*").over(Window.partitionBy("gene", value))
-    return rows.withColumns({"ties": ties, "rank": F.rank().over(by.orderBy(value)) + (ties - 1) / 2})
-
-
 def rank_sum_statistics(values: DataFrame, first: str, second: str) -> DataFrame:
     """(gene, n1, n2, u, tie_sum, z) of (gene, group, value): U of the first group, continuity-corrected z.
 
-    tie_sum is the sum of t**3 - t over ties, as t**2 - 1 over rows. z is NULL where its variance is 0.
+    tie_sum is the sum of t**3 - t over ties. z is NULL where its variance is 0. A gene without known values
+    of the two groups has no row.
     """
-    rows = _ranks(values.select("gene", "group", missing_to_null(F.col("value")).alias("value")).where(F.col("value").isNotNull() & F.col("group").isin(first, second)), "value")
-    one = F.col("group") == first
-    sums = rows.groupBy("gene").agg(F.count_if(one).alias("n1"), F.count_if(~one).alias("n2"), F.coalesce(F.sum(F.when(one, F.col("rank"))), F.lit(0.0)).alias("r1"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tie_sum"))
-    n = F.col("n1") + F.col("n2")
-    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    product = F.col("n1") * F.col("n2")
-    variance = product / 12 * (n + 1 - F.try_divide(F.col("tie_sum").cast("double"), (n * (n - 1)).cast("double")))
-    centred = u - product / 2
-    z = F.try_divide(centred - 0.5 * F.signum(centred), F.when(variance > 0, F.sqrt(variance)))
-    return sums.select("gene", "n1", "n2", u.alias("u"), "tie_sum", z.alias("z"))
+    found = profiles(values, first, second).select("gene", rank_sum(F.col("cells")).alias("r"))
+    return found.select("gene", "r.*").where("n1 + n2 > 0")
 
 
 def signed_rank_statistics(pairs: DataFrame) -> DataFrame:
     """(gene, n, zeros, v, tie_sum, z) of (gene, x, y): V of the positive differences x - y, zeros left out."""
     d = missing_to_null(F.col("x")) - missing_to_null(F.col("y"))
-    rows = pairs.select("gene", d.alias("d")).where("d is not null")
-    ranked = _ranks(rows.where("d <> 0").withColumn("size", F.abs("d")), "size")
-    sums = ranked.groupBy("gene").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("rank"))), F.lit(0.0)).alias("v"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tie_sum"))
-    zeros = rows.groupBy("gene").agg(F.count_if(F.col("d") == 0).alias("zeros"))
-    n = F.col("n")
-    variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_sum") / 48
-    centred = F.col("v") - n * (n + 1) / 4
-    z = F.try_divide(centred - 0.5 * F.signum(centred), F.when(variance > 0, F.sqrt(variance)))
-    return zeros.join(sums, "gene", "left").select("gene", F.coalesce("n", F.lit(0)).alias("n"), "zeros", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("tie_sum", F.lit(0)).alias("tie_sum"), z.alias("z"))
+    rows = pairs.select("gene", d.alias("d"))
+    cells = marked_cells(F.abs("d"), F.when(F.col("d") != 0, F.col("d") > 0))
+    genes = rows.groupBy("gene").agg(cells.alias("cells"), F.count_if(F.col("d") == 0).alias("zeros"))
+    return genes.select("gene", "zeros", signed_rank(F.col("cells")).alias("r")).select("gene", "r.n", "zeros", "r.v", "r.tie_sum", "r.z")
 
 
 @lru_cache(maxsize=256)
@@ -81,20 +63,27 @@ def two_sided(counts: np.ndarray, at: int) -> float:
     return float(min(1.0, 2 * min(counts[: at + 1].sum(), counts[at:].sum()) / total))
 
 
-def _exact(kind: str):
+def rank_sum_p(found: Column, exact: bool) -> Column:
+    """The p-value of a struct by ``rank_sum``."""
+    if not exact:
+        return p_value(found["z"])
+    return F.coalesce(F.when(found["tie_sum"] == 0, _exact("unpaired", found["n1"], found["n2"], found["u"])), F.lit(1.0))
+
+
+def _exact(kind: str, *of: Column):
     if kind == "unpaired":
 
         @F.pandas_udf("double")
         def p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
             return pd.Series([two_sided(rank_sum_counts(int(a), int(b)), int(round(c))) if a and b else None for a, b, c in zip(n1, n2, u, strict=True)], dtype="float64")
 
-        return p("n1", "n2", "u")
+        return p(*of)
 
     @F.pandas_udf("double")
     def p(n: pd.Series, v: pd.Series) -> pd.Series:
         return pd.Series([two_sided(signed_rank_counts(int(a)), int(round(c))) if a else None for a, c in zip(n, v, strict=True)], dtype="float64")
 
-    return p("n", "v")
+    return p(*of)
 
 
 def p_value(z: Column) -> Column:
@@ -108,8 +97,8 @@ def wilcoxon(values: DataFrame, first: str, second: str, paired: bool = False, e
     A test that can't be made as asked (a gene without variation or values, ties or zero differences
     in an exact test) has p = 1. Every gene of ``values`` has a row.
     """
-    values = settled(values)
     if paired:
+        values = settled(values)
         x, y = (F.max(F.when(F.col("group") == g, F.col("value"))) for g in (first, second))
         sizes = values.groupBy("gene").agg(F.count_if(F.col("group") == first).alias("a"), F.count_if(F.col("group") == second).alias("b"))
         if not sizes.where("a <> b").isEmpty():
@@ -117,8 +106,7 @@ def wilcoxon(values: DataFrame, first: str, second: str, paired: bool = False, e
         stats = signed_rank_statistics(values.groupBy("gene", "pair").agg(x.alias("x"), y.alias("y")))
         fair = (F.col("tie_sum") == 0) & (F.col("zeros") == 0)
     else:
-        stats = rank_sum_statistics(values, first, second)
-        fair = F.col("tie_sum") == 0
-    p = F.coalesce(F.when(fair, _exact("paired" if paired else "unpaired")), F.lit(1.0)) if exact else p_value(F.col("z"))
-    tested = stats.select("gene", p.alias("raw_p_values"))
-    return values.select("gene").distinct().join(tested, "gene", "left").withColumn("raw_p_values", F.coalesce("raw_p_values", F.lit(1.0)))
+        found = profiles(values, first, second).select("gene", rank_sum(F.col("cells")).alias("r"))
+        return found.select("gene", rank_sum_p(F.col("r"), exact).alias("raw_p_values"))
+    p = F.coalesce(F.when(fair, _exact("paired", F.col("n"), F.col("v"))), F.lit(1.0)) if exact else p_value(F.col("z"))
+    return stats.select("gene", p.alias("raw_p_values"))

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varietas.functions.numerics import format_label
-from varietas.operators import difference, diversity, experiment, filters, foldchange, interaction, metadata, padjust, permute, plotdata, ranktests
+from varietas.operators import difference, diversity, experiment, filters, foldchange, interaction, metadata, mixed, padjust, permute, plotdata, ranktests
 from varietas.operators.settled import settled
 from varietas.sources import tables
 
 from . import fixtures, sql
-from .sql import adjusted, exact_p, fold_change, grouped, hommel, normal_p, r, rank_sums, t_p, values, with_
+from .sql import adjusted, exact_p, fold_change, grouped, hommel, mixed_ratio, normal_p, r, rank_sums, t_p, values, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -494,6 +494,17 @@ for _method in ("lmm", "gam", "fpca"):
     query(None, f"{_method}_interaction")(_fits(_method))
 
 
+#: Ratios of standard deviations that the mirrored mixed fits choose from.
+THETAS = tuple(round(0.05 * 1.3**i, 4) for i in range(24))
+
+
+@query(with_(*values(GRID, "retail"), *grouped("retail"), *mixed_ratio(THETAS), f"ps AS (SELECT gene, {normal_p('z')} AS p FROM lr)", *adjusted("BH", "ps")) + f"SELECT gene, {r('p', 'p_lrt')}, {r('a', 'adj_p_lrt')} FROM adj")
+def lmm_lrt_on_grid(spark, sf_dir):
+    rows, _ = _grouped(fixtures.retail(spark, sf_dir), GRID)
+    fits = mixed.mixed_interaction(rows.withColumn("subject", F.col("sample")), pvalue="lrt", thetas=THETAS)
+    return padjust.adjust(fits, "BH", "p_lrt", "adj_p_lrt").select("gene", rounded("p_lrt"), rounded("adj_p_lrt"))
+
+
 @query()
 def lmm_fit_summary(spark, sf_dir):
     return interaction.fit_summary(_fits("lmm")(spark, sf_dir))

@@ -112,6 +112,22 @@ def hommel(source: str, p: str = "p", out: str = "adj") -> list[str]:
     ]
 
 
+def mixed_ratio(thetas: Sequence[float], source: str = "v", out: str = "lr") -> list[str]:
+    """CTE ``out`` (gene, z): the root of the likelihood ratio of a slope for each of two groups against one for both, samples being subjects of one group.
+
+    With a random intercept, cross products about the groups' means are weighted by theta; theta is the best of ``thetas``.
+    """
+    sxx, sxy, syy = "(qq - q1 * q1 / s1)", "(qy - q1 * y1 / s1)", "(yy - y1 * y1 / s1)"
+    level = lambda rss: f"max(-0.5 * (n * ln(2 * pi() * {rss} / n) + n + logdet))"
+    return [
+        f"mc AS (SELECT gene, grp, sample, count(*) AS n, sum(q) AS q, sum(q * q) AS qq, sum(value) AS y, sum(value * value) AS yy, sum(q * value) AS qy FROM {source} GROUP BY ALL)",
+        f"mw AS (SELECT *, theta * theta / (1 + n * theta * theta) AS w FROM mc, (SELECT unnest({[float(t) for t in thetas]}::DOUBLE[]) AS theta))",
+        "mg AS (SELECT gene, theta, grp, sum(n) AS n, sum(n - w * n * n) AS s1, sum(q - w * n * q) AS q1, sum(qq - w * q * q) AS qq, sum(y - w * n * y) AS y1, sum(yy - w * y * y) AS yy, sum(qy - w * q * y) AS qy, sum(ln(1 + n * theta * theta)) AS logdet FROM mw GROUP BY ALL)",
+        f"mf AS (SELECT gene, theta, sum(n) AS n, sum(logdet) AS logdet, sum({syy} - {sxy} * {sxy} / {sxx}) AS rss1, sum({syy}) - sum({sxy}) * sum({sxy}) / sum({sxx}) AS rss0 FROM mg GROUP BY ALL)",
+        f"{out} AS (SELECT gene, sqrt(greatest(0, 2 * ({level('rss1')} - {level('rss0')}))) AS z FROM mf GROUP BY gene)",
+    ]
+
+
 def exact_p(kind: str, source: str, out: str = "ex") -> list[str]:
     """CTEs, recursive ones among them, that end in ``out`` (gene, p): twice the smaller tail of all placings of ranks.
 
