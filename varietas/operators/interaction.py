@@ -1,21 +1,19 @@
 """Does the diversity-by-order curve of a gene differ in shape between groups? Four kinds of fits.
 
-linear is one aggregation per (gene, group) and closed forms; mixed models (``mixed``) are fitted to sums that
-Spark makes, many genes at a time. The others are iterative and run per gene in ``applyInPandas``; a gene's
-group has as many rows as there are samples times orders.
+linear is one aggregation per (gene, group) and closed forms; mixed (``mixed``) and additive models
+(``additive``) are fitted to sums that Spark makes, many genes at a time; for curves (``curves``) a gene is one
+row with its observations, of which there are as many as samples times orders.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varietas.functions.numerics import f_sf, t_sf2, t_two_sided
+from varietas.functions.numerics import t_two_sided
 
+from .additive import additive_interaction, fit_additive
+from .curves import curve_interaction, fit_curves
 from .filters import enough_observations
 from .mixed import RandomIntercept, fit_mixed, mixed_interaction
 from .padjust import adjust
@@ -44,130 +42,6 @@ def linear_interaction(values: DataFrame, min_obs: int = 10) -> DataFrame:
     return whole.where((F.col("df") > 0) & (a["sxx"] > 0) & (b["sxx"] > 0)).select("gene", t.alias("t"), F.col("df").cast("int").alias("df")).withColumn("p_interaction", t_two_sided(F.col("t"), F.col("df"))).where("t is not null")
 
 
-def _spline_basis(q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cubic regression spline basis of size k with knots at quantiles of the distinct orders, and its penalty."""
-    u = np.unique(q)
-    knots = np.quantile(u, np.linspace(0, 1, k))
-    h = np.diff(knots)
-    d, b = np.zeros((k - 2, k)), np.zeros((k - 2, k - 2))
-    for i in range(k - 2):
-        d[i, i], d[i, i + 1], d[i, i + 2] = 1 / h[i], -1 / h[i] - 1 / h[i + 1], 1 / h[i + 1]
-        b[i, i] = (h[i] + h[i + 1]) / 3
-        if i < k - 3:
-            b[i, i + 1] = b[i + 1, i] = h[i + 1] / 6
-    f = np.vstack([np.zeros(k), np.linalg.solve(b, d), np.zeros(k)])
-    j = np.clip(np.searchsorted(knots, q, side="right") - 1, 0, k - 2)
-    left, right = (knots[j + 1] - q) / h[j], (q - knots[j]) / h[j]
-    x = np.zeros((len(q), k))
-    rows = np.arange(len(q))
-    x[rows, j] += left
-    x[rows, j + 1] += right
-    x += (((left**3 - left) * h[j] ** 2 / 6)[:, None] * f[j]) + (((right**3 - right) * h[j] ** 2 / 6)[:, None] * f[j + 1])
-    return x, d.T @ np.linalg.solve(b, d)
-
-
-def _penalised(x: np.ndarray, penalties: list[np.ndarray], y: np.ndarray) -> tuple[float, float]:
-    """Residual sum of squares and effective degrees of freedom at the weights of least GCV."""
-    n, xtx, xty = len(y), x.T @ x, x.T @ y
-    best = (np.inf, 0.0, 0.0)
-
-    def at(logs: tuple[float, ...]) -> tuple[float, float, float]:
-        s = sum((10.0**w * p for w, p in zip(logs, penalties, strict=True)), np.zeros_like(xtx))
-        inverse = np.linalg.pinv(xtx + s)
-        edf, rss = float(np.trace(inverse @ xtx)), float(((y - x @ (inverse @ xty)) ** 2).sum())
-        return n * rss / max(n - edf, 1e-6) ** 2, rss, edf
-
-    grid = np.linspace(-6, 6, 13)
-    current = [0.0] * len(penalties)
-    for _ in range(3):
-        for i in range(len(penalties)):
-            for w in grid:
-                found = at(tuple([*current[:i], w, *current[i + 1 :]]))
-                if found[0] < best[0] - 1e-15:
-                    best, current[i] = found, float(w)
-    return best[1], best[2]
-
-
-def fit_additive(pdf: pd.DataFrame) -> float | None:
-    """F test p of value ~ group + s(q) against value ~ group + s(q, by group); None if it can't be made."""
-    q, y = pdf["q"].to_numpy(float), pdf["value"].to_numpy(float)
-    distinct = len(np.unique(q))
-    k = max(3, min(10, distinct - 1))
-    if distinct < 3:
-        return None
-    levels = sorted(pdf["group"].unique())
-    on = [(pdf["group"] == g).to_numpy(float) for g in levels]
-    basis, penalty = _spline_basis(q, k)
-    basis = basis - basis.mean(axis=0)
-    groups = np.column_stack(on)
-    pad = lambda m, before, after: np.pad(m, ((before, after), (before, after)))
-    g = len(levels)
-    rss0, edf0 = _penalised(np.column_stack([groups, basis]), [pad(penalty, g, 0)], y)
-    parts = [basis * o[:, None] for o in on]
-    rss1, edf1 = _penalised(np.column_stack([groups, *parts]), [pad(penalty, g + i * k, (g - 1 - i) * k) for i in range(g)], y)
-    if edf1 <= edf0 + 1e-8 or len(y) <= edf1 or rss1 <= 0:
-        return 1.0 if rss1 > 0 else None
-    return f_sf(max(rss0 - rss1, 0.0) / (edf1 - edf0) / (rss1 / (len(y) - edf1)), edf1 - edf0, len(y) - edf1)
-
-
-def _type_of_genes(values: DataFrame) -> str:
-    return values.schema["gene"].dataType.simpleString()
-
-
-def additive_interaction(values: DataFrame, min_obs: int = 10) -> DataFrame:
-    """(gene, p_interaction) by penalised cubic regression splines of (gene, group, q, value)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = fit_additive(pdf)
-        return pd.DataFrame({"gene": [] if p is None else [pdf["gene"].iloc[0]], "p_interaction": [] if p is None else [p]})
-
-    return enough_observations(values, min_obs).select("gene", "group", "q", "value").groupBy("gene").applyInPandas(run, f"gene {_type_of_genes(values)}, p_interaction double")
-
-
-def curve_matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
-    """Samples by ascending orders; samples with too few known points left out, gaps filled with the order's mean."""
-    wide = pdf.pivot_table(index="sample", columns="q", values="value", aggfunc="first", sort=True)
-    orders = np.sort(pdf["q"].unique())
-    wide = wide.reindex(columns=orders)
-    wide = wide[wide.notna().sum(axis=1) >= max(2, math.ceil(len(orders) / 2))]
-    return wide.fillna(wide.mean()).to_numpy(float), list(wide.index)
-
-
-def welch_p(a: np.ndarray, b: np.ndarray) -> float | None:
-    """Two-sided p of Welch's t test."""
-    if len(a) < 2 or len(b) < 2:
-        return None
-    va, vb = a.var(ddof=1) / len(a), b.var(ddof=1) / len(b)
-    if va + vb <= 0:
-        return None
-    return t_sf2((a.mean() - b.mean()) / math.sqrt(va + vb), (va + vb) ** 2 / (va**2 / (len(a) - 1) + vb**2 / (len(b) - 1)))
-
-
-def fit_curves(pdf: pd.DataFrame, min_obs: int) -> float | None:
-    """Welch p between the first two groups' scores on the first principal component of the curves."""
-    curves, names = curve_matrix(pdf)
-    if len(names) < min_obs or curves.shape[1] < 2 or np.isnan(curves).any():
-        return None
-    u, s, _ = np.linalg.svd(curves - curves.mean(axis=0), full_matrices=False)
-    group = pdf.drop_duplicates("sample").set_index("sample")["group"].reindex(names)
-    first = list(dict.fromkeys(group))[:2]
-    if len(first) < 2:
-        return None
-    score = u[:, 0] * s[0]
-    return welch_p(score[(group == first[0]).to_numpy()], score[(group == first[1]).to_numpy()])
-
-
-def curve_interaction(values: DataFrame, min_obs: int = 10) -> DataFrame:
-    """(gene, p_interaction) by functional principal components of (gene, group, sample, q, value)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = fit_curves(pdf, min_obs)
-        return pd.DataFrame({"gene": [] if p is None else [pdf["gene"].iloc[0]], "p_interaction": [] if p is None else [p]})
-
-    rows = enough_observations(values, min_obs).select("gene", "group", "sample", "q", "value")
-    return rows.groupBy("gene").applyInPandas(run, f"gene {_type_of_genes(values)}, p_interaction double")
-
-
 def calculate_interaction(values: DataFrame, method: str = "linear", min_obs: int = 10, pvalue: str = "satterthwaite", subject: str | None = None, pcorr: str = "BH", paired: bool = False) -> DataFrame:
     """The interaction table of (gene, sample, group, q, value), with adj_p_interaction, by adjusted and raw p.
 

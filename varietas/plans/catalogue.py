@@ -13,7 +13,7 @@ from varietas.operators.settled import settled
 from varietas.sources import tables
 
 from . import fixtures, sql
-from .sql import adjusted, exact_p, fold_change, grouped, hommel, mixed_ratio, normal_p, r, rank_sums, t_p, values, with_
+from .sql import adjusted, exact_p, first_component, fold_change, grouped, hommel, mixed_ratio, normal_p, r, rank_sums, t_p, t_p_any, values, welch, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -490,10 +490,15 @@ def _fits(method: str) -> Query:
     return run
 
 
-for _method in ("lmm", "gam", "fpca"):
+for _method in ("lmm", "gam"):
     query(None, f"{_method}_interaction")(_fits(_method))
 
 
+@query(with_(*values(GRID, "retail"), *grouped("retail"), *first_component(), *welch("odd", "even"), f"ps AS (SELECT gene, {t_p_any('t', 'df')} AS p FROM wt)", *adjusted("BH", "ps")) + f"SELECT gene, {r('p', 'p_interaction')}, {r('a', 'adj_p_interaction')} FROM adj")
+def fpca_interaction(spark, sf_dir):
+    return _fits("fpca")(spark, sf_dir).select("gene", rounded("p_interaction"), rounded("adj_p_interaction"))
+
+
 #: Ratios of standard deviations that the mirrored mixed fits choose from.
 THETAS = tuple(round(0.05 * 1.3**i, 4) for i in range(24))
 

@@ -74,6 +74,42 @@ def t_p(t: str, df: str) -> str:
     return f"greatest(0.0, 1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
 
 
+def t_p_any(t: str, df: str, steps: int = 4000) -> str:
+    """Two-sided tail of Student's t for any degrees of freedom: its density over the angle atan(t / sqrt(df)) by Simpson's rule."""
+    th = f"atan(abs({t}) / sqrt({df}))"
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    inside = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * pow(cos({th} * i / {steps}), {df} - 1))) * {th} / {3 * steps}"
+    return f"greatest(0.0, 1 - 2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * {inside})"
+
+
+def first_component(source: str = "v", squarings: int = 14, out: str = "fc_scores") -> list[str]:
+    """CTEs, a recursive one among them, that end in ``out`` (gene, sample, grp, score): complete curves on their first component.
+
+    The cross products of the orders are squared again and again, which leaves the first eigenvector in every row.
+    """
+    scaled = "list_transform(m, lambda row: list_transform(row, lambda x: x / list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i]))))"
+    return [
+        f"fq AS (SELECT gene, sample, grp, q, value - avg(value) OVER (PARTITION BY gene, q) AS c FROM {source})",
+        "fl AS (SELECT gene, sample, grp, list(c ORDER BY q) AS c FROM fq GROUP BY ALL)",
+        "fg AS (SELECT gene, i, list(x ORDER BY j) AS row FROM (SELECT a.gene, a.q AS i, b.q AS j, sum(a.c * b.c) AS x FROM fq a JOIN fq b ON a.gene = b.gene AND a.sample = b.sample GROUP BY ALL) GROUP BY gene, i)",
+        "f0 AS (SELECT gene, list(row ORDER BY i) AS m FROM fg GROUP BY gene)",
+        f"""fr(gene, k, m) AS (SELECT gene, 0, {scaled} FROM f0 UNION ALL
+    SELECT gene, k, {scaled} FROM (SELECT gene, k + 1 AS k, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b))) AS m FROM fr WHERE k < {squarings}))""",
+        f"fv AS (SELECT gene, list_transform(m, lambda row: row[1 + CAST(list_position(d, list_max(d)) - 1 AS INT)]) AS v FROM (SELECT gene, m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d FROM fr WHERE k = {squarings}))",
+        f"{out} AS (SELECT gene, sample, grp, list_dot_product(c, v) AS score FROM fl JOIN fv USING (gene))",
+    ]
+
+
+def welch(first: str, second: str, source: str = "fc_scores", out: str = "wt") -> list[str]:
+    """CTE ``out`` (gene, t, df) of Welch's test."""
+    return [
+        f"ws AS (SELECT gene, avg(score) FILTER (grp = '{first}') - avg(score) FILTER (grp = '{second}') AS d, "
+        + ", ".join(f"var_samp(score) FILTER (grp = '{g}') / count(*) FILTER (grp = '{g}') AS v{i}, count(*) FILTER (grp = '{g}') - 1 AS f{i}" for i, g in enumerate((first, second)))
+        + f" FROM {source} GROUP BY gene)",
+        f"{out} AS (SELECT gene, d / sqrt(v0 + v1) AS t, (v0 + v1) * (v0 + v1) / (v0 * v0 / f0 + v1 * v1 / f1) AS df FROM ws)",
+    ]
+
+
 def rank_sums(first: str, second: str, source: str = "v", out: str = "rs") -> list[str]:
     """CTE ``out`` (gene, n1, n2, u, tie_sum, z)."""
     return [
