@@ -11,6 +11,7 @@ come back by a join.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame
@@ -82,7 +83,7 @@ def _proved(nodes: DataFrame, depth: int, top: int, single: bool) -> DataFrame:
     blocks = cut(blocks.drop("level0"))
     heads = cut(blocks.select("group_key", F.col("block").alias("at"), F.ceil(F.col("size") / width).alias("size"), F.col(f"level{depth}")[0].alias("leaf")))
     above = _above(heads, depth, top, single)
-    levels = [F.transform("rows", lambda r: r["leaf"]), *(F.col(f"level{k}") for k in range(1, depth))]
+    levels = [lambda i: F.get("rows", i)["leaf"], *(_member(F.col(f"level{k}")) for k in range(1, depth))]
     rows = F.transform("rows", lambda r: F.struct(*(r[c].alias(c) for c in ("at", "leaf", *own)), _path(levels, r["at"] % width).alias("steps")))
     told = blocks.join(above, (blocks["group_key"] == above["head_key"]) & (blocks["block"] == above["head"]))
     opened = told.select("group_key", "size", "height", "rest", "subroot", "root", F.inline(rows))
@@ -90,19 +91,26 @@ def _proved(nodes: DataFrame, depth: int, top: int, single: bool) -> DataFrame:
     return opened.select("group_key", "size", "at", "leaf", *own, path.alias("path"), "subroot", "root")
 
 
+def _member(nodes: Column) -> Callable[[Column], Column]:
+    """Node i of a level, null beyond its end. Spark's slice would copy the whole level for every run."""
+    return lambda i: F.get(nodes, i)
+
+
 def _next_level(nodes: Column, more: Column) -> Column:
-    runs = F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / FANOUT))
-    return F.when(more, F.transform(runs, lambda i: F.sha2(F.array_join(F.slice(nodes, (i * FANOUT + 1).cast("int"), FANOUT), ""), 256))).otherwise(nodes)
+    runs = F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / FANOUT).cast("int"))
+    members = lambda i: (F.get(nodes, i * FANOUT + k) for k in range(FANOUT))
+    return F.when(more, F.transform(runs, lambda i: F.sha2(F.concat_ws("", *members(i)), 256))).otherwise(nodes)
 
 
-def _path(levels: list[Column], at: Column) -> Column:
+def _path(levels: list[Callable[[Column], Column]], at: Column) -> Column:
     """The steps of the node at place ``at`` of a block through all levels of the block."""
     steps = []
-    for k, nodes in enumerate(levels):
+    for k, member in enumerate(levels):
         own = F.floor(at / FANOUT**k).cast("int")
         inside = own % FANOUT
-        left, right = F.slice(nodes, own - inside + 1, inside), F.slice(nodes, own + 2, F.lit(FANOUT - 1) - inside)
-        steps.append(F.struct(F.array_join(left, "").alias("left"), F.array_join(right, "").alias("right")))
+        run = [member(own - inside + i) for i in range(FANOUT)]
+        left, right = ([F.when(side, node) for side, node in zip(sides, run, strict=True)] for sides in ([inside > i for i in range(FANOUT)], [inside < i for i in range(FANOUT)]))
+        steps.append(F.struct(F.concat_ws("", *left).alias("left"), F.concat_ws("", *right).alias("right")))
     return F.array(*steps)
 
 
