@@ -16,6 +16,8 @@ from .ranktests import rank_sum_p, wilcoxon
 from .settled import settled, view
 
 TESTS = ("wilcoxon", "shuffle")
+#: Most samples that are broadcast to the values.
+MANY_SAMPLES = 1_000_000
 
 
 def test_differential(values: DataFrame, samples: DataFrame, control: str | None = None, method: str = "wilcoxon", fc_method: str = "mean", paired: bool = False, exact: bool = False, randomizations: int = 100, pcorr: str = "BH", seed: int | None = 123, paired_method: str = "swap") -> DataFrame:
@@ -82,7 +84,8 @@ def calculate_difference(values: DataFrame, samples: DataFrame, control: str | N
     if test == "shuffle" and total < 10:
         warnings.warn("low sample size for label shuffling" if total <= 5 else "few samples: label shuffling gives coarse p-values", stacklevel=2)
     by_array = test == "wilcoxon" and not paired
-    rows = values.join(F.broadcast(samples.select("sample", "group")), "sample")
+    own = samples.select("sample", "group")
+    rows = values.join(F.broadcast(own) if total <= MANY_SAMPLES else own, "sample")
     rows = rows if by_array else settled(rows)
     table = settled(_gene_table(rows, case, control, method, test, by_array, exact))
     enough, few = view(table.where("tested")), table.where("not tested")

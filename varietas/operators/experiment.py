@@ -6,12 +6,13 @@ import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varietas.functions.numerics import missing_to_null
 
 from .diversity import diversity, encode_column
+from .ordinals import numbered
 
 #: Assay names that hold read counts, in the order they are looked for.
 COUNT_ASSAYS = ("readcounts", "counts", "tx_counts", "counts_tx")
@@ -95,17 +96,20 @@ def map_transcripts(readcounts: DataFrame, tx2gene: DataFrame, tx_column: str =
     rows = readcounts.select("feature", "ord").distinct()
     n, m = rows.count(), ids.count()
     if n == m:
-        numbered = ids.withColumn("place", F.row_number().over(Window.orderBy("ord")))
-        places = rows.withColumn("place", F.row_number().over(Window.orderBy("ord"))).drop("feature")
-        named = places.join(numbered.select("place", "id"), "place").select("ord", F.col("id").alias("feature"))
+        places = numbered(rows, "ord", "feature").drop("feature")
+        named = places.join(numbered(ids, "ord", "id").select("place", "id"), "place").select("ord", F.col("id").alias("feature"))
         return readcounts.drop("feature").join(named, "ord")
     if rows.join(ids, rows.feature == ids.id, "left_anti").isEmpty():
         return readcounts
     raise ValueError("transcript ids can't be assigned: neither as many rows as the mapping nor all names in it")
 
 
-def counts_of(x: Experiment, given: DataFrame | None = None) -> DataFrame:
-    """Read counts: given ones, else the metadata's, else the first assay known to hold counts, else the first, with a warning."""
+def counts_of(x: Experiment, given: DataFrame | str | None = None) -> DataFrame:
+    """Read counts: given ones, or those of the wide TSV at a given path, else the metadata's, else the first assay known to hold counts, else the first, with a warning."""
+    if isinstance(given, str):
+        from varietas.sources.tables import read_counts
+
+        return read_counts(next(iter(x.assays.values())).sparkSession, given)
     if given is not None:
         return given
     if "readcounts" in x.metadata:

@@ -96,8 +96,15 @@ def control_group(groups: DataFrame, control: str | None = None, column: str = "
     return control if control in names else "Normal" if "Normal" in names else names[0]
 
 
-def samples_in_order(coldata: DataFrame, samples: DataFrame, column: str) -> DataFrame:
-    """(sample, group) of each of ``samples`` (sample) from a metadata table keyed by the first known id column."""
+def samples_in_order(coldata: DataFrame, samples: DataFrame, column: str, row_names: str = "row_names") -> DataFrame:
+    """(sample, group) of each of ``samples`` (sample) from a metadata table.
+
+    Its row names, if it has them and they name all samples, are the key, else the first known id column.
+    """
+    if row_names in coldata.columns:
+        named = coldata.select(F.col(row_names).alias("sample"), F.col(column).alias("group"))
+        if samples.join(named, "sample", "left_anti").isEmpty():
+            return samples.join(named, "sample")
     key = next((c for c in ID_COLUMNS if c in coldata.columns), None)
     if key is None:
         raise ValueError("no column of sample ids")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hommel import adjusted
 from .settled import settled
 
 #: The names of the corrections.
@@ -26,7 +27,8 @@ FEW = 100_000
 def adjust(rows: DataFrame, method: str = "BH", p: str = "raw_p_values", out: str = "adjusted_p_values", within: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with the adjusted p-values in ``out``; missing ones stay missing and don't count.
 
-    Hommel's correction brings the distinct p-values of a family, two numbers each, to one task.
+    Hommel's correction brings the distinct p-values of families by ``within``, two numbers each, to one task a
+    family; a single family of more than ``FEW`` rows is dealt over tasks.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
@@ -39,10 +41,11 @@ def adjust(rows: DataFrame, method: str = "BH", p: str = "raw_p_values", out: st
         whole = rows.join(n, list(within), "left") if within else rows.crossJoin(F.broadcast(n))
         return whole.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("_n") * F.col(p)))).drop("_n")
     distinct = known.groupBy(*within, F.col(p).alias("_p")).agg(F.count("*").alias("_m"))
+    few = bool(within) or rows.count() <= FEW
     if method == "hommel":
-        found = _hommel(distinct, out, within)
+        found = _hommel(distinct, out, within) if few else _hommel_in_stretches(distinct, out)
     else:
-        found = (_in_families if within or rows.count() <= FEW else _in_ranges)(distinct, method).select(*within, "_p", F.least(F.lit(1.0), "_best").alias(out))
+        found = (_in_families if few else _in_ranges)(distinct, method).select(*within, "_p", F.least(F.lit(1.0), "_best").alias(out))
     joined = rows.withColumn("_p", F.col(p)).join(found, [*within, "_p"], "left")
     return joined.select(*rows.columns, out)
 
@@ -76,18 +79,32 @@ def _in_families(distinct: DataFrame, method: str) -> DataFrame:
     return stepped.withColumn("_best", best)
 
 
+def _ranked(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (_p, _m) of a single family with ``_range``, ``_last``, the last of their ranks, and ``_n``, the number of all."""
+    ranges = settled(distinct.repartitionByRange("_p").withColumn("_range", F.spark_partition_id()))
+    up = Window.partitionBy("_range").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("_range").agg(F.sum("_m").alias("_size"))
+    sizes = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"), F.sum("_size").over(Window.partitionBy()).alias("_n"))
+    return ranges.withColumn("_last", F.sum("_m").over(up)).join(F.broadcast(sizes), "_range").withColumn("_last", F.col("_last") + F.col("_first")).drop("_first")
+
+
+def _hommel_in_stretches(distinct: DataFrame, out: str) -> DataFrame:
+    points = settled(_ranked(distinct).select(F.col("_last").alias("rank"), F.col("_p").alias("p"), F.col("_n").alias("n")))
+    n = points.agg(F.max("n")).first()[0]
+    if n is None:
+        return distinct.select("_p", F.col("_p").alias(out))
+    return adjusted(points.drop("n"), n).select(F.col("p").alias("_p"), F.col("adjusted").alias(out))
+
+
 def _in_ranges(distinct: DataFrame, method: str) -> DataFrame:
     """As ``_in_families`` for a single family, by ranges of p: two tables of one row per range carry ranks and extremes over."""
-    ranges = settled(distinct.repartitionByRange("_p").withColumn("_range", F.spark_partition_id()))
     by = Window.partitionBy("_range")
     up = by.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     over_ranges = Window.orderBy("_range")
     before, after = over_ranges.rowsBetween(Window.unboundedPreceding, -1), over_ranges.rowsBetween(1, Window.unboundedFollowing)
-    sizes = ranges.groupBy("_range").agg(F.sum("_m").alias("_size"))
-    sizes = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"), F.sum("_size").over(Window.partitionBy()).alias("_n"))
     factor, upwards = _step(method, F.col("_n"), F.col("_last"), F.col("_m"))
-    placed = ranges.withColumn("_last", F.sum("_m").over(up)).join(F.broadcast(sizes), "_range").withColumn("_last", F.col("_last") + F.col("_first"))
-    stepped = settled(placed.withColumn("_step", factor * F.col("_p")))
+    stepped = settled(_ranked(distinct).withColumn("_step", factor * F.col("_p")))
     if upwards:
         own, others = F.max("_step").over(up), F.max("_far").over(before)
     else:

@@ -34,29 +34,55 @@ def signed_rank_statistics(pairs: DataFrame) -> DataFrame:
     return genes.select("gene", "zeros", signed_rank(F.col("cells")).alias("r")).select("gene", "r.n", "zeros", "r.v", "r.tie_sum", "r.z")
 
 
-@lru_cache(maxsize=256)
-def rank_sum_counts(n1: int, n2: int) -> np.ndarray:
-    """How many of the placings of n1 among n1 + n2 give each U."""
+#: Most numbers, of eight bytes, that the null distribution of an exact test is worked out with; beyond, the normal form serves.
+MOST_STATES = 4_000_000
+
+
+def _rank_sums(n1: int, n2: int, take: float, leave: float) -> np.ndarray:
+    """For each U the weights, summed, of the placings of n1 among n1 + n2 ranks: ``take`` for each rank taken, ``leave`` for each other."""
     ways = np.zeros((n1 + 1, n1 * n2 + 1))
     ways[0, 0] = 1
     for rank in range(1, n1 + n2 + 1):
-        for k in range(min(rank, n1), 0, -1):
+        for k in range(min(rank, n1), -1, -1):
+            ways[k] *= leave
             shift = rank - k
-            if shift <= n1 * n2:
-                ways[k, shift:] += ways[k - 1, : n1 * n2 + 1 - shift]
+            if k and shift <= n1 * n2:
+                ways[k, shift:] += take * ways[k - 1, : n1 * n2 + 1 - shift]
     return ways[n1]
 
 
-@lru_cache(maxsize=256)
-def signed_rank_counts(n: int) -> np.ndarray:
-    """How many of the 2**n sign patterns give each V."""
+def rank_sum_counts(n1: int, n2: int) -> np.ndarray:
+    """How many of the placings of n1 among n1 + n2 give each U."""
+    return _rank_sums(n1, n2, 1.0, 1.0)
+
+
+@lru_cache(maxsize=4)
+def rank_sum_weights(few: int, many: int) -> np.ndarray:
+    """The null distribution of U up to a factor: every rank is taken with the probability that makes ``few`` the likeliest number, so that nothing overflows or vanishes."""
+    p = few / (few + many)
+    return _rank_sums(few, many, p, 1 - p)
+
+
+def _signed_ranks(n: int, factor: float) -> np.ndarray:
     ways = np.zeros(n * (n + 1) // 2 + 1)
     ways[0] = 1
     for rank in range(1, n + 1):
-        ways[rank:] = ways[rank:] + ways[:-rank]
+        ways[rank:] = factor * (ways[rank:] + ways[:-rank])
+        ways[:rank] *= factor
     return ways
 
 
+def signed_rank_counts(n: int) -> np.ndarray:
+    """How many of the 2**n sign patterns give each V."""
+    return _signed_ranks(n, 1.0)
+
+
+@lru_cache(maxsize=4)
+def signed_rank_weights(n: int) -> np.ndarray:
+    """The null distribution of V: a half for each sign."""
+    return _signed_ranks(n, 0.5)
+
+
 def two_sided(counts: np.ndarray, at: int) -> float:
     """Twice the smaller tail, at most 1."""
     total = counts.sum()
@@ -67,21 +93,32 @@ def rank_sum_p(found: Column, exact: bool) -> Column:
     """The p-value of a struct by ``rank_sum``."""
     if not exact:
         return p_value(found["z"])
-    return F.coalesce(F.when(found["tie_sum"] == 0, _exact("unpaired", found["n1"], found["n2"], found["u"])), F.lit(1.0))
+    small = (F.least(found["n1"], found["n2"]) + 1) * (found["n1"] * found["n2"] + 1) <= MOST_STATES
+    fair = F.when(found["tie_sum"] == 0, F.when(small, _exact_rank_sum(found["n1"], found["n2"], found["u"])).otherwise(p_value(found["z"])))
+    return F.coalesce(fair, F.lit(1.0))
 
 
-def _exact(kind: str, *of: Column):
-    if kind == "unpaired":
+def _known(states: float, n: float) -> bool:
+    """Whether a row has a test: a worker is given all rows, those that aren't tested exactly too."""
+    return n > 0 and states <= MOST_STATES
 
-        @F.pandas_udf("double")
-        def p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
-            return pd.Series([two_sided(rank_sum_counts(int(a), int(b)), int(round(c))) if a and b else None for a, b, c in zip(n1, n2, u, strict=True)], dtype="float64")
 
-        return p(*of)
+def _exact_rank_sum(*of: Column) -> Column:
+    @F.pandas_udf("double")
+    def p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+        def one(a: float, b: float, c: float) -> float | None:
+            few, many = sorted((int(a), int(b)))
+            return two_sided(rank_sum_weights(few, many), int(round(c))) if _known((few + 1) * (few * many + 1), few) else None
+
+        return pd.Series([one(*x) for x in zip(n1, n2, u, strict=True)], dtype="float64")
+
+    return p(*of)
+
 
+def _exact_signed_rank(*of: Column) -> Column:
     @F.pandas_udf("double")
     def p(n: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([two_sided(signed_rank_counts(int(a)), int(round(c))) if a else None for a, c in zip(n, v, strict=True)], dtype="float64")
+        return pd.Series([two_sided(signed_rank_weights(int(a)), int(round(c))) if _known(a * (a + 1) / 2 + 1, a) else None for a, c in zip(n, v, strict=True)], dtype="float64")
 
     return p(*of)
 
@@ -95,7 +132,8 @@ def wilcoxon(values: DataFrame, first: str, second: str, paired: bool = False, e
     """(gene, raw_p_values) of (gene, group, value), or, paired, (gene, group, pair, value).
 
     A test that can't be made as asked (a gene without variation or values, ties or zero differences
-    in an exact test) has p = 1. Every gene of ``values`` has a row.
+    in an exact test) has p = 1. Every gene of ``values`` has a row. Exact tests are exact as far as their null
+    distribution fits into ``MOST_STATES`` numbers (150 values in each group, or 2,800 pairs).
     """
     if paired:
         values = settled(values)
@@ -108,5 +146,7 @@ def wilcoxon(values: DataFrame, first: str, second: str, paired: bool = False, e
     else:
         found = profiles(values, first, second).select("gene", rank_sum(F.col("cells")).alias("r"))
         return found.select("gene", rank_sum_p(F.col("r"), exact).alias("raw_p_values"))
-    p = F.coalesce(F.when(fair, _exact("paired", F.col("n"), F.col("v"))), F.lit(1.0)) if exact else p_value(F.col("z"))
+    n = F.col("n")
+    by_counts = F.when(n * (n + 1) / 2 + 1 <= MOST_STATES, _exact_signed_rank(n, F.col("v"))).otherwise(p_value(F.col("z")))
+    p = F.coalesce(F.when(fair, by_counts), F.lit(1.0)) if exact else p_value(F.col("z"))
     return stats.select("gene", p.alias("raw_p_values"))

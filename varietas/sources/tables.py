@@ -9,17 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varietas.operators.experiment import resolve_tx2gene
+from varietas.operators.ordinals import in_file_order
 from varietas.operators.settled import shared_folder
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated table with a header, all columns as text; the rows' order in a file shows in monotonic ids."""
+    """A tab-separated table with a header, all columns as text; ``in_file_order`` numbers its rows."""
     return spark.read.csv(path, sep="\t", header=True, inferSchema=False)
 
 
+#: The column of a table's row names.
+ROW_NAMES = "row_names"
+
+
+def read_named_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_tsv``; where the header has one name fewer than the rows have fields, the first field is ROW_NAMES."""
+    table = read_tsv(spark, path)
+    first = [r[0].split("\t") for r in spark.read.text(path).limit(2).collect()]
+    if len(first) < 2 or len(first[1]) != len(first[0]) + 1:
+        return table
+    names = [ROW_NAMES, *first[0]]
+    schema = ", ".join(f"`{n}` string" for n in names)
+    return spark.read.csv(path, sep="\t", header=True, schema=schema, enforceSchema=True)
+
+
 def read_tx2gene(spark: SparkSession, source: str | DataFrame, strict: bool = False) -> DataFrame:
     """(tx, gene, ord) from a path or a table; ``strict`` asks for the columns Transcript and Gen."""
-    table = read_tsv(spark, source).withColumn("ord", F.monotonically_increasing_id()) if isinstance(source, str) else source
+    table = in_file_order(read_tsv(spark, source)) if isinstance(source, str) else source
     if not isinstance(table, DataFrame):
         raise TypeError("a path or a table is needed")
     if strict and not {"Transcript", "Gen"} <= set(table.columns):
@@ -28,8 +44,8 @@ def read_tx2gene(spark: SparkSession, source: str | DataFrame, strict: bool = Fa
 
 
 def read_coldata(spark: SparkSession, path: str) -> DataFrame:
-    """A sample table with ``ord``, the order of its rows."""
-    return read_tsv(spark, path).withColumn("ord", F.monotonically_increasing_id())
+    """A sample table with ``ord``, the order of its rows, and ROW_NAMES if rows are named."""
+    return in_file_order(read_named_tsv(spark, path))
 
 
 def read_counts(spark: SparkSession, path: str, id_column: str | None = None) -> DataFrame:
