@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from .filters import gate
 from .foldchange import check_groups, checked_groups, fold_change_columns, lift_summaries
 from .padjust import METHODS, adjust
-from .permute import paired_labels, permutation_p, shuffled_labels
+from .permute import MOST_LABELS, all_patterns, paired_labels, permutation_p, shuffled_labels
 from .profiles import profiles, rank_sum, summary_of, values_of
 from .ranktests import rank_sum_p, wilcoxon
 from .settled import settled, view
+from .signflip import signflip_p
 
 TESTS = ("wilcoxon", "shuffle")
 #: Most samples that are broadcast to the values.
@@ -24,7 +25,8 @@ def test_differential(values: DataFrame, samples: DataFrame, control: str | None
     """(gene, raw_p_values, adjusted_p_values) of (gene, sample, value); ``samples`` has (sample, group, ord).
 
     shuffle needs ``control``; wilcoxon takes the groups in their order. Paired tests pair the i-th
-    samples of the groups (wilcoxon) or neighbouring samples (shuffle).
+    samples of the groups (wilcoxon) or neighbouring samples (shuffle). All sign flips of many pairs are evaluated
+    by ranges of patterns, without a table of labels.
     """
     if method not in TESTS:
         raise ValueError("method must be 'wilcoxon' or 'shuffle'")
@@ -42,8 +44,12 @@ def test_differential(values: DataFrame, samples: DataFrame, control: str | None
         p = wilcoxon(rows, *names, paired=paired, exact=exact)
     else:
         case, control = check_groups(samples, control)
-        labels = paired_labels(samples, randomizations, paired_method, seed) if paired else shuffled_labels(samples, randomizations, seed)
-        p = permutation_p(rows, labels, case, control, fc_method)
+        n = samples.count()
+        if paired and paired_method == "signflip" and all_patterns(n, randomizations) and n * 2 ** (n // 2) > MOST_LABELS:
+            p = signflip_p(rows, samples, case, control, fc_method)
+        else:
+            labels = paired_labels(samples, randomizations, paired_method, seed) if paired else shuffled_labels(samples, randomizations, seed)
+            p = permutation_p(rows, labels, case, control, fc_method)
     return adjust(p, pcorr)
 
 

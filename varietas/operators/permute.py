@@ -39,6 +39,11 @@ def shuffled_labels(samples: DataFrame, randomizations: int, seed: int = 123) ->
     return places.select("perm", "sample", "drawn").join(dealt, ["perm", "drawn"]).select("perm", "sample", "group")
 
 
+def all_patterns(samples: int, randomizations: int) -> bool:
+    """Whether sign flips of so many samples go through all patterns."""
+    return randomizations <= 0 or randomizations >= 2 ** (samples // 2)
+
+
 def paired_labels(samples: DataFrame, randomizations: int, method: str = "swap", seed: int = 123) -> DataFrame:
     """(perm, sample, group) with the labels of neighbouring columns swapped.
 
@@ -52,7 +57,7 @@ def paired_labels(samples: DataFrame, randomizations: int, method: str = "swap",
     n = samples.count()
     if n % 2:
         raise ValueError("paired permutation needs an even number of samples in pairs")
-    every = method == "signflip" and (randomizations <= 0 or randomizations >= 2 ** (n // 2))
+    every = method == "signflip" and all_patterns(n, randomizations)
     count = 2 ** (n // 2) if every else randomizations
     _check_size(count, n)
     place = F.row_number().over(Window.orderBy("ord"))

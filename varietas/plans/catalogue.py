@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varietas.functions.numerics import format_label
-from varietas.operators import difference, diversity, experiment, filters, foldchange, interaction, metadata, mixed, padjust, permute, plotdata, ranktests
+from varietas.operators import difference, diversity, experiment, filters, foldchange, interaction, metadata, mixed, padjust, permute, plotdata, ranktests, signflip
 from varietas.operators.settled import settled
 from varietas.sources import tables
 
@@ -427,6 +427,12 @@ def perm_signflip_exact(spark, sf_dir):
     return permute.permutation_p(rows, permute.paired_labels(samples, 0, "signflip"), "T", "N").select("gene", rounded("raw_p_values", "p"))
 
 
+@query(with_(*values((2.0,), "event_pairs_ten"), *grouped("event_pairs_ten"), _PLACED, *_permuted("T", "N", _SWAP.format(swap="(perm >> a.pair) & 1 = 1", n=1024))) + f"SELECT gene, {r('p')} FROM perm_p")
+def perm_signflip_ranges(spark, sf_dir):
+    rows, samples = _grouped(fixtures.event_pairs(spark, sf_dir, 10))
+    return signflip.signflip_p(rows, samples, "T", "N").select("gene", rounded("raw_p_values", "p"))
+
+
 @query(with_(*values((2.0,), "event_pairs"), *grouped("event_pairs"), _PLACED, *_permuted("T", "N", _SWAP.format(swap="md5('123:' || perm || ':' || a.pair)[1] >= '8'", n=100))) + f"SELECT gene, {r('p')} FROM perm_p")
 def perm_swap_sampled(spark, sf_dir):
     rows, samples = _grouped(fixtures.event_pairs(spark, sf_dir))

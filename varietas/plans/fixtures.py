@@ -77,3 +77,4 @@ SQL = {
   FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3, 4)""",
 }
 SQL["event_pairs_six"] = SQL["event_pairs"].replace("% 15", "% 6").replace("event_pairs AS", "event_pairs_six AS")
+SQL["event_pairs_ten"] = SQL["event_pairs"].replace("% 15", "% 10").replace("event_pairs AS", "event_pairs_ten AS")
