@@ -48,6 +48,11 @@ def compare(sample: np.ndarray, order: np.ndarray, group: np.ndarray, value: np.
     return welch_p(score[of == first[0]], score[of == first[1]])
 
 
+def order_means(values: DataFrame) -> DataFrame:
+    """(gene, q, mean, gaps) of (gene, q, value): what gaps in the curves of a gene are filled with, and how many there are."""
+    return values.groupBy("gene", "q").agg(F.avg("value").alias("mean"), F.count_if(F.col("value").isNull()).alias("gaps")).where("mean is not null")
+
+
 def fit_curves(pdf: pd.DataFrame, min_obs: int) -> float | None:
     """``compare`` of one gene's observations (group, sample, q, value)."""
     number = lambda c: np.unique(pdf[c], return_inverse=True)[1]

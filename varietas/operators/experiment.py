@@ -135,6 +135,17 @@ def with_genes(counts: DataFrame, mapping: DataFrame) -> DataFrame:
     return counts.withColumnRenamed("feature", "tx").join(first, "tx", "left").select("gene", "tx", "sample", F.col("value").alias("count"))
 
 
+def mapped_rows(counts: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``counts`` (feature, ...) of the features in ``mapping`` (tx, ...)."""
+    return counts.join(mapping.select(F.col("tx").alias("feature")), "feature", "left_semi")
+
+
+def unmapped_features(counts: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(feature, rows): what a mapping doesn't know, and in how many rows it is."""
+    left = counts.join(mapping.select(F.col("tx").alias("feature")), "feature", "left_anti")
+    return left.groupBy("feature").agg(F.count("*").alias("rows"))
+
+
 def from_assays(assays: Mapping[str, DataFrame], tpm: bool = False) -> DataFrame:
     """Counts of an imported quantification: four parts with ``counts``, or ``abundance`` where ``tpm``."""
     if "counts" not in assays:

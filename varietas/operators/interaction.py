@@ -16,12 +16,15 @@ from .additive import additive_interaction, fit_additive
 from .curves import curve_interaction, fit_curves
 from .filters import enough_observations
 from .mixed import RandomIntercept, fit_mixed, mixed_interaction
+from .ordinals import numbered
 from .padjust import adjust
 from .settled import settled
 
 __all__ = ["METHODS", "RandomIntercept", "additive_interaction", "calculate_interaction", "curve_interaction", "fit_additive", "fit_curves", "fit_mixed", "fit_summary", "linear_interaction", "mixed_interaction"]
 
 METHODS = ("linear", "lmm", "gam", "fpca")
+#: The order of an interaction table.
+ORDER = ("adj_p_interaction is null", "adj_p_interaction", "p_interaction is null", "p_interaction", "gene")
 
 
 def linear_interaction(values: DataFrame, min_obs: int = 10) -> DataFrame:
@@ -66,7 +69,13 @@ def calculate_interaction(values: DataFrame, method: str = "linear", min_obs: in
         fits = mixed_interaction(values.withColumn("subject", F.col(subject)), min_obs, pvalue)
     else:
         fits = (additive_interaction if method == "gam" else curve_interaction)(values, min_obs)
-    return adjust(fits, pcorr, "p_interaction", "adj_p_interaction").orderBy(F.asc_nulls_last("adj_p_interaction"), F.asc_nulls_last("p_interaction"), "gene")
+    return adjust(fits, pcorr, "p_interaction", "adj_p_interaction").orderBy(*map(F.expr, ORDER))
+
+
+def in_order(table: DataFrame) -> DataFrame:
+    """An interaction table with ``place``, from 1, by adjusted p, then p, missing ones last."""
+    keys = {"_1": F.col("adj_p_interaction").isNull(), "_2": F.col("adj_p_interaction"), "_3": F.col("p_interaction").isNull(), "_4": F.col("p_interaction")}
+    return numbered(table.withColumns(keys), *keys, "gene").drop(*keys)
 
 
 def fit_summary(fits: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 import sys
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varietas.functions.numerics import format_label
@@ -20,6 +20,7 @@ FOLD_COLUMNS = ("log2_fold_change", "logFC", "fold", "estimate_interaction", "fo
 P_COLUMNS = ("adjusted_p_values", "adj_p_value", "adj_p", "padj", "p.adjust")
 SIGNIFICANT = 0.05
 QUARTILES = (0.25, 0.5, 0.75)
+SCHEMA = "https://vega.github.io/schema/vega-lite/v5.json"
 
 
 def q_curve(values: DataFrame) -> DataFrame:
@@ -193,4 +194,50 @@ def chart(mark: str, x: str, y: str, color: str | None = None, facet: str | None
         encoding["color"] = {"field": color, "type": "nominal"}
     if facet:
         encoding["facet"] = {"field": facet, "type": "nominal"}
-    return json.dumps({"$schema": "https://vega.github.io/schema/vega-lite/v5.json", "title": title, "data": {"name": "table"}, "mark": mark, "encoding": encoding}, indent=1)
+    return json.dumps({"$schema": SCHEMA, "title": title, "data": {"name": "table"}, "mark": mark, "encoding": encoding}, indent=1)
+
+
+#: Most rows that a drawing holds itself.
+MOST_DRAWN = 5_000
+
+
+def transcript_panels(summaries: DataFrame, title: str, genes: Sequence[str] | None = None) -> str:
+    """A Vega-Lite drawing with a panel for each gene of (gene, tx, group, log2expr), side by side, as text.
+
+    Panels share the limits of their colours, so one legend below serves all; missing values are grey. The rows are
+    part of the drawing: more than MOST_DRAWN are an error. Panels are in the order of ``genes``, by default by name,
+    and transcripts in that of ``place``, if there, else by name. A listed gene without rows is an error.
+    """
+    place = [F.col("place")] if "place" in summaries.columns else []
+    rows = summaries.select("gene", "tx", "group", F.col("log2expr"), *place).limit(MOST_DRAWN + 1).collect()
+    if len(rows) > MOST_DRAWN:
+        raise ValueError(f"more than {MOST_DRAWN} rows to draw: choose fewer genes or transcripts")
+    by_gene: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r["place"] if place else 0, r["tx"], r["group"])):
+        by_gene.setdefault(r["gene"], []).append(r)
+    if missing := [g for g in genes or () if g not in by_gene]:
+        raise ValueError(f"genes without values: {', '.join(missing)}")
+    known = [r["log2expr"] for r in rows if r["log2expr"] is not None]
+    domain = [min(known), max(known)] if known else None
+
+    def panel(gene: str) -> dict:
+        own = by_gene[gene]
+        fill = {"field": "log2expr", "type": "quantitative", "title": "log2(expr)", "scale": {"scheme": "viridis", "reverse": True} | ({"domain": domain} if domain else {}), "legend": {"orient": "bottom"}}
+        return {
+            "title": gene,
+            "data": {"values": [{c: r[c] for c in ("tx", "group", "log2expr")} for r in own]},
+            "mark": {"type": "rect", "invalid": None},
+            "encoding": {
+                "x": {"field": "group", "type": "nominal", "title": None},
+                "y": {"field": "tx", "type": "nominal", "title": None, "sort": list(dict.fromkeys(r["tx"] for r in own))},
+                "color": {"condition": {"test": "datum.log2expr === null", "value": "#cccccc"}, **fill},
+            },
+        }
+
+    order = list(genes) if genes else sorted(by_gene)
+    return json.dumps({"$schema": SCHEMA, "title": title, "hconcat": [panel(g) for g in order], "resolve": {"scale": {"color": "shared"}, "legend": {"color": "shared"}}}, indent=1)
+
+
+def save_drawing(spark: SparkSession, drawing: str, path: str) -> None:
+    """The drawing as a folder of one text file, on any file system that Spark writes to."""
+    spark.createDataFrame([(drawing,)], "value string").coalesce(1).write.text(path)

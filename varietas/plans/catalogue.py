@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varietas.functions.numerics import format_label
-from varietas.operators import difference, diversity, experiment, filters, foldchange, interaction, metadata, mixed, padjust, permute, plotdata, ranktests, signflip
+from varietas.operators import curves, difference, diversity, experiment, filters, foldchange, interaction, metadata, mixed, padjust, permute, plotdata, ranktests, signflip
 from varietas.operators.settled import settled
-from varietas.sources import tables
+from varietas.sources import assembly, tables
 
 from . import fixtures, sql
 from .sql import adjusted, exact_p, first_component, fold_change, grouped, hommel, mixed_ratio, normal_p, r, rank_sums, t_p, t_p_any, values, welch, with_
@@ -207,14 +207,31 @@ def tx2gene_left_join_first(spark, sf_dir):
 
 @query("SELECT l_partkey, sum(l_quantity) AS cnt FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25) GROUP BY 1")
 def semi_subset(spark, sf_dir):
-    lines, kept = fixtures.read(spark, sf_dir, "lineitem"), fixtures.read(spark, sf_dir, "part").where("p_size <= 25")
-    return lines.join(kept, lines.l_partkey == kept.p_partkey, "left_semi").groupBy("l_partkey").agg(F.sum("l_quantity").alias("cnt"))
+    lines = fixtures.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("feature"), "l_partkey", "l_quantity")
+    return experiment.mapped_rows(lines, _mapping(spark, sf_dir)).groupBy("l_partkey").agg(F.sum("l_quantity").alias("cnt"))
 
 
 @query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
 def anti_unmatched(spark, sf_dir):
-    lines, kept = fixtures.read(spark, sf_dir, "lineitem"), fixtures.read(spark, sf_dir, "part").where("p_size <= 25")
-    return lines.join(kept, lines.l_partkey == kept.p_partkey, "left_anti").select("l_partkey").distinct()
+    lines = fixtures.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("feature"))
+    found = experiment.unmapped_features(lines, _mapping(spark, sf_dir))
+    return found.select(F.col("feature").cast(dict(fixtures.read(spark, sf_dir, "lineitem").dtypes)["l_partkey"]).alias("l_partkey"))
+
+
+_FLAGS = {"A": "_N", "N": "_T", "R": ""}
+
+
+@query(with_(_MAP) + "SELECT 'P' || l_partkey AS feature, any_value(gene) AS gene, " + ", ".join(f"sum(l_quantity) FILTER (l_returnflag = '{f}') AS \"{f}{s}\"" for f, s in _FLAGS.items()) + " FROM lineitem LEFT JOIN m ON k = l_partkey GROUP BY l_partkey")
+def matrix_of_samples(spark, sf_dir):
+    rows = _line_counts(spark, sf_dir).withColumn("feature", F.concat(F.lit("P"), "feature", F.lit(".1|old")))
+    suffixes = spark.createDataFrame([(f, s) for f, s in _FLAGS.items() if s], "sample string, suffix string")
+    mapping = _mapping(spark, sf_dir).withColumn("tx", F.concat(F.lit("P"), "tx"))
+    return assembly.count_matrix(rows, mapping, suffixes)
+
+
+@query("SELECT CAST(l_partkey AS VARCHAR) AS feature, count(DISTINCT l_returnflag) AS rows FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25) GROUP BY 1")
+def unmapped_features(spark, sf_dir):
+    return experiment.unmapped_features(_line_counts(spark, sf_dir), _mapping(spark, sf_dir))
 
 
 @query(with_(fixtures.SQL["retail"]) + "SELECT gene, sample, sum(cnt) AS cnt FROM retail GROUP BY gene, sample")
@@ -288,6 +305,21 @@ def long_with_groups(spark, sf_dir):
     return rows.select("gene", "sample", "q", F.col("group").alias("grp"), rounded("value"))
 
 
+@query("SELECT c AS column_name, n AS levels FROM (SELECT unnest(['o_orderstatus', 'o_orderpriority', 'o_custkey']) AS c, unnest([count(DISTINCT o_orderstatus), count(DISTINCT o_orderpriority), count(DISTINCT o_custkey)]) AS n FROM orders) ORDER BY CASE WHEN n = 2 THEN 0 WHEN n > 1 THEN n ELSE 1e18 END LIMIT 1")
+def inferred_group_column(spark, sf_dir):
+    """The column of orders that serves as groups, as no known name is among them, and its levels."""
+    table = fixtures.read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey")
+    found = metadata.infer_group_column(table)
+    return table.agg(F.lit(found).alias("column_name"), F.count_distinct(found).alias("levels"))
+
+
+@query("SELECT wanted, CASE WHEN wanted IN (SELECT c_mktsegment FROM customer) THEN wanted ELSE (SELECT min(c_mktsegment) FROM customer) END AS control FROM (VALUES ('MACHINERY'), ('nothing')) w(wanted)")
+def chosen_controls(spark, sf_dir):
+    """The control that a wish for a segment of customers gives, and the first one where there is no such segment."""
+    groups = fixtures.read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("sample_type"))
+    return spark.createDataFrame([(w, metadata.control_group(groups, w)) for w in ("MACHINERY", "nothing")], "wanted string, control string")
+
+
 # Fold changes -----------------------------------------------------------------------------------
 
 _FC = f"SELECT gene, {r('c')}, {r('k')}, {r('difference')}, {r('log2_fold_change')} FROM fc"
@@ -496,6 +528,21 @@ def _fits(method: str) -> Query:
     return run
 
 
+@query(with_(*values(GRID, "retail"), *grouped("retail"), *(x.format(b="odd") for x in _LINEAR), f"ps AS (SELECT gene, {t_p('t', 'df')} AS p FROM tests)", *adjusted("BH", "ps")) + "SELECT gene, row_number() OVER (ORDER BY round(a, 9), round(p, 9), gene) AS place FROM adj")
+def interaction_order(spark, sf_dir):
+    """The place of each gene in the interaction table as it is returned."""
+    rows, _ = _grouped(fixtures.retail(spark, sf_dir), GRID)
+    table = interaction.calculate_interaction(rows, "linear").withColumns({c: F.round(c, 9) for c in ("adj_p_interaction", "p_interaction")})
+    return interaction.in_order(table).select("gene", "place")
+
+
+@query(with_(*values(GRID, "event_pairs", complete=False), *grouped("event_pairs")) + f"SELECT gene, q, {r('avg(value)', 'filled')}, count(*) FILTER (value IS NULL) AS gaps FROM v GROUP BY gene, q HAVING count(value) > 0")
+def filled_gaps(spark, sf_dir):
+    """What a missing point of a gene's curves is filled with at each order, and how often."""
+    rows, _ = _grouped(fixtures.event_pairs(spark, sf_dir), GRID, complete=False)
+    return curves.order_means(rows).select("gene", "q", rounded("mean", "filled"), "gaps")
+
+
 for _method in ("lmm", "gam"):
     query(None, f"{_method}_interaction")(_fits(_method))
 
@@ -587,14 +634,14 @@ def density_multq(spark, sf_dir):
 _TABLE = [*values((2.0,), "retail"), *grouped("retail"), *fold_change("odd", "even"), *rank_sums("even", "odd"), f"tested AS (SELECT gene, {normal_p('z')} AS p FROM rs)", *adjusted("BH", "tested"), "tab AS (SELECT * FROM fc JOIN adj USING (gene))"]
 
 
-def _table(spark, sf_dir) -> DataFrame:
-    rows, samples = _grouped(fixtures.retail(spark, sf_dir))
+def _table(counts: DataFrame) -> DataFrame:
+    rows, samples = _grouped(counts)
     return difference.calculate_difference(rows.drop("group"), samples, "even")
 
 
 @query(with_(*_TABLE) + f"SELECT gene AS genes, {r('(c + k) / 2', 'x')}, {r('log2_fold_change', 'y')}, {r('a', 'padj')}, coalesce(abs(log2_fold_change) > 0 AND a < 0.05, false) AS significant FROM tab")
 def ma_tsallis(spark, sf_dir):
-    return plotdata.ma_frame(_table(spark, sf_dir)).select("genes", rounded("x"), rounded("y"), rounded("padj"), "significant")
+    return plotdata.ma_frame(_table(fixtures.retail(spark, sf_dir))).select("genes", rounded("x"), rounded("y"), rounded("padj"), "significant")
 
 
 _EXPRESSION = ["ev AS (SELECT gene, sample, grp, sum(cnt) AS value FROM retail GROUP BY ALL)", *fold_change("odd", "even", "median", source="ev", out="ef")]
@@ -602,27 +649,27 @@ _EXPRESSION = ["ev AS (SELECT gene, sample, grp, sum(cnt) AS value FROM retail G
 
 @query(with_(*_TABLE, *_EXPRESSION) + f"SELECT t.gene AS genes, {r('(t.c + t.k) / 2', 'x')}, {r('coalesce(e.log2_fold_change, t.log2_fold_change)', 'y')}, {r('a', 'padj')}, coalesce(abs(coalesce(e.log2_fold_change, t.log2_fold_change)) > 0 AND a < 0.05, false) AS significant FROM tab t LEFT JOIN ef e ON e.gene = t.gene")
 def ma_expression(spark, sf_dir):
-    counts = fixtures.retail(spark, sf_dir)
-    found = plotdata.ma_expression(_table(spark, sf_dir), counts, fixtures.samples_of(counts), "odd", "even")
+    counts = settled(fixtures.retail(spark, sf_dir))
+    found = plotdata.ma_expression(_table(counts), counts, fixtures.samples_of(counts), "odd", "even")
     return found.select("genes", rounded("x"), rounded("y"), rounded("padj"), "significant")
 
 
 @query(with_(*_TABLE) + f"SELECT gene AS genes, {r('difference', 'x')}, {r('a', 'padj')}, {r('-log10(a)', 'y')}, abs(difference) >= 0.1 AND a < 0.05 AS significant FROM tab WHERE a > 0")
 def volcano(spark, sf_dir):
-    return plotdata.volcano_frame(_table(spark, sf_dir)).select("genes", rounded("x"), rounded("padj"), rounded("y"), "significant")
+    return plotdata.volcano_frame(_table(fixtures.retail(spark, sf_dir))).select("genes", rounded("x"), rounded("padj"), rounded("y"), "significant")
 
 
 _TOP = ["top AS (SELECT gene FROM (SELECT gene, round(a, 6) AS ra, round(p, 6) AS rp FROM tab) ORDER BY ra, rp, gene LIMIT 3)"]
 
 
-def _top(spark, sf_dir) -> DataFrame:
-    steady = _table(spark, sf_dir).withColumns({c: F.round(c, sql.ROUND) for c in ("adjusted_p_values", "raw_p_values")})
+def _top(counts: DataFrame) -> DataFrame:
+    steady = _table(counts).withColumns({c: F.round(c, sql.ROUND) for c in ("adjusted_p_values", "raw_p_values")})
     return plotdata.top_genes(steady, 3)
 
 
 @query(with_(*_TABLE, *_TOP) + "SELECT gene FROM top")
 def top_genes(spark, sf_dir):
-    return _top(spark, sf_dir)
+    return _top(fixtures.retail(spark, sf_dir))
 
 
 _FIRST = [*_TOP, "mp AS (SELECT p_brand AS gene, CAST(p_partkey AS VARCHAR) AS tx, p_partkey AS ord FROM part)", "chosen AS (SELECT gene, tx FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY ord) AS place FROM mp JOIN top USING (gene)) WHERE place <= 3)"]
@@ -635,9 +682,9 @@ def _summary_sql(metric: str) -> list[str]:
 
 def _summaries(metric: str) -> Query:
     def run(spark, sf_dir):
-        counts = fixtures.retail(spark, sf_dir)
+        counts = settled(fixtures.retail(spark, sf_dir))
         mapping = fixtures.read(spark, sf_dir, "part").select(F.col("p_brand").alias("gene"), F.col("p_partkey").cast("string").alias("tx"), F.col("p_partkey").alias("ord"))
-        chosen = plotdata.first_transcripts(mapping, _top(spark, sf_dir), 3)
+        chosen = plotdata.first_transcripts(mapping, _top(counts), 3)
         return plotdata.transcript_summary(counts, chosen, fixtures.samples_of(counts), metric)
 
     return run
