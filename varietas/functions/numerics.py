@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,11 @@ def format_label(c: Column) -> Column:
     return F.concat(F.upper(F.substring(low, 1, 1)), F.substr(low, F.lit(2)))
 
 
+def numbers(names: Sequence) -> np.ndarray:
+    """The place, from 0, of each of ``names`` among the distinct ones in their order."""
+    return np.unique(np.asarray(names), return_inverse=True)[1]
+
+
 def normal_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varietas.functions.numerics import f_sf
+from varietas.functions.numerics import f_sf, numbers
 
 from .filters import enough_observations
 
@@ -152,8 +152,7 @@ def tested(group: np.ndarray, q: np.ndarray, n: np.ndarray, y: np.ndarray, yy: n
 def fit_additive(pdf: pd.DataFrame) -> float | None:
     """F test p of value ~ group + s(q) against value ~ group + s(q, by group) of one gene; None if it can't be made."""
     cells = pdf.assign(yy=pdf["value"] ** 2).groupby(["group", "q"], as_index=False).agg(n=("value", "size"), y=("value", "sum"), yy=("yy", "sum"))
-    group = np.unique(cells["group"], return_inverse=True)[1]
-    return tested(group, cells["q"].to_numpy(float), cells["n"].to_numpy(float), cells["y"].to_numpy(float)[None], np.array([cells["yy"].sum()]))[0]
+    return tested(numbers(cells["group"]), cells["q"].to_numpy(float), cells["n"].to_numpy(float), cells["y"].to_numpy(float)[None], np.array([cells["yy"].sum()]))[0]
 
 
 def additive_interaction(values: DataFrame, min_obs: int = 10) -> DataFrame:
@@ -166,12 +165,12 @@ def additive_interaction(values: DataFrame, min_obs: int = 10) -> DataFrame:
     y = F.col("value").cast("double")
     cells = known.groupBy("gene", "group", F.col("q").cast("double").alias("q")).agg(F.count("*").cast("double").alias("n"), F.sum(y).alias("y"), F.sum(y * y).alias("yy"))
     genes = cells.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("group", "q", "n", "y", "yy"))).alias("cells"))
-    genes = genes.withColumn("groups", F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["group"]))))
-    group = F.transform("cells", lambda c: (F.array_position(F.col("groups"), c["group"]) - 1).cast("int"))
+    group = F.transform("cells", lambda c: c["group"])
 
     @F.pandas_udf("double")
     def fit(group: pd.Series, q: pd.Series, n: pd.Series, y: pd.Series, yy: pd.Series) -> pd.Series:
         alike = defaultdict(list)
+        group = [numbers(g) for g in group]
         for i, seen in enumerate(zip(group, q, n, strict=True)):
             alike[b"|".join(np.ascontiguousarray(v).tobytes() for v in seen)].append(i)
         out: list[float | None] = [None] * len(group)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varietas.functions.numerics import t_sf2
+from varietas.functions.numerics import numbers, t_sf2
 
 from .filters import enough_observations
 
@@ -55,8 +55,7 @@ def order_means(values: DataFrame) -> DataFrame:
 
 def fit_curves(pdf: pd.DataFrame, min_obs: int) -> float | None:
     """``compare`` of one gene's observations (group, sample, q, value)."""
-    number = lambda c: np.unique(pdf[c], return_inverse=True)[1]
-    return compare(number("sample"), number("q"), number("group"), pdf["value"].to_numpy(float), min_obs)
+    return compare(numbers(pdf["sample"]), numbers(pdf["q"]), numbers(pdf["group"]), pdf["value"].to_numpy(float), min_obs)
 
 
 def curve_interaction(values: DataFrame, min_obs: int = 10) -> DataFrame:
@@ -68,13 +67,11 @@ def curve_interaction(values: DataFrame, min_obs: int = 10) -> DataFrame:
     known = enough_observations(values.where("group is not null and sample is not null and q is not null"), min_obs)
     cells = known.groupBy("gene", "sample", "q").agg(F.min("group").alias("group"), F.min(F.col("value").cast("double")).alias("value"))
     genes = cells.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("sample", "q", "group", "value"))).alias("cells"))
-    genes = genes.withColumns({f"{c}s": F.array_sort(F.array_distinct(F.transform("cells", (lambda c: lambda x: x[c])(c)))) for c in ("q", "group")})
-    place = {c: F.transform("cells", (lambda c: lambda x: (F.array_position(F.col(f"{c}s"), x[c]) - 1).cast("int"))(c)) for c in ("q", "group")}
     begins = F.transform("cells", lambda c, i: F.when(i == 0, 0).otherwise((c["sample"] != F.get("cells", i - 1)["sample"]).cast("int")))
 
     @F.pandas_udf("double")
     def fit(begins: pd.Series, order: pd.Series, group: pd.Series, value: pd.Series) -> pd.Series:
-        return pd.Series([compare(np.cumsum(b), np.asarray(o), np.asarray(g), np.asarray(v), min_obs) for b, o, g, v in zip(begins, order, group, value, strict=True)], dtype="float64")
+        return pd.Series([compare(np.cumsum(b), numbers(o), numbers(g), np.asarray(v), min_obs) for b, o, g, v in zip(begins, order, group, value, strict=True)], dtype="float64")
 
-    p = fit(begins, place["q"], place["group"], F.transform("cells", lambda c: c["value"]))
+    p = fit(begins, *(F.transform("cells", (lambda c: lambda x: x[c])(c)) for c in ("q", "group", "value")))
     return genes.select("gene", p.alias("p_interaction")).where("p_interaction is not null and not isnan(p_interaction)")

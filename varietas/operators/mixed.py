@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varietas.functions.numerics import chi2_sf, f_sf, t_sf2
+from varietas.functions.numerics import chi2_sf, f_sf, numbers, t_sf2
 
 from .filters import enough_observations
 
@@ -244,8 +244,7 @@ def fit_mixed(pdf: pd.DataFrame) -> tuple[float | None, float | None, str, bool]
     """``fit_all`` of one gene's observations (group, subject, q, value)."""
     rows = pd.DataFrame({"subject": pdf["subject"], "group": pdf["group"], "n": 1.0, "q": pdf["q"], "qq": pdf["q"] ** 2, "y": pdf["value"], "yy": pdf["value"] ** 2, "qy": pdf["q"] * pdf["value"]})
     cells = rows.groupby(["subject", "group"], as_index=False).sum()
-    number = lambda c: np.unique(cells[c], return_inverse=True)[1]
-    return fit_cells([(number("subject"), number("group"), {s: cells[s].to_numpy() for s in SUMS})])[0]
+    return fit_cells([(numbers(cells["subject"]), numbers(cells["group"]), {s: cells[s].to_numpy() for s in SUMS})])[0]
 
 
 def mixed_interaction(values: DataFrame, min_obs: int = 10, pvalue: str = "satterthwaite", thetas: Sequence[float] | None = None) -> DataFrame:
@@ -263,14 +262,13 @@ def mixed_interaction(values: DataFrame, min_obs: int = 10, pvalue: str = "satte
     sums = (F.count("*").cast("double"), F.sum(q), F.sum(q * q), F.sum(y), F.sum(y * y), F.sum(q * y))
     cells = known.groupBy("gene", "subject", "group").agg(*(s.alias(n) for s, n in zip(sums, SUMS, strict=True)))
     genes = cells.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("subject", "group", *SUMS))).alias("cells"))
-    genes = genes.withColumn("groups", F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["group"]))))
-    group = F.transform("cells", lambda c: (F.array_position(F.col("groups"), c["group"]) - 1).cast("int"))
+    group = F.transform("cells", lambda c: c["group"])
     # Cells are sorted, so a subject begins where it differs from the one before.
     begins = F.transform("cells", lambda c, i: F.when(i == 0, 0).otherwise((c["subject"] != F.get("cells", i - 1)["subject"]).cast("int")))
 
     @F.pandas_udf(RESULT)
     def fit(begins: pd.Series, group: pd.Series, n: pd.Series, q: pd.Series, qq: pd.Series, y: pd.Series, yy: pd.Series, qy: pd.Series) -> pd.DataFrame:
-        found = fit_cells([(np.cumsum(b), np.asarray(g), dict(zip(SUMS, map(np.asarray, s), strict=True))) for b, g, *s in zip(begins, group, n, q, qq, y, yy, qy, strict=True)], thetas)
+        found = fit_cells([(np.cumsum(b), numbers(g), dict(zip(SUMS, map(np.asarray, s), strict=True))) for b, g, *s in zip(begins, group, n, q, qq, y, yy, qy, strict=True)], thetas)
         return pd.DataFrame(found, columns=["p_lrt", "p_satterthwaite", "fit_method", "singular"]).astype({"p_lrt": "float64", "p_satterthwaite": "float64"})
 
     sums_of = [F.transform("cells", (lambda n: lambda c: c[n])(n)) for n in SUMS]

@@ -36,7 +36,8 @@ def beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 def ranged(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """(keys, value, m, part): each group's distinct known values, how often they are there, and their range; computed once."""
     known = values.select(*keys, missing_to_null(F.col(value)).alias("value")).where("value is not null")
-    distinct = known.groupBy(*keys, "value").agg(F.count("*").alias("m"))
+    # Bounds of ranges come from a pass of their own, which is not to compute the values again.
+    distinct = settled(known.groupBy(*keys, "value").agg(F.count("*").alias("m")))
     return settled(distinct.repartitionByRange(*keys, "value").withColumn("part", F.spark_partition_id()))
 
 
