@@ -17,6 +17,8 @@ from varietas.functions.numerics import Q_TOLERANCE, missing_to_null
 
 #: Orders per aggregation, which keeps generated methods small.
 ORDERS_AT_ONCE = 40
+#: Largest order whose powers are summed from counts; powers of higher ones, which may overflow, are those of shares.
+MOST_OF_COUNTS = 4.0
 
 
 def check_orders(q: Sequence[float] | float) -> list[float]:
@@ -44,6 +46,16 @@ def _power_sum(p: Column, q: float) -> Column:
     return F.sum(F.when(p > 0, F.pow(p, F.lit(q))).otherwise(0.0))
 
 
+def _sum_of_counts(c: Column, q: float) -> Column:
+    """What ``_of_counts`` makes the power sum of: no row needs its group's total, so sums are added up before the shuffle."""
+    return F.sum(F.when(c > 0, c * F.ln(c) if is_limit(q) else F.pow(c, F.lit(q))).otherwise(0.0))
+
+
+def _of_counts(s: Column, total: Column, q: float) -> Column:
+    """The sum of p**q (q = 1: the Shannon sum) of counts with this total."""
+    return F.ln(total) - s / total if is_limit(q) else s / F.pow(total, F.lit(q))
+
+
 def entropy_of(power: Column, n: Column, q: float, norm: bool, base: float) -> Column:
     """S of order q from the sum of p**q (q = 1: the Shannon sum in nats) and the number of parts."""
     n = n.cast("double")
@@ -75,14 +87,10 @@ def diversity(counts: DataFrame, q: Sequence[float] | float = 2.0, norm: bool =
     rows = counts.select("gene", "tx", "sample", missing_to_null(F.col("count")).alias("count"))
     parts = (rows if tx2gene is None else tx2gene).groupBy("gene").agg(F.count_distinct("tx").alias("n"))
     cells_of = {"S": {"value": True}, "D": {"value": False}, "both": {"entropy": True, "hill": False}}[what]
-    cell = Window.partitionBy("gene", "sample")
-    shares = rows.withColumns({"total": F.sum("count").over(cell), "gaps": F.sum(F.col("count").isNull().cast("int")).over(cell)})
-    p = F.when((F.col("total") > 0) & (F.col("gaps") == 0), F.col("count") / F.col("total"))
-    shares = shares.withColumn("p", p)
+    few, many = ([x for x in orders if (x <= MOST_OF_COUNTS) == low] for low in (True, False))
     out = in_samples = None
-    for i in range(0, len(orders), ORDERS_AT_ONCE):
-        some = orders[i : i + ORDERS_AT_ONCE]
-        sums = shares.groupBy("gene", "sample").agg(F.max("p").alias("known"), *(_power_sum(F.col("p"), x).alias(f"s{k}") for k, x in enumerate(some)))
+    for some in (part[i : i + ORDERS_AT_ONCE] for part in (few, many) for i in range(0, len(part), ORDERS_AT_ONCE)):
+        sums = _sums(rows, some)
         in_samples = sums.select("sample").distinct() if in_samples is None else in_samples
         sums = sums.join(parts, "gene")
         value = lambda k, x, entropy: entropy_of(F.col(f"s{k}"), F.col("n"), x, norm, log_base) if entropy else hill_of(F.col(f"s{k}"), x)
@@ -93,6 +101,19 @@ def diversity(counts: DataFrame, q: Sequence[float] | float = 2.0, norm: bool =
     return complete_genes(out, in_samples if samples is None else samples.select("sample").distinct(), len(orders), tuple(cells_of)) if complete else out
 
 
+def _sums(rows: DataFrame, orders: Sequence[float]) -> DataFrame:
+    """(gene, sample, known, s0, s1, ...): power sums of all orders, which are all above MOST_OF_COUNTS or none; known is NULL for an empty total or a missing count."""
+    if orders[0] <= MOST_OF_COUNTS:
+        c = F.col("count")
+        sums = rows.groupBy("gene", "sample").agg(F.sum("count").alias("total"), F.count_if(c.isNull()).alias("gaps"), *(_sum_of_counts(c, x).alias(f"s{k}") for k, x in enumerate(orders)))
+        total = F.when((F.col("total") > 0) & (F.col("gaps") == 0), F.col("total"))
+        return sums.select("gene", "sample", total.alias("known"), *(_of_counts(F.col(f"s{k}"), total, x).alias(f"s{k}") for k, x in enumerate(orders)))
+    cell = Window.partitionBy("gene", "sample")
+    shares = rows.withColumns({"total": F.sum("count").over(cell), "gaps": F.sum(F.col("count").isNull().cast("int")).over(cell)})
+    shares = shares.withColumn("p", F.when((F.col("total") > 0) & (F.col("gaps") == 0), F.col("count") / F.col("total")))
+    return shares.groupBy("gene", "sample").agg(F.max("p").alias("known"), *(_power_sum(F.col("p"), x).alias(f"s{k}") for k, x in enumerate(orders)))
+
+
 def complete_genes(values: DataFrame, samples: DataFrame, orders: int, measures: tuple[str, ...] = ("value",)) -> DataFrame:
     """Rows of the genes whose values are known in all cells, of which there are samples times orders."""
     size = samples.agg((F.count("*") * orders).alias("cells"))
