@@ -1,3 +1,9 @@
+import os
+
+# Before numpy is loaded: its threads don't survive the forks that start a session, and a product then waits for them.
+for name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS"):
+    os.environ.setdefault(name, "1")
+
 import pytest
 from pyspark.sql import SparkSession
 
