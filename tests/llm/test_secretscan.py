@@ -2,10 +2,11 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
-from varietas.llm.secretscan import MarkovPair, added_spans, base_spans, labelled_samples, random_strings, redact, redact_documents, render, scan_secrets
+from varietas.llm.secretscan import MarkovPair, added_spans, base_spans, labelled_samples, random_strings, redact, redact_documents, render, scan_secrets, stretches
 
 from .conftest import words
 
@@ -70,6 +71,39 @@ def test_candidates_beside_patterns_add_nothing(samples):
     assert redact("ab cd", []) == "ab cd" and redact("abcdef", [(1, 0, 3), (2, 2, 5)]) == "a[SECRET]f"
 
 
+def plain_stretches(gains):
+    """The stretch of largest sum, and those of what is left on either side of it."""
+    best = max(((sum(gains[i:j]), -j + i, -i, i, j) for i in range(len(gains)) for j in range(i + 1, len(gains) + 1)), default=None)
+    if best is None or best[0] <= 0:
+        return []
+    i, j = best[3:]
+    return plain_stretches(gains[:i]) + [(i, j)] + [(j + a, j + b) for a, b in plain_stretches(gains[j:])]
+
+
+def test_stretches_equal_the_plain_form():
+    rng = random.Random(5)
+    for _ in range(300):
+        gains = [rng.choice([-1, 1]) * rng.randint(1, 10**6) / 1024 for _ in range(rng.randrange(24))]
+        assert stretches(gains) == plain_stretches(gains)
+
+
+@pytest.mark.parametrize("kind", ["one key", "words", "keys among words", "one character"])
+def test_a_million_key_characters_take_seconds(samples, kind):
+    models, rng = MarkovPair(samples), random.Random(4)
+    own = words(rng, 1000)
+    key = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    text = {"one key": lambda: key(10**6), "words": lambda: "_".join(rng.choices(own, k=170_000)), "keys among words": lambda: "-".join(rng.choice(own) + "/" + key(16) for _ in range(43_000)), "one character": lambda: "a" * 10**6}[kind]()
+    begun = time.monotonic()
+    spans = added_spans(text, [], models)
+    assert time.monotonic() - begun < 10 and len(text) > 9e5
+    assert all(a < b <= len(text) for a, _, b in spans) and all(x[2] < y[0] for x, y in zip(spans, spans[1:]))
+    if kind == "one key":
+        assert spans == [(0, 3, len(text))]
+    begun = time.monotonic()
+    stretches([(1 - i / 1e6) * (1 if i % 2 == 0 else -1.0001) for i in range(500_000)])
+    assert time.monotonic() - begun < 5
+
+
 @pytest.mark.parametrize("place", ["{}", "https/example/some/path/to/files/{}", "SOME_LONG_NAME_OF_THIS={}", "words-joined-by-lines-here_{}", "{}/" + KEY])
 def test_keys_among_words_are_found(samples, place):
     models, rng = MarkovPair(samples), random.Random(3)

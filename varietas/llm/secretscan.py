@@ -125,28 +125,32 @@ def labelled_samples(docs: DataFrame, rows: int = TRAINING_ROWS) -> list[tuple[s
 
 
 def stretches(gains: list[float]) -> list[tuple[int, int]]:
-    """All maximal stretches [i, j) of positive sum of ``gains``, none of which a longer one betters (Ruzzo and Tompa)."""
-    found: list[tuple[int, int, float, float]] = []
+    """All maximal stretches [i, j) of positive sum of ``gains``, none of which a longer one betters (Ruzzo and Tompa).
+
+    Each open stretch points at the nearest one before it that begins lower, so one that was passed over is
+    never looked at again, and the time grows with the length alone.
+    """
+    found: list[tuple[int, int, float, float, int]] = []
     sum_ = 0.0
     for k, gain in enumerate(gains):
         before, sum_ = sum_, sum_ + gain
         if gain <= 0:
             continue
-        i, left, right = k, before, sum_
+        i, left, right, at = k, before, sum_, len(found) - 1
         while True:
-            at = len(found) - 1
             while at >= 0 and found[at][2] >= left:
-                at -= 1
+                at = found[at][4]
             if at < 0 or found[at][3] >= right:
                 break
-            i, left = found[at][0], found[at][2]
+            i, _, left, _, lower = found[at]
             del found[at:]
-        found.append((i, k + 1, left, right))
-    return [(i, j) for i, j, _, _ in found]
+            at = lower
+        found.append((i, k + 1, left, right, at))
+    return [(i, j) for i, j, _, _, _ in found]
 
 
 def added_spans(text: str, base: list[Span], models: MarkovPair) -> list[Span]:
-    """Stretches outside the spans of ``base`` that the models take for secrets."""
+    """Stretches outside the spans of ``base`` that the models take for secrets, in time that grows with the text alone."""
     codes = models._codes(text)
     for s, _, e in base:
         codes[s:e] = len(ALPHABET)
@@ -157,21 +161,25 @@ def added_spans(text: str, base: list[Span], models: MarkovPair) -> list[Span]:
         return []
     ratio = np.where(pairs, np.minimum(models.ratio, PAIR_MOST)[codes[:-1], codes[1:]], 0.0)
     begins, ends = edges[::2], edges[1::2]
-    reach = np.add.reduceat(np.maximum(ratio, 0.0), begins)
+    most = np.maximum(ratio, 0.0)
+    reach, upto = np.add.reduceat(most, begins), np.concatenate([[0.0], np.cumsum(most)])
     out: list[Span] = []
     for a, b in zip(begins[reach > MARGIN].tolist(), ends[reach > MARGIN].tolist(), strict=True):
+        end = a  # of the run's last span
         for i, j in stretches((ratio[a:b] - MARGIN_PER_CHAR).tolist()):
-            _, once = np.unique(codes[a + i : a + j] * len(models.ratio) + codes[a + i + 1 : a + j + 1], return_index=True)
-            if ratio[a + i : a + j][once].sum() <= MARGIN or not any(c.isalpha() for c in text[a + i : a + j + 1]):
+            i, j = a + i, a + j
+            if upto[j] - upto[i] < MARGIN - 1e-6:
+                continue
+            _, once = np.unique(codes[i:j] * len(models.ratio) + codes[i + 1 : j + 1], return_index=True)
+            if ratio[i:j][once].sum() <= MARGIN or not any(c.isalpha() for c in text[i : j + 1]):
                 continue
-            i, j = a + i, a + j + 1
-            while i > a and text[i - 1].isalnum():
+            j += 1
+            while i > end and text[i - 1].isalnum():
                 i -= 1
-            while j < b + 1 and text[j].isalnum():
+            while end < j < b + 1 and text[j].isalnum():
                 j += 1
-            if out and i <= out[-1][2] and out[-1][2] > a:
-                i = out.pop()[0]
-            out.append((i, 3, j))
+            i, end = out.pop()[0] if end > a and i <= end else i, max(end, j)
+            out.append((i, 3, end))
     return out
 
 
