@@ -79,7 +79,7 @@ def test_gradients_against_differences(net):
 def test_windows_overlap_and_cover():
     doc, begin, size = tox.windows_of(np.array([0, 0, 5, 105]))
     assert list(doc) == [1] + [2] * (-(-(100 - tox.WINDOW) // tox.STEP) + 1) and size[0] == 5 and size.max() == tox.WINDOW
-    assert set(range(5, 105)) == {i for b, s in zip(begin[1:], size[1:]) for i in range(b, b + s)} and all(np.diff(begin[1:]) <= tox.WINDOW / 4)
+    assert set(range(5, 105)) == {i for b, s in zip(begin[1:], size[1:]) for i in range(b, b + s)} and all(np.diff(begin[1:]) == 1)
 
 
 def test_every_window_is_scored_as_by_itself(net):
@@ -92,6 +92,52 @@ def test_every_window_is_scored_as_by_itself(net):
     assert net.logits(x, begin, size) == pytest.approx(np.array(plain), abs=1e-5)
 
 
+def plain_logit(net, text_words):
+    """One window by loops over words, units and places, in double precision."""
+    p, h = {k: v.astype(float) for k, v in net.p.items()}, tox.STATES
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    inputs = []
+    for word in text_words:
+        one = tox.words_of([word])
+        code, _ = tox.grams_of(one, np.array([0]))
+        number = lambda vocabulary, key: next((i + 1 for i, v in enumerate(vocabulary.tolist()) if v == key), 0)
+        grams = [p["gram"][number(net.grams, int(c))] for c in code]
+        inputs.append(np.concatenate([p["word"][number(net.words, int(one.hashes[0]))], [max(g[d] for g in grams) for d in range(tox.GRAM_DIM)]]))
+    states = [np.zeros(2 * h) for _ in inputs]
+    for way, order, at in (("f", range(len(inputs)), 0), ("b", range(len(inputs) - 1, -1, -1), h)):
+        s = np.zeros(h)
+        for t in order:
+            g, r_s, new = inputs[t] @ p[f"w{way}"] + p[f"c{way}"], s @ p[f"u{way}"], np.zeros(h)
+            for j in range(h):
+                r, z = sigmoid(g[j] + r_s[j]), sigmoid(g[h + j] + r_s[h + j])
+                new[j] = (1 - z) * np.tanh(g[2 * h + j] + r * r_s[2 * h + j]) + z * s[j]
+            s = new
+            states[t][at : at + h] = s
+    weights = [np.exp(float(v @ p["a"])) for v in states]
+    pooled = sum(w * v for w, v in zip(weights, states)) / sum(weights)
+    return float(pooled @ p["o"] + p["o0"][0])
+
+
+@pytest.mark.parametrize("bad, size", [(1, 90), (3, 90), (0, 40), (2, 12)])
+def test_scores_equal_plain_loops_over_every_window(net, bad, size):
+    rng = random.Random(bad)
+    own = words(rng, size)
+    for _ in range(bad):
+        own[rng.randrange(size)] = rng.choice(BAD)
+    starts = range(max(size - tox.WINDOW, 0) + 1)
+    worst = max(plain_logit(net, own[b : b + tox.WINDOW]) for b in starts)
+    assert net.worst([" ".join(own)])[0] == pytest.approx(worst, abs=1e-3)
+    assert net.worst([" ".join(own)])[0] == pytest.approx(worst, abs=1e-3)  # with what was remembered
+
+
+def test_forgotten_words_are_read_again(net, monkeypatch):
+    texts, _ = labelled(40, 6)
+    told = net.worst(texts)
+    monkeypatch.setattr(tox, "REMEMBERED", 0)
+    monkeypatch.setattr(tox, "READ", 500)
+    assert net.worst(texts) == pytest.approx(told, abs=1e-4) and len(net.alone) < 100
+
+
 @pytest.mark.parametrize("sf, recall", [("sf0.01", 0.6), ("sf0.1", 0.85)])
 def test_held_out_rows_of_the_driver_tables(sf, recall):
     """sf0.01 has 6 held-out toxic rows, of which 4 are found."""

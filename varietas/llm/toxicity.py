@@ -1,9 +1,10 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Words of a text form windows that overlap by three quarters. A word's input is its own vector beside the
+Every run of so many words of a text is a window: one begins at each word. A word's input is its own vector beside the
 element-wise largest of the vectors of its character n-grams; gated recurrent units read a window in
 both directions; attention pools their states into one logit. A document scores as its worst window.
-Windows that hold no known word or n-gram differ by their length only, so one of each length is read.
+Windows that hold no known word or n-gram differ by their length only, so one of each length is read;
+a full window that holds one depends on that word and its place alone, so it is read once.
 
 The network is trained on a bounded sample of labelled documents, by gradient descent through time:
 of a toxic document the window that the network finds worst counts as toxic, of a clean one every
@@ -28,7 +29,7 @@ from .common import slices, text_or_empty
 from .wordhash import Words, words_of
 
 #: Words in a window, and the step from one to the next, in scoring and in training.
-WINDOW, STEP, TRAINING_STEP = 32, 8, 12
+WINDOW, STEP, TRAINING_STEP = 32, 1, 12
 #: Most labelled rows of each class that are read to train (those whose ids hash lowest), most bytes of one of
 #: their texts, a longer one isn't trained on, and of all of them.
 TRAINING_ROWS, TEXT_BYTES, TRAINING_BYTES = 1_500, 1 << 20, 32 << 20
@@ -45,6 +46,8 @@ SURE = 0.4
 BATCH_LEAST, BATCH_MOST, BATCHES = 32, 256, 40
 #: Text characters that are read, and windows that are scored, at once.
 READ, WINDOWS_AT_ONCE = 1 << 19, 1 << 10
+#: Most words whose logits as the only known one of a window are remembered, by place; then all are forgotten.
+REMEMBERED = 1 << 14
 
 
 @dataclass
@@ -104,7 +107,11 @@ def _chosen(x: Inputs, words: np.ndarray) -> Inputs:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    y = 0.5 * x
+    np.tanh(y, out=y)
+    y *= 0.5
+    y += 0.5
+    return y
 
 
 class ToxicityNet:
@@ -113,6 +120,7 @@ class ToxicityNet:
     def __init__(self, words: np.ndarray, word_odds: np.ndarray, grams: np.ndarray, gram_odds: np.ndarray, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.words, self.grams, self.threshold, self.trainable = words, grams, 0.0, None
+        self.alone: dict[bytes, np.ndarray] = {}
         d, h = WORD_DIM + GRAM_DIM, STATES
         normal = lambda *shape, scale=0.3: rng.normal(0, scale, shape).astype(np.float32)
         self.p = {"word": normal(len(words) + 1, WORD_DIM, scale=0.05), "gram": normal(len(grams) + 1, GRAM_DIM, scale=0.05)}
@@ -147,8 +155,12 @@ class ToxicityNet:
                 g, r_s = gates[way][index[:, t]], s @ u
                 rz = _sigmoid(g[:, : 2 * h] + r_s[:, : 2 * h])
                 r, z = rz[:, :h], rz[:, h:]
-                c = np.tanh(g[:, 2 * h :] + r * r_s[:, 2 * h :])
-                new = c + z * (s - c)
+                c = r * r_s[:, 2 * h :]
+                c += g[:, 2 * h :]
+                np.tanh(c, out=c)
+                new = s - c
+                new *= z
+                new += c
                 if not full[t]:
                     new = np.where(there[:, t, None], new, s)
                 if keep is not None:
@@ -166,35 +178,60 @@ class ToxicityNet:
     def gates(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
         return {way: vectors @ self.p[f"w{way}"] + self.p[f"c{way}"] for way in ("f", "b")}
 
-    def logits(self, x: Inputs, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def logits(self, x: Inputs, begin: np.ndarray, size: np.ndarray, alone: dict[bytes, np.ndarray] | None = None) -> np.ndarray:
         """Logits of the windows of ``size`` words from word ``begin``, a bounded number at a time.
 
         Words without known parts have the zero vector, and a window of such words the logit of any other of its size.
+        ``alone`` remembers, by input vector, the logits of full windows with one known word, at each place.
         """
         known = x.word > 0
         if len(known):
             known |= np.maximum.reduceat(x.gram, x.gram_first[:-1]) > 0
-        gates, out = self.gates(self.vectors(_chosen(x, np.flatnonzero(known)))), np.empty(len(begin), dtype=np.float32)
-        upto = np.concatenate([[0], np.cumsum(known[x.at])])
-        at = np.concatenate([np.where(known, np.cumsum(known) - 1, known.sum())[x.at], np.full(WINDOW, known.sum())])
-        own = upto[begin + size] > upto[begin]
-        for n in np.unique(size[~own]):
-            alike = ~own & (size == n)
+        vectors = self.vectors(_chosen(x, np.flatnonzero(known)))
+        gates, out, zero = self.gates(vectors), np.empty(len(begin), dtype=np.float32), len(vectors) - 1
+        at = np.concatenate([np.where(known, np.cumsum(known) - 1, zero)[x.at], np.full(WINDOW, zero)])
+        places = np.flatnonzero(at != zero)
+        from_, to = np.searchsorted(places, begin), np.searchsorted(places, begin + size)
+        for n in np.unique(size[from_ == to]):
+            alike = (from_ == to) & (size == n)
             some = np.flatnonzero(alike)[:1]
             out[alike] = self.forward(gates, at[begin[some, None] + np.arange(WINDOW)], size[some])
-        rest = np.flatnonzero(own)
+        lone = np.flatnonzero((to - from_ == 1) & (size == WINDOW))
+        if len(lone):
+            place = places[from_[lone]]
+            out[lone] = self._of_one(vectors, gates, at[place], place - begin[lone], {} if alone is None else alone)
+        rest = np.flatnonzero((to > from_) & ((to - from_ > 1) | (size < WINDOW)))
         for i in range(0, len(rest), WINDOWS_AT_ONCE):
             some = rest[i : i + WINDOWS_AT_ONCE]
             out[some] = self.forward(gates, at[begin[some, None] + np.arange(WINDOW)], size[some])
         return out
 
+    def _of_one(self, vectors: np.ndarray, gates: dict[str, np.ndarray], word: np.ndarray, place: np.ndarray, alone: dict[bytes, np.ndarray]) -> np.ndarray:
+        """Logits of full windows whose one known word ``word`` stands at ``place``; what ``alone`` lacks is added to it."""
+        own, which = np.unique(word, return_inverse=True)
+        if len(alone) > REMEMBERED:
+            alone.clear()
+        rows = [alone.setdefault(vectors[w].tobytes(), np.full(WINDOW, np.nan, dtype=np.float32)) for w in own]
+        table = np.array(rows)
+        missing = np.zeros(table.shape, dtype=bool)
+        missing[which, place] = True
+        w, k = np.nonzero(missing & np.isnan(table))
+        for i in range(0, len(w), WINDOWS_AT_ONCE):
+            a, b = w[i : i + WINDOWS_AT_ONCE], k[i : i + WINDOWS_AT_ONCE]
+            index = np.full((len(a), WINDOW), len(vectors) - 1)
+            index[np.arange(len(a)), b] = own[a]
+            table[a, b] = self.forward(gates, index, np.full(len(a), WINDOW))
+        for r in np.unique(w):
+            rows[r][:] = table[r]
+        return table[which, place]
+
     def worst(self, texts: list[str]) -> np.ndarray:
         """The largest logit of each text's windows; -inf without words."""
         out = np.full(len(texts), -np.inf)
         for i, j in slices(texts, READ):
             words = words_of(texts[i:j])
             doc, begin, size = windows_of(words.first)
-            np.maximum.at(out[i:j], doc, self.logits(self.inputs(words), begin, size))
+            np.maximum.at(out[i:j], doc, self.logits(self.inputs(words), begin, size, self.alone))
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
