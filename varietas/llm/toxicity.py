@@ -10,8 +10,8 @@ The network is trained on a bounded sample of labelled documents, by gradient de
 of a toxic document the window that the network finds worst counts as toxic, of a clean one every
 window is clean. Known are the words and n-grams whose share of toxic texts can't be chance among as
 many candidates, so the vocabulary is as large as the sample allows. Vectors start from the log-odds
-of their word or n-gram. A part of the sample is set aside: the round whose scores part it best, and
-the cut, are chosen there.
+of their word or n-gram. A part of the sample is set aside: the round whose scores part it best is
+chosen there on the windows of training, and the cut on all windows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .common import slices, text_or_empty
 from .wordhash import Words, words_of
 
 #: Words in a window, and the step from one to the next, in scoring and in training.
-WINDOW, STEP, TRAINING_STEP = 32, 1, 12
+WINDOW, STEP, TRAINING_STEP = 32, 1, 2
 #: Most labelled rows of each class that are read to train (those whose ids hash lowest), most bytes of one of
 #: their texts, a longer one isn't trained on, and of all of them.
 TRAINING_ROWS, TEXT_BYTES, TRAINING_BYTES = 1_500, 1 << 20, 32 << 20
@@ -335,19 +335,24 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
         aside[own[SET_ASIDE - 1 :: SET_ASIDE]] = True
     part = lambda on: ([t for t, o in zip(texts, on, strict=True) if o], y[on])
     own, chosen = part(~aside), part(aside if len(np.unique(y[aside])) == 2 else ~aside)
-    net, best = _start(*own, seed), (-1.0, 0.0)
+    net, best = _start(*own, seed), -1.0
     if not 0 < own[1].sum() < len(own[1]) or not net.trainable:
         net.p["o"][:] = 0
         return net
     distinct, grams, gram_first, at, first = _read_all(chosen[0])
-    x, (doc, begin, size) = Inputs(_number(net.words, distinct), _number(net.grams, grams), gram_first, at), windows_of(first)
-    for _ in _rounds(net, *own, rounds, seed):
-        worst = np.full(len(chosen[0]), -np.inf)
+    x = Inputs(_number(net.words, distinct), _number(net.grams, grams), gram_first, at)
+
+    def best_cut(step: int) -> tuple[float, float]:
+        worst, (doc, begin, size) = np.full(len(chosen[0]), -np.inf), windows_of(first, step)
         np.maximum.at(worst, doc, net.logits(x, begin, size))
-        quality, cut = _best_cut(worst, chosen[1])
-        if quality >= best[0]:
-            best, net.threshold, kept = (quality, cut), cut, {k: v.copy() for k, v in net.p.items()}
+        return _best_cut(worst, chosen[1])
+
+    for _ in _rounds(net, *own, rounds, seed):
+        quality, _ = best_cut(TRAINING_STEP)
+        if quality >= best:
+            best, kept = quality, {k: v.copy() for k, v in net.p.items()}
     net.p = kept
+    _, net.threshold = best_cut(STEP)
     return net
 
 
