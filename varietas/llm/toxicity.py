@@ -32,7 +32,7 @@ from .wordhash import Words, words_of
 WINDOW, STEP, TRAINING_STEP = 32, 1, 2
 #: Most labelled rows of each class that are read to train (those whose ids hash lowest), most bytes of one of
 #: their texts, a longer one isn't trained on, and of all of them.
-TRAINING_ROWS, TEXT_BYTES, TRAINING_BYTES = 1_500, 1 << 20, 32 << 20
+TRAINING_ROWS, TEXT_BYTES, TRAINING_BYTES = 1_000, 1 << 20, 32 << 20
 #: Of so many training rows one is set aside to choose the round and the cut.
 SET_ASIDE = 5
 #: Lengths, below 8, of the n-grams of bytes that stand for a word: stems, and stems at their place in the word.
