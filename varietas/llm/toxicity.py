@@ -45,7 +45,7 @@ SURE = 0.4
 #: Windows in a batch at least and at most; in between, a round has so many batches.
 BATCH_LEAST, BATCH_MOST, BATCHES = 32, 256, 40
 #: Text characters that are read, and windows that are scored, at once.
-READ, WINDOWS_AT_ONCE = 1 << 19, 1 << 10
+READ, WINDOWS_AT_ONCE = 1 << 19, 1 << 11
 #: Most words whose logits as the only known one of a window are remembered, by place; then all are forgotten.
 REMEMBERED = 1 << 14
 
@@ -178,9 +178,11 @@ class ToxicityNet:
     def gates(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
         return {way: vectors @ self.p[f"w{way}"] + self.p[f"c{way}"] for way in ("f", "b")}
 
-    def logits(self, x: Inputs, begin: np.ndarray, size: np.ndarray, alone: dict[bytes, np.ndarray] | None = None) -> np.ndarray:
+    def logits(self, x: Inputs, begin: np.ndarray, size: np.ndarray, alone: dict[bytes, np.ndarray] | None = None, step: int = STEP) -> np.ndarray:
         """Logits of the windows of ``size`` words from word ``begin``, a bounded number at a time.
 
+        Windows of a document begin ``step``, a divisor of WINDOW, or a multiple of it apart.
+
         Words without known parts have the zero vector, and a window of such words the logit of any other of its size.
         ``alone`` remembers, by input vector, the logits of full windows with one known word, at each place.
         """
@@ -200,30 +202,83 @@ class ToxicityNet:
         if len(lone):
             place = places[from_[lone]]
             out[lone] = self._of_one(vectors, gates, at[place], place - begin[lone], {} if alone is None else alone)
-        rest = np.flatnonzero((to > from_) & ((to - from_ > 1) | (size < WINDOW)))
+        several = to - from_ > 1
+        full = np.flatnonzero(several & (size == WINDOW))
+        out[full] = self._in_a_row(gates, at, begin[full], step)
+        rest = np.flatnonzero((to > from_) & (size < WINDOW))
         for i in range(0, len(rest), WINDOWS_AT_ONCE):
             some = rest[i : i + WINDOWS_AT_ONCE]
             out[some] = self.forward(gates, at[begin[some, None] + np.arange(WINDOW)], size[some])
         return out
 
+    def _in_a_row(self, gates: dict[str, np.ndarray], at: np.ndarray, begin: np.ndarray, step: int) -> np.ndarray:
+        """Logits of full windows. The words that they hold are strung together, and a window is read at each ``step``-th word of the string."""
+        if not len(begin):
+            return np.empty(0, dtype=np.float32)
+        edges = np.bincount(begin, minlength=len(at) + 1) - np.bincount(begin + WINDOW, minlength=len(at) + 1)
+        held = np.flatnonzero(np.cumsum(edges) > 0)
+        string = at[held]
+        out = np.empty((len(string) - WINDOW) // step + 1, dtype=np.float32)
+        for i in range(0, len(out), WINDOWS_AT_ONCE):
+            j = min(i + WINDOWS_AT_ONCE, len(out))
+            out[i:j] = self._every_window(gates, string[i * step : (j - 1) * step + WINDOW], step)
+        return out[np.searchsorted(held, begin) // step]
+
+    def _every_window(self, gates: dict[str, np.ndarray], words: np.ndarray, step: int = 1) -> np.ndarray:
+        """Logits of the full windows at each ``step``-th of ``words``: ``forward`` with a window as a column.
+
+        The sigmoid of x is (1 + tanh(x / 2)) / 2, so halves go into the weights; attention and output are linear in a
+        state, so two products of it are kept instead of the state.
+        """
+        n, h = (len(words) - WINDOW) // step + 1, STATES
+        halves = np.repeat(np.array([0.5, 0.5, 1], dtype=np.float32), h)
+        told = np.zeros((WINDOW, 2, n), dtype=np.float32)
+        y, d = np.empty((3 * h + 2, n), dtype=np.float32), np.empty((h, n), dtype=np.float32)
+        for way, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
+            own = slice(h * (way == "b"), h * (way == "b") + h)
+            ends = np.stack([self.p["a"][own], self.p["o"][own]])
+            weights = np.concatenate([0.5 * self.p[f"u{way}"].T, ends]).astype(np.float32)
+            shares = np.ascontiguousarray((gates[way][words] * halves).T)
+            s, before = np.zeros((h, n), dtype=np.float32), None
+            for t in order:
+                g = shares[:, t : t + (n - 1) * step + 1 : step]
+                np.matmul(weights, s, out=y)
+                if before is not None:
+                    told[before] += y[3 * h :]
+                rz, c = y[: 2 * h], y[2 * h : 3 * h]
+                rz += g[: 2 * h]
+                np.tanh(rz, out=rz)
+                r, z = rz[:h], rz[h:]
+                r += 1
+                c *= r
+                c += g[2 * h :]
+                np.tanh(c, out=c)
+                np.subtract(s, c, out=d)
+                d *= z
+                s += c
+                s += d
+                s *= 0.5
+                before = t
+            told[before] += ends @ s
+        e, o = told[:, 0], told[:, 1]
+        e = np.exp(e - e.max(axis=0))
+        return (e * o).sum(axis=0) / e.sum(axis=0) + self.p["o0"][0]
+
     def _of_one(self, vectors: np.ndarray, gates: dict[str, np.ndarray], word: np.ndarray, place: np.ndarray, alone: dict[bytes, np.ndarray]) -> np.ndarray:
-        """Logits of full windows whose one known word ``word`` stands at ``place``; what ``alone`` lacks is added to it."""
+        """Logits of full windows whose one known word ``word`` stands at ``place``; words that ``alone`` lacks are added to it, at every place."""
         own, which = np.unique(word, return_inverse=True)
         if len(alone) > REMEMBERED:
             alone.clear()
-        rows = [alone.setdefault(vectors[w].tobytes(), np.full(WINDOW, np.nan, dtype=np.float32)) for w in own]
-        table = np.array(rows)
-        missing = np.zeros(table.shape, dtype=bool)
-        missing[which, place] = True
-        w, k = np.nonzero(missing & np.isnan(table))
-        for i in range(0, len(w), WINDOWS_AT_ONCE):
-            a, b = w[i : i + WINDOWS_AT_ONCE], k[i : i + WINDOWS_AT_ONCE]
-            index = np.full((len(a), WINDOW), len(vectors) - 1)
-            index[np.arange(len(a)), b] = own[a]
-            table[a, b] = self.forward(gates, index, np.full(len(a), WINDOW))
-        for r in np.unique(w):
-            rows[r][:] = table[r]
-        return table[which, place]
+        keys = [vectors[w].tobytes() for w in own]
+        new = np.flatnonzero([k not in alone for k in keys])
+        at_once = WINDOWS_AT_ONCE // WINDOW
+        for i in range(0, len(new), at_once):
+            some = new[i : i + at_once]
+            string = np.full((len(some) + 1, WINDOW), len(vectors) - 1)
+            string[:-1, -1] = own[some]
+            found = self._every_window(gates, string.ravel()[:-1]).reshape(-1, WINDOW)[:, ::-1]
+            alone.update((keys[k], row.copy()) for k, row in zip(some, found, strict=True))
+        return np.array([alone[k] for k in keys])[which, place]
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """The largest logit of each text's windows; -inf without words."""
@@ -344,7 +399,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
 
     def best_cut(step: int) -> tuple[float, float]:
         worst, (doc, begin, size) = np.full(len(chosen[0]), -np.inf), windows_of(first, step)
-        np.maximum.at(worst, doc, net.logits(x, begin, size))
+        np.maximum.at(worst, doc, net.logits(x, begin, size, step=step))
         return _best_cut(worst, chosen[1])
 
     for _ in _rounds(net, *own, rounds, seed):
@@ -396,7 +451,7 @@ def _rounds(net: ToxicityNet, texts: list[str], y: np.ndarray, rounds: int, seed
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        logit = net.logits(x, begin, size)
+        logit = net.logits(x, begin, size, step=TRAINING_STEP)
         yield
 
 
