@@ -1,6 +1,8 @@
 import hashlib
+import pickle
 import random
 import re
+import time
 
 import pytest
 
@@ -80,3 +82,51 @@ def test_odd_tables(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination(odd, none).where("contaminated").count() == 0 and contamination(odd, none).count() == odd.count()
     assert contamination(empty, none).count() == 0 and keep_uncontaminated(odd, none).count() == odd.count()
+
+
+def longest_by_loops(text, items, width):
+    """(words, first word, item, first word there) of the longest common run of at least a window, of equal ones the first."""
+    own, best = split(text), None
+    for item, t in items:
+        w = split(t)
+        least = min(width, len(w))
+        for a in range(len(own) if w else 0):
+            for p in range(len(w)):
+                n = 0
+                while a + n < len(own) and p + n < len(w) and own[a + n] == w[p + n]:
+                    n += 1
+                if n >= least and (best is None or (-n, a, str(item), p) < (-best[0], *best[1:])):
+                    best = (n, a, str(item), p)
+    return best
+
+
+def test_longest_match_against_loops():
+    rng = random.Random(5)
+    for letters in ("a", "ab", "abc"):
+        for _ in range(60):
+            some = lambda most: " ".join(rng.choices(letters, k=rng.randrange(most)))  # noqa: E731, B023
+            items = [(k, some(14)) for k in range(rng.randrange(1, 5))]
+            text = some(40) + " z " + some(20)
+            (n_words, hit, ids, longest), want = next(scan([text], Windows(items, 3))), brute(text, items, 3)
+            assert (n_words, len(hit), len(ids)) == want[:3] and longest == longest_by_loops(text, items, 3)
+
+
+def test_repeated_words_and_shared_windows_take_little_time():
+    begun = time.time()
+    n, hit, ids, longest = next(scan(["ab " * 1_000_000], Windows([(1, "ab " * 500)], 10)))
+    assert (n, len(hit), ids, longest) == (1_000_000, 1_000_000, {"1"}, (500, 0, "1", 0))
+    head = " ".join(f"h{k}" for k in range(10))
+    shared = Windows([(k, f"{head} own{k} words{k}") for k in range(3_000)], 10)
+    (_, hit, ids, longest), = scan([" x ".join([head] * 300)], shared)
+    assert len(hit) == 3_000 and len(ids) == 3_000 and longest == (10, 0, "0", 0)
+    assert time.time() - begun < 30
+
+
+def test_a_block_is_about_as_large_as_its_windows(spark):
+    from varietas.llm.decontaminate import benchmark_blocks
+
+    rng = random.Random(8)
+    bench = spark.createDataFrame([(k, " ".join(str(rng.random()) for _ in range(200))) for k in range(300)], "item_id long, text string")
+    blocks = list(benchmark_blocks(bench, 10, 1 << 20))
+    assert sum(len(b) for b in blocks) == 300 and len(blocks) > 1
+    assert all(len(pickle.dumps(Windows(b, 10))) < 1.2 * (1 << 20) for b in blocks)

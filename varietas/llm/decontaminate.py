@@ -21,14 +21,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored, text_or_empty
 from .wordhash import Words, words_of
 
-#: Bytes of benchmark text that one pass over the documents takes along.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark windows that one pass over the documents takes along.
+BLOCK_BYTES = 16 << 20
 
 
 class TestWindows:
@@ -53,19 +54,26 @@ class TestWindows:
         beyond = np.arange(width) >= own[item][:, None]
         grid[beyond] = 0
         self.low, first, which = np.unique(np.ascontiguousarray(grid).view(f"S{4 * width}").ravel(), return_index=True, return_inverse=True)
-        grid[beyond] = 0xFFFFFFFF
-        self.high = np.ascontiguousarray(grid[first]).view(f"S{4 * width}").ravel()
-        self.lengths = own[item][first]
+        self.lengths = own[item][first].astype(np.int32)
         self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
-        order = np.argsort(which, kind="stable")
-        self.item, self.at = item[order].astype(np.int32), at[order].astype(np.int32)
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(self.low)))]).astype(np.int64)
+        self.window, self.item, self.at = which.astype(np.int32), item.astype(np.int32), at.astype(np.int32)
+        self.by_window = np.argsort(which, kind="stable").astype(np.int32)
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(self.low)))]).astype(np.int32)
         self.ids = ["" if i is None else str(i) for i, _ in items]
 
-    def places(self, window: int) -> list[tuple[int, int]]:
-        """Where a window stands: the numbers of items, and its first word in each."""
-        a, b = self.begin[window], self.begin[window + 1]
-        return list(zip(self.item[a:b].tolist(), self.at[a:b].tolist(), strict=True))
+    def high(self) -> np.ndarray:
+        """The largest keys that begin with the windows' words; those of whole windows are ``low`` itself."""
+        short = np.flatnonzero(self.lengths < self.width)
+        out = self.low.copy()
+        grid = np.frombuffer(self.low[short].tobytes(), dtype=">u4").reshape(-1, self.width).copy()
+        grid[np.arange(self.width) >= self.lengths[short][:, None]] = 0xFFFFFFFF
+        out[short] = grid.view(f"S{4 * self.width}").ravel()
+        return out
+
+    def places(self, windows: np.ndarray) -> np.ndarray:
+        """Where any of the windows, distinct numbers, stands, by ``window``, ``item`` and ``at``."""
+        count = self.begin[windows + 1] - self.begin[windows]
+        return self.by_window[np.repeat(self.begin[windows] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
 
     def name(self, item: int) -> str:
         """The id of an item as text, empty if it has none."""
@@ -107,7 +115,7 @@ def matches(words: Words, windows: TestWindows) -> tuple[np.ndarray, np.ndarray]
     places, keys = suffix_array(windows.numbers(words.hashes), words.first, windows.width, windows.shortest)
     if not len(places):
         return np.array([], dtype=np.int64), np.array([], dtype=np.int64)
-    low, high = np.searchsorted(keys, windows.low), np.searchsorted(keys, windows.high, side="right")
+    low, high = np.searchsorted(keys, windows.low), np.searchsorted(keys, windows.high(), side="right")
     count = high - low
     which = np.repeat(np.arange(len(count)), count)
     at = places[np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
@@ -119,24 +127,68 @@ def matches(words: Words, windows: TestWindows) -> tuple[np.ndarray, np.ndarray]
 Match = tuple[int, int, str, int]
 
 
-def _of_document(at: np.ndarray, which: np.ndarray, begin: int, windows: TestWindows) -> tuple[np.ndarray, set[int], Match | None]:
+def _of_document(at: np.ndarray, which: np.ndarray, begin: int, windows: TestWindows) -> tuple[np.ndarray, np.ndarray, Match]:
     """Hit words of one document (relative), the items found, and its longest verbatim match, of equal ones the first."""
-    lengths = windows.lengths[which]
-    items = {i for w in set(which.tolist()) for i, _ in windows.places(w)}
-    hit = np.unique(np.concatenate([np.arange(a, a + n) for a, n in zip(at - begin, lengths, strict=True)]))
-    reach: dict[tuple[int, int], tuple[int, int]] = {}
-    longest: Match | None = None
-    for a, w, n in zip((at - begin).tolist(), which.tolist(), lengths.tolist(), strict=True):
-        for item, p in windows.places(w):
-            begun = reach.pop((item, a - p), None)
-            begun = a if begun is None or begun[1] < a - 1 else begun[0]
-            reach[item, a - p] = (begun, a)
-            longest = _longer(longest, (a + n - begun, begun, windows.name(item), begun - (a - p)))
-    return hit, items, longest
+    at, lengths = at - begin, windows.lengths[which]
+    end = int((at + lengths).max())
+    edges = np.bincount(at, minlength=end + 1) - np.bincount(at + lengths, minlength=end + 1)
+    items = np.unique(windows.item[windows.places(np.unique(which))])
+    return np.flatnonzero(np.cumsum(edges) > 0), items, _longest(at, which, items, windows)
+
 
+def _longest(at: np.ndarray, which: np.ndarray, items: np.ndarray, windows: TestWindows) -> Match:
+    """The longest run of windows that stand in a row in the document and in one of the ``items``.
 
-def _longer(a: Match | None, b: Match | None) -> Match | None:
-    return min((m for m in (a, b) if m), key=lambda m: (-m[0], *m[1:]), default=None)
+    Runs of 1, 2, 4, ... windows are numbered, those of the document and the items alike, so that equal numbers are
+    equal runs, until the document shares none with an item; the longest shared run is put together from them. The
+    work grows with the windows of the document and the items and the logarithm of the run, however often they repeat.
+    """
+    whole = windows.lengths[which] == windows.width
+    if not whole.any():
+        n = windows.lengths[which]
+        i = np.lexsort((at, -n))[0]
+        return int(n[i]), int(at[i]), *_first_place(windows.places(which[i : i + 1]), windows)
+    at, which = at[whole], which[whole]
+    place = np.flatnonzero(np.isin(windows.item, items))
+    own_gap = np.cumsum(np.diff(at, prepend=at[0]) > 1)
+    item_gap = np.cumsum(np.diff(windows.item[place], prepend=windows.item[place[0]]) > 0)
+    own = np.zeros(len(at) + own_gap[-1] + 1, dtype=np.int64)
+    own[np.arange(len(at)) + own_gap] = which + 1
+    theirs = np.zeros(len(place) + item_gap[-1] + 1, dtype=np.int64)
+    theirs[np.arange(len(place)) + item_gap] = windows.window[place] + 1
+    split, runs, length = len(own), [np.concatenate([own, theirs])], 1
+    while (longer := _joined(runs[-1], runs[-1], length, split)).any():
+        runs.append(longer)
+        length *= 2
+    found = runs[-1]
+    for k in range(len(runs) - 2, -1, -1):
+        longer = _joined(found, runs[k], length, split)
+        if longer.any():
+            found, length = longer, length + (1 << k)
+    first = np.flatnonzero(found[:split])[0]
+    same = np.flatnonzero(found[split:] == found[first])
+    inside = np.flatnonzero(theirs > 0)
+    a = int(at[np.searchsorted(np.arange(len(at)) + own_gap, first)])
+    return length - 1 + windows.width, a, *_first_place(place[np.searchsorted(inside, same)], windows)
+
+
+def _joined(a: np.ndarray, b: np.ndarray, length: int, split: int) -> np.ndarray:
+    """Numbers of the runs a at each place followed by b ``length`` places on; 0 where either is missing or one side of ``split`` lacks the run."""
+    out = np.zeros(len(a), dtype=np.int64)
+    left, right = a[: max(len(a) - length, 0)], b[length:]
+    there = np.flatnonzero((left > 0) & (right > 0))
+    values, number = np.unique(left[there] << 32 | right[there], return_inverse=True)
+    shared = np.zeros(len(values), dtype=bool)
+    shared[number[there < split]] = True
+    beyond = np.zeros(len(values), dtype=bool)
+    beyond[number[there >= split]] = True
+    out[there] = np.where((shared & beyond)[number], number + 1, 0)
+    return out
+
+
+def _first_place(places: np.ndarray, windows: TestWindows) -> tuple[str, int]:
+    """Of places of windows the first: by the item's id as text, then by the word."""
+    return min((windows.name(i), p) for i, p in zip(windows.item[places].tolist(), windows.at[places].tolist(), strict=True))
 
 
 #: Of a text: words, hit words, ids of the items found, longest match.
@@ -151,19 +203,20 @@ def scan(texts: list[str], windows: TestWindows) -> Iterator[Overlap]:
         for d in range(j - i):
             begin, end = words.first[d], words.first[d + 1]
             lo, hi = np.searchsorted(at, (begin, end))
-            hit, items, longest = _of_document(at[lo:hi], which[lo:hi], begin, windows) if lo < hi else (at[:0], set(), None)
+            hit, items, longest = _of_document(at[lo:hi], which[lo:hi], begin, windows) if lo < hi else (at[:0], [], None)
             yield int(end - begin), hit, {windows.name(k) for k in items}, longest
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str]]]:
-    """The items (item_id, text), null texts left out, in blocks of about ``block_bytes``.
+def benchmark_blocks(benchmark: DataFrame, width: int, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str]]]:
+    """The items (item_id, text), null texts left out, in blocks whose windows take about ``block_bytes``.
 
+    A word counts as one window: its key, three numbers of its place, and its hash, length and first place.
     Items come to the driver one at a time, and one block of them is held at once.
     """
     block, size = [], 0
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         block.append((r[0], r[1]))
-        size += len(r[1])
+        size += len(words_of([r[1]]).hashes) * (4 * width + 32)
         if size >= block_bytes:
             yield block
             block, size = [], 0
@@ -180,9 +233,12 @@ def _overlaps(texts: pd.Series, windows: TestWindows) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_words", "hit", "item_ids", "longest"])
 
 
-def _pass(rows: DataFrame, block: list[tuple[object, str]], width: int, keep: Callable[[pd.DataFrame], pd.Series], columns: list[str], schema: str) -> DataFrame:
+def _shared(rows: DataFrame, block: list[tuple[object, str]], width: int) -> Broadcast:
+    return rows.sparkSession.sparkContext.broadcast(TestWindows(block, width))
+
+
+def _pass(rows: DataFrame, shared: Broadcast, keep: Callable[[pd.DataFrame], pd.Series], columns: list[str], schema: str) -> DataFrame:
     """``rows`` (columns, text) with FOUND of one block of the benchmark, those that ``keep`` says."""
-    shared = rows.sparkSession.sparkContext.broadcast(TestWindows(block, width))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -194,7 +250,11 @@ def _pass(rows: DataFrame, block: list[tuple[object, str]], width: int, keep: Ca
 
 def _hits(rows: DataFrame, blocks: Iterable[list[tuple[object, str]]], width: int, columns: list[str], schema: str) -> DataFrame:
     """FOUND of the rows that any block hits, by ``columns``, which tell texts apart; a pass is written before the next begins."""
-    passes = [stored(_pass(rows, b, width, lambda found: found["item_ids"].str.len() > 0, columns, schema), "hits") for b in blocks]
+    passes = []
+    for b in blocks:
+        shared = _shared(rows, b, width)
+        passes.append(stored(_pass(rows, shared, lambda found: found["item_ids"].str.len() > 0, columns, schema), "hits"))
+        shared.unpersist()
     merged = reduce(DataFrame.unionByName, passes).groupBy(*columns)
     best = F.min(F.when(F.col("longest").isNotNull(), F.struct((-F.col("longest.n")).alias("less"), "longest.at", "longest.item", "longest.item_at")))
     out = merged.agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best.alias("b"))
@@ -211,7 +271,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     Returns doc_id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256
     (of the item ids, sorted as strings and comma-joined), contaminated, item_ids, longest (words
     of the longest verbatim match), longest_at (its first word in the document), longest_item and
-    longest_item_at (the item, and its first word there). A benchmark above ``block_bytes`` takes one pass
+    longest_item_at (the item, and its first word there). A benchmark whose windows take more than ``block_bytes`` takes one pass
     over the documents for each block; the hits are merged by the texts' SHA-256.
 
     Defined cases: null and empty texts have no words; an empty benchmark hits nothing; a null
@@ -220,15 +280,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     strings, is told; other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = benchmark_blocks(benchmark, block_bytes)
+    blocks = benchmark_blocks(benchmark, width, block_bytes)
     first, second = next(blocks, []), next(blocks, None)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     if second is None:
-        found = _pass(rows, first, width, lambda found: pd.Series(True, found.index), ["doc_id"], f"doc_id {kind}")
+        found = _pass(rows, _shared(rows, first, width), lambda found: pd.Series(True, found.index), ["doc_id"], f"doc_id {kind}")
     else:
         rows = rows.withColumn("text_key", F.unhex(F.sha2("text", 256)))
         hits = _hits(rows, _again(first, second, blocks), width, ["text_key"], TEXT_KEY)
-        counted = _pass(rows, [], width, lambda found: pd.Series(True, found.index), ["doc_id", "text_key"], f"doc_id {kind}, {TEXT_KEY}")
+        counted = _pass(rows, _shared(rows, [], width), lambda found: pd.Series(True, found.index), ["doc_id", "text_key"], f"doc_id {kind}, {TEXT_KEY}")
         found = counted.select("doc_id", "text_key", "n_words").join(hits, "text_key", "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_hit = F.coalesce(F.size("hit"), F.lit(0)).cast("long")
@@ -259,13 +319,13 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
     Defined cases as in ``contamination``: null and empty texts stay, repeated rows stay or go together,
     an empty benchmark keeps all, an empty table gives no rows.
     """
-    blocks = benchmark_blocks(benchmark, block_bytes)
+    blocks = benchmark_blocks(benchmark, width, block_bytes)
     first, second = next(blocks, []), next(blocks, None)
     if second is not None:
         keyed = docs.select(text_or_empty().alias("text")).withColumn("text_key", F.unhex(F.sha2("text", 256)))
         hit = _hits(keyed, _again(first, second, blocks), width, ["text_key"], TEXT_KEY).select(F.col("text_key").alias("_text_key"))
         return docs.withColumn("_text_key", F.unhex(F.sha2(text_or_empty(), 256))).join(hit, "_text_key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    shared = docs.sparkSession.sparkContext.broadcast(TestWindows(first, width))
+    shared = _shared(docs, first, width)
 
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
