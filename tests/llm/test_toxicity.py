@@ -130,6 +130,56 @@ def test_scores_equal_plain_loops_over_every_window(net, bad, size):
     assert net.worst([" ".join(own)])[0] == pytest.approx(worst, abs=1e-3)  # with what was remembered
 
 
+def often(every, seed, texts=20, size=200):
+    """Texts with a known word at each ``every``-th place."""
+    rng, out = random.Random(seed), []
+    for _ in range(texts):
+        own = words(rng, size)
+        own[::every] = [rng.choice(BAD) for _ in own[::every]]
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("every", [5, 10, 20])
+def test_what_windows_share_is_read_once(net, monkeypatch, every):
+    texts, read, tanh = often(every, 3), [0], np.tanh
+
+    def counted(x, *args, **kwargs):
+        read[0] += x.size
+        return tanh(x, *args, **kwargs)
+
+    monkeypatch.setattr(np, "tanh", counted)
+    net.worst(texts)
+    assert read[0] < 0.6 * len(texts) * (200 - tox.WINDOW + 1) * tox.WINDOW * 2 * 3 * tox.STATES
+
+
+@pytest.mark.parametrize("every", [1, 2, 3, 7, 25])
+@pytest.mark.parametrize("at_once", [7, 1000])
+def test_shared_windows_score_as_by_themselves(net, monkeypatch, every, at_once):
+    texts = often(every, every, texts=3, size=90)
+    words_ = tox.words_of([*texts, texts[0], texts[1] + " " + texts[0]])
+    x = net.inputs(words_)
+    _, begin, size = tox.windows_of(words_.first)
+    index = np.concatenate([x.at, np.full(tox.WINDOW, len(x.word))])[begin[:, None] + np.arange(tox.WINDOW)]
+    plain = net.forward(net.gates(net.vectors(x)), index, size)
+    monkeypatch.setattr(tox, "WINDOWS_AT_ONCE", at_once)
+    monkeypatch.setattr(tox, "SORTED_AT_ONCE", 4 * at_once + tox.WINDOW)
+    monkeypatch.setattr(tox, "MULTIPLIED", 5)
+    assert net.logits(x, begin, size) == pytest.approx(plain, abs=1e-5)
+
+
+def test_grams_equal_plain_loops():
+    own = ["a", "to", "cat", "four", "fives", "sixsix", "\u00e9t\u00e9", "sevenths", "a1", "z"]
+    words_ = tox.words_of([" ".join(own), "x", "", "last"])
+    code, first = tox.grams_of(words_, np.arange(len(words_.hashes)))
+    for k, word in enumerate([*own, "x", "last"]):
+        marked, expected = b"\1" + word.encode() + b"\1", []
+        for n in tox.GRAMS:
+            for i in range(max(len(marked) - n + 1, 1)):
+                expected.append(int.from_bytes(bytes([n]) + marked[i : i + n].ljust(n, b"\1"), "big"))
+        assert code[first[k] : first[k + 1]].tolist() == expected
+
+
 def test_forgotten_words_are_read_again(net, monkeypatch):
     texts, _ = labelled(40, 6)
     told = net.worst(texts)

@@ -4,7 +4,8 @@ Every run of so many words of a text is a window: one begins at each word. A wor
 element-wise largest of the vectors of its character n-grams; gated recurrent units read a window in
 both directions; attention pools their states into one logit. A document scores as its worst window.
 Windows that hold no known word or n-gram differ by their length only, so one of each length is read;
-a full window that holds one depends on that word and its place alone, so it is read once.
+a full window that holds one depends on that word and its place alone, so it is read once. Full windows with
+several are sorted by the known words that they begin (for the way back: end) with, and what they share is read once.
 
 The network is trained on a bounded sample of labelled documents, by gradient descent through time:
 of a toxic document the window that the network finds worst counts as toxic, of a clean one every
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty
-from .wordhash import Words, words_of
+from .wordhash import _WORD, BASE, Words, words_of
 
 #: Words in a window, and the step from one to the next, in scoring and in training.
 WINDOW, STEP, TRAINING_STEP = 32, 1, 2
@@ -44,8 +45,10 @@ ROUNDS, RATE = 12, 0.01
 SURE = 0.4
 #: Windows in a batch at least and at most; in between, a round has so many batches.
 BATCH_LEAST, BATCH_MOST, BATCHES = 32, 256, 40
-#: Text characters that are read, and windows that are scored, at once.
-READ, WINDOWS_AT_ONCE = 1 << 19, 1 << 11
+#: Text characters that are read, windows that are scored, and windows that are sorted to find what they share, at once.
+READ, WINDOWS_AT_ONCE, SORTED_AT_ONCE = 1 << 20, 6_000, 60_000
+#: Columns that are multiplied at once: numpy's library reads more of them slower, and with threads that wait busily.
+MULTIPLIED = 2_000
 #: Most words whose logits as the only known one of a window are remembered, by place; then all are forgotten.
 REMEMBERED = 1 << 14
 
@@ -67,15 +70,18 @@ def grams_of(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(np.sum(counts, axis=0))])
     code = np.empty(first[-1], dtype=np.uint64)
     before = first[:-1]
+    marked = np.ones(len(words.data) + 9, dtype=np.uint8)
+    marked[1:-8] = np.where(_WORD[words.data], words.data, 1)
+    eight = np.lib.stride_tricks.as_strided(marked.view(), (len(marked) - 7, 8), (1, 1))
     for n, count in zip(GRAMS, counts, strict=True):
         offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        place, begin, size = np.repeat(before, count) + offset, np.repeat(start, count), np.repeat(length, count)
-        own = np.full(len(offset), n, dtype=np.uint64)
-        for k in range(-1, n - 1):
-            at = offset + k
-            byte = np.where((at >= 0) & (at < size), words.data[np.minimum(begin + np.maximum(at, 0), len(words.data) - 1)], 1)
-            own = own << np.uint64(8) | byte.astype(np.uint64)
-        code[place] = own
+        own = eight[np.repeat(start, count) + offset].view(">u8").ravel().astype(np.uint64) >> np.uint64(64 - 8 * n)
+        over = np.maximum(n - 2 - length, 0)  # a short word's bytes from the mark at its end on are marks
+        short = np.flatnonzero(over)
+        at = (np.cumsum(count) - count)[short]
+        rest = (np.uint64(1) << (8 * over[short]).astype(np.uint64)) - np.uint64(1)
+        own[at] = own[at] & ~rest | np.uint64(0x0101010101010101) & rest
+        code[np.repeat(before, count) + offset] = own | np.uint64(n << 8 * n)
         before = before + count
     return code, first
 
@@ -84,8 +90,13 @@ def _number(vocabulary: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """1 + place in the sorted vocabulary, 0 for what isn't in it."""
     if not len(vocabulary):
         return np.zeros(len(wanted), dtype=np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, wanted), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == wanted, at + 1, 0)
+    out, spread = np.zeros(len(wanted), dtype=np.int64), lambda v: v * np.uint64(BASE) >> np.uint64(46)
+    marks = np.zeros(1 << 18, dtype=bool)
+    marks[spread(vocabulary)] = True
+    some = np.flatnonzero(marks[spread(wanted)])
+    at = np.minimum(np.searchsorted(vocabulary, wanted[some]), len(vocabulary) - 1)
+    out[some] = np.where(vocabulary[at] == wanted[some], at + 1, 0)
+    return out
 
 
 def windows_of(first: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,6 +117,26 @@ def _chosen(x: Inputs, words: np.ndarray) -> Inputs:
     return Inputs(x.word[words], x.gram[places], first, x.at)
 
 
+def _shared_steps(at: np.ndarray, start: np.ndarray, move: int, places: np.ndarray, from_: np.ndarray, count: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of windows by the known words they meet first, and how many steps each shares with the one before, at least.
+
+    A window begins at ``start``, goes by ``move`` and meets ``count`` words, from ``places[from_]`` on, numbers of ``bits``
+    bits. As many of its words count as fit a number of 63 bits, by step and word; windows without others that agree share all steps.
+    """
+    key, met = np.zeros(len(start), dtype=np.int64), []
+    for k in range(63 // (6 + bits)):
+        place = places[from_ + move * np.minimum(k, count - 1)]
+        step, word = np.where(k < count, (place - start) * move, WINDOW), np.where(k < count, at[place], 0)
+        key = key << (6 + bits) | step << bits | word
+        met.append((step, word))
+    order = np.argsort(key)
+    pairs = lambda v: (v[order[1:]], v[order[:-1]])
+    alike = np.where(np.maximum(*pairs(count)) <= len(met), WINDOW, np.minimum(*pairs(met[-1][0])) + 1)
+    for step, word in met[::-1]:
+        alike = np.where(np.equal(*pairs(step)) & np.equal(*pairs(word)), alike, np.minimum(*pairs(step)))
+    return order, np.concatenate([[0], alike])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     y = 0.5 * x
     np.tanh(y, out=y)
@@ -178,11 +209,9 @@ class ToxicityNet:
     def gates(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
         return {way: vectors @ self.p[f"w{way}"] + self.p[f"c{way}"] for way in ("f", "b")}
 
-    def logits(self, x: Inputs, begin: np.ndarray, size: np.ndarray, alone: dict[bytes, np.ndarray] | None = None, step: int = STEP) -> np.ndarray:
+    def logits(self, x: Inputs, begin: np.ndarray, size: np.ndarray, alone: dict[bytes, np.ndarray] | None = None) -> np.ndarray:
         """Logits of the windows of ``size`` words from word ``begin``, a bounded number at a time.
 
-        Windows of a document begin ``step``, a divisor of WINDOW, or a multiple of it apart.
-
         Words without known parts have the zero vector, and a window of such words the logit of any other of its size.
         ``alone`` remembers, by input vector, the logits of full windows with one known word, at each place.
         """
@@ -190,10 +219,15 @@ class ToxicityNet:
         if len(known):
             known |= np.maximum.reduceat(x.gram, x.gram_first[:-1]) > 0
         vectors = self.vectors(_chosen(x, np.flatnonzero(known)))
+        _, chosen, alike = np.unique(vectors[:-1].view(f"V{vectors.itemsize * vectors.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        vectors = vectors[[*chosen, -1]]
         gates, out, zero = self.gates(vectors), np.empty(len(begin), dtype=np.float32), len(vectors) - 1
-        at = np.concatenate([np.where(known, np.cumsum(known) - 1, zero)[x.at], np.full(WINDOW, zero)])
+        numbers = np.full(len(known), zero, dtype=np.int32)
+        numbers[known] = alike
+        at = np.concatenate([numbers[x.at], np.full(WINDOW, zero, dtype=np.int32)])
         places = np.flatnonzero(at != zero)
-        from_, to = np.searchsorted(places, begin), np.searchsorted(places, begin + size)
+        before = np.searchsorted(places, np.arange(len(at) + 1))
+        from_, to = before[begin], before[begin + size]
         for n in np.unique(size[from_ == to]):
             alike = (from_ == to) & (size == n)
             some = np.flatnonzero(alike)[:1]
@@ -202,67 +236,99 @@ class ToxicityNet:
         if len(lone):
             place = places[from_[lone]]
             out[lone] = self._of_one(vectors, gates, at[place], place - begin[lone], {} if alone is None else alone)
-        several = to - from_ > 1
-        full = np.flatnonzero(several & (size == WINDOW))
-        out[full] = self._in_a_row(gates, at, begin[full], step)
+        several = np.flatnonzero((to - from_ > 1) & (size == WINDOW))
+        for i in range(0, len(several), SORTED_AT_ONCE):
+            some = several[i : i + SORTED_AT_ONCE]
+            out[some] = self._in_order(gates, at, begin[some], places, from_[some], to[some])
         rest = np.flatnonzero((to > from_) & (size < WINDOW))
         for i in range(0, len(rest), WINDOWS_AT_ONCE):
             some = rest[i : i + WINDOWS_AT_ONCE]
             out[some] = self.forward(gates, at[begin[some, None] + np.arange(WINDOW)], size[some])
         return out
 
-    def _in_a_row(self, gates: dict[str, np.ndarray], at: np.ndarray, begin: np.ndarray, step: int) -> np.ndarray:
-        """Logits of full windows. The words that they hold are strung together, and a window is read at each ``step``-th word of the string."""
-        if not len(begin):
-            return np.empty(0, dtype=np.float32)
-        edges = np.bincount(begin, minlength=len(at) + 1) - np.bincount(begin + WINDOW, minlength=len(at) + 1)
-        held = np.flatnonzero(np.cumsum(edges) > 0)
-        string = at[held]
-        out = np.empty((len(string) - WINDOW) // step + 1, dtype=np.float32)
-        for i in range(0, len(out), WINDOWS_AT_ONCE):
-            j = min(i + WINDOWS_AT_ONCE, len(out))
-            out[i:j] = self._every_window(gates, string[i * step : (j - 1) * step + WINDOW], step)
-        return out[np.searchsorted(held, begin) // step]
-
-    def _every_window(self, gates: dict[str, np.ndarray], words: np.ndarray, step: int = 1) -> np.ndarray:
-        """Logits of the full windows at each ``step``-th of ``words``: ``forward`` with a window as a column.
-
-        The sigmoid of x is (1 + tanh(x / 2)) / 2, so halves go into the weights; attention and output are linear in a
-        state, so two products of it are kept instead of the state.
+    def _in_order(self, gates: dict[str, np.ndarray], at: np.ndarray, begin: np.ndarray, places: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Logits of full windows that hold the known words at ``places[from_:to]``, one at least.
+
+        A direction's states depend only on the words read so far, so windows are sorted by the known words that they
+        begin (or, backward, end) with, and what a window shares with the one before it is read once.
         """
-        n, h = (len(words) - WINDOW) // step + 1, STATES
+        told, bits = np.zeros((len(begin), WINDOW), dtype=np.complex64), len(gates["f"]).bit_length()
+        for way, start, move, first in (("f", begin, 1, from_), ("b", begin + WINDOW - 1, -1, to - 1)):
+            order, alike = _shared_steps(at, start, move, places, first, to - from_, bits)
+            for i in range(0, len(order), WINDOWS_AT_ONCE):
+                some = order[i : i + WINDOWS_AT_ONCE]
+                columns, found = self._columns(way, gates[way], at, start[some], move, alike[i : i + WINDOWS_AT_ONCE])
+                told[some[columns]] += found.T[:, ::move]
+        e, o = told.real, told.imag
+        e = np.exp(e - e.max(axis=1, keepdims=True))
+        return (e * o).sum(axis=1) / e.sum(axis=1) + self.p["o0"][0]
+
+    def _columns(self, way: str, gates: np.ndarray, at: np.ndarray, start: np.ndarray, move: int, alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What one direction tells of sorted windows, of which each shares its first ``alike`` steps with the one before.
+
+        Returns their order as columns, and by step and column the products of the state with attention (real) and
+        output (imaginary). A window becomes a column at the first step that it doesn't share, with the state of the window it shared
+        the steps before with. The sigmoid of x is (1 + tanh(x / 2)) / 2, so halves go into the weights; attention and
+        output are linear in a state, so two products of it are kept instead of the state.
+        """
+        n, h = len(start), STATES
+        alike = np.concatenate([[0], alike[1:]])
+        order = np.argsort(alike, kind="stable")
+        upto = np.searchsorted(alike[order], np.arange(WINDOW + 1), side="right")
+        column = np.empty(n, dtype=np.int64)
+        column[order] = np.arange(n)
+        unknown = gates[-1]
         halves = np.repeat(np.array([0.5, 0.5, 1], dtype=np.float32), h)
-        told = np.zeros((WINDOW, 2, n), dtype=np.float32)
-        y, d = np.empty((3 * h + 2, n), dtype=np.float32), np.empty((h, n), dtype=np.float32)
-        for way, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
-            own = slice(h * (way == "b"), h * (way == "b") + h)
-            ends = np.stack([self.p["a"][own], self.p["o"][own]])
-            weights = np.concatenate([0.5 * self.p[f"u{way}"].T, ends]).astype(np.float32)
-            shares = np.ascontiguousarray((gates[way][words] * halves).T)
-            s, before = np.zeros((h, n), dtype=np.float32), None
-            for t in order:
-                g = shares[:, t : t + (n - 1) * step + 1 : step]
-                np.matmul(weights, s, out=y)
-                if before is not None:
-                    told[before] += y[3 * h :]
-                rz, c = y[: 2 * h], y[2 * h : 3 * h]
-                rz += g[: 2 * h]
-                np.tanh(rz, out=rz)
-                r, z = rz[:h], rz[h:]
-                r += 1
-                c *= r
-                c += g[2 * h :]
-                np.tanh(c, out=c)
-                np.subtract(s, c, out=d)
-                d *= z
-                s += c
-                s += d
-                s *= 0.5
-                before = t
-            told[before] += ends @ s
-        e, o = told[:, 0], told[:, 1]
-        e = np.exp(e - e.max(axis=0))
-        return (e * o).sum(axis=0) / e.sum(axis=0) + self.p["o0"][0]
+        more = np.ascontiguousarray(((gates - unknown) * halves).T)
+        own = slice(h * (way == "b"), h * (way == "b") + h)
+        ends = np.stack([self.p["a"][own], self.p["o"][own]])
+        weights = np.zeros((3 * h + 2, h + 1), dtype=np.float32)
+        weights[: 3 * h, :h], weights[3 * h :, :h] = 0.5 * self.p[f"u{way}"].T, ends
+        weights[: 2 * h, h] = 0.5 * unknown[: 2 * h]
+        plain = unknown[2 * h :, None]
+        words = at[start[order] + move * np.arange(WINDOW)[:, None]]
+        told = np.empty((WINDOW, n), dtype=np.complex64)
+        room = [np.empty(k * n, dtype=np.float32) for k in (h + 1, h + 1, 3 * h + 2, h)]
+        s, turn = np.empty((h + 1, 0), dtype=np.float32), 0
+        for t in range(WINDOW + 1):
+            m, old = upto[t], s.shape[1]
+            if m > old:
+                before, s = s, room[turn][: (h + 1) * m].reshape(h + 1, m)
+                turn = 1 - turn
+                s[:, :old] = before
+                s[:h, old:], s[h, old:] = 0, 1
+                if t:
+                    read = np.flatnonzero(alike < t)
+                    parent = column[read[np.searchsorted(read, order[old:m]) - 1]]
+                    s[:h, old:] = before[:h].take(parent, axis=1)
+                    told[: t - 1, old:m] = told[: t - 1].take(parent, axis=1)
+            y, d = room[2][: (3 * h + 2) * m].reshape(3 * h + 2, m), room[3][: h * m].reshape(h, m)
+            for i in range(0, m, MULTIPLIED):
+                np.matmul(weights, s[:, i : i + MULTIPLIED], out=y[:, i : i + MULTIPLIED])
+            if t:
+                told.real[t - 1, :m], told.imag[t - 1, :m] = y[3 * h :]
+            if t == WINDOW:
+                break
+            own, rz, c = s[:h], y[: 2 * h], y[2 * h : 3 * h]
+            new = more.take(words[t, old:m], axis=1)
+            some = np.flatnonzero(words[t, :old] != len(gates) - 1)
+            known = more.take(words[t, some], axis=1)
+            rz[:, old:] += new[: 2 * h]
+            rz[:, some] = rz.take(some, axis=1) + known[: 2 * h]
+            np.tanh(rz, out=rz)
+            r, z = rz[:h], rz[h:]
+            r += 1
+            c *= r
+            c += plain
+            c[:, old:] += new[2 * h :]
+            c[:, some] = c.take(some, axis=1) + known[2 * h :]
+            np.tanh(c, out=c)
+            np.subtract(own, c, out=d)
+            d *= z
+            own += c
+            own += d
+            own *= 0.5
+        return order, told
 
     def _of_one(self, vectors: np.ndarray, gates: dict[str, np.ndarray], word: np.ndarray, place: np.ndarray, alone: dict[bytes, np.ndarray]) -> np.ndarray:
         """Logits of full windows whose one known word ``word`` stands at ``place``; words that ``alone`` lacks are added to it, at every place."""
@@ -271,12 +337,13 @@ class ToxicityNet:
             alone.clear()
         keys = [vectors[w].tobytes() for w in own]
         new = np.flatnonzero([k not in alone for k in keys])
-        at_once = WINDOWS_AT_ONCE // WINDOW
+        at_once = SORTED_AT_ONCE // WINDOW
         for i in range(0, len(new), at_once):
             some = new[i : i + at_once]
-            string = np.full((len(some) + 1, WINDOW), len(vectors) - 1)
+            string = np.full((len(some) + 1, WINDOW), len(vectors) - 1, dtype=np.int32)
             string[:-1, -1] = own[some]
-            found = self._every_window(gates, string.ravel()[:-1]).reshape(-1, WINDOW)[:, ::-1]
+            begin, owner = np.arange(len(some) * WINDOW), np.repeat(np.arange(len(some)), WINDOW)
+            found = self._in_order(gates, string.ravel()[:-1], begin, np.arange(1, len(some) + 1) * WINDOW - 1, owner, owner + 1).reshape(-1, WINDOW)[:, ::-1]
             alone.update((keys[k], row.copy()) for k, row in zip(some, found, strict=True))
         return np.array([alone[k] for k in keys])[which, place]
 
@@ -286,7 +353,9 @@ class ToxicityNet:
         for i, j in slices(texts, READ):
             words = words_of(texts[i:j])
             doc, begin, size = windows_of(words.first)
-            np.maximum.at(out[i:j], doc, self.logits(self.inputs(words), begin, size, self.alone))
+            if len(doc):
+                first = np.flatnonzero(np.diff(doc, prepend=-1))
+                out[i + doc[first]] = np.maximum.reduceat(self.logits(self.inputs(words), begin, size, self.alone), first)
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -307,7 +376,10 @@ class ToxicityNet:
         de = share * (dshare - (share * dshare).sum(axis=1, keepdims=True))
         grad["a"] = np.einsum("nt,nth->h", de, states)
         dstates = share[:, :, None] * dpooled[:, None, :] + de[:, :, None] * p["a"]
-        dvectors = np.zeros_like(vectors)
+        dvectors, dg_all = np.zeros_like(vectors), np.empty((WINDOW, len(index), 3 * h), dtype=vectors.dtype)
+        placed = index.T.ravel()
+        by_word = np.argsort(placed, kind="stable")
+        used, first = np.unique(placed[by_word], return_index=True)
         for way, order in (("f", range(WINDOW - 1, -1, -1)), ("b", range(WINDOW))):
             ds = np.zeros((len(index), h), dtype=np.float32)
             du, dc, dgates = np.zeros_like(p[f"u{way}"]), np.zeros_like(p[f"c{way}"]), np.zeros((len(vectors), 3 * h), dtype=np.float32)
@@ -323,8 +395,9 @@ class ToxicityNet:
                 back = np.concatenate([dr, dz, dc_ * r], axis=1)
                 du += s.T @ back
                 dc += dg.sum(axis=0)
-                np.add.at(dgates, index[:, t], dg)
+                dg_all[t] = dg
                 ds = np.where(on, dn * z, ds) + back @ p[f"u{way}"].T
+            dgates[used] = np.add.reduceat(dg_all.reshape(-1, 3 * h)[by_word], first, axis=0)
             grad |= {f"u{way}": du, f"c{way}": dc, f"w{way}": vectors.T @ dgates}
             dvectors += dgates @ p[f"w{way}"].T
         grad["word"], grad["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
@@ -399,7 +472,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
 
     def best_cut(step: int) -> tuple[float, float]:
         worst, (doc, begin, size) = np.full(len(chosen[0]), -np.inf), windows_of(first, step)
-        np.maximum.at(worst, doc, net.logits(x, begin, size, step=step))
+        np.maximum.at(worst, doc, net.logits(x, begin, size))
         return _best_cut(worst, chosen[1])
 
     for _ in _rounds(net, *own, rounds, seed):
@@ -431,7 +504,9 @@ def _rounds(net: ToxicityNet, texts: list[str], y: np.ndarray, rounds: int, seed
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     odds = np.concatenate([[0], net.p["word"][1:, 0]])[x.word] + np.maximum.reduceat(np.concatenate([[0], net.p["gram"][1:, 0]])[x.gram], x.gram_first[:-1])
     padded = np.concatenate([odds, [0]])[at]
-    logit = np.array([padded[b : b + s].max() for b, s in zip(begin, size, strict=True)])
+    logit = np.lib.stride_tricks.sliding_window_view(padded, WINDOW).max(axis=1)[begin]
+    for i in np.flatnonzero(size < WINDOW):
+        logit[i] = padded[begin[i] : begin[i] + size[i]].max()
     for round_ in range(rounds):
         order = np.lexsort((-logit, doc))
         worst = order[np.concatenate([[True], np.diff(doc[order]) != 0])]
@@ -451,7 +526,7 @@ def _rounds(net: ToxicityNet, texts: list[str], y: np.ndarray, rounds: int, seed
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        logit = net.logits(x, begin, size, step=TRAINING_STEP)
+        logit = net.logits(x, begin, size)
         yield
 
 
