@@ -1,10 +1,14 @@
 import math
+import time
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from varietas.functions.numerics import format_label
 from varietas.operators import diversity, experiment, filters
+from varietas.plans import catalogue
 
 
 def counts(spark, cells):
@@ -80,6 +84,33 @@ def test_array_form(spark):
     assert got == [pytest.approx(0.725), None, None, None]
 
 
+def test_long_arrays_take_time_in_proportion(spark):
+    x = [float(i % 97) for i in range(20_000)]
+    p = [c / sum(x) for c in x if c]
+    want = {"q=0.5": (sum(v**0.5 for v in p) - 1) / 0.5, "q=1": -sum(v * math.log(v) for v in p), "q=2": 1 - sum(v * v for v in p)}
+    df = spark.createDataFrame([(x,), (x + [None],), ([-c for c in x],)], "x array<double>")
+    begun = time.monotonic()
+    got = [r["s"] for r in df.select(diversity.tsallis(F.col("x"), (0.5, 1.0, 2.0), norm=False).alias("s")).collect()]
+    assert time.monotonic() - begun < 20
+    assert got[0] == pytest.approx(want) and got[1] == got[2] == dict.fromkeys(want)
+
+
+def test_the_query_of_arrays_keeps_complete_genes_as_its_mirror(spark, tmp_path):
+    """A brand that one nation lacks, and parts without a brand, have no rows in the SQL."""
+    tables = {
+        "part": "SELECT * FROM (VALUES (1, 'a'), (2, 'a'), (3, 'b'), (4, NULL)) t(p_partkey, p_brand)",
+        "supplier": "SELECT * FROM (VALUES (1, 5), (2, 6)) t(s_suppkey, s_nationkey)",
+        "lineitem": "SELECT * FROM (VALUES (1, 1, 3.0::DOUBLE), (2, 1, 1.0), (1, 2, 2.0), (2, 2, 5.0), (3, 1, 4.0), (4, 1, 1.0), (4, 2, 1.0)) t(l_partkey, l_suppkey, l_quantity)",
+    }
+    with duckdb.connect() as duck:
+        for name, rows in tables.items():
+            duck.execute(f"CREATE TABLE {name} AS {rows}")
+            duck.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        want = duck.execute(catalogue.oracle_sql()["tsallis_of_arrays"]).fetchall()
+    found = catalogue.queries()["tsallis_of_arrays"](spark, str(tmp_path))
+    assert Counter(map(tuple, found.collect())) == Counter(want) and {r[0] for r in want} == {"a"}
+
+
 def test_names_round_trip(spark):
     df = spark.createDataFrame([("A_N", 0.5), ("B_T", 1.0)], "s string, q double").select("s", "q", diversity.encode_column(F.col("s"), F.col("q")).alias("c"))
     got = df.select("c", diversity.decode_sample(F.col("c")), diversity.decode_order(F.col("c")), diversity.sample_base(F.col("s"))).collect()

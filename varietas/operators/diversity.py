@@ -7,7 +7,7 @@ Frames are long: counts (gene, tx, sample, count), one row per non-zero cell or
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -122,6 +122,11 @@ def complete_genes(values: DataFrame, samples: DataFrame, orders: int, measures:
     return values.withColumn("known", known).join(F.broadcast(size), F.col("known") == F.col("cells")).select(values.columns)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value worked out once: a lambda works out what it takes from outside again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def tsallis(x: Column, q: Sequence[float] | float = 2.0, norm: bool = True, what: str = "S", log_base: float = math.e) -> Column:
     """Entropy or Hill numbers of an array of counts, as a map from order to value, or one value.
 
@@ -133,14 +138,13 @@ def tsallis(x: Column, q: Sequence[float] | float = 2.0, norm: bool = True, what
         return F.struct(*(tsallis(x, q, norm, w, log_base).alias(w) for w in ("S", "D")))
     if what not in ("S", "D"):
         raise ValueError("what must be 'S', 'D' or 'both'")
-    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.coalesce(missing_to_null(v), F.lit(0.0)))
-    whole = (total > 0) & ~F.exists(x, lambda v: missing_to_null(v).isNull())
+    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + missing_to_null(v))
     n = F.size(x)
 
     def one(order: float) -> Column:
         term = (lambda p: F.when(p > 0, -p * F.ln(p)).otherwise(0.0)) if is_limit(order) else (lambda p: F.when(p > 0, F.pow(p, F.lit(order))).otherwise(0.0))
-        power = F.aggregate(x, F.lit(0.0), lambda s, v: s + term(v.cast("double") / total))
-        return F.when(whole, entropy_of(power, n, order, norm, log_base) if what == "S" else hill_of(power, order))
+        power = lambda t: F.aggregate(x, F.lit(0.0), lambda s, v: s + term(v.cast("double") / t))
+        return _once(total, lambda t: F.when(t > 0, entropy_of(power(t), n, order, norm, log_base) if what == "S" else hill_of(power(t), order)))
 
     if isinstance(q, (int, float)):
         return one(orders[0])

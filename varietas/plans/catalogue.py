@@ -104,7 +104,8 @@ def hill_multi_q(spark, sf_dir):
 def tsallis_of_arrays(spark, sf_dir):
     arrays = fixtures.retail(spark, sf_dir).groupBy("gene", "sample").agg(F.collect_list("count").alias("x"))
     s = diversity.tsallis(F.col("x"), (0.5, 2.0), norm=False)
-    return arrays.select("gene", "sample", rounded(s["q=0.5"], "s_half"), rounded(s["q=2"], "s_two"))
+    found = settled(arrays.select("gene", "sample", rounded(s["q=0.5"], "s_half"), rounded(s["q=2"], "s_two")))
+    return diversity.complete_genes(found.where("gene IS NOT NULL"), found.select("sample").dropna().distinct(), 1, ("s_half", "s_two"))
 
 
 @query(with_(*values((1.0, 2.0), "retail", out="ent"), *values((1.0, 2.0), "retail", what="D", out="hil")[1:]) + f"SELECT gene, sample, q, {r('e.value', 'entropy')}, {r('h.value', 'hill')} FROM ent e JOIN hil h USING (gene, sample, q)")
